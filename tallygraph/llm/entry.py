@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_count, url_filter
+from . import language_id, packing, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,7 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op3_url_filter": url_filter.op3_url_filter,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_token_count": token_count.op6_token_count,
+        "op9_language_id": language_id.op9_language_id,
     }
 
 
