@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, packing, token_count, url_filter
+from . import language_id, packing, secret_scan, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +16,10 @@ def queries() -> dict[str, Query]:
         "op3_url_filter": url_filter.op3_url_filter,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_token_count": token_count.op6_token_count,
+        "op7_secret_scan": secret_scan.op7_secret_scan,
         "op9_language_id": language_id.op9_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.oracle()}
+    return {"op3_url_filter": url_filter.oracle(), "op7_secret_scan": secret_scan.oracle()}
