@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, packing, secret_scan, token_count, url_filter
+from . import language_id, neighbours, packing, secret_scan, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_nearest": neighbours.op4_nearest,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_token_count": token_count.op6_token_count,
         "op7_secret_scan": secret_scan.op7_secret_scan,
