@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, neighbours, packing, secret_scan, token_count, url_filter
+from . import language_id, near_dup, neighbours, packing, secret_scan, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_duplicates": near_dup.op1_near_duplicates,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_nearest": neighbours.op4_nearest,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
