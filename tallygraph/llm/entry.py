@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, language_id, near_dup, neighbours, packing, secret_scan, token_count, url_filter
+from . import context_tree, decontaminate, language_id, near_dup, neighbours, packing, secret_scan, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_token_count": token_count.op6_token_count,
         "op7_secret_scan": secret_scan.op7_secret_scan,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_language_id": language_id.op9_language_id,
         "op10_lm_scores": context_tree.op10_lm_scores,
     }

@@ -64,12 +64,12 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all maximal runs of non-space bytes within each string, and the index of the word at which each string begins."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all maximal runs of bytes other than those between words, within each string, and the index of the word at which each string begins."""
     if len(data) == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~IS_SPACE[data]
+    inside = ~between[data]
     before = np.empty(len(data), bool)
     before[0] = False
     before[1:] = inside[:-1]
