@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, decontaminate, language_id, near_dup, neighbours, packing, secret_scan, token_count, url_filter
+from . import context_tree, decontaminate, language_id, near_dup, neighbours, packing, secret_scan, substring_dedup, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_near_duplicates": near_dup.op1_near_duplicates,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_nearest": neighbours.op4_nearest,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
