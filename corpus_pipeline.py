@@ -1,12 +1,75 @@
-"""Corpus pipeline: stages from raw documents to packed sequences, each written as Parquet and read by the next."""
+"""Corpus pipeline: from raw documents to packed sequences in five stages, each written as Parquet and read by the next.
+
+Language ID drops documents without a recognised language; near-duplicate detection leaves one document of each group;
+decontamination drops documents that hold a passage of the benchmark; the secret scan masks every secret in the text;
+best-fit packing lays the rest out in sequences. Each stage works on all rows that the one before kept, whole texts included.
+Rows with null ids are kept where their text is, since groups and matches are named by ids.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallygraph.llm import decontaminate, language_id, near_dup, packing, secret_scan
+from tallygraph.llm.shared import written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of a document's n-grams that its language must hold; running text has over 0.5, other matter near 0.
+LEAST_SCORE = 0.2
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among the rejected ones; null ids stay."""
+    return docs.join(rejected.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language the filters learnt from all labelled documents recognise; the verdict is of the text alone."""
+    model = language_id.fit(docs, F.lit(True))
+    judged = language_id.judged(docs.select(*COLUMNS), model)
+    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group: that with the least doc_id."""
+    return without(docs, near_dup.near_duplicates(docs).filter("NOT kept"))
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage within the edit distance of a benchmark item."""
+    return without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret of the scan's findings replaced by asterisks of its length."""
+    found = secret_scan.findings(secret_scan.scan(docs))
+    return secret_scan.masked(docs.select(*COLUMNS), found).select(*COLUMNS)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset for every piece of every document."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", languages),
+    ("near_dedup", near_duplicates),
+    ("decontamination", benchmark_free),
+    ("secret_scan", secrets_masked),
+    ("packing", sequences),
+]
+#: Sketches, embeddings and tokenizers are beyond SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the table documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

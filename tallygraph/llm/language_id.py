@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernel import U64, mix
 from .shared import bounded_batches, pieces, record, width
@@ -165,22 +166,23 @@ def added(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[n
     return keys, np.bincount(where, weights=np.concatenate([m, n]), minlength=len(keys)).astype(np.int64)
 
 
-def identify(docs: DataFrame, model: Filter, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score for every row, judged by its text alone. No shuffle; the filter, of fixed size, is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+def judged(docs: DataFrame, model: Filter, *, text_col: str = "text") -> DataFrame:
+    """The rows with lang_pred and score beside their own columns."""
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
+    plain = docs.select(*names)
+    text_at = names.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            langs, scores = [], []
+            texts, langs, scores = batch.column(text_at).to_pylist(), [], []
             for a, b in pieces([len(t or "") for t in texts], 1 << 20):
                 for column, values in zip((langs, scores), shared.value.decide(texts[a:b]), strict=True):
                     column += values
-            yield record(schema, batch.column(0), langs, scores)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(judge, "doc_id long, lang_pred string, score double")
+    return plain.mapInArrow(judge, T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def language_id(docs: DataFrame, *, of: int = 4, held: int = 2, sampled: int = SAMPLED) -> DataFrame:
@@ -191,7 +193,7 @@ def language_id(docs: DataFrame, *, of: int = 4, held: int = 2, sampled: int = S
     """
     model = fit(docs, remainder("doc_id", of) != held, sampled=sampled)
     out = F.coalesce(remainder("doc_id", of) == held, F.lit(False))
-    return identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    return judged(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,21 @@ def digest_columns(found: Column) -> list[Column]:
     return [*map(of, BASE), F.sha2(text(base), 256).alias("base_sha256"), text(found).alias("spans")]
 
 
+def masked(docs: DataFrame, found: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The rows with every found span of their text replaced by as many asterisks; spans may overlap, a null text stays null."""
+    keyed = docs.withColumn("_blob", F.sha2(text_or_empty(text_col), 256)).withColumn("_salt", F.pmod(F.xxhash64(text_col, F.monotonically_increasing_id()), F.lit(SALT)))
+    repeated = found.select(F.col("blob").alias("_blob"), "found").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    text, start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), F.col(text_col)
+
+    def step(state: Column, span: Column) -> Column:
+        begin = F.greatest(state["at"], span["start"])
+        end = F.greatest(begin, span["end"])
+        return F.struct(F.concat(state["out"], F.substring(start, state["at"] + 1, begin - state["at"]), F.repeat(F.lit("*"), end - begin)).alias("out"), end.alias("at"))
+
+    walked = F.aggregate("found", text, step, lambda s: F.concat(s["out"], F.substring(start, s["at"] + 1, F.length(start))))
+    return keyed.join(repeated, ["_blob", "_salt"], "left").withColumn(text_col, F.when(F.col("found").isNull(), start).otherwise(walked)).select(*docs.columns)
+
+
 def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """For every row doc_id, the base counts, base_sha256 and spans (kind:start:end in code points).
 
