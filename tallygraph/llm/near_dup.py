@@ -5,7 +5,9 @@ the documents that overlap; an estimate on the union of two sketches filters the
 full sets decides. Documents with equal sets are one class from the start, and only classes are compared.
 
 A list's key is a run of consecutive retained values, so that a boilerplate passage alone rarely makes one. A list that is
-still long is dealt anew by longer runs; what then remains long is made of near copies, and is linked through leaders.
+still long is dealt anew by longer runs. A list passes on a spanning forest of the pairs that pass the filter, not the
+pairs: the forests' components are groups that no link leaves. Each group's texts then meet once, heavy groups in pairs of
+blocks, where all pairs that are not linked yet are verified on the full sets and a spanning forest of the links remains.
 """
 
 from __future__ import annotations
@@ -30,10 +32,37 @@ LISTS = ((12, 2), (RETAINED, 4))
 LONG = 256
 #: Estimates are within 0.045 of the truth in two of three cases; pairs below this are not verified.
 ESTIMATED = 0.65
-#: In long lists, a document so close to a leader is represented by it.
-CLOSE = 0.9
-#: Members of one leader verified by one task.
-VERIFIED = 2000
+#: In long lists documents are compared with leaders, of which each other one passes the estimate with one at least. Two
+#: linked documents are 0.15 apart, so both are within 0.5 of a leader of either; this is below by as much as estimates err.
+LED = 0.4
+#: Shingles of a group's texts that one task holds; a heavier group is dealt in pairs of blocks.
+HEAVY = 1 << 22
+#: Columns of a table of exact intersections, and pairs from which a block's are counted by one.
+COLUMNS, MANY = 1 << 15, 500
+
+
+class Forest:
+    """Disjoint sets."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        root = x
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while (up := parent.get(x, x)) != root:
+            parent[x] = root
+            x = up
+        return root
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+        return x != y
 
 
 def sets_of(column: pa.Array, words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -100,66 +129,68 @@ def similarity_estimates(held: list[np.ndarray]) -> np.ndarray:
     return common / np.maximum(both - common, 1)
 
 
-def listed_pairs(postings: DataFrame, *, final: bool) -> DataFrame:
-    """a < b of documents in a common list whose estimate passes. Rows (key, id, sketch) come sorted by key; lists over LONG, in the final round only, go by leaders."""
+def listed_pairs(postings: DataFrame) -> DataFrame:
+    """a and b: for each list a spanning forest of the pairs that pass the estimate. Rows (key, id, sketch) come sorted by key; lists over LONG go by leaders."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs_of(ids: list[int], held: list[np.ndarray]) -> list[tuple[int, int]]:
+    def compared(ids: list[int], held: list[np.ndarray]) -> list[tuple[int, int]]:
         i, j = np.nonzero(np.triu(similarity_estimates(held) >= ESTIMATED, 1))
-        return [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if ids[x] != ids[y]]
+        forest = Forest()
+        return [(ids[x], ids[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(x, y)]
 
-    def by_leaders(block_ids: list[int], block: list[np.ndarray], leaders: list[int], sketch_of: list[np.ndarray]) -> list[tuple[int, int]]:
+    def led(ids: list[int], held: list[np.ndarray], leaders: list[int], theirs: list[np.ndarray], forest: Forest) -> list[tuple[int, int]]:
         out = []
-        for name, own in zip(block_ids, block, strict=True):
-            near = False
-            for k in range(0, len(leaders), LONG):
-                estimates = similarity_estimates([own, *sketch_of[k : k + LONG]])[0, 1:]
-                near |= bool((estimates >= CLOSE).any())
-                out += [(min(name, x), max(name, x)) for x, e in zip(leaders[k : k + LONG], estimates.tolist(), strict=False) if e >= ESTIMATED and x != name]
-            if not near:
-                leaders.append(name)
-                sketch_of.append(own)
+        for k in range(0, len(leaders), LONG):
+            estimates = similarity_estimates([*held, *theirs[k : k + LONG]])[: len(held), len(held) :]
+            i, j = np.nonzero(estimates >= LED)
+            out += [(ids[x], leaders[k + y]) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(ids[x], leaders[k + y])]
+            near = estimates.max(1) >= ESTIMATED
+            ahead = near if k == 0 else ahead | near
+        own = similarity_estimates(held)
+        new: list[int] = []
+        for x in range(len(ids)):
+            near = [y for y in new if own[x, y] >= LED]
+            out += [(ids[x], ids[y]) for y in near if forest.join(ids[x], ids[y])]
+            if not (len(leaders) and ahead[x]) and not any(own[x, y] >= ESTIMATED for y in near):
+                new.append(x)
+        leaders += [ids[x] for x in new]
+        theirs += [held[x] for x in new]
         return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, held, leaders, led = None, [], [], [], []
+        key, ids, held, leaders, theirs, forest = None, [], [], [], [], Forest()
         out: list[tuple[int, int]] = []
 
         def close() -> None:
             if leaders:
-                out.extend(by_leaders(ids, held, leaders, led))
+                out.extend(led(ids, held, leaders, theirs, forest))
             elif len(ids) > 1:
-                out.extend(pairs_of(ids, held))
-            for x in (ids, held, leaders, led):
+                out.extend(compared(ids, held))
+            for x in (ids, held, leaders, theirs, forest.parent):
                 x.clear()
 
-        def flush() -> pa.RecordBatch:
-            rows = list(set(out))
-            out.clear()
-            return record(schema, [a for a, _ in rows], [b for _, b in rows])
-
         for batch in batches:
-            for k, name, sketch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for k, name, sketch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if k != key:
                     close()
                     key = k
-                elif len(ids) >= LONG:  # only in the final round
-                    out.extend(by_leaders(ids, held, leaders, led))
+                elif len(ids) >= LONG:
+                    out.extend(led(ids, held, leaders, theirs, forest))
                     ids.clear()
                     held.clear()
                 ids.append(name)
-                held.append(np.frombuffer(sketch.as_buffer(), np.uint32))
-            held[:] = [s.copy() for s in held]
+                held.append(np.frombuffer(sketch, np.uint32))
             if len(out) > 20_000:
-                yield flush()
+                yield record(schema, [a for a, _ in out], [b for _, b in out])
+                out.clear()
         close()
-        yield flush()
+        yield record(schema, [a for a, _ in out], [b for _, b in out])
 
-    return postings.mapInArrow(compare, "a long, b long").distinct()
+    return postings.mapInArrow(compare, "a long, b long")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of classes that share a list and pass the estimate."""
+    """Distinct pairs of classes that join all that share a list and pass the estimate."""
     parts, round_of = width(classes.sparkSession), classes
     found = None
     for nth, (values, run) in enumerate(LISTS):
@@ -169,47 +200,89 @@ def candidates(classes: DataFrame) -> DataFrame:
         shared = written(rows.join(sizes, "key"), "lists")
         short = shared if final else shared.filter(F.col("many") <= LONG)
         postings = short.select("key", "id").join(classes.select("id", "sketch"), "id").select("key", "id", "sketch")
-        pairs = listed_pairs(postings.repartition(parts, "key").sortWithinPartitions("key", "id"), final=final)
+        pairs = listed_pairs(postings.repartition(parts, "key").sortWithinPartitions("key", "id"))
         found = pairs if found is None else found.unionByName(pairs)
         if not final:
             again = shared.filter(F.col("many") > LONG).select("id").distinct()
             round_of = classes.join(again, "id", "left_semi")
-    return found.distinct()
-
-
-def verified(docs: DataFrame, pairs: DataFrame, *, similarity: int = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= similarity * union. Each text is sent once for each leader a; a popular leader is served by several tasks."""
-    many = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / VERIFIED) + 1).alias("parts"))
-    dealt = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-    leaders = many.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("follows"))
-    asked = dealt.select("a", F.col("b").alias("id"), "part", F.lit(1).alias("follows")).unionByName(leaders)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = asked.join(texts, "id").select("a", "part", "follows", "id", "text")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of all pairs' intersections: products of tables of the members that two or more sets have."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat)
+    flat, owner = flat[order], owner[order]
+    first = np.concatenate([[True], flat[1:] != flat[:-1]])
+    alone = first & np.append(first[1:], True)
+    name = np.cumsum(first & ~alone)[~alone] - 1
+    owner, out = owner[~alone], np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, int(name[-1]) + 1 if len(name) else 0, COLUMNS):
+        a, b = np.searchsorted(name, (at, at + COLUMNS))
+        table = np.zeros((len(sets), COLUMNS), np.float32)
+        table[owner[a:b], name[a:b] - at] = 1
+        out += (table @ table.T).astype(np.int64)
+    return out
+
+
+def linked(ids: list[int], sets: list[np.ndarray], similarity: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets. Only pairs whose estimate passes and whom links do not yet connect are verified."""
+    order = sorted((k for k in range(len(ids)) if len(sets[k])), key=lambda k: (len(sets[k]), ids[k]))
+    ids, sets = [ids[k] for k in order], [sets[k] for k in order]
+    sketch, size = [(s[:RETAINED] >> U64(32)).astype(np.uint32) for s in sets], np.array([len(s) for s in sets])
+    forest, out, half = Forest(), [], LONG // 2
+
+    def is_link(both: int, x: int, y: int) -> bool:
+        return 100 * both >= similarity * (int(size[x]) + int(size[y]) - both)
+
+    for a in range(0, len(ids), half):
+        for b in range(a, len(ids), half):
+            if 100 * size[min(a + half, len(ids)) - 1] < similarity * size[b]:
+                break  # all further sets are too large for these
+            rows = [*range(a, min(a + half, len(ids)))] + ([*range(b, min(b + half, len(ids)))] if b > a else [])
+            i, j = np.nonzero(np.triu(similarity_estimates([sketch[k] for k in rows]) >= ESTIMATED, 1))
+            todo = [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.find(rows[x]) != forest.find(rows[y])]
+            counted = intersections([sets[k] for k in rows]) if len(todo) > MANY else None
+            for x, y in todo:
+                p, q = rows[x], rows[y]
+                if forest.find(p) != forest.find(q):
+                    both = int(counted[x, y]) if counted is not None else len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                    if is_link(both, p, q):
+                        forest.join(p, q)
+                        out.append((ids[p], ids[q]))
+    return out
+
+
+def verified(docs: DataFrame, groups: DataFrame, *, similarity: int = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a and b: a spanning forest of the links of each group (id, component, n). A group's texts come together once; one of over HEAVY shingles is dealt in pairs of blocks."""
+    weight = groups.groupBy("component").agg((F.ceil(F.sum("n") * 2 / HEAVY)).cast("int").alias("blocks"))
+    sized = groups.join(weight, "component").withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    asked = sized.select("component", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = asked.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id")
+    rows = keyed.join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").select("component", "i", "j", "id", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, leading = None, []
+        key, ids, sets = None, [], []
+        out: list[tuple[int, int]] = []
         for batch in batches:
             names = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
-            out: list[tuple[int, int]] = []
             for values, at in sets_of(batch.column(4), words):
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    leader, part, follows, name = next(names)
-                    own = values[a:b]
-                    if (leader, part) != key:
-                        key, leading = (leader, part), []
-                    if not follows:
-                        leading.append(own.copy())
-                        continue
-                    for other in leading:
-                        both = len(np.intersect1d(own, other, assume_unique=True))
-                        if both and 100 * both >= similarity * (len(own) + len(other) - both):
-                            out.append((leader, name))
-                            break
+                    *group, name = next(names)
+                    if group != key:
+                        out += linked(ids, sets, similarity)
+                        key, ids, sets = group, [], []
+                    ids.append(name)
+                    sets.append(values[a:b].copy())
             yield record(schema, [x for x, _ in out], [y for _, y in out])
+            out = []
+        out += linked(ids, sets, similarity)
+        yield record(schema, [x for x, _ in out], [y for _, y in out])
 
-    dealt_out = rows.repartition(width(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "follows")
-    return dealt_out.mapInArrow(verify, "a long, b long").distinct()
+    dealt = rows.repartition(width(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return dealt.mapInArrow(verify, "a long, b long").filter("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -240,8 +313,9 @@ def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, words: int
     named = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     first = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"))
     classes = written(first.select("digest", F.col("x.doc_id").alias("id"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch")), "classes")
-    pairs = written(candidates(classes.filter("n > 1").dropDuplicates(["id"]).select("id", "sketch")), "pairs")
-    labels = components(verified(docs, pairs, similarity=similarity, words=words, id_col=id_col, text_col=text_col))
+    several = classes.filter("n > 1").dropDuplicates(["id"])
+    groups = components(candidates(several.select("id", "sketch"))).join(several.select("id", "n"), "id")
+    labels = components(verified(docs, groups, similarity=similarity, words=words, id_col=id_col, text_col=text_col))
     of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     joined = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
