@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,14 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, record, written
+from .kernel import U64, buffers, prefix_sums, range_hash, words
+from .shared import bounded_batches, pieces, record, written
 
 CAPACITY = 2048
 #: Pieces of one length that one task ranks.
 RANKED = 50_000
-#: Unicode's White_Space, as a fixed list: str.split() also splits at the separators 1C to 1F.
+#: Unicode's White_Space, as a fixed list: the standard module's \\s also takes the separators 1C to 1F.
 WHITE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: The one pattern of pre-tokens that this encoder knows.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class SegmentTree:
@@ -97,48 +100,154 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int,
     return dict(runs), bins
 
 
+class Recent(dict):
+    """A dictionary of about kept recent entries and as many before them."""
+
+    def __init__(self, kept: int) -> None:
+        super().__init__()
+        self.kept, self.older = kept, {}
+
+    def __missing__(self, key: str) -> bytes | None:
+        return self.older.get(key)
+
+    def learn(self, fresh: dict[str, bytes]) -> None:
+        if len(self) >= self.kept:
+            self.older = dict(self)
+            self.clear()
+        self.update((k, v) for k, v in fresh.items() if len(k) <= 64)
+
+
+class RunTable:
+    """Ids of known runs by the run's 64-bit hash: an open table of places and the ids end to end."""
+
+    PLACES = 1 << 22
+
+    def __init__(self, runs: int = 0) -> None:
+        """With room for so many runs at least."""
+        self.places = max(self.PLACES, 1 << (4 * runs).bit_length())
+        self.keys, self.entry = np.zeros(self.places, U64), np.full(self.places, -1, np.int32)
+        self.ids, self.at, self.filled = np.zeros(1 << 20, "<u4"), np.zeros(self.places // 2 + 1, np.int64), 0
+
+    def room(self, runs: int) -> bool:
+        return self.filled + runs <= self.places // 2
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entries, -1 for unknown ones."""
+        out, todo = np.full(len(hashes), -1, np.int32), np.arange(len(hashes))
+        place = (hashes & U64(self.places - 1)).astype(np.int64)
+        while len(todo):
+            entry = self.entry[place]
+            same = self.keys[place] == hashes[todo]
+            out[todo[same]] = entry[same]
+            go = ~same & (entry >= 0)
+            todo, place = todo[go], (place[go] + 1) & (self.places - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """New and distinct hashes; at most half of the places are filled."""
+        first, last = self.filled, self.filled + len(ids)
+        self.at[first + 1 : last + 1] = self.at[first] + np.cumsum([len(x) // 4 for x in ids])
+        while self.at[last] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.at[first] : self.at[last]] = np.frombuffer(b"".join(ids), "<u4")
+        self.filled, entries = last, np.arange(first, last, dtype=np.int32)
+        place = (hashes & U64(self.places - 1)).astype(np.int64)
+        while len(entries):
+            free = np.flatnonzero(self.entry[place] < 0)
+            self.entry[place[free]] = entries[free]  # of those that want one place the last gets it
+            self.keys[place[free]] = hashes[free]
+            go = self.entry[place] != entries
+            entries, hashes, place = entries[go], hashes[go], (place[go] + 1) & (self.places - 1)
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries' ids end to end, and their numbers."""
+        start, many = self.at[entries], self.at[entries + 1] - self.at[entries]
+        return self.ids[np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())], many
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
-    The file's pattern matches no white space, so a text's ids are those of its runs of other characters, end to end;
-    the library encodes each distinct run once.
+    The file's pattern matches no white space, so a text's ids are those of its runs of other characters, end to end, and
+    a run's ids are those of its matches. Runs are looked up all at once; the library encodes the new matches of many
+    texts in one call, in which the tokens that end a word show where each match ends.
     """
 
-    #: Runs kept by a worker: of so many recent ones, and of so many before them.
-    KEPT = 250_000
+    KEPT_WORDS = 250_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", ())]
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", ())
-        split = splits[0] if splits else {}
-        if kinds != ["NFC", "Replace", "Lowercase"] or split.get("behavior") != "Removed" or " " in split["pattern"].get("Regex", " ") or spec["post_processor"]:
-            raise ValueError(f"{path}: its tokens may depend on white space")
+        pattern = splits[0].get("pattern", {}).get("Regex") if splits else None
+        suffix = spec["model"].get("end_of_word_suffix")
+        if kinds != ["NFC", "Replace", "Lowercase"] or pattern != PATTERN or not suffix or spec["post_processor"]:
+            raise ValueError(f"{path}: not a lower-casing word-level BPE file")
         self.library = Tokenizer.from_file(path)
-        self.runs = re.compile(f"[^{WHITE}]+").findall
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        runs = self.runs(text) if any(map(text.__contains__, SEPARATORS)) else text.split()
-        found = list(map(self.known.get, runs))
-        if None in found:
-            learnt = self.learn({w for w, f in zip(runs, found, strict=True) if f is None})
-            found = [learnt[w] if f is None else f for w, f in zip(runs, found, strict=True)]
-        return b"".join(found)
-
-    def learn(self, runs: set[str]) -> dict[str, bytes]:
-        """Ids of runs not among the recent ones."""
-        out = {w: self.older[w] for w in runs if w in self.older}
-        fresh = [w for w in runs if w not in out]
-        out |= {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False), strict=True)}
-        if len(self.known) >= self.KEPT:
-            self.known, self.older = {}, self.known
-        self.known |= {w: ids for w, ids in out.items() if len(w) <= 64}
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        ranges = lambda p: "".join(f"{re.escape(m[0][0])}-{re.escape(m[0][-1])}" for m in regex.finditer(f"{p}+", every))
+        letters, numbers = ranges(r"\p{L}"), ranges(r"\p{N}")
+        self.matches = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+").findall
+        self.marked = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.ends[[k for t, k in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.known, self.words = RunTable(), Recent(self.KEPT_WORDS)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """A run here ends at white space of ASCII; other white space within it only parts its matches."""
+        data, at = buffers(texts)
+        starts, ends, first = words(data, at)
+        hashes = range_hash(prefix_sums(data), starts, ends)
+        entries = self.known.find(hashes)
+        new = np.flatnonzero(entries < 0)
+        if len(new):
+            fresh, sample = np.unique(hashes[new], return_index=True)
+            raw, sample = data.tobytes(), new[sample]
+            runs = [raw[a:b].decode() for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
+            if not self.known.room(len(runs)):
+                self.known = RunTable(len(np.unique(hashes)))  # full: this piece's runs are the first of a new one
+                return self.encode(texts)
+            self.known.add(fresh, self.of_runs(runs))
+            entries[new] = self.known.find(hashes[new])
+        ids, many = self.known.gather(entries)
+        cut = (4 * np.concatenate([[0], np.cumsum(many)])[first]).tolist()
+        raw = ids.astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def of_runs(self, runs: list[str]) -> list[bytes]:
+        split = []
+        for run in runs:
+            if run.isascii() and run.isalpha():
+                split.append((run.lower(),))
+            elif self.marked(run):
+                split.append(None)
+            else:  # each character is lower-cased by itself: no final sigma
+                split.append(self.matches((run if run.isascii() else unicodedata.normalize("NFC", run).replace("Σ", "σ")).lower()))
+        get = self.words.get
+        known = {w: get(w) for own in split if own for w in own}
+        learnt = self.of_words({w for w, ids in known.items() if ids is None})
+        known |= learnt
+        self.words.learn(learnt)
+        return [
+            np.asarray(self.library.encode(run, add_special_tokens=False).ids, "<u4").tobytes() if own is None else known[own[0]] if len(own) == 1 else b"".join([known[w] for w in own])
+            for run, own in zip(runs, split, strict=True)
+        ]
+
+    def of_words(self, words: set[str]) -> dict[str, bytes]:
+        out = {w: ids for w in words if (ids := self.words.older.get(w)) is not None}
+        fresh = [w for w in words if w not in out]
+        if fresh:
+            ids = np.asarray(self.library.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(fresh):
+                raise ValueError("the library splits words otherwise than this pattern")
+            raw = ids.tobytes()
+            out |= {w: raw[4 * a : 4 * b] for w, a, b in zip(fresh, [0, *stops], stops, strict=False)}
         return out
 
 
@@ -160,8 +269,10 @@ def tokenised_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, id
         encode = encoder(path).encode
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + b"\0\0\0\0"
+            strings = batch.column(1)
+            encoded = (ids for a, b in pieces(np.diff(buffers(strings)[1]).tolist()) for ids in encode(strings[a:b]))
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, value in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
