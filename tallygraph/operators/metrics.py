@@ -80,7 +80,7 @@ def lift(scores: DataFrame) -> DataFrame:
 def positive_weight(labels: DataFrame, most: float = 50_000.0) -> DataFrame:
     """One row, pos_weight: negatives over positives, at most 50,000; 1 without positives."""
     p, n = F.sum("y").cast("double"), F.sum(1 - F.col("y")).cast("double")
-    return labels.agg(F.round(F.coalesce(F.least(F.try_divide(n, p), F.lit(most)), F.lit(1.0)), 6).alias("pos_weight"))
+    return labels.agg(F.round(F.when(p > 0, F.least(F.try_divide(n, p), F.lit(most))).otherwise(1.0), 6).alias("pos_weight"))
 
 
 def bundle(logits: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -405,7 +405,7 @@ def pr_lift(s: SparkSession, d: str) -> DataFrame:
     return metrics.lift(_scores(s, d))
 
 
-@query("q_pos_weight", f"WITH {SCORES} SELECT round(coalesce(least(all_n / nullif(all_p, 0), 50000.0), 1.0), 6) AS pos_weight FROM c")
+@query("q_pos_weight", f"WITH {SCORES} SELECT round(CASE WHEN all_p > 0 THEN least(all_n / all_p, 50000.0) ELSE 1.0 END, 6) AS pos_weight FROM c")
 def pos_weight(s: SparkSession, d: str) -> DataFrame:
     return metrics.positive_weight(hop_edges(s, d))
 
