@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import U64, mix
-from .shared import bounded_batches, pieces, record, width
+from .shared import bounded_batches, machine, pieces, record, width
 
 #: The classifier is fitted on about so many documents of each language (a hash of the id picks them), in whole.
 SAMPLED = 2000
@@ -28,8 +28,8 @@ LEAST, SHARE = 3, 0.2
 UNKNOWN = "und"
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte n-grams of all ORDERS of the letters (lower-cased, other characters as one space), and their text's index."""
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of ORDERS, hashed byte n-grams of the letters (lower-cased, other characters as one space), and their text's index."""
     raw = [(" " + t.lower() + " ").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(r) for r in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -40,17 +40,12 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep[0] = True
     keep[np.cumsum(sizes)[:-1]] = True  # each text begins with a space
     data, owner = np.where(other, np.uint8(32), data)[keep], owner[keep]
-    out, owners = [], []
     for n in ORDERS:
-        if len(data) < n:
-            continue
-        packed = np.zeros(len(data) - n + 1, U64)
+        packed = np.zeros(max(len(data) - n + 1, 0), U64)
         for j in range(n):
-            packed = packed << U64(8) | data[j : len(data) - n + 1 + j].astype(U64)
+            packed = packed << U64(8) | data[j : len(packed) + j]
         same = owner[n - 1 :] == owner[: len(packed)]
-        out.append(mix(packed[same] + U64(n << 56)))
-        owners.append(owner[: len(packed)][same])
-    return (np.concatenate(out), np.concatenate(owners)) if out else (np.zeros(0, U64), np.zeros(0, np.int32))
+        yield mix(packed[same] + U64(n << 56)), owner[: len(packed)][same]
 
 
 def has_letter(text: str | None) -> bool:
@@ -89,9 +84,11 @@ class Filter:
         lettered = [has_letter(t) for t in texts]
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        keys, owner = grams([t if ok else "" for t, ok in zip(texts, lettered, strict=True)])
-        total, chance = np.bincount(owner, minlength=len(texts))[:, None], self.chance_kept
-        held = np.clip((self.hits(keys, owner, len(texts)) - total * chance) / (1 - chance) / np.maximum(total, 1), 0, 1)
+        total, hits, chance = np.zeros((len(texts), 1)), np.zeros((len(texts), len(self.languages))), self.chance_kept
+        for keys, owner in grams([t if ok else "" for t, ok in zip(texts, lettered, strict=True)]):
+            total[:, 0] += np.bincount(owner, minlength=len(texts))
+            hits += self.hits(keys, owner, len(texts))
+        held = np.clip((hits - total * chance) / (1 - chance) / np.maximum(total, 1), 0, 1)
         best = held.argmax(1)
         score = held[np.arange(len(texts)), best]
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)], [float(s) if ok else 0.0 for s, ok in zip(score, lettered, strict=True)]
@@ -131,8 +128,8 @@ def fit(docs: DataFrame, learnt: Column, *, sampled: int = SAMPLED, id_col: str
             for k in np.unique(of).tolist():
                 own = [texts[j] for j in np.flatnonzero(of == k)]
                 for a, b in pieces([len(t) for t in own]):
-                    keys, counts = np.unique(grams(own[a:b])[0], return_counts=True)
-                    held[k] = added(*held.get(k, (np.zeros(0, U64), np.zeros(0, np.int64))), keys, counts)
+                    for keys, _ in grams(own[a:b]):
+                        held[k] = added(*held.get(k, (np.zeros(0, U64), np.zeros(0, np.int64))), *np.unique(keys, return_counts=True))
         rows = [(s, k, keys[mine].tobytes(), counts[mine].tobytes()) for k, (keys, counts) in held.items() for s in range(shards) if (mine := (keys % U64(shards)).astype(np.int64) == s).any()]
         yield record(schema, *([list(c) for c in zip(*rows, strict=True)] or [[]] * 4))
 
@@ -174,9 +171,10 @@ def judged(docs: DataFrame, model: Filter, *, text_col: str = "text") -> DataFra
     text_at = names.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine(("language",))
         for batch in batches:
             texts, langs, scores = batch.column(text_at).to_pylist(), [], []
-            for a, b in pieces([len(t or "") for t in texts], 1 << 20):
+            for a, b in pieces([len(t or "") for t in texts], 1 << 18):
                 for column, values in zip((langs, scores), shared.value.decide(texts[a:b]), strict=True):
                     column += values
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])

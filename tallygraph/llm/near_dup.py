@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import U64, buffers, distinct_per_owner, mix, shingle_hashes, word_hashes
-from .shared import bounded_batches, pieces, record, width, written
+from .shared import bounded_batches, machine, pieces, record, width, written
 
 WORDS, SIMILARITY = 5, 85
 #: Values of a sketch.
@@ -78,6 +78,7 @@ def sketches(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", tex
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine(("sketch",))
         for batch in batches:
             sizes, digests, kept = [], [], []
             for values, at in sets_of(batch.column(1), words):

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .kernel import U64, buffers, prefix_sums, range_hash, words
-from .shared import bounded_batches, pieces, record, written
+from .shared import bounded_batches, machine, pieces, record, written
 
 CAPACITY = 2048
 #: Pieces of one length that one task ranks.
@@ -251,14 +251,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return machine(("encoder", path), lambda: Encoder(path))
 
 
 def tokenised_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

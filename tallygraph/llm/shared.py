@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Text bytes that one numpy pass handles at once; scratch arrays are some ten times as large.
 PIECE_BYTES = 1 << 21
 #: Bytes of an Arrow batch between the JVM and Python; rows are long texts, so the row count alone is no bound.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_held: list = [None, None]
+
+
+def machine(key: tuple, make: Callable[[], object] = lambda: None) -> object:
+    """What a Python worker keeps between tasks: the latest operator's tables only, so that operators in turn don't add up."""
+    if _held[0] != key:
+        _held[:] = None, None
+        _held[:] = key, make()
+    return _held[1]
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as by rows, unless the session already asks for less."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -24,7 +24,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import bounded_batches, pieces, record
+from .shared import bounded_batches, machine, pieces, record
 
 LIMIT = 1024
 #: Classes of characters; a contraction's letters stand out of the letters.
@@ -308,14 +308,9 @@ class Counter:
         return totals.tolist()
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
     """One compiled machine for each Python worker."""
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return machine(("counter", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, path: str, *, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
