@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import U64, buffers, mix, powers, prefix_sums, range_hash
-from .shared import bounded_batches, pieces, text_or_empty, width
+from .shared import bounded_batches, machine, pieces, text_or_empty, width
 from .suffix_array import permuted_common_prefixes, suffix_array
 
 WIDTH = 50
 K = 24
 #: Text bytes of a bucket of documents, and input bytes for each shard of anchors.
-BUCKET_BYTES, SHARD_BYTES = 3 << 20, 8 << 20
+BUCKET_BYTES, SHARD_BYTES = 3 << 20, 4 << 20
 #: Stands for a null id: after all others.
 LAST = 2**63 - 1
 COPY, REPEATED, REMOVED, TEXTS = range(4)
@@ -49,32 +49,36 @@ class Places:
 def anchored(data: np.ndarray, at: np.ndarray) -> Places:
     """All windows of the texts by their anchors."""
     none = Places(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64)))
-    sizes = np.diff(at)
-    many = np.maximum(sizes - WIDTH + 1, 0)
-    if not many.sum():
+    long = np.flatnonzero(np.diff(at) >= WIDTH)
+    if not len(long):
         return none
     sums, (_, down) = prefix_sums(data), powers(len(data) + 1)
     hashes = mix((sums[K:] - sums[:-K]) * down[: len(data) - K + 1])
-    least = hashes & U64(0xFFFFFFFF00000000) | np.arange(len(hashes), dtype=U64)
+    least = hashes & U64(0xFFFFFFFF00000000)
+    least |= np.arange(len(hashes), dtype=U64)
     for step in (1, 2, 4, 8):
         least = np.minimum(least[:-step], least[step:])  # of 2, 4, 8 and 16 places
     span = WIDTH - K + 1
-    least = np.minimum(least[: len(data) - WIDTH + 1], least[span - 16 :])
-    text = np.repeat(np.arange(len(sizes)), many)
-    start = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(at[:-1], many)
-    place = (least[start] & U64(0xFFFFFFFF)).astype(np.int64)
-    new = np.ones(len(text), bool)
-    new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
-    begins = np.flatnonzero(new)
-    ends = np.append(begins[1:], len(text)) - 1
-    owner, first, last = text[begins], start[begins], start[ends]
-    return Places(owner, first - at[owner], last - at[owner], hashes[place[begins]], range_hash(sums, first, last + WIDTH))
+    place = np.minimum(least[: len(data) - WIDTH + 1], least[span - 16 :]).astype(np.uint32)
+    begins, ends = at[long], at[long + 1] - WIDTH  # the first and the last window of each text
+    new, inside = np.empty(len(place) + 1, bool), np.zeros(len(place) + 1, np.int8)
+    new[0], new[-1] = True, False
+    np.not_equal(place[1:], place[:-1], out=new[1:-1])
+    new[begins] = True
+    inside[begins] += 1
+    inside[ends + 1] -= 1
+    new &= np.cumsum(inside, dtype=np.int8).view(bool)
+    first = np.flatnonzero(new)
+    nth = np.searchsorted(begins, first, side="right") - 1
+    last = np.minimum(np.append(first[1:], len(data)) - 1, ends[nth])
+    owner = long[nth]
+    return Places(owner, first - at[owner], last - at[owner], hashes[place[first]], range_hash(sums, first, last + WIDTH))
 
 
 def all_places(data: np.ndarray, at: np.ndarray) -> Places:
     """The same in pieces of bounded size."""
     parts = []
-    for a, b in pieces(np.diff(at).tolist()):
+    for a, b in pieces(np.diff(at).tolist(), 1 << 20):
         part = anchored(data[at[a] : at[b]], at[a : b + 1] - at[a])
         part.text += a
         parts.append(part)
@@ -144,6 +148,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     copies = small.join(first, "digest").filter("id > least").select(F.lit(0).alias("at"), F.lit(COPY).alias("kind"), bucket, F.col("id").cast("string").cast("binary").alias("a"), F.col("digest").cast("binary").alias("b"), F.lit(b"").alias("c"))
 
     def anchors(held_rows: pa.Table, messages: pa.Table) -> pa.Table:
+        machine(("anchors",))
         if not held_rows.num_rows:
             return packed([])
         found = np.unique(Bucket.of(held_rows, messages).places().anchor)
@@ -158,7 +163,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         again = np.unique(every[1:][every[1:] == every[:-1]])
         out = []
         for (shard, number, _), own in zip(rows, names, strict=True):
-            both = own[np.isin(own, again)]
+            both = own[member(own, again)]
             if len(both):
                 out.append((shard, REPEATED, number, both.tobytes(), b"", b""))
         return packed(out)
@@ -176,7 +181,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         least, most = np.full(where.max(initial=-1) + 1, LAST), np.full(where.max(initial=-1) + 1, -(2**63))
         np.minimum.at(least, where, ids)
         np.maximum.at(most, where, ids)
-        take = np.flatnonzero((least < most)[where] | (np.isin(name, np.concatenate(elsewhere)) if elsewhere else False))
+        take = np.flatnonzero((least < most)[where] | (member(name, np.sort(np.concatenate(elsewhere))) if elsewhere else False))
         # equal texts: all but the least document's are removed as a whole
         order = np.lexsort((ids[take], found.covered[take], found.anchor[take]))
         take = take[order]
@@ -193,7 +198,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for s, a, b in ranges:
             part = sent[a:b]
             text, start, length = found.text[part], found.first[part], found.last[part] - found.first[part] + WIDTH
-            rows.append((s, TEXTS, number, np.stack([own.ids[text], text, start, length]).astype(np.int64).tobytes(), gathered(own.data, own.at[text] + start, length).tobytes(), b""))
+            rows.append((s, TEXTS, number, np.stack([own.ids[text], text, start, length]).astype(np.int64).tobytes(), gathered(own.data, own.at[text] + start, length).tobytes(), low(found.anchor[part]).tobytes()))
         return packed(rows)
 
     def sorted_shard(table: pa.Table) -> pa.Table:
@@ -204,7 +209,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             heads = [np.frombuffer(a, np.int64).reshape(4, -1) for _, _, a, _, _ in own]
             ids, text, start, length = np.concatenate(heads, 1)
             number = np.repeat([r[1] for r in own], [h.shape[1] for h in heads])
-            entry, begin, end = earlier(np.frombuffer(b"".join(r[3] for r in own), np.uint8), length, ids)
+            entry, begin, end = earlier(np.frombuffer(b"".join(r[3] for r in own), np.uint8), length, ids, np.concatenate([np.frombuffer(r[4], np.uint32) for r in own]))
             for name in np.unique(number[entry]).tolist():
                 mine = number[entry] == name
                 e = entry[mine]
@@ -240,6 +245,11 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return by_bucket.cogroup(copies.unionByName(judged).groupBy("bucket")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def member(asked: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of the asked numbers are among the held ones, which are in order."""
+    return held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked if len(held) else np.zeros(len(asked), bool)
+
+
 def spans_packed(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Spans as arrays of text, begin and end; those of a text that meet are one."""
     order = np.lexsort((begin, text))
@@ -257,35 +267,23 @@ def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
     return data[np.repeat(start - before, length) + np.arange(length.sum())]
 
 
-def earlier(data: np.ndarray, length: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entry, begin and end of the parts of texts (end to end in data) whose windows also stand in a text of a smaller id."""
+def earlier(data: np.ndarray, length: np.ndarray, ids: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entry, begin and end of the parts of texts (end to end in data) whose windows also stand in a text of a smaller id.
+
+    Only texts of one anchor can share windows; where all texts of an anchor are equal, their least id decides for all.
+    """
     at = np.cumsum(length) - length
     names = range_hash(prefix_sums(data), at, at + length)
     _, sample, where = np.unique(names, return_index=True, return_inverse=True)
-    least = np.full(len(sample), LAST)
+    least, many = np.full(len(sample), LAST), length[sample] - WIDTH + 1
     np.minimum.at(least, where, ids)
-    size = length[sample]
-    base = np.cumsum(size + 1) - size - 1
-    owner = np.repeat(np.arange(len(sample)), size)
-    s = np.ones(int((size + 1).sum()) + 1, np.int64)
-    place = np.arange(int(size.sum())) + owner  # one separator after each text
-    s[place] = gathered(data, at[sample], size).astype(np.int64) + 2
-    s[-1] = 0
-    order = suffix_array(s, 258)
-    starts = np.zeros(len(s), bool)
-    many = size - WIDTH + 1
-    window_owner = np.repeat(np.arange(len(sample)), many)
-    window = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + base[window_owner]
-    starts[window] = True
-    order = order[starts[order]]
-    shared = permuted_common_prefixes(np.where(s >= 2, s - 2, 0).astype(np.uint8), order, WIDTH)[order]
-    runs = np.flatnonzero(shared < WIDTH)
-    of = np.zeros(len(s), np.int64)
-    of[window] = window_owner
-    run_least = np.minimum.reduceat(least[of[order]], runs) if len(runs) else np.zeros(0, np.int64)
-    least_at = np.zeros(len(s), np.int64)
-    least_at[order] = np.repeat(run_least, np.diff(runs, append=len(order)))
-    # each entry's windows
+    base = np.cumsum(many) - many
+    least_at = np.repeat(least, many)
+    _, group, sizes = np.unique(anchor[sample], return_inverse=True, return_counts=True)
+    several = np.flatnonzero(sizes[group] > 1)
+    if len(several):
+        windows = np.repeat(base[several] - (np.cumsum(many[several]) - many[several]), many[several]) + np.arange(int(many[several].sum()))
+        least_at[windows] = least_of_windows(gathered(data, at[sample[several]], length[sample[several]]), length[sample[several]], least[several])
     own = many[where]
     entry = np.repeat(np.arange(len(length)), own)
     offset = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
@@ -298,6 +296,26 @@ def earlier(data: np.ndarray, length: np.ndarray, ids: np.ndarray) -> tuple[np.n
     return entry[a], offset[a], offset[b] + WIDTH
 
 
+def least_of_windows(data: np.ndarray, length: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For every window of the texts (end to end in data), in turn, the least id of the texts that have the same window."""
+    many = length - WIDTH + 1
+    base = np.cumsum(length + 1) - length - 1
+    s = np.ones(len(data) + len(length) + 1, np.int64)
+    s[np.arange(len(data)) + np.repeat(np.arange(len(length)), length)] = data.astype(np.int64) + 2  # a separator follows each text
+    s[-1] = 0
+    window = np.arange(int(many.sum())) + np.repeat(base - (np.cumsum(many) - many), many)
+    number = np.full(len(s), -1, np.int64)
+    number[window] = np.arange(len(window))
+    order = suffix_array(s, 258)
+    order = order[number[order] >= 0]
+    shared = permuted_common_prefixes(np.where(s >= 2, s - 2, 0).astype(np.uint8), order, WIDTH)[order]
+    runs = np.flatnonzero(shared < WIDTH)
+    lowest = np.minimum.reduceat(np.repeat(least, many)[number[order]], runs)
+    out = np.empty(len(window), np.int64)
+    out[number[order]] = np.repeat(lowest, np.diff(runs, append=len(order)))
+    return out
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

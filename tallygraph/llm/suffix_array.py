@@ -37,20 +37,20 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
 
 def named(s: np.ndarray, leftmost: np.ndarray, by_substring: np.ndarray) -> tuple[np.ndarray, int]:
     """The leftmost-smaller substrings' names in order of the text: equal ones, next to each other in order, share one."""
-    length = np.empty(len(s), np.int64)
+    length = np.empty(len(s), np.int32)
     length[leftmost] = np.diff(leftmost, append=len(s))
     length[leftmost[:-1]] += 1  # they overlap by a character
     power = np.cumprod(np.full(len(s), 0x9E3779B97F4A7C15, U64))
-    inverse = np.cumprod(np.full(len(s), pow(0x9E3779B97F4A7C15, -1, 2**64), U64))
     sums = np.zeros(len(s) + 1, U64)
     np.cumsum(mix(s.astype(U64) + U64(1)) * power, out=sums[1:])
+    power = np.cumprod(np.full(len(s), pow(0x9E3779B97F4A7C15, -1, 2**64), U64))
     own = length[by_substring]
-    value = (sums[by_substring + own] - sums[by_substring]) * inverse[by_substring]
+    value = (sums[by_substring + own] - sums[by_substring]) * power[by_substring]
     new = np.ones(len(by_substring), bool)
     new[1:] = (value[1:] != value[:-1]) | (own[1:] != own[:-1])
-    name = np.empty(len(s), np.int64)
+    name = np.empty(len(s), np.int32)
     name[by_substring] = np.cumsum(new) - 1
-    return name[leftmost], int(new.sum())
+    return name[leftmost].astype(np.int64), int(new.sum())
 
 
 def doubled(s: np.ndarray) -> np.ndarray:
