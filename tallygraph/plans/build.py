@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key, uniform
 from ..functions.scalars import bernoulli, entity_type
-from ..graph import PropertyGraph, checkpointed, induced, numbered, relabelled, shuffled, symmetrised
+from ..graph import PropertyGraph, checkpointed, induced, relabelled, shuffled, symmetrised
 from ..operators import features, sampling, splits, structure, synth
 from ..sources import csv
 from .report import metadata
@@ -31,7 +31,7 @@ def load_graph(
     paths = csv.resolve_paths(spark, folder)
     window = slice_mode == "balanced" and max_transactions
     rows = csv.read_transactions(spark, paths.transactions, prefix=None if window else max_transactions, window=balance_scan_rows if window else None, lenient=lenient)
-    edges = checkpointed(numbered(rows.withColumnRenamed("eid", "line"), F.floor(F.col("line") / 65_536), "line", name="eid").drop("line"))
+    edges = checkpointed(rows)
     if window:
         edges = splits.balanced(edges, max_transactions, target_edge_pos_fraction, seed)
     listed = features.first_rows(csv.read_accounts(spark, paths.accounts), "account_id", "row_id").withColumn("type", entity_type(F.col("name")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, normal_names, parsed_time, resized
-from ..graph import PropertyGraph
+from ..graph import PropertyGraph, numbered
 
 #: Header of the transaction file by position; "Account" stands there twice, so the schema is given, not read.
 TRANSACTIONS = (
@@ -47,8 +47,9 @@ def read_transactions(spark: SparkSession, path: str, *, prefix: int | None = No
     """
     limit = max(FLOOR, window) if window else prefix if prefix and prefix > 0 else None
     rows = spark.read.schema(TRANSACTIONS).option("header", True).option("enforceSchema", True).option("mode", "DROPMALFORMED" if lenient else "PERMISSIVE").csv(path)
-    rows = rows.withColumn("eid", F.monotonically_increasing_id())
-    rows = rows.orderBy("eid").limit(limit) if limit else rows
+    rows = rows.withColumn("_line", F.monotonically_increasing_id())
+    rows = numbered(rows, F.shiftright("_line", 33), "_line", name="eid")  # its upper bits number the parts of the file
+    rows = rows.filter(F.col("eid") < limit) if limit else rows
     number = lambda c: finite(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(c)
     label = F.expr("coalesce(try_cast(label AS INT), 0)") if lenient else F.col("label").cast("int")
     return rows.select("eid", "src", "dst", parsed_time(F.col("timestamp")).alias("ts"), number("amt"), F.coalesce("fmt", F.lit("nan")).alias("fmt"), number("from_bank"), number("to_bank"), label.alias("y"))
