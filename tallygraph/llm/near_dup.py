@@ -27,14 +27,14 @@ WORDS, SIMILARITY = 5, 85
 #: Values of a sketch.
 RETAINED = 64
 #: (values of the sketch, length of a run) of the first lists and of those made of long lists.
-LISTS = ((12, 2), (RETAINED, 4))
+LISTS = ((14, 2), (RETAINED, 4))
 #: Documents of a list that are compared all with all.
 LONG = 256
 #: Estimates are within 0.045 of the truth in two of three cases; pairs below this are not verified.
-ESTIMATED = 0.65
-#: In long lists documents are compared with leaders, of which each other one passes the estimate with one at least. Two
-#: linked documents are 0.15 apart, so both are within 0.5 of a leader of either; this is below by as much as estimates err.
-LED = 0.4
+ESTIMATED = 0.6
+#: In long lists documents are compared with leaders; each other one passes the estimate with a leader, so is within 0.4 of
+#: it, and a document linked with it (0.15 apart at most) within 0.55; this is below 0.45 by as much as estimates err.
+LED = 0.35
 #: Shingles of a group's texts that one task holds; a heavier group is dealt in pairs of blocks.
 HEAVY = 1 << 22
 #: Columns of a table of exact intersections, and pairs from which a block's are counted by one.
