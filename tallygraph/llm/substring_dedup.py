@@ -28,6 +28,7 @@ WIDTH = 50
 K = 24
 #: Text bytes of a bucket of documents, and input bytes for each shard of anchors.
 BUCKET_BYTES, SHARD_BYTES = 3 << 20, 4 << 20
+SALT = 32
 #: Stands for a null id: after all others.
 LAST = 2**63 - 1
 COPY, REPEATED, REMOVED, TEXTS = range(4)
@@ -144,8 +145,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
     held = named.select(bucket, "id", F.sha2("text", 256).alias("digest"), "text")
     small = named.filter(F.octet_length("text") >= WIDTH).select("id", F.sha2("text", 256).alias("digest"))
-    first = small.groupBy("digest").agg(F.min("id").alias("least"))
-    copies = small.join(first, "digest").filter("id > least").select(F.lit(0).alias("at"), F.lit(COPY).alias("kind"), bucket, F.col("id").cast("string").cast("binary").alias("a"), F.col("digest").cast("binary").alias("b"), F.lit(b"").alias("c"))
+    # only texts that repeat are joined back, and the rows of one are dealt over SALT tasks
+    first = small.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    copies = small.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT))).join(first, ["digest", "salt"]).filter("id > least").select(F.lit(0).alias("at"), F.lit(COPY).alias("kind"), bucket, F.col("id").cast("string").cast("binary").alias("a"), F.col("digest").cast("binary").alias("b"), F.lit(b"").alias("c"))
 
     def anchors(held_rows: pa.Table, messages: pa.Table) -> pa.Table:
         machine(("anchors",))
