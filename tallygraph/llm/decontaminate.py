@@ -1,9 +1,9 @@
 """Benchmark decontamination: documents that hold a passage within a small edit distance of a benchmark item.
 
-Texts are lower-cased words joined by single spaces. A window as long as the item is laid wherever a run of SEED words of
-the item stands in the document, so that the run coincides. Windows and items are embedded by the CGK random walk, which
-turns edits into few differing positions; samples of positions that agree in one of many repeats make a candidate, and
-the exact edit distance of the item to the window's surroundings decides.
+Texts are lower-cased words joined by single spaces. An item is cut into pieces so that a passage within the item's edits
+keeps one piece within the piece's own edits, and that piece keeps a known number of its GRAM-character strings. Those
+are counted for all pieces at once, one bit a piece, in windows at a fixed stride over the whole text; the edit distance of
+the piece, then that of the item to the piece's surroundings decides. No step loses a passage, wherever its edits stand.
 """
 
 from __future__ import annotations
@@ -18,18 +18,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import U64, buffers, mix, prefix_sums, range_hash, words
+from .kernel import U64, buffers, words
 from .shared import bounded_batches, machine, pieces, record
 
 #: Edits allowed for each character of the item.
 EDITS = 0.2
-#: Words of a run that a passage must keep for its window to be laid; an item of fewer words is sought whole.
-SEED = 3
+#: Characters of the strings that are counted, edits that break a piece, and characters of a piece.
+GRAM, BREAK, LONGEST = 3, 5, 25
+#: Positions of a block and blocks of a window: a piece with its edits begins in the first block and ends in the last.
+BLOCK, BLOCKS, JOINED = 4, 8, 4
+#: Places of the strings' table, pieces of one table, tables held at once, and positions counted at once.
+PLACES, TABLE, TABLES, CHUNK = 1 << 13, 1 << 12, 8, 1 << 12
+#: Characters between texts that lie end to end, so that no window holds parts of two.
+GAP = 64
 #: Positions in a sample; samples are repeated until a pair that differs in DIFFERING of all positions is found with RECALL.
 SAMPLE, DIFFERING, RECALL = 6, 0.45, 0.99
 WALKS = 4
-#: Windows embedded at once, and bytes of items that one pass over the documents holds.
-WINDOWS, ITEM_BYTES = 2048, 8 << 20
+#: Windows compared at once, and bytes of items that one pass over the documents holds.
+WINDOWS, ITEM_BYTES = 1 << 13, 8 << 20
 
 #: All but letters and digits of ASCII and bytes of other characters.
 BETWEEN = np.ones(256, bool)
@@ -80,32 +86,137 @@ def edit_distance(item: str, text: str, most: int) -> int:
     return min(best, most + 1)
 
 
+def cuts(size: int, most: int) -> list[tuple[int, int, int]]:
+    """Start, end and edits of pieces of which a passage with at most so many edits keeps one: more edits in each would be more in all."""
+    many = -(-(most + 1) // BREAK)
+    shares = [(most + 1) * (j + 1) // many - (most + 1) * j // many for j in range(many)]
+    ends = [size * sum(shares[: j + 1]) // (most + 1) for j in range(many)]
+    return [(a, min(b, a + LONGEST), share - 1) for a, b, share in zip([0, *ends], ends, shares, strict=False)]
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def places(codes: np.ndarray) -> np.ndarray:
+    """The place of the string that begins at each code."""
+    out = np.zeros(max(len(codes) - GRAM + 1, 0), np.uint32)
+    for j in range(GRAM):
+        out = (out + codes[j : j + len(out)]) * np.uint32(0x9E3779B1)
+    return (out >> np.uint32(19)).astype(np.int64)
+
+
+def plus(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of numbers given by their bits, lowest first; both have equally many."""
+    out, carry = [a[0] ^ b[0]], a[0] & b[0]
+    for x, y in zip(a[1:], b[1:], strict=True):
+        odd = x ^ y
+        out.append(odd ^ carry)
+        carry = x & y | odd & carry
+    return [*out, carry]
+
+
 class Items:
-    """The benchmark's side: normal texts, places of their seeds by hash, and embeddings by length."""
+    """The benchmark's side: normal texts and their pieces."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]) -> None:
+    def __init__(self, ids: list[int], texts: list[str | None], edits: float = EDITS) -> None:
         column = pc.utf8_lower(pa.array(texts, pa.string()))
         data, at = buffers(column)
         starts, ends, first = words(data, at, BETWEEN)
-        hashes = range_hash(prefix_sums(data), starts, ends)
         raw = data.tobytes()
-        self.ids, self.texts, places = [], [], defaultdict(list)
+        self.ids, self.texts, self.most, self.plain = [], [], [], []
+        pieces: list[tuple[int, int, int, int]] = []
         for k, name in enumerate(ids):
             own = [raw[a:b] for a, b in zip(starts[first[k] : first[k + 1]].tolist(), ends[first[k] : first[k + 1]].tolist(), strict=True)]
             if not own or name is None:
                 continue
-            number, before = len(self.ids), 0
+            number = len(self.ids)
             self.ids.append(name)
             self.texts.append(b" ".join(own))
-            run = min(SEED, len(own))
-            for j in range(len(own) - run + 1):
-                places[run, int(runs(hashes[first[k] + j : first[k] + j + run], run)[0])].append((number, before))
-                before += len(own[j]) + 1
-        self.places = {run: {h: p for (r, h), p in places.items() if r == run} for run in range(1, SEED + 1)}
-        self.keys = {run: np.sort(np.array(list(p), U64)) for run, p in self.places.items() if p}
+            size = len(self.texts[-1].decode("utf-8", "replace"))
+            self.most.append(math.floor(edits * size))
+            cut = cuts(size, self.most[-1])
+            if min(b - a - GRAM + 1 - GRAM * k for a, b, k in cut) > 0:
+                pieces += [(number, a, b, k) for a, b, k in cut]
+            else:  # too short for its edits to keep a string
+                self.plain.append(number)
+        self.pieces = np.array(pieces, np.int64).reshape(-1, 4)
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.tables: dict[int, tuple[np.ndarray, list[np.ndarray], np.ndarray]] = {}
         self.embedded: dict[int, list[tuple[np.ndarray, dict[int, np.ndarray], dict[int, np.ndarray]]]] = {}
 
+    def table(self, nth: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """For TABLE pieces: bits of the pieces that have each string, bits of 64 less the strings each must keep, and bits of each one's characters."""
+        if nth not in self.tables:
+            if len(self.tables) >= TABLES:
+                self.tables.clear()
+            rows = self.pieces[nth * TABLE : (nth + 1) * TABLE].tolist()
+            has = np.zeros((PLACES, -(-len(rows) // 64)), U64)
+            less = [np.zeros(has.shape[1], U64) for _ in range(6)]
+            equal = np.zeros((len(rows), 128), np.uint32)
+            for p, (number, a, b, k) in enumerate(rows):
+                codes, bit = codes_of(self.texts[number].decode("utf-8", "replace")[a:b]), U64(1 << p % 64)
+                has[places(codes), p // 64] |= bit
+                for j in range(6):
+                    if 64 - (b - a - GRAM + 1 - GRAM * k) >> j & 1:
+                        less[j][p // 64] |= bit
+                for j, c in enumerate((codes & 127).tolist()):
+                    equal[p, c] |= np.uint32(1 << j)
+            self.tables[nth] = has, less, equal.ravel()
+        return self.tables[nth]
+
+    def counted(self, where: np.ndarray, nth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Groups of JOINED blocks and pieces (of the nth table) of which some window that begins in the group has strings enough."""
+        has, less, _ = self.table(nth)
+        step, over = CHUNK // BLOCK, BLOCKS - 1
+        where = np.append(where, np.zeros(-len(where) % (BLOCK * JOINED) + over * BLOCK, np.int64))
+        groups, named = [], []
+        for at in range(0, len(where) // BLOCK - over, step):
+            part = where[at * BLOCK : (at + step + over) * BLOCK]
+            one = [has.take(part[j::BLOCK], axis=0) for j in range(BLOCK)]
+            total = plus(plus([one[0]], [one[1]]), plus([one[2]], [one[3]]))
+            for ahead in (1, 2, 4):
+                total = plus([x[:-ahead] for x in total], [x[ahead:] for x in total])
+            carry = total[0] & less[0]
+            for x, y in zip(total[1:], less[1:], strict=False):
+                carry = x & y | (x ^ y) & carry
+            enough = np.bitwise_or.reduce(carry.reshape(-1, JOINED, has.shape[1]), axis=1)
+            place = np.flatnonzero(enough)
+            left = enough.ravel()[place]
+            while len(place):
+                low = left & -left
+                groups.append(place // has.shape[1] + at // JOINED)
+                named.append(place % has.shape[1] * 64 + np.bitwise_count(low - U64(1)))
+                left ^= low
+                place, left = place[left != 0], left[left != 0]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *groups]), np.concatenate([none, *named])
+
+    def near(self, codes: np.ndarray, groups: np.ndarray, named: np.ndarray, nth: int) -> np.ndarray:
+        """Which pieces are within their edits of some part of their windows, by bit-parallel dynamic programming for all at once; characters are told apart by 7 bits."""
+        equal, reach, out = self.table(nth)[2], BLOCK * (JOINED + BLOCKS - 1) + GRAM - 1, np.zeros(len(groups), bool)
+        classes = np.append(codes & 127, np.zeros(reach, np.uint32)).astype(np.int64)
+        rows = self.pieces[nth * TABLE : (nth + 1) * TABLE]
+        size, most = (rows[:, 2] - rows[:, 1]).astype(np.uint32), rows[:, 3].astype(np.int32)
+        for k in range(0, len(groups), WINDOWS):
+            own, begin = named[k : k + WINDOWS], groups[k : k + WINDOWS] * (BLOCK * JOINED)
+            base, top, now = own * 128, size[own] - np.uint32(1), size[own].astype(np.int32)
+            best = now.copy()
+            up, down, one = np.full(len(own), 2**32 - 1, np.uint32), np.zeros(len(own), np.uint32), np.uint32(1)
+            for j in range(reach):
+                same = equal.take(base + classes.take(begin + j))
+                flat = (((same & up) + up) ^ up) | same
+                rises, falls = down | ~(flat | up), up & flat
+                same |= down
+                now += (rises >> top & one).view(np.int32)
+                now -= (falls >> top & one).view(np.int32)
+                rises <<= one
+                falls <<= one
+                up, down = falls | ~(same | rises), rises & same
+                np.minimum(best, now, out=best)
+            out[k : k + WINDOWS] = best <= most[own]
+        return out
+
     def walked(self, width: int) -> list[tuple[np.ndarray, dict[int, np.ndarray], dict[int, np.ndarray]]]:
         """For items of at most width bytes and more than half of it, by walk: random bits, embeddings and samples of positions."""
         if width not in self.embedded:
@@ -133,85 +244,70 @@ class Items:
         return out
 
 
-def runs(hashes: np.ndarray, run: int) -> np.ndarray:
-    """Hashes of all runs of so many words."""
-    out = np.zeros(max(len(hashes) - run + 1, 0), U64)
-    for j in range(run):
-        out += hashes[j : len(hashes) - run + 1 + j] * (mix(np.array([j + 1], U64)) | U64(1))
-    return mix(out)
-
-
-def laid_windows(column: pa.Array, items: Items) -> Iterator[tuple[int, int, int, bytes]]:
-    """Text, item, start of the item's window in the normal text and this text, for every seed; equal ones once."""
+def surroundings(column: pa.Array, items: Items) -> Iterator[tuple[int, int, str]]:
+    """Text, item and a part of the normal text around a near piece of the item; parts that touch are one."""
     data, at = buffers(pc.utf8_lower(column))
     for a, b in pieces(np.diff(at).tolist()):
         part, own = data[at[a] : at[b]], at[a : b + 1] - at[a]
         starts, ends, first = words(part, own, BETWEEN)
         if not len(starts):
             continue
-        hashes = range_hash(prefix_sums(part), starts, ends)
-        owner = np.repeat(np.arange(b - a), np.diff(first))
-        wanted: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
-        for run, keys in items.keys.items():
-            seen = runs(hashes, run)
-            if not len(seen):
-                continue
-            mask = (1 << max(16, (8 * len(keys)).bit_length())) - 1
-            sieve = np.zeros(mask + 1, bool)
-            sieve[(keys & U64(mask)).astype(np.int64)] = True
-            near = np.flatnonzero(sieve[(seen & U64(mask)).astype(np.int64)] & (owner[: len(seen)] == owner[run - 1 :]))
-            near = near[keys[np.minimum(np.searchsorted(keys, seen[near]), len(keys) - 1)] == seen[near]]
-            for word, h, text in zip(near.tolist(), seen[near].tolist(), owner[near].tolist(), strict=True):
-                for number, before in items.places[run][h]:
-                    wanted[text].add((number, word - int(first[text]), before))
         # the normal form of all texts of the range: words, each followed by one space
         sizes = ends - starts + 1
         ahead = np.concatenate([[0], np.cumsum(sizes)])
-        shift = starts - ahead[:-1]
-        source = np.repeat(shift, sizes) + np.arange(ahead[-1])
+        source = np.repeat(starts - ahead[:-1], sizes) + np.arange(ahead[-1])
         normal_bytes = part[np.minimum(source, len(part) - 1)]
         normal_bytes[ahead[1:] - 1] = 32
-        raw = normal_bytes.tobytes()
-        for text, places in wanted.items():
-            begin = int(first[text])
-            base = int(ahead[begin])
-            normal = raw[base : int(ahead[first[text + 1]]) - 1]
-            for number, start in {(number, int(ahead[begin + word]) - base - before) for number, word, before in places}:
-                yield a + text, number, start, normal
-
-
-def matches(docs: DataFrame, items: Items, *, edits: float = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, edits: for each text and item with a candidate window the least distance, if it is small enough."""
+        normal = normal_bytes.tobytes().decode("utf-8", "replace")
+        begins = np.concatenate([[0], np.cumsum((normal_bytes & 0xC0) != 0x80)])[ahead[first]]
+        for text in np.flatnonzero(np.diff(begins)).tolist() if items.plain else []:
+            whole = normal[begins[text] : begins[text + 1] - 1]
+            yield from ((a + text, number, whole) for number in items.plain)
+        lengths = np.diff(begins)
+        apart = begins[:-1] + GAP * np.arange(b - a)
+        codes = np.zeros(int(begins[-1]) + GAP * (b - a), np.uint32)
+        codes[np.arange(begins[-1]) + np.repeat(GAP * np.arange(b - a), lengths)] = codes_of(normal)
+        where, wanted = places(codes), defaultdict(list)
+        for nth in range(-(-len(items.pieces) // TABLE)):
+            groups, named = items.counted(where, nth)
+            passed = items.near(codes, groups, named, nth)
+            begin, piece = groups[passed] * (BLOCK * JOINED), items.pieces[named[passed] + nth * TABLE]
+            text = np.searchsorted(apart, begin + BLOCK * (JOINED + BLOCKS), side="right") - 1
+            for t, at_piece, (number, before, *_) in zip(text.tolist(), (begin - apart[text]).tolist(), piece.tolist(), strict=True):
+                wanted[t, number].append(at_piece - before)
+        for (text, number), places_of in wanted.items():
+            whole, most = normal[begins[text] : max(begins[text + 1] - 1, begins[text])], items.most[number]
+            after = len(items.texts[number].decode("utf-8", "replace")) + most + BLOCK * JOINED
+            low, high = None, None
+            for start in sorted(places_of):
+                if high is not None and start - most <= high:
+                    high = start + after
+                    continue
+                if high is not None:
+                    yield a + text, number, whole[max(low, 0) : max(high, 0)]
+                low, high = start - most, start + after
+            yield a + text, number, whole[max(low, 0) : max(high, 0)]
+
+
+def matches(docs: DataFrame, items: Items, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, edits: for each text and item the least distance of a passage, if it is small enough."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32())])
 
-    def settle(laid: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
-        out: dict[tuple[int, int], int] = {}
-        numbers = np.array([number for _, number, _, _ in laid], np.int64)
-        windows = [normal[max(start, 0) :][: len(shared.value.texts[number])] for _, number, start, normal in laid]
-        for k in np.flatnonzero(shared.value.agree(numbers, windows)).tolist():
-            doc, number, start, normal = laid[k]
-            raw = shared.value.texts[number]
-            item = raw.decode("utf-8", "replace")
-            most, spare = math.floor(edits * len(item)), math.ceil(edits * len(raw)) + 4
-            around = normal[max(start - spare, 0) : max(start, 0) + len(raw) + spare].decode("utf-8", "ignore")
-            if out.get((doc, number), most + 1) and (found := edit_distance(item, around, most)) <= most:
-                out[doc, number] = min(found, out.get((doc, number), found))
-        return [(doc, shared.value.ids[number], found) for (doc, number), found in out.items()]
-
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine(("items",))
-        laid: list[tuple[int, int, int, bytes]] = []
-        size = 0
+        held = shared.value
+        names = [t.decode("utf-8", "replace") for t in held.texts]
         for batch in batches:
+            out: dict[tuple[int, int], int] = {}
+            for text, number, around in surroundings(batch.column(1), held):
+                item, most = names[number], held.most[number]
+                if most == 0 and item.isascii() and len(item) <= BREAK and f" {item} " not in f" {around} ":
+                    continue  # a short word within another is none
+                if (found := edit_distance(item, around, most)) <= most:
+                    out[text, number] = min(found, out.get((text, number), found))
             ids = batch.column(0).to_pylist()
-            for text, number, start, normal in laid_windows(batch.column(1), shared.value):
-                laid.append((ids[text], number, start, normal))
-                size += len(normal) if len(laid) < 2 or laid[-2][3] is not normal else 0
-                if len(laid) >= WINDOWS or size >= 4 * ITEM_BYTES:
-                    yield record(schema, *([list(c) for c in zip(*settle(laid), strict=True)] or [[]] * 3))
-                    laid, size = [], 0
-        yield record(schema, *([list(c) for c in zip(*settle(laid), strict=True)] or [[]] * 3))
+            yield record(schema, [ids[t] for t, _ in out], [held.ids[n] for _, n in out], list(out.values()))
 
     bounded_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(find, "doc_id long, item_id long, edits int")
@@ -229,7 +325,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS,
     blocks, found = max(1, -(-total // ITEM_BYTES)), None
     for k in range(blocks):
         rows = benchmark.filter(F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks)) == k).select(item_id, item_text).collect()
-        part = matches(docs, Items([r[0] for r in rows], [r[1] for r in rows]), edits=edits, id_col=id_col, text_col=text_col)
+        part = matches(docs, Items([r[0] for r in rows], [r[1] for r in rows], edits), id_col=id_col, text_col=text_col)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 

@@ -363,6 +363,29 @@ def test_decontamination_finds_all_exact_passages(spark):
     assert want <= found and len(found - want) <= 0.02 * max(len(found), 1) + 1
 
 
+def blurred(rng, text, share):
+    """The text with that share of its characters edited at random places."""
+    t = list(text)
+    for p in rng.sample(range(len(t)), math.floor(share * len(t))):
+        t[p] = rng.choice(["", "q", t[p] + "z"])
+    return "".join(t)
+
+
+def test_decontamination_finds_passages_wherever_their_edits_stand(spark):
+    rng, pool = random.Random(5), ["".join(random.Random(k).choices("abcdefghiklmnoprstu", k=3 + k % 6)) for k in range(300)]
+    items = [" ".join(rng.choices(pool, k=n)) for n in (4, 8, 15, 30, 40, 60)] + ["é".join(rng.choices(pool, k=12))]
+    ways = [lambda t, s=s: blurred(rng, t, s) for s in (0.05, 0.1, 0.19, 0.2)]
+    ways.append(lambda t: " ".join("#".join((w[:1], w[2:])).replace("#", "q") if k % 3 == 1 else w for k, w in enumerate(t.split())))
+    ways.append(lambda t: "".join("x" if k % 5 == 4 else c for k, c in enumerate(t)))  # no string of five characters stays
+    fill = lambda: " ".join(rng.choices(pool, k=40))
+    rows = [(n, f"{fill()} {way(items[n % len(items)])} {fill()}") for n, way in enumerate(w for w in ways * 4 for _ in items)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    normal = lambda t: " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower()))
+    want = {(i, j): decontaminate.edit_distance(x, normal(t), len(x) // 5) for i, t in rows for j, x in enumerate(items)}
+    assert found == {k: n for k, n in want.items() if n <= len(items[k[1]]) // 5} and len(found) > 0.9 * len(rows)
+
+
 def test_samples_reach_their_recall():
     rng = random.Random(3)
     item = "".join(rng.choice("abcdefghij ") for _ in range(250)).strip()
