@@ -54,7 +54,7 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def clustering(nodes: DataFrame, edges: DataFrame, max_edges: int | None = 2_000_000) -> DataFrame:
+def clustering(nodes: DataFrame, edges: DataFrame, max_edges: int | None = None) -> DataFrame:
     """One row, avg_clustering: mean over all nodes of 2 T / (d (d - 1)), 0 where d < 2, on the simple projection.
 
     Every pair is directed from its end of lower degree, so a hub starts few wedges; each triangle is found once.
@@ -73,7 +73,7 @@ def clustering(nodes: DataFrame, edges: DataFrame, max_edges: int | None = 2_000
     return nodes.select("node").join(degree, "node", "left").join(corners, "node", "left").agg(F.round(F.avg(F.coalesce(local, F.lit(0.0))), 6).alias("avg_clustering"))
 
 
-def path_lengths(nodes: DataFrame, edges: DataFrame, *, sources: int = 2000, seed: int = 7, cutoff: int = 10, max_edges: int | None = 2_000_000) -> DataFrame:
+def path_lengths(nodes: DataFrame, edges: DataFrame, *, sources: int = 2000, seed: int = 7, cutoff: int = 10, max_edges: int | None = None) -> DataFrame:
     """One row, path_mean, path_median, n_pairs, of distances up to the cutoff from sources drawn by hash to other nodes."""
     hop = neighbours(simple(edges, max_edges)).select(F.col("node").alias("at"), F.col("other"))
     start = nodes.select("node", order_key(seed, "paths", "node").alias("_k")).orderBy("_k", "node").limit(sources)

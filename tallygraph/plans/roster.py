@@ -329,7 +329,7 @@ n AS (SELECT src AS node FROM ee UNION SELECT dst FROM ee)
 SELECT round(avg(CASE WHEN d >= 2 THEN coalesce(t2, 0) / (d * (d - 1)) ELSE 0.0 END), 6) AS avg_clustering FROM n LEFT JOIN dg USING (node) LEFT JOIN t USING (node)""")
 def clustering(s: SparkSession, d: str) -> DataFrame:
     e = hop_edges(s, d)
-    return structure.clustering(endpoints(e), e)
+    return structure.clustering(endpoints(e), e, max_edges=None)
 
 
 @query("q_path_length", f"""WITH RECURSIVE {TRADE_NODES}, s AS (SELECT src AS a, dst AS b FROM te WHERE src <> dst UNION SELECT dst, src FROM te WHERE src <> dst),
@@ -338,7 +338,7 @@ w AS (SELECT node AS source, node AS cur, 0 AS dist FROM st UNION SELECT source,
 f AS (SELECT source, cur, min(dist) AS dist FROM w GROUP BY 1, 2)
 SELECT round(avg(dist), 6) AS path_mean, median(dist) AS path_median, count(*) AS n_pairs FROM f WHERE dist > 0""")
 def path_length(s: SparkSession, d: str) -> DataFrame:
-    return structure.path_lengths(trade_nodes(s, d), trade_edges(s, d), sources=20, seed=SEED, cutoff=4)
+    return structure.path_lengths(trade_nodes(s, d), trade_edges(s, d), sources=20, seed=SEED, cutoff=4, max_edges=None)
 
 
 LONG = "v AS (SELECT 'amt' AS dim, amt AS value, y AS sample FROM te UNION ALL SELECT 'day', CAST(epoch(ts) AS DOUBLE), y FROM te)"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallygraph.functions import scalars
 from tallygraph.graph import PropertyGraph, numbered, simple
 from tallygraph.operators import features, metrics, sage, sampling, similarity, splits, structure, synth
-from tallygraph.plans import learn, report
+from tallygraph.plans import learn, report, roster
 from tallygraph.sources import csv
 from tallygraph.streaming import running_degrees
 
@@ -34,6 +34,17 @@ def test_triangle_with_pendant(spark):
     assert (r["path_mean"], r["path_median"], r["n_pairs"]) == (1.333333, 1.0, 12)
 
 
+def test_structure_queries_count_all_edges(spark, monkeypatch):
+    n, e = graph(spark, [(0, 1), (1, 2), (2, 0), (2, 3)])
+    assert one(structure.clustering(n, e, max_edges=2))[0] == 0.0
+    late = e.withColumn("eid", F.col("eid") + 1_999_998)  # two edges on either side of the report's limit
+    for name in ("trade_edges", "hop_edges"):
+        monkeypatch.setattr(roster, name, lambda s, d: late)
+    monkeypatch.setattr(roster, "trade_nodes", lambda s, d: n)
+    assert one(roster.QUERIES["q_clustering"](spark, ""))[0] == 0.583333
+    assert one(roster.QUERIES["q_path_length"](spark, ""))["n_pairs"] == 12
+
+
 def test_parallel_edges_and_loops(spark):
     n, e = graph(spark, [(0, 1), (0, 1), (1, 0), (1, 1)])
     assert {r["node"]: (r["in_deg"], r["out_deg"]) for r in structure.degrees(n, e).collect()} == {0: (1, 2), 1: (3, 2)}
