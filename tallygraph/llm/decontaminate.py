@@ -277,6 +277,9 @@ def surroundings(column: pa.Array, items: Items) -> Iterator[tuple[int, int, str
                 wanted[t, number].append(at_piece - before)
         for (text, number), places_of in wanted.items():
             whole, most = normal[begins[text] : max(begins[text + 1] - 1, begins[text])], items.most[number]
+            if most == 0:  # whether it is a word of its own shows in the whole text
+                yield a + text, number, whole
+                continue
             after = len(items.texts[number].decode("utf-8", "replace")) + most + BLOCK * JOINED
             low, high = None, None
             for start in sorted(places_of):

@@ -386,6 +386,13 @@ def test_decontamination_finds_passages_wherever_their_edits_stand(spark):
     assert found == {k: n for k, n in want.items() if n <= len(items[k[1]]) // 5} and len(found) > 0.9 * len(rows)
 
 
+def test_decontamination_of_unspaced_and_short_items(spark):
+    items = ["東京都の人口は何人ですか", "quartz violin jubilee", "zyx"]
+    texts = ["昨日聞いた話では東京都の人口は何人ですかと書いてあった", "a quartz viulin jubilee then", "so zyx it is", "a text long enough that azyx in it stands past one block"]
+    docs, bench = (spark.createDataFrame(list(enumerate(x)), f"{n} long, text string") for x, n in ((texts, "doc_id"), (items, "item_id")))
+    assert {tuple(r) for r in decontaminate.contaminated(docs, bench).collect()} == {(0, 0, 0), (1, 1, 1), (2, 2, 0)}
+
+
 def test_samples_reach_their_recall():
     rng = random.Random(3)
     item = "".join(rng.choice("abcdefghij ") for _ in range(250)).strip()
