@@ -5,7 +5,7 @@ the documents that overlap; an estimate on the union of two sketches filters the
 full sets decides. Documents with equal sets are one class from the start, and only classes are compared.
 
 A list's key is a run of consecutive retained values, so that a boilerplate passage alone rarely makes one. A list that is
-still long is dealt anew by longer runs. A list passes on a spanning forest of the pairs that pass the filter, not the
+still long goes by leaders, and its documents are dealt anew by longer runs besides. A list passes on a spanning forest of the pairs that pass the filter, not the
 pairs: the forests' components are groups that no link leaves. Each group's texts then meet once, heavy groups in pairs of
 blocks, where all pairs that are not linked yet are verified on the full sets and a spanning forest of the links remains.
 """
@@ -26,7 +26,7 @@ from .shared import bounded_batches, machine, pieces, record, width, written
 WORDS, SIMILARITY = 5, 85
 #: Values of a sketch.
 RETAINED = 64
-#: (values of the sketch, length of a run) of the first lists and of those made of long lists.
+#: (values of the sketch, length of a run) of the first lists and of those made besides of long lists.
 LISTS = ((14, 2), (RETAINED, 4))
 #: Documents of a list that are compared all with all.
 LONG = 256
@@ -199,8 +199,7 @@ def candidates(classes: DataFrame) -> DataFrame:
         rows = written(keys(round_of, values, run), "keys")
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
         shared = written(rows.join(sizes, "key"), "lists")
-        short = shared if final else shared.filter(F.col("many") <= LONG)
-        postings = short.select("key", "id").join(classes.select("id", "sketch"), "id").select("key", "id", "sketch")
+        postings = shared.select("key", "id").join(classes.select("id", "sketch"), "id").select("key", "id", "sketch")
         pairs = listed_pairs(postings.repartition(parts, "key").sortWithinPartitions("key", "id"))
         found = pairs if found is None else found.unionByName(pairs)
         if not final:

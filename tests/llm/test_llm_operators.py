@@ -113,6 +113,13 @@ def test_long_lists_and_heavy_groups(spark, monkeypatch):
     assert by_row(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(plain_components(rows), key=repr)
 
 
+def test_short_texts_in_lists_over_the_limit(spark):
+    base = "one two three four five six seven eight nine ten"
+    rows = [(0, base), *((n, f"{base} last{n}") for n in range(1, 2 * near_dup.LONG))]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["component_id"] for r in found.collect()} == {0}
+
+
 def test_similarity_estimate_and_intersections():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))
