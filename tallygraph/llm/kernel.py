@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -51,17 +53,36 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial in the bytes, from which range_hash takes any range's hash."""
+    """Prefix sums of a polynomial in the bytes: differences, times an inverse power, are hashes of ranges. For short ranges only, as long patterns can be made to meet."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, U64)
     np.cumsum(_TABLE[data] * up[: len(data)], out=out[1:])
     return out
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end), equal for equal bytes wherever they stand."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+#: Bytes of a range that run_hashes mixes eight at a time; longer ranges, few in running text, are hashed by BLAKE2.
+MIXED = 128
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges in which every eight bytes pass through the finaliser: unlike sums of powers, no two texts built from one pattern meet."""
+    size = ends - starts
+    out = mix(size.astype(U64) + U64(_MULTIPLIER))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    own = np.flatnonzero(size <= MIXED)
+    for at in range(0, MIXED, 8):
+        own = own[size[own] > at]
+        if not len(own):
+            break
+        block = eight[starts[own] + at] & _TAIL[np.minimum(size[own] - at, 8)]
+        out[own] = mix((out[own] ^ block) * U64(_MULTIPLIER) + U64(at + 1))
+    long = np.flatnonzero(size > MIXED)
+    if len(long):
+        raw = data.tobytes()
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +110,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Hashes of the words of all strings with A-Z lower-cased, and the index of each string's first word (n + 1 entries)."""
     data = LOWER[data]
     starts, ends, first = words(data, offsets)
-    return range_hash(prefix_sums(data), starts, ends), first
+    return run_hashes(data, starts, ends), first
 
 
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -19,11 +19,12 @@ from .shared import bounded_batches, record, width
 
 NEAREST = 20
 FACTOR = 1.1
-SHARD_ROWS, LEAF = 4096, 128
+#: Rows of a shard, so that there is one for each task, and points of a leaf.
+SHARD_ROWS, LEAF = (4096, 65536), 128
 #: Shards whose results one group of the first merge holds.
 MERGED = 64
-#: Points kept beyond k, so that ties within rounding at the k-th place are settled by exact scores.
-SLACK = 4
+#: Squares of distances this close, relative to the squared lengths, may be ties, which exact scores settle; and pairs held before they are reduced.
+ROUNDING, HELD = 1e-11, 1 << 20
 
 
 @dataclass
@@ -58,23 +59,37 @@ class VantageTree:
         half = len(members) // 2
         return Node(vantage, self.build(members[order[:half]]), self.build(members[order[half:]]), float(far[order[half - 1]]), float(far[order[half]]))
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the k points of least distance found, and these distances; -1 and inf fill up."""
-        self.queries, self.squares, self.factor = queries, (queries**2).sum(1) + self.most, factor
-        self.best, self.near = np.full((len(queries), k), -1), np.full((len(queries), k), np.inf)
+    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, point and score of the k best points found for each query, by score, then by the least id."""
+        self.queries, self.squares, self.factor, self.k = queries, (queries**2).sum(1) + self.most, factor, k
+        self.near, self.slack = np.full((len(queries), k), np.inf), ROUNDING * self.squares
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
         self.visit(self.root, np.arange(len(queries)))
-        return self.best, self.near
+        return self.reduced()
+
+    def reduced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs held the k best of each query, however many tie."""
+        query, point = (np.concatenate([x[j] for x in self.pairs] or [np.zeros(0, np.int64)]) for j in range(2))
+        score = np.concatenate([(self.queries[query[a : a + LEAF * LEAF]] * self.points[point[a : a + LEAF * LEAF]]).sum(1) for a in range(0, len(query), LEAF * LEAF)] or [np.zeros(0)])
+        order = np.lexsort((self.ids[self.at[point]], -score, query))
+        query, point, score = query[order], point[order], score[order]
+        first = np.searchsorted(query, query)
+        best = np.arange(len(query)) - first < self.k
+        self.pairs, self.held = [(query[best], point[best])], int(best.sum())
+        return query[best], point[best], score[best]
 
     def visit(self, node: Node | np.ndarray, active: np.ndarray) -> None:
         if not len(active):
             return
         if isinstance(node, np.ndarray):
-            far = np.sqrt(np.maximum(self.squares[active, None] - 2 * (self.queries[active] @ self.points[node].T), 0))
-            every = np.concatenate([self.near[active], far], 1)
-            names = np.concatenate([self.best[active], np.broadcast_to(node, far.shape)], 1)
-            k = self.near.shape[1]
-            keep = np.argpartition(every, k - 1, 1)[:, :k]
-            self.near[active], self.best[active] = np.take_along_axis(every, keep, 1), np.take_along_axis(names, keep, 1)
+            square = np.maximum(self.squares[active, None] - 2 * (self.queries[active] @ self.points[node].T), 0)
+            self.near[active] = np.partition(np.concatenate([self.near[active], square], 1), self.k - 1, 1)[:, : self.k]
+            q, p = np.nonzero(square <= (self.near[active].max(1) + self.slack[active])[:, None])
+            self.pairs.append((active[q], node[p]))
+            self.held += len(q)
+            if self.held > HELD + 2 * self.k * len(self.queries):
+                self.reduced()
             return
         far = np.sqrt(np.maximum(self.squares[active] - 2 * (self.queries[active] @ self.points[node.vantage]), 0))
         inside = far < (node.inner_most + node.outer_least) / 2
@@ -82,18 +97,16 @@ class VantageTree:
             own, at = active[inside == first], far[inside == first]
             for inner in (first, not first):
                 bound = at - node.inner_most if inner else node.outer_least - at
-                reach = bound * self.factor <= self.near[own].max(1) + 1e-9
+                reach = bound * self.factor <= np.sqrt(self.near[own].max(1)) + np.sqrt(self.slack[own])
                 self.visit(node.inner if inner else node.outer, own[reach])
 
     def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[list[list[int]], list[list[float]]]:
         """Ids and inner products of each query's k nearest found, other than itself: nearest first, ties to smaller ids."""
-        queries = queries.astype(np.float64)
-        points, _ = self.search(queries, min(k + 1 + SLACK, max(len(self.points), 1)), factor)
+        query, points, scores = self.search(queries.astype(np.float64), min(k + 1, max(len(self.points), 1)), factor)
+        cut = np.searchsorted(query, np.arange(len(queries) + 1)).tolist()
         found: tuple[list, list] = ([], [])
-        for query, own, names in zip(queries, ids.tolist(), points, strict=True):
-            names = names[names >= 0]
-            scores = (self.points[names] * query).sum(1)
-            rows = sorted((-s, i) for s, p in zip(scores.tolist(), names.tolist(), strict=True) for i in self.ids[self.at[p] : min(self.at[p + 1], self.at[p] + k + 1)].tolist() if i != own)[:k]
+        for a, b, own in zip(cut, cut[1:], ids.tolist(), strict=False):
+            rows = sorted((-s, i) for s, p in zip(scores[a:b].tolist(), points[a:b].tolist(), strict=True) for i in self.ids[self.at[p] : min(self.at[p + 1], self.at[p] + k + 1)].tolist() if i != own)[:k]
             found[0].append([i for _, i in rows])
             found[1].append([-s for s, _ in rows])
         return found
@@ -105,17 +118,20 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & plain & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = NEAREST, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = NEAREST, factor: float = FACTOR, shard_rows: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest of all other usable rows of its dimension.
 
-    The rows are dealt by a hash of the id into shards of about shard_rows; every shard meets the queries in blocks, as a
-    stream: its tree is in memory, the queries pass. Rows without an id or with an unusable vector take no part; a
-    repeated id counts once; with fewer than k candidates all are returned, without any the query has no row.
+    The rows are dealt by a hash of the id into shards of about shard_rows (by default within SHARD_ROWS); every shard
+    meets the queries in blocks, as a stream: its tree is in memory, the queries pass. So every query is shuffled once for
+    each shard: n rows of which a share q asks make n + q * n * n / shard_rows rows. Rows without an id or with an
+    unusable vector take no part; a repeated id counts once; ties, however many, go to smaller ids (all of them at factor
+    1, those found beyond it); other columns are not looked at; with fewer than k candidates all are returned, without any the query has no row.
     """
     spark = vectors.sparkSession
     base = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dim"), is_query.alias("asks"))
     norm = F.aggregate(F.transform("v", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x)
-    sizes = {r["dim"]: (r["most"], max(1, -(-r["n"] // shard_rows))) for r in base.groupBy("dim").agg(F.max(norm).alias("most"), F.count(F.lit(1)).alias("n")).collect()}
+    rows_of = lambda n: shard_rows or min(max(SHARD_ROWS[0], n // width(spark)), SHARD_ROWS[1])
+    sizes = {r["dim"]: (r["most"], max(1, -(-r["n"] // rows_of(r["n"])))) for r in base.groupBy("dim").agg(F.max(norm).alias("most"), F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards = F.element_at(F.create_map(*[F.lit(x) for d, (_, n) in sizes.items() for x in (d, n)]), F.col("dim"))

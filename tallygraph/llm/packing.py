@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .kernel import U64, buffers, prefix_sums, range_hash, words
+from .kernel import U64, buffers, run_hashes, words
 from .shared import bounded_batches, machine, pieces, record, written
 
 CAPACITY = 2048
@@ -202,7 +202,7 @@ class Encoder:
         """A run here ends at white space of ASCII; other white space within it only parts its matches."""
         data, at = buffers(texts)
         starts, ends, first = words(data, at)
-        hashes = range_hash(prefix_sums(data), starts, ends)
+        hashes = run_hashes(data, starts, ends)
         entries = self.known.find(hashes)
         new = np.flatnonzero(entries < 0)
         if len(new):
@@ -257,11 +257,11 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenised_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each document's ids and the closing id 0, cut every capacity tokens."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    """doc_id, piece, start, length, ids_crc32: each document's ids and the closing id 0, cut every capacity tokens; and salt, the piece's number in its task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode, done = encoder(path).encode, 0
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             strings = batch.column(1)
@@ -272,10 +272,11 @@ def tokenised_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, id
                     part = ids[at : at + 4 * capacity]
                     for column, value in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
-            yield record(schema, *rows)
+            yield record(schema, *rows, np.arange(done, done + len(rows[0])))
+            done += len(rows[0])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
 
 
 def packed(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
@@ -287,10 +288,10 @@ def packed(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     first_run = np.cumsum([0, *(len(runs[n]) for n in lengths)])
     table = np.array([x for n in lengths for x in runs[n]], np.int64).reshape(-1, 4)
     where = {n: k for k, n in enumerate(lengths)}
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(shards)))
     before = W.partitionBy("length").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     skipped = dealt.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n")).select("length", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skipped"))
-    nth = F.row_number().over(W.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32"))
+    nth = F.row_number().over(W.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32", "salt"))
     ranked = dealt.withColumn("nth", nth).join(skipped, ["length", "shard"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("skipped") + F.col("nth") - 1).alias("rank"))
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -310,7 +311,11 @@ def packed(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece with its place. A null or empty text is the one closing id; equal and repeated rows are packed one by one; no rows give no rows."""
+    """One row for each piece with its place.
+
+    A null or empty text is the one closing id, a very long one is cut; ids may be null; equal and repeated rows are packed
+    one by one, dealt over all shards of their length; other columns, whatever their names, are not looked at; no rows give no rows.
+    """
     return packed(written(tokenised_pieces(docs, path, capacity=capacity, id_col=id_col, text_col=text_col), "pieces"), capacity=capacity)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import U64, buffers, mix, powers, prefix_sums, range_hash
+from .kernel import U64, buffers, mix, powers, prefix_sums, run_hashes
 from .shared import bounded_batches, machine, pieces, text_or_empty, width
 from .suffix_array import permuted_common_prefixes, suffix_array
 
@@ -73,7 +73,7 @@ def anchored(data: np.ndarray, at: np.ndarray) -> Places:
     nth = np.searchsorted(begins, first, side="right") - 1
     last = np.minimum(np.append(first[1:], len(data)) - 1, ends[nth])
     owner = long[nth]
-    return Places(owner, first - at[owner], last - at[owner], hashes[place[first]], range_hash(sums, first, last + WIDTH))
+    return Places(owner, first - at[owner], last - at[owner], hashes[place[first]], run_hashes(data, first, last + WIDTH))
 
 
 def all_places(data: np.ndarray, at: np.ndarray) -> Places:
@@ -276,7 +276,7 @@ def earlier(data: np.ndarray, length: np.ndarray, ids: np.ndarray, anchor: np.nd
     Only texts of one anchor can share windows; where all texts of an anchor are equal, their least id decides for all.
     """
     at = np.cumsum(length) - length
-    names = range_hash(prefix_sums(data), at, at + length)
+    names = run_hashes(data, at, at + length)
     _, sample, where = np.unique(names, return_index=True, return_inverse=True)
     least, many = np.full(len(sample), LAST), length[sample] - WIDTH + 1
     np.minimum.at(least, where, ids)

@@ -214,6 +214,28 @@ def test_nearest(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_hundreds_of_ties(spark):
+    """Integer vectors of which most tie at the last place, in one shard and in several: exact at factor 1."""
+    rng = np.random.default_rng(8)
+    rows = [(k, [float(x) for x in rng.integers(-1, 2, 6)]) for k in rng.permutation(1500).tolist()]
+    rows += [(2000 + k, [1.0, 1.0, 1.0, 1.0, 0.0, float(k)]) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = plain_nearest(rows, 20)
+    for size in (100, 5000):
+        found = defaultdict(list)
+        for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, factor=1.0, shard_rows=size).orderBy("query_id", "rank").collect():
+            found[r["query_id"]].append(r["vec_id"])
+        assert {q: v for q, v in want.items() if v} == dict(found)
+
+
+def test_pairs_are_reduced_as_they_grow(monkeypatch):
+    monkeypatch.setattr(neighbours, "HELD", 10)
+    ids, vectors = np.arange(5000), np.zeros((5000, 4))
+    vectors[:, 0], vectors[:, 1] = 1, np.arange(5000)
+    tree = neighbours.VantageTree(ids, vectors, float((vectors**2).sum(1).max()))
+    assert tree.nearest(np.array([0, 7]), np.array([[1.0, 0, 0, 0]] * 2), 20, 1.0)[0] == [list(range(1, 21)), [k for k in range(21) if k != 7]]
+
+
 def test_recall_on_real_vectors(spark):
     rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'").fetchall()
     want = plain_nearest([(i, list(v)) for i, v in rows], 20)
@@ -436,6 +458,26 @@ def test_items_of_several_blocks_and_repeating_characters(spark, monkeypatch):
     assert found == want and (90, 1) in want and (91, 0) in want
 
 
+# hashes
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n)), "".join("ba"[k.bit_count() % 2] for k in range(n))
+
+
+def test_texts_built_to_collide(spark):
+    """Words that a polynomial modulo 2 ** 64 takes for one another: ids, shingles, removals and counts tell them apart."""
+    tokenizer, (x, y) = library("word_bpe_49k.json"), thue_morse(4096)
+    rows = [(1, x), (2, y), (3, f"one two three four {x}"), (4, f"one two three four {y}"), (5, f"{x[:1024]} {y[:1024]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["component_id"] for r in near_dup.near_duplicates(df).collect()} == {1, 2, 3, 4, 5}
+    assert by_row(substring_dedup.substring_dedup(df), *COLUMNS) == plain_removal(rows)
+    own = packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode(pa.array([t for _, t in rows]))
+    assert [np.frombuffer(i, "<u4").tolist() for i in own] == [tokenizer.encode(t, add_special_tokens=False).ids for _, t in rows]
+    known = {r["doc_id"]: r["n_known"] for r in context_tree.lm_scores(df, F.col("doc_id") == 1).collect()}
+    assert known == {1: 2, 2: 1, 3: 2, 4: 1, 5: 1}
+
+
 # languages
 
 
