@@ -4,10 +4,11 @@ One hash function orders all shingles; a document's sketch is its k least values
 the documents that overlap; an estimate on the union of two sketches filters the pairs; the Jaccard similarity of the
 full sets decides. Documents with equal sets are one class from the start, and only classes are compared.
 
-A list's key is a run of consecutive retained values, so that a boilerplate passage alone rarely makes one. A list that is
-still long goes by leaders, and its documents are dealt anew by longer runs besides. A list passes on a spanning forest of the pairs that pass the filter, not the
-pairs: the forests' components are groups that no link leaves. Each group's texts then meet once, heavy groups in pairs of
-blocks, where all pairs that are not linked yet are verified on the full sets and a spanning forest of the links remains.
+A list's key is a run of consecutive retained values, so that a boilerplate passage alone rarely makes one. In a long list
+documents are compared with leaders, which are unlike each other, so copies of a template cost one comparison each. A list
+passes on a spanning forest of the pairs that pass the filter, not the pairs: the forests' components are groups that no
+link leaves. Each group's texts then meet once, heavy groups in pairs of blocks, where all pairs that are not linked yet
+are verified on the full sets and a spanning forest of the links remains.
 """
 
 from __future__ import annotations
@@ -18,23 +19,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .kernel import U64, buffers, distinct_per_owner, mix, shingle_hashes, word_hashes
 from .shared import bounded_batches, machine, pieces, record, width, written
 
-WORDS, SIMILARITY = 5, 85
+#: Words of a shingle, and hundredths of the union that linked sets share.
+WORDS, SIMILARITY = 5, 80
 #: Values of a sketch.
 RETAINED = 64
-#: (values of the sketch, length of a run) of the first lists and of those made besides of long lists.
-LISTS = ((14, 2), (RETAINED, 4))
+#: Least values of a sketch that make lists, and the length of a run. Sets of at most so many shingles always share a run if
+#: they are linked; larger ones at exactly the least similarity do not with a probability of 2e-5 (0.85) or 5e-5 (0.8).
+LISTED, RUN = 14, 2
 #: Documents of a list that are compared all with all.
 LONG = 256
 #: Estimates are within 0.045 of the truth in two of three cases; pairs below this are not verified.
 ESTIMATED = 0.6
 #: In long lists documents are compared with leaders; each other one passes the estimate with a leader, so is within 0.4 of
-#: it, and a document linked with it (0.15 apart at most) within 0.55; this is below 0.45 by as much as estimates err.
-LED = 0.35
+#: it, and a document linked with it (0.2 apart at most) within 0.6; this is below 0.4 by as much as estimates err.
+LED = 0.25
 #: Shingles of a group's texts that one task holds; a heavier group is dealt in pairs of blocks.
 HEAVY = 1 << 22
 #: Columns of a table of exact intersections, and pairs from which a block's are counted by one.
@@ -73,6 +77,10 @@ def sets_of(column: pa.Array, words: int = WORDS) -> Iterator[tuple[np.ndarray,
         yield distinct_per_owner(*shingle_hashes(hashes, first, words), b - a)
 
 
+def digest_of(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values, digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n (size of the set), digest (of the set) and sketch (up to RETAINED ascending 32-bit values)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
@@ -84,7 +92,7 @@ def sketches(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", tex
             for values, at in sets_of(batch.column(1), words):
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     sizes.append(b - a)
-                    digests.append(hashlib.blake2b(values[a:b], digest_size=16).digest())
+                    digests.append(digest_of(values[a:b]))
                     kept.append((values[a : min(b, a + RETAINED)] >> U64(32)).astype(np.uint32).tobytes())
             yield record(schema, batch.column(0), sizes, digests, kept)
 
@@ -192,20 +200,11 @@ def listed_pairs(postings: DataFrame) -> DataFrame:
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Distinct pairs of classes that join all that share a list and pass the estimate."""
-    parts, round_of = width(classes.sparkSession), classes
-    found = None
-    for nth, (values, run) in enumerate(LISTS):
-        final = nth == len(LISTS) - 1
-        rows = written(keys(round_of, values, run), "keys")
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-        shared = written(rows.join(sizes, "key"), "lists")
-        postings = shared.select("key", "id").join(classes.select("id", "sketch"), "id").select("key", "id", "sketch")
-        pairs = listed_pairs(postings.repartition(parts, "key").sortWithinPartitions("key", "id"))
-        found = pairs if found is None else found.unionByName(pairs)
-        if not final:
-            again = shared.filter(F.col("many") > LONG).select("id").distinct()
-            round_of = classes.join(again, "id", "left_semi")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = written(keys(classes, LISTED, RUN), "keys")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    postings = rows.join(sizes, "key").select("key", "id").join(classes.select("id", "sketch"), "id").select("key", "id", "sketch")
+    pairs = listed_pairs(postings.repartition(width(classes.sparkSession), "key").sortWithinPartitions("key", "id"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -254,34 +253,39 @@ def linked(ids: list[int], sets: list[np.ndarray], similarity: int) -> list[tupl
 
 
 def verified(docs: DataFrame, groups: DataFrame, *, similarity: int = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a and b: a spanning forest of the links of each group (id, component, n). A group's texts come together once; one of over HEAVY shingles is dealt in pairs of blocks."""
+    """a and b: a spanning forest of the links of each group, given by id, doc_id, digest, n and component.
+
+    A group's texts come together once; one of over HEAVY shingles is dealt in pairs of blocks. A text of a doc_id whose
+    set has another digest than the class is of another class and passed over.
+    """
     weight = groups.groupBy("component").agg((F.ceil(F.sum("n") * 2 / HEAVY)).cast("int").alias("blocks"))
     sized = groups.join(weight, "component").withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    asked = sized.select("component", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = asked.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id")
-    rows = keyed.join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").select("component", "i", "j", "id", "text")
+    asked = sized.select("component", "id", "doc_id", "digest", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = asked.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "doc_id", "digest")
+    rows = keyed.join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id").select("component", "i", "j", "id", "digest", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets = None, [], []
         out: list[tuple[int, int]] = []
         for batch in batches:
-            names = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
-            for values, at in sets_of(batch.column(4), words):
+            names = zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
+            for values, at in sets_of(batch.column(5), words):
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    *group, name = next(names)
+                    *group, name, digest = next(names)
                     if group != key:
                         out += linked(ids, sets, similarity)
                         key, ids, sets = group, [], []
-                    ids.append(name)
-                    sets.append(values[a:b].copy())
+                    if name not in ids[-1:] and digest == digest_of(values[a:b]):  # a repeated row comes next to its like
+                        ids.append(name)
+                        sets.append(values[a:b].copy())
             yield record(schema, [x for x, _ in out], [y for _, y in out])
             out = []
         out += linked(ids, sets, similarity)
         yield record(schema, [x for x, _ in out], [y for _, y in out])
 
-    dealt = rows.repartition(width(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    dealt = rows.repartition(width(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "id")
     return dealt.mapInArrow(verify, "a long, b long").filter("a <> b").distinct()
 
 
@@ -306,22 +310,29 @@ def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, words: int
     """For every row doc_id, n_shingles, component_id (least id reachable over links) and kept (whether that is its own).
 
     A null, empty or blank text has no shingles and is linked with nothing; a text of fewer words than a shingle is one
-    shingle. Repeated rows share a component; a repeated id with different texts is judged row by row. A null id is
-    linked with nothing and kept, with a null component. An empty table gives no rows.
+    shingle; very long texts are taken whole. Repeated rows share a component; a repeated id with different texts is judged
+    row by row. A null id is linked with nothing and kept, with a null component. Other columns, whatever their names, are
+    not looked at. An empty table gives no rows.
     """
     rows = written(sketches(docs, words=words, id_col=id_col, text_col=text_col), "sketches")
     named = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    first = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"))
-    classes = written(first.select("digest", F.col("x.doc_id").alias("id"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch")), "classes")
-    several = classes.filter("n > 1").dropDuplicates(["id"])
-    groups = components(candidates(several.select("id", "sketch"))).join(several.select("id", "n"), "id")
+    first = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x")).select("digest", "x.*")
+    # a class goes by its least doc_id; of classes of one doc_id all but one go by a hash
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("digest"))
+    name = F.when(nth == 1, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "digest"))
+    classes = written(first.select("digest", name.alias("id"), "doc_id", "n", "sketch"), "classes")
+    several = classes.filter("n > 1")
+    groups = components(candidates(several.select("id", "sketch"))).join(several.select("id", "doc_id", "digest", "n"), "id")
     labels = components(verified(docs, groups, similarity=similarity, words=words, id_col=id_col, text_col=text_col))
-    of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    linked_classes = written(labels.join(classes.select("id", "doc_id", "digest"), "id"), "linked")
+    least = linked_classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = classes.select("digest", "doc_id").join(linked_classes.join(least, "component").select("digest", "component_id"), "digest", "left")
+    of_class = of_class.select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
     joined = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents, linked at 85 hundredths."""
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), similarity=85)

@@ -68,7 +68,7 @@ def shingles(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def plain_components(rows):
+def plain_components(rows, similarity=85):
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
     up = {i: i for i, _ in sets}
 
@@ -80,14 +80,14 @@ def plain_components(rows):
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
             both = len(a & b)
-            if both and 100 * both >= 85 * (len(a) + len(b) - both):
+            if both and 100 * both >= similarity * (len(a) + len(b) - both):
                 x, y = find(i), find(j)
                 up[max(x, y)] = min(x, y)
     return [(i, len(s), find(i), find(i) == i) for i, s in sets]
 
 
 def test_near_duplicates(spark, docs):
-    found = near_dup.near_duplicates(docs)
+    found = near_dup.near_duplicates(docs, similarity=85)
     want = plain_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
     assert by_row(found.filter("doc_id IS NOT NULL"), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
     assert by_row(found.filter("doc_id IS NULL"), "component_id", "kept") == [(None, True)] * 2
@@ -110,15 +110,47 @@ def test_long_lists_and_heavy_groups(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     monkeypatch.setattr(near_dup, "LONG", 8)
     monkeypatch.setattr(near_dup, "HEAVY", 600)
-    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert by_row(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(plain_components(rows), key=repr)
+    for similarity in (80, 85):
+        found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity)
+        assert by_row(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(plain_components(rows, similarity), key=repr)
+
+
+def test_short_variants_in_long_lists(spark):
+    """Templates of 10 to 25 words with over 2000 variants by one word more or other, at the real constants: brute force."""
+    rng, rows = random.Random(4), []
+    for words, many in ((10, 1200), (14, 500), (25, 600)):
+        base = [f"t{words}n{k}" for k in range(words)]
+        for k in range(many):
+            w = list(base)
+            if k and k % 3 == 0:
+                w[rng.randrange(words)] = f"other{k}"
+            rows.append((len(rows), " ".join(w if k % 3 == 0 else [*w, f"last{k}"] if k % 3 == 1 else [f"first{k}", *w])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for similarity in (80, 85):
+        found = by_row(near_dup.near_duplicates(df, similarity=similarity), "doc_id", "n_shingles", "component_id", "kept")
+        assert found == sorted(plain_components(rows, similarity), key=repr)
+
+
+def test_small_sets_of_all_sizes(spark):
+    rng, rows = random.Random(6), []
+    for size in range(1, 71):
+        base = [f"s{size}w{k}" for k in range(size + 4)]
+        for k in range(6):
+            w = list(base)
+            for _ in range(k // 2):
+                w[rng.choice([0, -1, rng.randrange(len(w))])] = f"x{size}y{k}{rng.randrange(9)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for similarity in (80, 85):
+        found = by_row(near_dup.near_duplicates(df, similarity=similarity), "doc_id", "n_shingles", "component_id", "kept")
+        assert found == sorted(plain_components(rows, similarity), key=repr)
 
 
-def test_short_texts_in_lists_over_the_limit(spark):
-    base = "one two three four five six seven eight nine ten"
-    rows = [(0, base), *((n, f"{base} last{n}") for n in range(1, 2 * near_dup.LONG))]
+def test_repeated_ids_with_different_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(5, a), (5, b), (5, a), (7, a + " more"), (9, b + " more"), (3, b + " more too"), (8, "apart from all the others here")]
     found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r["component_id"] for r in found.collect()} == {0}
+    assert by_row(found, "doc_id", "component_id") == [(3, 3), (5, 3), (5, 5), (5, 5), (7, 5), (8, 8), (9, 3)]
 
 
 def test_similarity_estimate_and_intersections():

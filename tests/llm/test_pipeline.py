@@ -31,7 +31,7 @@ def test_language_stage_keeps_running_text(spark, docs):
 
 
 def test_near_duplicate_stage_leaves_one_of_each_group(spark, docs):
-    kept = {i for i, _, _, k in plain_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]) if k}
+    kept = {i for i, _, _, k in plain_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], 80) if k}
     assert rows(pipeline.near_duplicates(spark, docs, SF)) == [r for r in rows(docs) if r[0] in kept]
 
 
