@@ -557,27 +557,98 @@ def test_language_model(spark, docs, empty):
             better.append(r["score"] / len(t.encode()) > -1.2)  # far fewer than the 8 bits of an unknown byte
     assert np.mean(better) > 0.9
     odd = context_tree.lm_scores(docs, F.col("doc_id") > 5).collect()
-    assert len(odd) == docs.count() and all(r["score"] == 0 and r["n_tokens"] == 1 for r in odd if r["doc_id"] in (0, 1))
+    assert len(odd) == docs.count() and all(r["score"] < 0 and r["n_tokens"] == 1 for r in odd if r["doc_id"] in (0, 1))
     nothing = [r for r in context_tree.lm_scores(docs, F.lit(False)).collect() if r["doc_id"] == 3]
-    assert math.isclose(nothing[0]["score"], -3 * math.log10(256), rel_tol=1e-5)
+    assert math.isclose(nothing[0]["score"], -(3 * 9 + 1) * math.log10(2), rel_tol=1e-5)
+
+
+def plain_tree(texts, depth):
+    """The recursion written out: log10 probability of each text under the weighted tree of all texts."""
+    bits = lambda c: (1,) if c is None else (0, *(c >> k & 1 for k in range(7, -1, -1)))
+    symbols = lambda t: [(bytes(depth) + t)[k : k + depth] for k in range(len(t) + 1)]
+    counts = defaultdict(lambda: [0, 0])
+    for t in texts:
+        for context, c in zip(symbols(t), [*t, None], strict=True):
+            for d in range(depth + 1):
+                for k, bit in enumerate(bits(c)):
+                    counts[context[depth - d :], bits(c)[:k]][bit] += 1
+    longer = defaultdict(list)
+    for context, way in counts:
+        if context:
+            longer[context[1:], way].append((context, way))
+
+    def estimate(node):
+        a, b = counts[node]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    def weighted(node):
+        if len(node[0]) == depth:
+            return estimate(node)
+        return float(np.logaddexp(estimate(node), sum(map(weighted, longer[node])))) - math.log(2)
+
+    def one(context, way, d=0):
+        node = (context[depth - d :], way)
+        if node not in counts:
+            return None
+        own = (counts[node][1] + 0.5) / (sum(counts[node]) + 1)
+        deeper = one(context, way, d + 1) if d < depth else None
+        if deeper is None:
+            return own
+        share = math.exp(estimate(node) - weighted(node)) / 2
+        return share * own + (1 - share) * deeper
+
+    def score(t):
+        total = 0.0
+        for context, c in zip(symbols(t), [*t, None], strict=True):
+            for k, bit in enumerate(bits(c)):
+                p = one(context, bits(c)[:k])
+                p = 0.5 if p is None else p
+                total += math.log10(p if bit else 1 - p)
+        return total
+
+    return score
+
+
+def test_scores_are_the_recursion(spark):
+    """Every text's score against the recursion by hand, with few and with many strings in the common tables, and in 4 or 1 shards."""
+    rng = random.Random(2)
+    texts = ["", None, "abracadabra" * 5, "abracadabra", "the rain in spain", "a", "é\x00\x00b", *("".join(rng.choice("abc ") for _ in range(rng.randrange(40))) for _ in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for depth, strings in ((2, 1 << 20), (3, 0), (3, 40)):
+        want = plain_tree([(t or "").encode() for t in texts[2:30]], depth)
+        found = {r["doc_id"]: r["score"] for r in context_tree.lm_scores(df, (F.col("doc_id") >= 2) & (F.col("doc_id") < 30), depth=depth, common_strings=strings, common=strings).collect()}
+        assert all(math.isclose(found[k], want((t or "").encode()), rel_tol=1e-4) for k, t in enumerate(texts))
+
+
+def test_scores_do_not_depend_on_shards(spark):
+    def scores():
+        return by_row(context_tree.op10_lm_scores(spark, SF).select("doc_id", "n_tokens", "n_known", F.round("base_score", 6).alias("base"), F.round("score", 2).alias("score")), "doc_id", "n_tokens", "n_known", "base", "score")
+
+    few = scores()
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert scores() == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_tree_mixes_all_depths():
-    """One bit source against the recursion written out by hand, and probabilities of all bytes that add up to one."""
+def test_probabilities_of_all_symbols_add_up(spark):
     data, at = np.frombuffer(b"abracadabra" * 5, np.uint8), np.array([0, 55])
-    for depth in (0, 1, 3):
-        strings, counts = np.unique(context_tree.byte_strings(data, at, depth), return_counts=True)
-        tree = context_tree.ContextTree(strings, counts, depth)
-        every = (strings[0] >> np.uint64(8)) << np.uint64(8) | np.arange(256, dtype=np.uint64)
-        assert math.isclose((10 ** tree.log10(every)).sum(), 1, rel_tol=1e-6)
-        assert np.allclose(tree.scores(strings), tree.log10(strings), rtol=1e-5)
-    deep, flat = (context_tree.ContextTree(*np.unique(context_tree.byte_strings(data, at, d), return_counts=True), d).log10(context_tree.byte_strings(data, at, d)).sum() for d in (3, 0))
-    assert deep > flat
-
-
-def test_tree_gets_less_deep_where_it_must(spark, docs):
-    found = context_tree.lm_scores(docs, F.lit(True), leaves=50)
-    assert found.count() == docs.count() and found.filter("score > 0").count() == 0
+    for depth in (2, 4):
+        strings, counts = np.unique(context_tree.symbol_strings(data, at, depth)[0], return_counts=True)
+        upper = context_tree.weighted_levels(strings, counts, context_tree.UPPER, depth)
+        below = np.unique(context_tree.shorter(upper[1][0], 1), return_inverse=True)
+        levels = [*context_tree.weighted_levels(strings, counts, 0, 1, (below[0], np.bincount(below[1], weights=upper[1][1])))[0], *upper[0]]
+        every = strings[5] >> np.uint64(9) << np.uint64(9) | np.arange(257, dtype=np.uint64)
+        assert math.isclose((10 ** context_tree.log10_probability(levels, every)).sum(), 1, rel_tol=1e-6)
+
+
+def test_documents_that_occur_twice_score_higher(spark):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate([*texts, *texts[:20]])), "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] / len(texts[r["doc_id"] % 60]) for r in context_tree.lm_scores(df, F.lit(True)).collect()}
+    assert min(found[k] for k in range(20)) > max(found[k] for k in range(20, 60))
 
 
 # all of them
