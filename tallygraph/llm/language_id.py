@@ -26,6 +26,8 @@ SLOTS, PROBES = 1 << 21, 3
 #: An n-gram belongs to a language that has it at least so often, and at this share of its largest rate in any language.
 LEAST, SHARE = 3, 0.2
 UNKNOWN = "und"
+#: Values of lang that a filter is built for, since it holds a bit for each in every slot and the driver the sample's counts for all.
+MOST_LANGUAGES = 1024
 
 
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -110,8 +112,10 @@ def fit(docs: DataFrame, learnt: Column, *, sampled: int = SAMPLED, id_col: str
     """
     spark = docs.sparkSession
     known = docs.filter(learnt & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     languages = sorted(sizes)
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
     if not languages:
         return Filter([]).frozen()
     share = F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, min(1.0, sampled / sizes[lang]))])
@@ -164,7 +168,7 @@ def added(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[n
 
 
 def judged(docs: DataFrame, model: Filter, *, text_col: str = "text") -> DataFrame:
-    """The rows with lang_pred and score beside their own columns."""
+    """The rows with lang_pred and score beside their own columns; own columns of these two names are replaced."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
     plain = docs.select(*names)
@@ -187,7 +191,8 @@ def language_id(docs: DataFrame, *, of: int = 4, held: int = 2, sampled: int = S
     """For every row doc_id, held_out, lang_pred and score (0 to 1); learnt from rows whose crc32(doc_id) mod of is not held.
 
     Null texts and texts without a letter are "und" with score 0. A null doc_id is neither learnt from nor held out.
-    Repeated rows are judged alike; with nothing to learn from, every row is "und". Ties go to the first language by name.
+    Repeated rows are judged alike, very long texts whole; with nothing to learn from, every row is "und". Ties go to the
+    first language by name. Other columns, whatever their names, are not looked at. An empty table gives no rows; over MOST_LANGUAGES languages are an error.
     """
     model = fit(docs, remainder("doc_id", of) != held, sampled=sampled)
     out = F.coalesce(remainder("doc_id", of) == held, F.lit(False))

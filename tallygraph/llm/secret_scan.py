@@ -7,15 +7,18 @@ path (document) of the blob.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import shared_folder, text_or_empty
 
 #: Rows of one blob are dealt over so many tasks when findings are joined back.
 SALT = 32
+#: Matches whose positions are summed in one go.
+RUN = 256
 LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
 
 
@@ -42,7 +45,10 @@ BASE = ("assign", "access", "hex")
 
 
 def spans(text: Column, rule: Rule) -> Column:
-    """Start and end of all matches in code points: the pieces between matches and the matches take turns, so their lengths add up to positions."""
+    """Start and end of all matches in code points: the pieces between matches and the matches take turns, so their lengths add up to positions.
+
+    Positions are summed in runs of RUN matches, each from the sum of those before it, so that work grows with the matches, not their square.
+    """
     found = F.regexp_extract_all(text, F.lit(f"({rule.pattern})" if rule.group == 0 else f"(?:{rule.pattern})"), F.lit(0))
     checked = F.transform(found, lambda m: F.struct(F.length(m).alias("n"), (F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least).alias("ok")))
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
@@ -53,8 +59,16 @@ def spans(text: Column, rule: Rule) -> Column:
         end = start + pair["m"]["n"]
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["m"]["ok"].alias("ok")))).alias("out"))
 
+    def run_from(state: Column, run: Column) -> Column:
+        total = F.aggregate(run, F.lit(0), lambda n, pair: n + pair["gap"] + pair["m"]["n"])
+        return F.struct((state["at"] + total).alias("at"), F.concat(state["runs"], F.array(F.struct(state["at"].alias("from"), run.alias("run")))).alias("runs"))
+
     pairs = F.zip_with(F.slice(between, 1, F.size(checked)), checked, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    none = F.array().cast("array<struct<from:int,run:array<struct<gap:int,m:struct<n:int,ok:boolean>>>>>")
+    starts = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int"))
+    runs = F.transform(F.array(pairs), lambda every: F.transform(starts, lambda k: F.slice(every, k * RUN + 1, RUN)))[0]
+    from_each = F.aggregate(runs, F.struct(F.lit(0).alias("at"), none.alias("runs")), run_from)["runs"]
+    walked = F.flatten(F.transform(from_each, lambda r: F.aggregate(r["run"], F.struct(r["from"].alias("at"), empty.alias("out")), step)["out"]))
     kept = F.transform(F.filter(walked, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return F.when(F.size(found) > 0, kept).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
@@ -86,7 +100,7 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)])
     kept = ledger.filter((F.size("spans") > 0) & F.array_contains(current, F.concat_ws("@", "rule", F.col("version").cast("string"))))
     one = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, F.col("rule")).alias("rank"), F.col("rule").alias("kind"), s["end"].alias("end")))
-    return kept.select("blob", one.alias("found")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    return kept.select("blob", one.alias("found")).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
 
 
 def joined_back(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,10 +120,13 @@ def digest_columns(found: Column) -> list[Column]:
 
 
 def masked(docs: DataFrame, found: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The rows with every found span of their text replaced by as many asterisks; spans may overlap, a null text stays null."""
-    keyed = docs.withColumn("_blob", F.sha2(text_or_empty(text_col), 256)).withColumn("_salt", F.pmod(F.xxhash64(text_col, F.monotonically_increasing_id()), F.lit(SALT)))
-    repeated = found.select(F.col("blob").alias("_blob"), "found").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    text, start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), F.col(text_col)
+    """The rows with every found span of their text replaced by as many asterisks.
+
+    Spans may overlap; a null text stays null, an empty one empty; copies and repeated rows are masked alike; columns may have any names; no rows give no rows.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.sha2(text_or_empty(text_col), 256).alias("blob"), F.pmod(F.xxhash64(text_col, F.monotonically_increasing_id()), F.lit(SALT)).alias("salt"))
+    repeated = found.select("blob", "found").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    text, start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), F.col("row")[text_col]
 
     def step(state: Column, span: Column) -> Column:
         begin = F.greatest(state["at"], span["start"])
@@ -117,14 +134,40 @@ def masked(docs: DataFrame, found: DataFrame, *, text_col: str = "text") -> Data
         return F.struct(F.concat(state["out"], F.substring(start, state["at"] + 1, begin - state["at"]), F.repeat(F.lit("*"), end - begin)).alias("out"), end.alias("at"))
 
     walked = F.aggregate("found", text, step, lambda s: F.concat(s["out"], F.substring(start, s["at"] + 1, F.length(start))))
-    return keyed.join(repeated, ["_blob", "_salt"], "left").withColumn(text_col, F.when(F.col("found").isNull(), start).otherwise(walked)).select(*docs.columns)
+    shown = F.when(F.col("found").isNull(), start).otherwise(walked).alias(text_col)
+    return keyed.join(repeated, ["blob", "salt"], "left").select(*[shown if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The stored ledger; an empty one where nothing is stored yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def scan_into(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
+    """Scan what the ledger stored at path lacks, append it there, and return the whole ledger.
+
+    A run lost between scan and append scans again; a pair that two runs append at once is there twice, which findings and compacted bear.
+    """
+    spark = docs.sparkSession
+    scan(docs, rules, read_ledger(spark, path), text_col=text_col).write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
+def compacted(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger's rows of the rules' current versions, each pair of blob and rule once; the caller writes them to a new path."""
+    current = F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules])
+    return ledger.filter(F.array_contains(current, F.concat_ws("@", "rule", F.col("version").cast("string")))).dropDuplicates(["blob", "rule", "version"])
 
 
 def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """For every row doc_id, the base counts, base_sha256 and spans (kind:start:end in code points).
 
-    A null text is the empty blob and has no spans; repeated rows and copies of a text get the same findings; ids may be
-    null. With a ledger, only what it lacks is scanned. An empty table gives no rows.
+    A null text is the empty blob and has no spans; very long texts are scanned whole; repeated rows and copies of a text
+    get the same findings; ids may be null; other columns, whatever their names, are not looked at. With a ledger, only
+    what it lacks is scanned. An empty table gives no rows.
     """
     new = scan(docs, rules, ledger)
     every = new if ledger is None else ledger.select("blob", "rule", "version", "spans").unionByName(new)
@@ -132,8 +175,10 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFr
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, with an empty ledger."""
-    return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents: scanned into a new ledger in the shared folder, from which findings are joined back to all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ledger = scan_into(docs, f"{shared_folder(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}")
+    return joined_back(docs, findings(ledger)).select("doc_id", *digest_columns(F.col("found")))
 
 
 def oracle() -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,28 +18,45 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder all executors see, from spark.checkpoint.dir; where that is unset and all runs on one machine (tests), one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        folder = tempfile.mkdtemp(prefix="tallygraph-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        context = spark.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="tallygraph-"))
+        return context._jsc.sc().getCheckpointDir().get()
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_temporary: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, *, lasting: bool = False) -> DataFrame:
     """Cut the lineage: write the rows as Parquet into the shared folder and read them again.
 
-    The table outlives lost executors; the folder's owner clears it, as with checkpoints.
+    The table outlives lost executors. Within temporary_tables it goes with the others unless it is lasting; else the folder's owner clears it, as with checkpoints.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _temporary and not lasting:
+        _temporary[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are removed at the end: what is built on them must have been written as lasting by then."""
+    _temporary.append([])
+    try:
+        yield
+    finally:
+        for path in _temporary.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _held: list = [None, None]
 
 

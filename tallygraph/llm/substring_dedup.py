@@ -136,7 +136,8 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     A byte goes if some WIDTH bytes that cover it also start in a document with a smaller id, whatever is removed there.
     A null text is empty; texts shorter than WIDTH lose nothing. Rows of the same id are the same document: they remove
-    nothing from each other. A null id counts as larger than all others. An empty table gives no rows.
+    nothing from each other. A null id counts as larger than all others, as does the largest 64-bit number, which is taken
+    for one and comes back null. Other columns, whatever their names, are not looked at. An empty table gives no rows.
     """
     spark = docs.sparkSession
     named = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("id"), text_or_empty(text_col).alias("text"))

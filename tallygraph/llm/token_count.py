@@ -316,7 +316,8 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, path: str, *, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit).
 
-    Null and empty texts have 0 tokens; ids may be null or repeated, each row is counted by itself. No shuffle.
+    Null and empty texts have 0 tokens; very long texts are counted whole; ids may be null or repeated, each row is counted
+    by itself; other columns, whatever their names, are not looked at; an empty table gives no rows. No shuffle.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 

@@ -7,19 +7,33 @@ soft terms, rejects a url; a rule for its host and path overrides that verdict.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import shared
 from .shared import bounded_batches, record
 
 #: Fixed values of the contract: (verdict, rule).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-STRICT = ("adult-x", "casino-win", "cheap-pills", "spam-farm", "porn", "xxx", "warez", "malware", "phishing")
-SOFT = ("ads", "track", "free", "bets", "bet", "casino", "pills", "adult", "win", "bonus", "cheap", "click", "prize", "spam", "loan", "viagra")
+#: Weights from which one hit rejects, and terms of usual block lists by their weight; a real list has thousands and is read from a table.
+STRICT_WEIGHT = 2
+TERMS = {
+    2: (
+        "adult-x", "adultfriend", "bangbros", "bestiality", "blowjob", "camgirls", "camsex", "casino-win", "cheap-pills", "creampie", "cumshot", "escort-service", "fuck", "gangbang", "hardcore-sex", "hentai",
+        "keygen", "livesex", "malware", "milf", "onlinecasino", "phishing", "porn", "porno", "pornhub", "redtube", "sexcam", "sexchat", "sexvideos", "slots-bonus", "spam-farm", "spyware", "warez", "xhamster", "xnxx", "xvideos", "xxx", "youporn",
+    ),
+    1: (
+        "adult", "ads", "baccarat", "bet", "bets", "betting", "bitcoin-bonus", "blackjack", "bonus", "cam", "cams", "casino", "cheap", "cialis", "click", "coupon", "crack", "cracked", "dating", "discount", "download-free", "drugs", "erotic", "escort",
+        "escorts", "forex", "free", "gambling", "girls", "hack", "hot", "jackpot", "lingerie", "loan", "loans", "lottery", "naked", "nude", "nudes", "payday", "pharmacy", "pills", "pirate", "poker", "prize", "replica", "roulette", "serial", "sex",
+        "sexy", "slots", "spam", "steroids", "teen", "torrent", "torrents", "track", "tracker", "viagra", "webcam", "weed", "win", "winner", "xanax",
+    ),
+}
 SOFT_LIMIT = 2
 
 _ORDINARY = re.compile(r"[a-z0-9]")
@@ -28,14 +42,26 @@ _UPPER = {c: c + 32 for c in range(65, 91)}
 
 @dataclass(frozen=True)
 class Vocabulary:
-    strict: tuple[str, ...] = STRICT
-    soft: tuple[str, ...] = SOFT
+    """Terms by weight: STRICT_WEIGHT or more is strict, less is soft."""
+
+    strict: tuple[str, ...] = TERMS[2]
+    soft: tuple[str, ...] = TERMS[1]
     soft_limit: int = SOFT_LIMIT
 
+    @classmethod
+    def of(cls, terms: DataFrame, *, strict_weight: float = STRICT_WEIGHT, soft_limit: int = SOFT_LIMIT, most: int = 1_000_000) -> Vocabulary:
+        """From a table (term, weight): the greatest weight of a repeated term counts; terms are lower-cased in A-Z; null, empty and weightless ones are left out; more than most terms are an error."""
+        rows = terms.filter("term <> '' AND weight > 0").groupBy(F.translate("term", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("term")).agg(F.max("weight").alias("weight")).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"the vocabulary has over {most} terms")
+        strict = lambda r: r["weight"] >= strict_weight
+        return cls(tuple(sorted(r["term"] for r in rows if strict(r))), tuple(sorted(r["term"] for r in rows if not strict(r))), soft_limit)
+
     def automaton(self) -> ahocorasick.Automaton:
         machine = ahocorasick.Automaton()
-        for term in (*self.soft, *self.strict):
-            machine.add_word(term, (term, term in self.strict))
+        for hard, terms in ((False, self.soft), (True, self.strict)):
+            for term in terms:
+                machine.add_word(term, (term, hard))
         machine.make_automaton()
         return machine
 
@@ -53,7 +79,7 @@ def parts(url: str | None) -> tuple[str, str]:
 def terms_found(machine: ahocorasick.Automaton, url: str) -> tuple[set[str], set[str]]:
     """Distinct strict and soft terms that stand in the url between non-alphanumeric characters."""
     low, strict, soft = url.translate(_UPPER), set(), set()
-    for last, (term, hard) in machine.iter(low):
+    for last, (term, hard) in machine.iter(low) if len(machine) else ():
         first = last - len(term) + 1
         if (first == 0 or not _ORDINARY.match(low[first - 1])) and (last + 1 == len(low) or not _ORDINARY.match(low[last + 1])):
             (strict if hard else soft).add(term)
@@ -72,17 +98,19 @@ def url_filter(
 ) -> DataFrame:
     """Judge every url: page_id, host, path, rule, verdict, n_strict and n_soft (distinct terms).
 
-    A null url has empty host and path, no terms and the verdict allow; repeated rows are judged one by one,
-    an empty table gives no rows. One pass without a shuffle.
+    A null url has empty host and path, no terms and the verdict allow; very long urls are read whole; repeated rows and
+    ids are judged one by one, ids may be null; of rules of equal length the first given wins; other columns, whatever
+    their names, are not looked at; an empty table gives no rows. One pass without a shuffle.
     """
     by_host: dict[str, list[tuple[str, str, str]]] = {}
     for verdict, text in rules:
         host, slash, path = text.partition("/")
         by_host.setdefault(host.lower(), []).append((slash + path, verdict, text))
+    token = uuid.uuid4().hex
     schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("n_strict", pa.int32()), ("n_soft", pa.int32())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = vocabulary.automaton()
+        machine = shared.machine(("vocabulary", token), vocabulary.automaton)
         for batch in batches:
             rows = []
             for url in batch.column(1).to_pylist():
@@ -116,7 +144,7 @@ named AS (
   SELECT page_id, low, {lower.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
          regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM cut),
 counted AS (
-  SELECT *, CAST({count(STRICT)} AS INTEGER) AS n_strict, CAST({count(SOFT)} AS INTEGER) AS n_soft FROM named),
+  SELECT *, CAST({count(TERMS[2])} AS INTEGER) AS n_strict, CAST({count(TERMS[1])} AS INTEGER) AS n_soft FROM named),
 ruled AS (
   SELECT c.*, r.verdict AS by_rule, r.rule,
          row_number() OVER (PARTITION BY c.page_id, c.host, c.path, c.low ORDER BY length(r.rule) DESC NULLS LAST) AS nth

@@ -223,6 +223,32 @@ def test_url(spark, url, want):
     assert (r["host"], r["path"], r["rule"], r["verdict"]) == want
 
 
+def test_odd_pages(spark):
+    long = "http://h.io/" + "x/" * 200_000 + "porn"
+    rows = [(None, "http://porn.io/", 1), (1, None, 1), (1, "http://ok.io/", 1), (1, "http://ok.io/", 1), (2, long, 1), (3, "http://free.io/" + "free/" * 10_000, 1)]
+    found = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, verdict int").withColumn("host", F.lit(0)))
+    assert by_row(found, "page_id", "verdict") == sorted([(None, "block"), (1, "allow"), (1, "allow"), (1, "allow"), (2, "block"), (3, "allow")], key=repr)
+
+
+def test_vocabulary_of_thousands_of_weighted_terms(spark):
+    """Boundaries and distinctness against regular expressions, with terms within terms."""
+    rng = random.Random(11)
+    terms = {"".join(rng.choice("abcde-") for _ in range(rng.randrange(2, 7))).strip("-") or "zz": rng.choice([0.5, 1.0, 2.0, 5.0]) for _ in range(4000)}
+    table = spark.createDataFrame([*terms.items(), ("AB", 0.5), ("", 9.0), (None, 9.0), ("never", 0.0)], "term string, weight double")
+    words = url_filter.Vocabulary.of(table, soft_limit=3)
+    strict, soft = {t for t, w in terms.items() if w >= 2}, {t for t, w in terms.items() if w < 2} | {"ab"} - {t for t, w in terms.items() if w >= 2}
+    assert set(words.strict) == strict and set(words.soft) == soft and len(words.strict) + len(words.soft) > 1900
+    urls = ["http://" + "".join(rng.choice("abcde-./") for _ in range(rng.randrange(0, 60))) for _ in range(300)]
+    hits = lambda terms, u: {t for t in terms if re.search(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", u)}
+    found = {r["page_id"]: r for r in url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), vocabulary=words, rules=()).collect()}
+    for k, u in enumerate(urls):
+        a, b = len(hits(strict, u)), len(hits(soft, u))
+        assert (found[k]["n_strict"], found[k]["n_soft"], found[k]["verdict"]) == (a, b, "block" if a or b >= 3 else "allow")
+    with pytest.raises(ValueError):
+        url_filter.Vocabulary.of(table, most=10)
+    assert url_filter.url_filter(spark.createDataFrame([(1, "http://porn.io")], "page_id long, url string"), vocabulary=url_filter.Vocabulary((), ())).collect()[0]["verdict"] == "allow"
+
+
 # nearest neighbours
 
 
@@ -385,6 +411,32 @@ def test_ledger_scans_only_what_is_new(spark):
     assert by_row(masked, "doc_id", "text") == [(1, "*" * 14), (2, "*" * 14), (3, "clean"), (4, "*" * 14)]
 
 
+def test_many_matches_and_odd_columns(spark):
+    text = " ".join(hashlib.md5(str(k).encode()).hexdigest() for k in range(1500)) + " secret=abcdef1 end"
+    df = spark.createDataFrame([(1, text, 0, 0, "x"), (None, None, 0, 0, "y"), (2, "", 0, 0, "z")], "doc_id long, text string, found int, _blob int, salt string")
+    assert by_row(secret_scan.secret_scan(df), "doc_id", "n_hex", "n_assign") == sorted([(1, 1500, 1), (2, 0, 0), (None, 0, 0)], key=repr)
+    spans = [tuple(map(int, x.split(":")[1:])) for x in secret_scan.secret_scan(df).filter("doc_id = 1").first()["spans"].split(",")]
+    assert spans == [(33 * k, 33 * k + 32) for k in range(1500)] + [(33 * 1500, 33 * 1500 + 14)]
+    masked = secret_scan.masked(df, secret_scan.findings(secret_scan.scan(df)))
+    assert masked.columns == df.columns
+    assert by_row(masked, "doc_id", "text", "salt") == sorted([(1, re.sub(r"[0-9a-f]{32}|secret=abcdef1", lambda m: "*" * len(m[0]), text), "x"), (None, None, "y"), (2, "", "z")], key=repr)
+
+
+def test_stored_ledger(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    one = spark.createDataFrame([(1, "secret=abcdef1"), (2, "clean")], "doc_id long, text string")
+    more = one.unionAll(spark.createDataFrame([(3, "token: zzzzzz9"), (4, "secret=abcdef1")], "doc_id long, text string"))
+    rules = len(secret_scan.RULES)
+    assert secret_scan.read_ledger(spark, path).count() == 0
+    assert secret_scan.scan_into(one, path).count() == 2 * rules and secret_scan.scan_into(one, path).count() == 2 * rules
+    ledger = secret_scan.scan_into(more, path)
+    assert ledger.count() == 3 * rules
+    assert by_row(secret_scan.joined_back(more, secret_scan.findings(ledger)).select("doc_id", F.size("found").alias("n")), "doc_id", "n") == [(1, 1), (2, 0), (3, 1), (4, 1)]
+    newer = (*secret_scan.RULES[:-1], secret_scan.Rule("host_token", r"gh[pousr]_[A-Za-z0-9]{30,}", version=2))
+    both = secret_scan.scan_into(more, path, newer)
+    assert both.count() == 3 * rules + 3 and secret_scan.compacted(both.unionAll(both), newer).count() == 3 * rules
+
+
 # decontamination
 
 
@@ -534,6 +586,34 @@ def test_filter_returns_all_languages_of_an_ngram():
     assert abs(f.chance()[0] - (hits[0] - 1000) / (len(keys) - 1000)) < 0.01
 
 
+def test_vote_is_that_of_exact_sets(spark):
+    """Sets in place of the filter: every n-gram's languages, looked up one by one."""
+    rows = duckdb.sql(f"SELECT doc_id, text, lang FROM '{SF}/documents.parquet'").fetchall()
+    held, counts = lambda i: zlib.crc32(str(i).encode()) % 4 == 2, defaultdict(Counter)
+
+    def own_grams(text):
+        t = re.sub(rb"[\x00-\x60\x7b-\x7f]+", b" ", (" " + text.lower() + " ").encode())
+        return [t[k : k + n] for n in language_id.ORDERS for k in range(len(t) - n + 1)]
+
+    for i, t, lang in rows:
+        if t and lang and not held(i):
+            counts[lang].update(own_grams(t))
+    names, total = sorted(counts), {lang: 0 for lang in counts}
+    every = {g for c in counts.values() for g in c if c[g] >= language_id.LEAST}
+    for lang in names:
+        total[lang] = sum(counts[lang][g] for g in every)
+    rate = {g: {lang: counts[lang][g] / total[lang] for lang in names} for g in every}
+    owns = {g: {lang for lang in names if counts[lang][g] >= language_id.LEAST and r[lang] >= language_id.SHARE * max(r.values())} for g, r in rate.items()}
+    found = {r["doc_id"]: r for r in language_id.op9_language_id(spark, SF).collect()}
+    for i, t, _ in rows:
+        if language_id.has_letter(t):
+            grams = own_grams(t)
+            share = {lang: sum(lang in owns.get(g, ()) for g in grams) / len(grams) for lang in names}
+            best = max(names, key=lambda x: share[x])
+            assert found[i]["lang_pred"] == best or share[best] - share[found[i]["lang_pred"]] < 0.01
+            assert abs(found[i]["score"] - share[best]) < 0.01
+
+
 # language model
 
 

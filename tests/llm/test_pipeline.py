@@ -52,6 +52,24 @@ def test_secret_stage_masks_all_spans(spark, docs):
     assert secret_scan.findings(secret_scan.scan(pipeline.secrets_masked(spark, docs, SF))).count() == 0
 
 
+def test_packing_stage(spark, docs):
+    """Every document's tokens, in order, in gapless sequences; about as few as the tokens need."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(pipeline.public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    found = pipeline.sequences(spark, docs, SF).collect()
+    length, bins = {}, {}
+    for r in sorted(found, key=lambda r: (r["doc_id"], r["piece"])):
+        assert r["start"] == length.get(r["doc_id"], 0)
+        length[r["doc_id"]] = r["start"] + r["length"]
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert length == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+    for own in bins.values():
+        assert [a for a, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))]
+    assert len(bins) <= 1.25 * sum(length.values()) / 2048 + 1
+
+
 def test_run(spark, tmp_path):
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "packing"]
     out = pipeline.run(spark, SF)
