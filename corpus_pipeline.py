@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygraph.llm import decontaminate, language_id, near_dup, packing, secret_scan
-from tallygraph.llm.shared import written
+from tallygraph.llm.shared import temporary_tables, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Share of a document's n-grams that its language must hold; running text has over 0.5, other matter near 0.
@@ -29,30 +29,50 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language the filters learnt from all labelled documents recognise; the verdict is of the text alone."""
+    """Keep documents whose language the filters learnt from all labelled documents recognise; the verdict is of the text alone.
+
+    Null and empty texts and those without a letter go; ids may be null or repeated, equal texts share their fate; of tied
+    languages any keeps the document; extra columns are dropped; an empty table stays empty.
+    """
     model = language_id.fit(docs, F.lit(True))
     judged = language_id.judged(docs.select(*COLUMNS), model)
     return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: that with the least doc_id."""
+    """Keep one document of each group (similarity 0.8 of five-word shingles): that with the least doc_id.
+
+    Null and empty texts and null ids are in no group and stay; so do repeated rows of the least id, which is kept as a
+    whole; extra columns are dropped; an empty table stays empty.
+    """
     return without(docs, near_dup.near_duplicates(docs).filter("NOT kept"))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage within the edit distance of a benchmark item."""
+    """Drop documents that hold a passage within the edit distance of a benchmark item.
+
+    Null and empty texts hold none and stay, as do rows with a null id; repeated rows go together; extra columns are
+    dropped; an empty table of documents stays empty, an empty benchmark drops nothing.
+    """
     return without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret of the scan's findings replaced by asterisks of its length."""
+    """All documents, with each secret of the scan's findings replaced by asterisks of its length.
+
+    Null texts stay null and empty ones empty; copies are masked alike whatever their ids; overlapping spans are masked once;
+    extra columns are dropped; an empty table stays empty.
+    """
     found = secret_scan.findings(secret_scan.scan(docs))
     return secret_scan.masked(docs.select(*COLUMNS), found).select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset for every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset for every piece of every document.
+
+    Null and empty texts are one closing token, very long ones are cut at the capacity; null, repeated and tied rows are
+    packed one by one; extra columns are not looked at; an empty table gives no rows.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -71,5 +91,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporary_tables(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}", lasting=True)
     return docs
