@@ -5,8 +5,8 @@ the documents that overlap; an estimate on the union of two sketches filters the
 full sets decides. Documents with equal sets are one class from the start, and only classes are compared.
 
 A list's key is a run of consecutive retained values, so that a boilerplate passage alone rarely makes one. In a long list
-documents are compared with leaders, which are unlike each other, so copies of a template cost one comparison each. A list
-passes on a spanning forest of the pairs that pass the filter, not the pairs: the forests' components are groups that no
+documents are first compared, over many tasks, with some of its own, the pivots; those that no pivot leads, with leaders,
+which are unlike each other. So copies of a template cost a few comparisons each. A list passes on a spanning forest of the pairs that pass the filter, not the pairs: the forests' components are groups that no
 link leaves. Each group's texts then meet once, heavy groups in pairs of blocks, where all pairs that are not linked yet
 are verified on the full sets and a spanning forest of the links remains.
 """
@@ -39,6 +39,8 @@ ESTIMATED = 0.6
 #: In long lists documents are compared with leaders; each other one passes the estimate with a leader, so is within 0.4 of
 #: it, and a document linked with it (0.2 apart at most) within 0.6; this is below 0.4 by as much as estimates err.
 LED = 0.25
+#: Pivots of a long list, about, and documents that one task compares with them.
+PIVOTS, DEALT = 64, 4096
 #: Shingles of a group's texts that one task holds; a heavier group is dealt in pairs of blocks.
 HEAVY = 1 << 22
 #: Columns of a table of exact intersections, and pairs from which a block's are counted by one.
@@ -198,12 +200,58 @@ def listed_pairs(postings: DataFrame) -> DataFrame:
     return postings.mapInArrow(compare, "a long, b long")
 
 
+def pivoted(members: DataFrame) -> DataFrame:
+    """key, id, pivot: for rows (key, salt, leads, id, sketch) that come sorted, pivots first, a spanning forest of each list's documents and pivots that are alike; a null pivot tells that none leads."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("pivot", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, pivots, theirs, ids, held, forest = None, [], [], [], [], Forest()
+        out: list[tuple[int, int, int | None]] = []
+
+        def meet() -> None:
+            if ids:
+                near = similarity_estimates([*held, *theirs])[: len(held), len(held) :] if pivots else np.zeros((len(held), 1))
+                i, j = np.nonzero(near >= LED)
+                out.extend((group[0], ids[x], pivots[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(ids[x], pivots[y]))
+                out.extend((group[0], ids[x], None) for x in np.flatnonzero(near.max(1) < ESTIMATED).tolist())
+            ids.clear()
+            held.clear()
+
+        for batch in batches:
+            for key, salt, leads, name, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, salt) != group:
+                    meet()
+                    for x in (pivots, theirs, forest.parent):
+                        x.clear()
+                    group = key, salt
+                (pivots if leads else ids).append(name)
+                (theirs if leads else held).append(np.frombuffer(sketch, np.uint32))
+                if len(ids) >= LONG:
+                    meet()
+            if len(out) > 20_000:
+                yield record(schema, *map(list, zip(*out, strict=True)))
+                out.clear()
+        meet()
+        yield record(schema, *(list(c) for c in zip(*out, strict=True)) if out else ([], [], []))
+
+    return members.mapInArrow(compare, "key long, id long, pivot long")
+
+
 def candidates(classes: DataFrame) -> DataFrame:
     """Distinct pairs of classes that join all that share a list and pass the estimate."""
+    parts, sketch = width(classes.sparkSession), classes.select("id", "sketch")
     rows = written(keys(classes, LISTED, RUN), "keys")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    postings = rows.join(sizes, "key").select("key", "id").join(classes.select("id", "sketch"), "id").select("key", "id", "sketch")
-    pairs = listed_pairs(postings.repartition(width(classes.sparkSession), "key").sortWithinPartitions("key", "id"))
+    listed = written(rows.join(sizes, "key"), "lists")
+    long = listed.filter(F.col("many") > LONG).join(sketch, "id").withColumn("salts", F.ceil(F.col("many") / DEALT).cast("int"))
+    drawn = F.pmod(F.xxhash64("id", F.lit("pivot")), F.ceil(F.col("many") / PIVOTS)) == 0
+    pivots = long.filter(drawn).select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("leads"), "id", "sketch")
+    members = long.select("key", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("leads"), "id", "sketch")
+    met = written(pivoted(pivots.unionByName(members).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", F.desc("leads"), "id")), "pivoted")
+    rest = listed.filter(F.col("many") <= LONG).select("key", "id").unionByName(met.filter("pivot IS NULL").select("key", "id"))
+    postings = rest.join(sketch, "id").select("key", "id", "sketch")
+    pairs = listed_pairs(postings.repartition(parts, "key").sortWithinPartitions("key", "id"))
+    pairs = pairs.unionByName(met.filter("pivot IS NOT NULL").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

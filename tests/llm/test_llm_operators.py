@@ -109,6 +109,8 @@ def test_long_lists_and_heavy_groups(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"new{k}"
         rows.append((k, " ".join(w)))
     monkeypatch.setattr(near_dup, "LONG", 8)
+    monkeypatch.setattr(near_dup, "PIVOTS", 2)
+    monkeypatch.setattr(near_dup, "DEALT", 10)
     monkeypatch.setattr(near_dup, "HEAVY", 600)
     for similarity in (80, 85):
         found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity)
@@ -131,6 +133,21 @@ def test_short_variants_in_long_lists(spark):
         assert found == sorted(plain_components(rows, similarity), key=repr)
 
 
+def test_unlike_documents_in_long_lists(spark, monkeypatch):
+    """One passage in documents that are otherwise apart, with links among few of them: the same components, whoever the pivots are."""
+    monkeypatch.setattr(near_dup, "LONG", 16)
+    monkeypatch.setattr(near_dup, "PIVOTS", 4)
+    monkeypatch.setattr(near_dup, "DEALT", 20)
+    rng, rows, shared = random.Random(7), [], [f"s{k}" for k in range(60)]
+    for k in range(120):
+        w = shared + [f"own{k // 2}w{j}" for j in range(60)]
+        if k % 2:
+            w[60 + rng.randrange(60)] = f"changed{k}"
+        rows.append((k, " ".join(w)))
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert by_row(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(plain_components(rows, 80), key=repr)
+
+
 def test_small_sets_of_all_sizes(spark):
     rng, rows = random.Random(6), []
     for size in range(1, 71):
