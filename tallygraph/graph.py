@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from dataclasses import dataclass, field
 
@@ -23,17 +24,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Rows in the folder of spark.checkpoint.dir, which all executors share: iterative plans stay short and survive lost executors."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallygraph-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallygraph-"))
     return df.checkpoint()
 
 
-def numbered(df: DataFrame, bucket: Column, *order: Column | str, name: str) -> DataFrame:
+#: Rows that one task numbers, about.
+NUMBERED = 1_000_000
+#: Rows that an ordered limit, which ends in one task, may have.
+TOP = 100_000
+
+
+def hash_digits(rows: int) -> int:
+    """Leading hexadecimal digits of a hash that make buckets of about NUMBERED rows, two at least."""
+    return max(2, math.ceil(math.log(max(rows, 1) / NUMBERED, 16))) if rows > NUMBERED else 2
+
+
+def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df with _bucket: ranges of about equal size along the order, which never decrease along it; a table in the shared folder, as ranges are drawn from a sample."""
+    return checkpointed(df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, bucket: Column | None, *order: Column | str, name: str) -> DataFrame:
     """Rows numbered from 0 in the order given.
 
-    bucket never decreases along that order, so rows are numbered within buckets, in parallel, and a bucket's first
-    number is the rows of those before it; only a row for each bucket meets in one task.
+    bucket never decreases along that order (None: ranges of about equal size), so rows are numbered within buckets, in
+    parallel, and a bucket's first number is the rows of those before it; only a row for each bucket meets in one task.
     """
-    held = df.withColumn("_bucket", bucket)
+    held = ranged(df, *order) if bucket is None else df.withColumn("_bucket", bucket)
     sizes = held.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -41,10 +61,18 @@ def numbered(df: DataFrame, bucket: Column, *order: Column | str, name: str) ->
     return held.withColumn("_nth", nth).join(starts, "_bucket").withColumn(name, F.col("_start") + F.col("_nth") - 1).drop("_bucket", "_nth", "_start")
 
 
-def shuffled(df: DataFrame, key: Column, *ties: str, name: str) -> DataFrame:
-    """Rows numbered from 0 in the order of a hexadecimal hash, whose first digits are the buckets."""
+def first(df: DataFrame, rows: int, *order: Column | str) -> DataFrame:
+    """The first rows in the order: a top-k while they are few, else by number, so that they never meet in one task."""
+    if rows <= TOP:
+        return df.orderBy(*order).limit(max(rows, 0))
+    return numbered(df, None, *order, name="_number").filter(F.col("_number") < rows).drop("_number")
+
+
+def shuffled(df: DataFrame, key: Column, *ties: str, name: str, rows: int | None = None) -> DataFrame:
+    """Rows numbered from 0 in the order of a hexadecimal hash, whose first digits are the buckets: as many as the rows need, which are counted unless given."""
     held = df.withColumn("_key", key)
-    return numbered(held, F.substring("_key", 1, 2), "_key", *ties, name=name).drop("_key")
+    digits = hash_digits(df.count() if rows is None else rows)
+    return numbered(held, F.substring("_key", 1, digits), "_key", *ties, name=name).drop("_key")
 
 
 def induced(edges: DataFrame, kept: DataFrame, node: str = "node") -> DataFrame:

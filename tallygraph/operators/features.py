@@ -8,8 +8,11 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import log_amount, one_hot, seconds_since
 from ..graph import endpoints, numbered
+from .metrics import quantiles
 
 UNKNOWN = "Unknown"
+#: Values that a one-hot encoded column may have.
+CATEGORIES = 1000
 
 
 def first_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -44,7 +47,7 @@ def labelled(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFram
 
 def median_filled(df: DataFrame, column: str) -> DataFrame:
     """Missing values become the exact median of the observed ones (0 without any)."""
-    return df.crossJoin(F.broadcast(df.agg(F.median(column).alias("_median")))).withColumn(column, F.coalesce(column, "_median", F.lit(0.0))).drop("_median")
+    return df.withColumn(column, F.coalesce(F.col(column), F.lit(quantiles(df, column, [0.5])[0]).cast("double"), F.lit(0.0)))
 
 
 def scaled(df: DataFrame, columns: dict[str, Column | str], suffix: str = "_scaled") -> DataFrame:
@@ -57,8 +60,18 @@ def scaled(df: DataFrame, columns: dict[str, Column | str], suffix: str = "_scal
 
 
 def categories(df: DataFrame, column: str) -> list[str]:
-    """The distinct values in order; a driver-side list, as the encoder's width is."""
-    return [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    """The distinct values in order; each becomes a column, so over CATEGORIES are an error."""
+    found = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(CATEGORIES + 1).collect()]
+    if len(found) > CATEGORIES:
+        raise ValueError(f"{column} has over {CATEGORIES} values")
+    return sorted(found)
+
+
+def interleaved_universe(edges: DataFrame) -> DataFrame:
+    """account_id and node_idx, dense by first appearance when rows are read one by one, source before destination."""
+    at = lambda side: F.struct(F.col("eid").alias("eid"), F.lit(side).alias("side")).alias("x")
+    seen = edges.select(F.col("src").alias("account_id"), at(0)).unionAll(edges.select("dst", at(1)))
+    return numbered(seen.groupBy("account_id").agg(F.min("x").alias("x")), None, "x", name="node_idx").select("account_id", "node_idx")
 
 
 def edge_features(edges: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -85,7 +98,7 @@ def node_features(nodes: DataFrame, degrees: DataFrame | None = None) -> tuple[D
 
 def median_bits(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns as 0/1 by strictly exceeding their median; those that come out constant are dropped."""
-    medians = df.agg(*[F.median(c).alias(f"_{c}") for c in columns])
-    bits = df.crossJoin(F.broadcast(medians)).select(*[c for c in df.columns if c not in columns], *[(F.col(c) > F.col(f"_{c}")).cast("int").alias(c) for c in columns])
+    medians = {c: quantiles(df, c, [0.5])[0] for c in columns}
+    bits = df.select(*[c for c in df.columns if c not in columns], *[(F.col(c) > F.lit(medians[c]).cast("double")).cast("int").alias(c) for c in columns])
     total = bits.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns]).collect()[0]
     return bits.drop(*[c for c in columns if total[c] in (0, total["n"], None)])

@@ -6,13 +6,14 @@ buckets after, so that no order over all rows meets in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import probability
-
-BUCKETS = 1024
+from ..graph import checkpointed, ranged
 
 
 def grouped(scores: DataFrame) -> DataFrame:
@@ -21,10 +22,8 @@ def grouped(scores: DataFrame) -> DataFrame:
 
 
 def cumulated(counts: DataFrame, *columns: str, by: str = "score", within: tuple[str, ...] = ()) -> DataFrame:
-    """counts with below_c, the sums of columns at lower values of by (in each group of within)."""
-    span = counts.agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
-    share = F.coalesce(F.try_divide(F.col(by) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    held = counts.crossJoin(F.broadcast(span)).withColumn("_bucket", F.floor(share * BUCKETS)).drop("_lo", "_hi")
+    """counts with below_c, the sums of columns at lower values of by (in each group of within). Ranges have about equally many values, however far apart these are."""
+    held = ranged(counts, *within, by)
     own = W.partitionBy(*within, "_bucket").orderBy(by).rowsBetween(W.unboundedPreceding, -1)
     before = W.partitionBy(*within).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = held.groupBy(*within, "_bucket").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
@@ -33,6 +32,21 @@ def cumulated(counts: DataFrame, *columns: str, by: str = "score", within: tuple
     return ranked.select(*counts.columns, *[(F.col(f"_s_{c}") + F.col(f"_o_{c}")).alias(f"below_{c}") for c in columns])
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles of the values that are there, interpolated between neighbours in order; None without any. At most two rows for each share come to the driver."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    placed = checkpointed(cumulated(counts, "n", by="value"))
+    total = int(placed.agg(F.coalesce(F.sum("n"), F.lit(0.0))).collect()[0][0])
+    if not total:
+        return [None] * len(shares)
+    at = [q * (total - 1) for q in shares]
+    ranks = sorted({r for x in at for r in (math.floor(x), math.ceil(x))})
+    asked = F.broadcast(df.sparkSession.createDataFrame([(float(r),) for r in ranks], "rank double"))
+    rows = placed.join(asked, (F.col("rank") >= F.col("below_n")) & (F.col("rank") < F.col("below_n") + F.col("n"))).select("rank", "value").collect()
+    value = {int(r["rank"]): r["value"] for r in rows}
+    return [value[math.floor(x)] + (x - math.floor(x)) * (value[math.ceil(x)] - value[math.floor(x)]) for x in at]
+
+
 def roc_auc(scores: DataFrame) -> DataFrame:
     """One row, roc_auc: chance that a positive outranks a negative, ties half; NULL with one class."""
     c = cumulated(grouped(scores), "n")
@@ -63,8 +77,9 @@ def f1(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def best_f1(scores: DataFrame, steps: int = 32) -> DataFrame:
     """One row, f1_best: the greatest F1 over the distinct interpolated quantiles 0, 1/steps, ..., 1 of the scores; 0 with one class."""
-    grid = scores.agg(F.percentile("score", F.array(*[F.lit(k / steps) for k in range(steps + 1)])).alias("g"), F.sum("y").cast("double").alias("all_p"), F.sum(1 - F.col("y")).cast("double").alias("all_n"))
-    cuts = F.broadcast(grid.select(F.explode(F.array_distinct("g")).alias("t"), "all_p", "all_n"))  # at most steps + 1 rows
+    cut = sorted({q for q in quantiles(scores, "score", [k / steps for k in range(steps + 1)]) if q is not None})
+    totals = scores.agg(F.sum("y").cast("double").alias("all_p"), F.sum(1 - F.col("y")).cast("double").alias("all_n"))
+    cuts = F.broadcast(scores.sparkSession.createDataFrame([(t,) for t in cut], "t double").crossJoin(totals))  # at most steps + 1 rows
     each = grouped(scores).crossJoin(cuts).filter("score >= t").groupBy("t", "all_p", "all_n").agg(F.sum("p").alias("tp"), F.sum("n").alias("fp"))
     value = F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), f1_of(F.col("tp"), F.col("fp"), F.col("all_p") - F.col("tp"))).otherwise(0.0)
     return each.agg(F.round(F.coalesce(F.max(value), F.lit(0.0)), 6).alias("f1_best"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,22 +17,29 @@ def mean_in(nodes: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame
     return nodes.select("node").join(mean, "node", "left").select("node", *[F.coalesce(f"mean_{c}", F.lit(0.0)).alias(f"mean_{c}") for c in columns])
 
 
-def dense(columns: list[str], weights: list[list[float]], bias: list[float] | None = None) -> list[Column]:
-    """One sum of products for each row of weights."""
-    out = []
-    for k, row in enumerate(weights):
-        total = F.lit(float(bias[k])) if bias else F.lit(0.0)
-        for c, w in zip(columns, row, strict=True):
-            total = total + F.col(c) * F.lit(float(w))
-        out.append(total)
-    return out
+def mapped(df: DataFrame, kept: list[str], inputs: list[str], layers: list[tuple[np.ndarray, np.ndarray, bool]], names: list[str]) -> DataFrame:
+    """kept columns (integers, strings) and names: inputs through dense layers (weights, bias, whether negative sums become 0), a matrix product for each batch of rows."""
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    fields = [(f.name, f.dataType.simpleString()) for f in df.select(*kept).schema]
+    schema = pa.schema([(n, types[t]) for n, t in fields] + [(n, pa.float64()) for n in names])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[len(kept) :]], 1) if inputs else np.zeros((batch.num_rows, 0))
+            for weights, bias, relu in layers:
+                h = h @ weights + bias
+                h = np.maximum(h, 0) if relu else h
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(np.ascontiguousarray(x)) for x in h.T)], schema=schema)
+
+    columns = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_{k}") for k, c in enumerate(inputs)]
+    return df.select(*kept, *columns).mapInArrow(apply, ", ".join([f"`{n}` {t}" for n, t in fields] + [f"`{n}` double" for n in names]))
 
 
 def sage_layer(nodes: DataFrame, edges: DataFrame, columns: list[str], w_mean: list[list[float]], w_self: list[list[float]], bias: list[float], *, relu: bool = True) -> DataFrame:
-    """node, h0, h1, ...: weights on the in-edges' mean plus bias plus weights on the node itself, negative sums cut to 0 unless it is the last layer."""
+    """node, h0, h1, ...: weights (a row for each output) on the in-edges' mean plus bias plus weights on the node itself, negative sums cut to 0 unless it is the last layer."""
     joined = nodes.select("node", *columns).join(mean_in(nodes, edges, columns), "node")
-    sums = [a + b for a, b in zip(dense([f"mean_{c}" for c in columns], w_mean, bias), dense(columns, w_self), strict=True)]
-    return joined.select("node", *[(F.greatest(F.lit(0.0), s) if relu else s).alias(f"h{k}") for k, s in enumerate(sums)])
+    weights = np.concatenate([np.asarray(w_mean, float), np.asarray(w_self, float)], 1).T
+    return mapped(joined, ["node"], [f"mean_{c}" for c in columns] + columns, [(weights, np.asarray(bias, float), relu)], [f"h{k}" for k in range(len(bias))])
 
 
 def edge_gather(edges: DataFrame, nodes: DataFrame, columns: list[str], attributes: list[str]) -> DataFrame:

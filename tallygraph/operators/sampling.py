@@ -7,20 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
-from ..graph import checkpointed, empty_like, induced, numbered, relabelled
+from ..graph import checkpointed, empty_like, first, induced, numbered, relabelled
 from .structure import degrees
 
 
 def first_by_hash(nodes: DataFrame, k: int, seed: int, salt: str) -> DataFrame:
-    """The first k nodes in hash order: a distributed top-k."""
-    return nodes.withColumn("_k", order_key(seed, salt, "node")).orderBy("_k", "node").limit(k).drop("_k")
+    """The first k nodes in hash order."""
+    return first(nodes.withColumn("_k", order_key(seed, salt, "node")), k, "_k", "node").drop("_k")
 
 
 def compact(nodes: DataFrame) -> DataFrame:
     """node and idx, numbered from 0 in order of the node."""
-    span = nodes.agg(F.min("node").alias("lo"), F.max("node").alias("hi")).collect()[0]
-    step = max(1, ((span["hi"] or 0) - (span["lo"] or 0)) // 256)
-    return numbered(nodes.select("node").distinct(), F.floor((F.col("node") - (span["lo"] or 0)) / step), "node", name="idx")
+    return numbered(nodes.select("node").distinct(), None, "node", name="idx")
 
 
 def subgraph(edges: DataFrame, kept: DataFrame) -> DataFrame:
@@ -42,9 +40,14 @@ def random_induced(nodes: DataFrame, edges: DataFrame, max_nodes: int, seed: int
     return first_by_hash(kept, max_nodes - 1, seed, "induced").unionAll(positive) if positive.count() else kept
 
 
+def adjacency(edges: DataFrame) -> DataFrame:
+    """at and node, both ways, each pair once: written once by at, as every wave joins it there."""
+    return checkpointed(edges.select(F.col("src").alias("at"), F.col("dst").alias("node")).unionAll(edges.select("dst", "src")).distinct().repartition("at"))
+
+
 def enriched(nodes: DataFrame, edges: DataFrame, max_nodes: int, seed: int, hops: int = 2) -> DataFrame:
     """Nodes within so many undirected hops of a positive; over max_nodes negatives drop out at random, under it others fill up. Positives alone may exceed it."""
-    both = edges.select(F.col("src").alias("at"), F.col("dst").alias("node")).unionAll(edges.select("dst", "src")).distinct()
+    both = adjacency(edges)
     kept = checkpointed(nodes.filter("y = 1").select("node"))
     frontier = kept
     for _ in range(hops):
@@ -62,7 +65,7 @@ def enriched(nodes: DataFrame, edges: DataFrame, max_nodes: int, seed: int, hops
 
 def k_hop_in(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Nodes from which a seed is reached along at most so many edges."""
-    kept = checkpointed(seeds.select("node").distinct())
+    kept, edges = checkpointed(seeds.select("node").distinct()), checkpointed(edges.select("src", "dst").repartition("dst"))
     frontier = kept
     for _ in range(hops):
         back = edges.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
@@ -90,7 +93,7 @@ def snowball(nodes: DataFrame, edges: DataFrame, max_nodes: int, seed: int, *, k
     new nodes are taken in order of their offers until max_nodes. Seeds are never cut.
     """
     spark = nodes.sparkSession
-    both = edges.filter("src <> dst").select(F.col("src").alias("at"), F.col("dst").alias("node")).unionAll(edges.filter("src <> dst").select("dst", "src")).distinct()
+    both = adjacency(edges.filter("src <> dst"))
     kept = checkpointed(seeds(nodes, edges, strategy, k).withColumn("wave", F.lit(0)))
     total = kept.count()
     rows, frontier = [(0, total, total)], kept
@@ -99,8 +102,8 @@ def snowball(nodes: DataFrame, edges: DataFrame, max_nodes: int, seed: int, *, k
             break
         offers = frontier.select(F.col("node").alias("at")).join(both, "at").join(kept.select("node"), "node", "left_anti")
         offer = F.struct(order_key(seed, f"f{wave}", "at").alias("f"), order_key(seed, f"n{wave}", "node").alias("n"), F.col("node").alias("v"))
-        first = offers.groupBy("node").agg(F.min(offer).alias("x"))
-        frontier = checkpointed(first.orderBy("x").limit(max_nodes - total).select("node", F.lit(wave).alias("wave")))
+        offered = offers.groupBy("node").agg(F.min(offer).alias("x"))
+        frontier = checkpointed(first(offered, max_nodes - total, "x").select("node", F.lit(wave).alias("wave")))
         new = frontier.count()
         if not new:
             break

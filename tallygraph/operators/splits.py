@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
-from ..graph import numbered
+from ..graph import hash_digits, numbered
 
 SPLITS = ("train", "val", "test")
 
@@ -19,12 +19,12 @@ def class_sizes(df: DataFrame) -> tuple[int, int]:
     return int(r["n"]), int(r["p"])
 
 
-def ranked_by_class(df: DataFrame, seed: int, salt: str, key: str) -> DataFrame:
-    """df with rank, from 0 in hash order within its class y."""
-    held = df.withColumn("_key", order_key(seed, salt, F.col(key)))
-    bucket = F.col("y") * 256 + F.conv(F.substring("_key", 1, 2), 16, 10).cast("int")
+def ranked_by_class(df: DataFrame, seed: int, salt: str, key: str, sizes: tuple[int, int]) -> DataFrame:
+    """df with rank, from 0 in hash order within its class y; sizes are its rows and positives."""
+    held, digits = df.withColumn("_key", order_key(seed, salt, F.col(key))), hash_digits(sizes[0])
+    bucket = F.col("y") * 16**digits + F.conv(F.substring("_key", 1, digits), 16, 10).cast("long")
     every = numbered(held, bucket, "_key", key, name="_all").drop("_key")
-    negatives = F.lit(class_sizes(df)[0] - class_sizes(df)[1])
+    negatives = F.lit(sizes[0] - sizes[1])
     return every.withColumn("rank", F.col("_all") - F.when(F.col("y") == 1, negatives).otherwise(0)).drop("_all")
 
 
@@ -57,7 +57,7 @@ def balanced(df: DataFrame, cap: int, share: float, seed: int, *, key: str = "ei
     if not p:
         return prefix(df, cap)
     take_p, take_n = (truncated_quota if truncated else balanced_quota)(cap, share, p, n - p)
-    return ranked_by_class(df, seed, "slice", key).filter(F.when(F.col("y") == 1, F.col("rank") < take_p).otherwise(F.col("rank") < take_n)).drop("rank")
+    return ranked_by_class(df, seed, "slice", key, (n, p)).filter(F.when(F.col("y") == 1, F.col("rank") < take_p).otherwise(F.col("rank") < take_n)).drop("rank")
 
 
 def split_sizes(n: int, train: float = 0.6, val: float = 0.2) -> tuple[int, int, int]:
@@ -131,10 +131,10 @@ def split(df: DataFrame, seed: int, *, key: str = "eid", stratify: bool = False)
     sizes = split_sizes(n)
     positives = stratified_positives(n, p) if stratify and n >= 30 and p >= 8 and n - p >= 8 else even_positives(p, sizes)
     if p in (0, n) or sum(positives) != p or any(a > b for a, b in zip(positives, sizes, strict=True)):
-        flat = ranked_by_class(df.withColumn("_y", F.col("y")).withColumn("y", F.lit(0)), seed, "split", key)
+        flat = ranked_by_class(df.withColumn("_y", F.col("y")).withColumn("y", F.lit(0)), seed, "split", key, (n, 0))
         out = F.when(F.col("rank") < sizes[0], "train").when(F.col("rank") < sizes[0] + sizes[1], "val").otherwise("test")
         return flat.withColumn("split", out).withColumn("y", F.col("_y")).drop("_y", "rank")
-    ranked = ranked_by_class(df, seed, "split", key)
+    ranked = ranked_by_class(df, seed, "split", key, (n, p))
     return ranked.withColumn("split", split_column(F.col("rank"), F.col("y"), positives, sizes)).drop("rank")
 
 
@@ -144,7 +144,8 @@ def split_counts(df: DataFrame) -> DataFrame:
 
 
 def batch_quota(batch: int, ratio: float, positives: int, negatives: int) -> tuple[int, int]:
-    """A minibatch's positives and negatives from two pools, ratio positives for each negative; what one pool lacks comes from the other, negatives first."""
+    """A minibatch's positives and negatives from two pools, ratio (1 at least) positives for each negative; what one pool lacks comes from the other, negatives first."""
+    ratio = max(1, int(ratio))
     if not positives or not negatives:
         return min(batch, positives), min(batch, negatives)
     p = min(batch - 1, round(batch * ratio / (ratio + 1)), positives) if batch > 1 else min(1, positives)

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key, uniform
+from ..graph import first as taken
 from ..graph import numbered, shuffled
 
 
-def rewired(edges: DataFrame, seed: int, *, ordinal: Column) -> DataFrame:
-    """pos, src, dst: sources in order of node matched with all destinations in hash order, so both degree sequences stay.
-
-    ordinal is a number that never decreases along src, by which sources are numbered in parallel.
-    """
-    out = numbered(edges.select("src", "eid"), ordinal, "src", "eid", name="pos").select("pos", "src")
+def rewired(edges: DataFrame, seed: int) -> DataFrame:
+    """pos, src, dst: sources in order of node and edge matched with all destinations in hash order, so both degree sequences stay. A hub's edges are numbered by many tasks."""
+    out = numbered(edges.select("src", "eid"), None, "src", "eid", name="pos").select("pos", "src")
     into = shuffled(edges.select("dst", "eid"), order_key(seed, "stubs", "eid"), "eid", name="pos").select("pos", "dst")
     return out.join(into, "pos")
 
@@ -59,5 +57,6 @@ def augmented(spark: SparkSession, pairs: DataFrame, n: int, least: int, seed: i
     at = lambda salt: F.floor(uniform(order_key(seed, salt, "id")) * n).cast("long")
     draws = spark.range(50 * n).select("id", at("u").alias("a"), at("v").alias("b")).filter("a <> b")
     first = draws.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "id").groupBy("u", "v").agg(F.min("id").alias("id"))
-    fresh = first.join(ringed, ["u", "v"], "left_anti").orderBy("id").limit(-(-(least - have) // 2)).select("u", "v")
+    fresh = first.join(ringed, ["u", "v"], "left_anti")
+    fresh = taken(fresh, -(-(least - have) // 2), "id").select("u", "v")
     return ringed.unionByName(fresh).unionByName(fresh.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()

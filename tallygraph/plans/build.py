@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +13,8 @@ from ..sources import csv
 from .report import metadata
 
 SAMPLING = ("random_induced", "fraud_enriched", "snowball")
+#: Names fixed by the interface; balanced is short for balanced_edges.
+SLICES = ("prefix", "balanced_edges", "balanced")
 
 
 def load_graph(
@@ -23,13 +23,15 @@ def load_graph(
 ) -> PropertyGraph:
     """Transactions and accounts as a graph with features, splits and metadata.
 
-    slice_mode "prefix" takes the first rows, "balanced" draws max_transactions of the scanned ones with the wanted share
+    slice_mode "prefix" takes the first rows, "balanced_edges" (or "balanced") draws max_transactions of the scanned ones with the wanted share
     of positives. Encoders are fitted on the whole slice. A missing account has the type Unknown and the median bank.
     """
-    if slice_mode not in ("prefix", "balanced"):
-        raise ValueError(f"slice_mode {slice_mode!r} is neither 'prefix' nor 'balanced'")
+    if slice_mode not in SLICES:
+        raise ValueError(f"slice_mode {slice_mode!r} is none of {SLICES}")
+    window = slice_mode != "prefix"
+    if window and (not max_transactions or max_transactions < 1):
+        raise ValueError(f"slice_mode {slice_mode!r} needs a positive max_transactions")
     paths = csv.resolve_paths(spark, folder)
-    window = slice_mode == "balanced" and max_transactions
     rows = csv.read_transactions(spark, paths.transactions, prefix=None if window else max_transactions, window=balance_scan_rows if window else None, lenient=lenient)
     edges = checkpointed(rows)
     if window:
@@ -51,6 +53,27 @@ def load_graph(
     return PropertyGraph(nodes, edges, metadata(nodes, edges, len(node_columns), len(edge_columns)) | {"node_columns": node_columns, "edge_columns": edge_columns})
 
 
+def load_scanned(spark: SparkSession, path: str, *, max_transactions: int = 200_000, balance_scan_rows: int = 1_000_000, target_edge_pos_fraction: float = 0.06, seed: int = 7) -> PropertyGraph:
+    """nodes (node, y) and edges of the transaction file alone, for the statistics of samplers.
+
+    All accounts of the scanned rows are nodes, numbered as rows are read; bad rows are skipped and blanks are 0; the slice's
+    quota is truncated and leaves room for positives that are not there.
+    """
+    scanned = checkpointed(csv.read_transactions(spark, path, window=balance_scan_rows, lenient=True))
+    index = checkpointed(features.interleaved_universe(scanned))
+    drawn = splits.balanced(scanned, max_transactions, target_edge_pos_fraction, seed, truncated=True)
+    edges = checkpointed(relabelled(drawn, index.select(F.col("account_id").alias("node"), F.col("node_idx").alias("idx"))).select("eid", "src", "dst", "amt", "y"))
+    return PropertyGraph(checkpointed(features.labelled(index.select(F.col("node_idx").alias("node"), "account_id"), edges)), edges)
+
+
+def from_files(spark: SparkSession, folder: str, real: PropertyGraph, seed: int = 7) -> PropertyGraph:
+    """A stored graph with the real graph's feature columns, ready for training."""
+    names = real.meta["node_columns"], real.meta["edge_columns"]
+    g = csv.read_graph(spark, folder, node_width=len(names[0]), edge_width=len(names[1]), seed=seed)
+    nodes, edges = checkpointed(csv.as_columns(g.nodes, "x", names[0])), checkpointed(csv.as_columns(g.edges, "edge_attr", names[1]))
+    return PropertyGraph(nodes, edges, g.meta | {"generator": "from_files", "folder": folder})
+
+
 def sampled(graph: PropertyGraph, sampling_mode: str, max_nodes: int, seed: int, *, hops: int = 2, top_k: int = 20, waves: int = 15, strategy: str = "top_sar_by_degree") -> PropertyGraph:
     """A subgraph with compact node numbers and fresh splits; an unknown mode is random_induced. Positives alone may exceed max_nodes."""
     if sampling_mode == "fraud_enriched":
@@ -72,7 +95,7 @@ def degree_preserving(graph: PropertyGraph, seed: int, *, allow_self_loops: bool
     edges = checkpointed(shuffled(graph.edges, order_key(seed, "rows", "eid"), "eid", name="row"))
     nodes = checkpointed(shuffled(graph.nodes, order_key(seed, "rows", "node"), "node", name="row"))
     n, m = nodes.count(), edges.count()
-    wiring = synth.rewired(graph.edges, seed, ordinal=F.floor(F.col("src") / 4096))
+    wiring = synth.rewired(graph.edges, seed)
     wiring = wiring if allow_self_loops else synth.without_loops(checkpointed(wiring))
     edge_values = [c for c in edges.columns if c not in ("eid", "src", "dst", "split", "row")]
     node_values = [c for c in nodes.columns if c not in ("node", "account_id", "split", "row")]
@@ -83,7 +106,7 @@ def degree_preserving(graph: PropertyGraph, seed: int, *, allow_self_loops: bool
     return PropertyGraph(splits.split(checkpointed(new_nodes), seed, key="node"), splits.split(checkpointed(new_edges), seed, key="eid"), graph.meta | {"generator": "degree_preserving"})
 
 
-def from_sample(spark: SparkSession, x: DataFrame, pairs: DataFrame, *, node_width: int, edge_width: int, edge_rate: float, seed: int, least_edges: int = 4096) -> PropertyGraph:
+def from_sample(spark: SparkSession, x: DataFrame, pairs: DataFrame, *, node_width: int, edge_width: int, edge_rate: float, seed: int, least_edges: int = 4096, rate_floor: float = 0.0) -> PropertyGraph:
     """An external generator's sample as a graph: x(node, features, y) with 0/1 class vectors by feature, pairs(u, v) of its adjacency.
 
     Both directions of u < v; a ring and drawn pairs up to least_edges (from the placeholder (0, 0) if there is no pair); zero
@@ -91,6 +114,7 @@ def from_sample(spark: SparkSession, x: DataFrame, pairs: DataFrame, *, node_wid
     """
     from ..functions.scalars import one_hot_class, resized
 
+    edge_rate = min(0.5, max(0.0, edge_rate, rate_floor))
     held = F.transform("features", lambda v: one_hot_class(v).cast("float"))
     nodes = x.select("node", resized(held, node_width).alias("x"), F.greatest("y", F.lit(0)).cast("int").alias("y"))
     both = synth.directed(pairs)
@@ -99,7 +123,7 @@ def from_sample(spark: SparkSession, x: DataFrame, pairs: DataFrame, *, node_wid
     key = order_key(seed, "label", F.concat_ws("-", "u", "v"))
     named = shuffled(edges, order_key(seed, "eid", F.concat_ws("-", "u", "v")), "u", "v", name="eid")
     out = named.select("eid", F.col("u").alias("src"), F.col("v").alias("dst"), bernoulli(uniform(key), edge_rate).alias("y"), F.array_repeat(F.lit(0.0).cast("float"), edge_width).alias("edge_attr"))
-    return PropertyGraph(splits.split(nodes, seed, key="node"), splits.split(checkpointed(out), seed + 1, key="eid"))
+    return PropertyGraph(splits.split(nodes, seed, key="node"), splits.split(checkpointed(out), seed + 1, key="eid"), {"generator": "sample", "edge_rate_drawn": edge_rate, "least_edges": least_edges})
 
 
 def generator_input(graph: PropertyGraph, columns: list[str]) -> PropertyGraph:
@@ -126,7 +150,3 @@ def sampler_comparison(graph: PropertyGraph, max_nodes: int = 1200, seed: int =
         one = structure.graph_stats(own, edges).crossJoin(F.broadcast(structure.by_label(structure.degrees(own, edges), own))).select(F.lit(name).alias("sample"), "*")
         out = one if out is None else out.unionByName(one)
     return out, rows
-
-
-def with_meta(graph: PropertyGraph, **meta: object) -> PropertyGraph:
-    return replace(graph, meta=graph.meta | meta)

@@ -192,8 +192,7 @@ def degree_by_label(s: SparkSession, d: str) -> DataFrame:
 
 
 def _rewired(s: SparkSession, d: str) -> DataFrame:
-    ordinal = F.when(F.substring("src", 1, 1) == "C", 0).otherwise(1) * 256 + F.ascii(F.substring("src", 2, 1))
-    return synth.rewired(trade_edges(s, d), SEED, ordinal=ordinal)
+    return synth.rewired(trade_edges(s, d), SEED)
 
 
 REWIRED = f"""{TG}, o AS (SELECT row_number() OVER (ORDER BY src, eid) - 1 AS pos, src FROM te),

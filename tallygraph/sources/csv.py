@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, normal_names, parsed_time, resized
 from ..graph import PropertyGraph, numbered
+from ..operators import splits
 
 #: Header of the transaction file by position; "Account" stands there twice, so the schema is given, not read.
 TRANSACTIONS = (
@@ -40,19 +41,31 @@ def download(*_: object) -> None:
 
 
 def read_transactions(spark: SparkSession, path: str, *, prefix: int | None = None, window: int | None = None, lenient: bool = False) -> DataFrame:
-    """eid, src, dst, ts, amt, fmt, from_bank, to_bank, y in file order.
+    """eid, src, dst, ts, amt, fmt, from_bank, to_bank, y in order of files by name and of lines in them.
 
     prefix keeps the first rows (None or less than 1: all), window the first max(10,000, window). lenient skips rows with
-    too few columns and reads a blank label as 0; otherwise a label that is no number is an error.
+    too few columns, which count toward the window, and reads blank amounts and labels as 0; otherwise a label that is no
+    number is an error. A slice counts the rows of the files' parts first and numbers only the parts that it needs.
     """
     limit = max(FLOOR, window) if window else prefix if prefix and prefix > 0 else None
-    rows = spark.read.schema(TRANSACTIONS).option("header", True).option("enforceSchema", True).option("mode", "DROPMALFORMED" if lenient else "PERMISSIVE").csv(path)
-    rows = rows.withColumn("_line", F.monotonically_increasing_id())
-    rows = numbered(rows, F.shiftright("_line", 33), "_line", name="eid")  # its upper bits number the parts of the file
+    schema = TRANSACTIONS + (", `_broken` STRING" if lenient else "")
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").option("columnPruning", not lenient).csv(path)
+    part = F.struct("_metadata.file_path", "_metadata.file_block_start")
+    rows = rows.select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_line"))
+    if limit:
+        sizes = sorted(((r["_part"], r["n"]) for r in rows.select("_part", "src", *["_broken"] * lenient).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: tuple(x[0]))
+        reached = next((k for k in range(len(sizes)) if sum(n for _, n in sizes[: k + 1]) >= limit), len(sizes) - 1)
+        if sizes:
+            last = sizes[reached][0]
+            rows = rows.filter(F.col("_part") <= F.struct(F.lit(last["file_path"]).alias("file_path"), F.lit(last["file_block_start"]).cast("long").alias("file_block_start")))
+    rows = numbered(rows, F.col("_part"), "_line", name="eid")
     rows = rows.filter(F.col("eid") < limit) if limit else rows
-    number = lambda c: finite(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(c)
-    label = F.expr("coalesce(try_cast(label AS INT), 0)") if lenient else F.col("label").cast("int")
-    return rows.select("eid", "src", "dst", parsed_time(F.col("timestamp")).alias("ts"), number("amt"), F.coalesce("fmt", F.lit("nan")).alias("fmt"), number("from_bank"), number("to_bank"), label.alias("y"))
+    number = lambda c: finite(F.expr(f"try_cast(`{c}` AS DOUBLE)"))
+    label, amount = F.col("label").cast("int"), number("amt")
+    if lenient:
+        rows = rows.filter(F.col("_broken").isNull() | (F.size(F.split("_broken", ",")) >= len(TRANSACTIONS.split(","))))
+        label, amount = F.expr("coalesce(try_cast(label AS INT), 0)"), F.coalesce(amount, F.lit(0.0))
+    return rows.select("eid", "src", "dst", parsed_time(F.col("timestamp")).alias("ts"), amount.alias("amt"), F.coalesce("fmt", F.lit("nan")).alias("fmt"), number("from_bank").alias("from_bank"), number("to_bank").alias("to_bank"), label.alias("y"))
 
 
 def read_accounts(spark: SparkSession, path: str) -> DataFrame:
@@ -61,9 +74,15 @@ def read_accounts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("row_id", F.col("account number").alias("account_id"), finite(F.expr("try_cast(`bank id` AS DOUBLE)")).alias("bank"), F.col("entity name").alias("name"))
 
 
-def read_graph(spark: SparkSession, folder: str, *, node_width: int, edge_width: int) -> PropertyGraph:
-    """A stored graph made to conform: narrower node vectors padded, missing edge vectors zero; wider ones or dangling ends are errors."""
+def read_graph(spark: SparkSession, folder: str, *, node_width: int, edge_width: int, seed: int = 7) -> PropertyGraph:
+    """A stored graph made to conform: narrower node vectors padded, missing edge vectors zero, splits drawn where it has none; wider vectors or dangling ends are errors.
+
+    Vectors may be stored as such (x, edge_attr) or as the columns that its meta names.
+    """
     nodes, edges = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
+    stored = spark.read.text(f"{folder}/meta").collect()
+    meta = json.loads(stored[0][0]) if stored else {}
+    nodes, edges = as_vector(nodes, "x", meta.get("node_columns")), as_vector(edges, "edge_attr", meta.get("edge_columns"))
     if not {"node", "x", "y"} <= set(nodes.columns) or not {"src", "dst", "y"} <= set(edges.columns):
         raise TypeError(f"{folder} holds no property graph")
     if nodes.filter(F.size("x") > node_width).limit(1).count():
@@ -74,8 +93,23 @@ def read_graph(spark: SparkSession, folder: str, *, node_width: int, edge_width:
         raise ValueError(f"edge vectors are not {edge_width} wide")
     if edges.join(nodes, edges["src"] == nodes["node"], "left_anti").limit(1).count() or edges.join(nodes, edges["dst"] == nodes["node"], "left_anti").limit(1).count():
         raise ValueError("an edge ends at no node")
-    meta = spark.read.text(f"{folder}/meta").collect()
-    return PropertyGraph(nodes.withColumn("x", resized(F.col("x"), node_width)), edges.withColumn("edge_attr", resized(F.col("edge_attr"), edge_width)), json.loads(meta[0][0]) if meta else {})
+    if "eid" not in edges.columns:
+        edges = numbered(edges, None, "src", "dst", "y", name="eid")
+    nodes = nodes if "split" in nodes.columns else splits.split(nodes, seed, key="node")
+    edges = edges if "split" in edges.columns else splits.split(edges, seed + 1, key="eid")
+    return PropertyGraph(nodes.withColumn("x", resized(F.col("x"), node_width)), edges.withColumn("edge_attr", resized(F.col("edge_attr"), edge_width)), meta)
+
+
+def as_vector(df: DataFrame, name: str, columns: list[str] | None) -> DataFrame:
+    """df with the columns as one vector, unless it has that already or lacks one of them."""
+    if name in df.columns or columns is None or not set(columns) <= set(df.columns):
+        return df
+    return df.withColumn(name, F.array(*[F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")) for c in columns]) if columns else F.array().cast("array<float>")).drop(*columns)
+
+
+def as_columns(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """df with a vector's components as columns in place of it."""
+    return df.select(*[c for c in df.columns if c != name], *[F.coalesce(F.get(name, F.lit(k)).cast("double"), F.lit(0.0)).alias(c) for k, c in enumerate(columns)])
 
 
 def write_graph(graph: PropertyGraph, folder: str) -> None:

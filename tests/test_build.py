@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallygraph.operators import structure
-from tallygraph.plans import build, report
+from tallygraph.plans import build, learn, report
 from tallygraph.sources import csv
 
 
@@ -41,6 +42,31 @@ def test_balanced_slice_of_files(spark, folder):
     assert g.edges.count() == 100 and g.edges.filter("y = 1").count() == 20
     with pytest.raises(ValueError, match="slice_mode"):
         build.load_graph(spark, folder, slice_mode="other")
+    for rows in (None, 0):
+        with pytest.raises(ValueError, match="positive max_transactions"):
+            build.load_graph(spark, folder, max_transactions=rows, slice_mode="balanced_edges")
+
+
+def test_lenient_scan(spark, tmp_path, monkeypatch):
+    """Rows with too few columns count toward the window but are left out; blanks are 0."""
+    monkeypatch.setattr(csv, "FLOOR", 1)
+    head = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering\n"
+    lines = ["t,1,A,2,B,1,USD,5,USD,Wire,1", "t,1,short", "t,1,C,2,D,1,USD,,USD,Wire,", "t,1,E,2,F,1,USD,7,USD,Wire,0", "t,1,G,2,H,1,USD,8,USD,Wire,1"]
+    (tmp_path / "x.csv").write_text(head + "\n".join(lines) + "\n")
+    rows = csv.read_transactions(spark, str(tmp_path / "x.csv"), window=4, lenient=True).orderBy("eid").collect()
+    assert [(r["eid"], r["src"], r["amt"], r["y"]) for r in rows] == [(0, "A", 5.0, 1), (2, "C", 0.0, 0), (3, "E", 7.0, 0)]
+    g = build.load_scanned(spark, str(tmp_path / "x.csv"), max_transactions=4, balance_scan_rows=10, target_edge_pos_fraction=0.5)
+    assert [(r["node"], r["account_id"], r["y"]) for r in g.nodes.orderBy("node").collect()] == [(0, "A", 1), (1, "B", 1), (2, "C", 0), (3, "D", 0), (4, "E", 0), (5, "F", 0), (6, "G", 1), (7, "H", 1)]
+
+
+def test_files_in_order_of_their_names(spark, tmp_path):
+    head = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering\n"
+    (tmp_path / "many").mkdir()
+    for k, n in enumerate((3, 400, 20)):
+        (tmp_path / "many" / f"part{k}.csv").write_text(head + "".join(f"t,1,f{k}r{j},2,B,1,USD,5,USD,Wire,0\n" for j in range(n)))
+    want = [f"f{k}r{j}" for k, n in enumerate((3, 400, 20)) for j in range(n)]
+    at = lambda **x: [r["src"] for r in csv.read_transactions(spark, str(tmp_path / "many"), **x).orderBy("eid").collect()]
+    assert at() == want and at(prefix=5) == want[:5] and at(prefix=410) == want[:410] and at(prefix=10_000) == want
 
 
 @pytest.mark.parametrize("mode", build.SAMPLING)
@@ -71,3 +97,34 @@ def test_generator_input_and_samplers(graph):
     assert g.edges.filter("src = dst").count() == 0 and {r["column"] for r in build.marginals(g, ["in_deg"]).collect()} == {"in_deg"}
     stats, waves = build.sampler_comparison(graph, 30)
     assert {r["sample"] for r in stats.collect()} == {"full", "random", "snowball"} and sum(r["new_nodes"] for r in waves.collect()) <= 30
+
+
+def test_experiment_on_stored_graphs(spark, folder, graph, tmp_path):
+    """A stored graph of scalar columns, and a sample without splits and edge vectors, both train."""
+    real = build.load_graph(spark, folder, max_transactions=300)
+    csv.write_graph(build.degree_preserving(real, 7), str(tmp_path / "a"))
+    config = learn.ModelConfig(hidden=4, emb=4, node_epochs=1, edge_epochs=1, syn_node_epochs=1, syn_edge_epochs=1)
+    out = learn.Transfer(config, real.meta["node_columns"], real.meta["edge_columns"]).run(real, lambda: build.from_files(spark, str(tmp_path / "a"), real), least_nodes=10)
+    assert out["synthetic_meta"]["generator"] == "from_files" and out["similarity"]["in_deg_hist_l1"] == 0
+    x = spark.createDataFrame([(k, [[1.0, 0.0], [0.0, 1.0]], k % 2) for k in range(40)], "node long, features array<array<double>>, y int")
+    csv.write_graph(build.from_sample(spark, x, spark.createDataFrame([(0, 1)], "u long, v long"), node_width=2, edge_width=real.meta["edge_width"], edge_rate=0.0, rate_floor=0.2, seed=7, least_edges=100), str(tmp_path / "b"))
+    g = build.from_files(spark, str(tmp_path / "b"), real)
+    assert g.meta["edge_rate_drawn"] == 0.2 and {"split", *real.meta["node_columns"]} <= set(g.nodes.columns)
+    assert learn.Arrays.of(g, real.meta["node_columns"], real.meta["edge_columns"]).attr.sum() == 0
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from tallygraph import __main__ as command
+
+    out = str(tmp_path)
+    command.main(["check"])
+    command.main(["samplers", folder, "--max_transactions", "200", "--max_nodes", "30"])
+    assert "snowball" in capsys.readouterr().out
+    command.main(["prepare", folder, "--max_nodes", "40", "--out_dir", out])
+    spark.createDataFrame([(k, [[1.0, 0.0]], k % 2) for k in range(30)], "node long, features array<array<double>>, y int").write.parquet(f"{out}/sample/nodes")
+    spark.createDataFrame([(0, 1)], "u long, v long").write.parquet(f"{out}/sample/pairs")
+    command.main(["convert", folder, "--sample", f"{out}/sample", "--min_directed_edges", "100", "--syn_edge_fraud_rate", "0.2", "--out_dir", out])
+    short = [x for name in ("node_epochs", "edge_epochs", "syn_node_epochs", "syn_edge_epochs") for x in (f"--{name}", "1")]
+    command.main(["experiment", folder, "--generator", "from_files", "--synthetic", f"{out}/synthetic", "--min_synthetic_nodes", "10", "--use_dp", "--dp_steps_per_epoch", "1", "--checkpoint_dir", f"{out}/weights", "--out_dir", out, *short])
+    found = json.loads(next(tmp_path.glob("transfer_*_from_files_dp.json")).read_text())
+    assert found["dp_accounting"]["edge_syn"]["total_optimizer_steps"] == 1 and (tmp_path / "weights" / "node_real_best.npz").exists() | (tmp_path / "weights" / "node_real_epoch_0001.npz").exists()

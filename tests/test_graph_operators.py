@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -63,7 +64,7 @@ def test_ranking_metrics(spark, y, s, roc, ap):
     df = spark.createDataFrame(list(zip(y, s, strict=True)), "y int, score double")
     assert one(metrics.roc_auc(df))[0] == roc and one(metrics.average_precision(df))[0] == ap
     assert roc is not None or one(metrics.best_f1(df))[0] == 0.0
-    assert math.isclose(learn.precision(np.array(y), np.array(s)), ap or 0.0, abs_tol=1e-6)
+    assert ap is None and math.isnan(learn.precision(np.array(y), np.array(s))) or math.isclose(learn.precision(np.array(y), np.array(s)), ap, abs_tol=1e-6)
 
 
 def test_ks_and_histograms(spark):
@@ -105,7 +106,7 @@ def test_positive_weight(spark):
 def test_ring_and_rewiring(spark):
     assert synth.augmented(spark, spark.createDataFrame([(0, 0)], "u long, v long"), 900, 4096, 7).count() == 4097
     n, e = graph(spark, [(0, 1), (0, 2), (1, 2), (2, 0), (3, 3)])
-    r = synth.rewired(e, 7, ordinal=F.col("src"))
+    r = synth.rewired(e, 7)
     for c in ("src", "dst"):
         assert sorted(x[c] for x in r.collect()) == sorted(x[c] for x in e.collect())
     assert synth.without_loops(spark.createDataFrame([(0, 1, 1), (1, 2, 2), (2, 0, 3)], "pos long, src long, dst long")).filter("src = dst").count() == 0
@@ -199,15 +200,104 @@ def test_gradients(spark):
             assert math.isclose((up - down) / 2e-5, d[at], rel_tol=1e-3, abs_tol=1e-6), (target, name)
 
 
-def test_transfer_and_private_training(spark):
+def test_transfer(spark):
     g = toy(spark)
-    config = learn.ModelConfig(hidden=8, emb=8, node_epochs=15, edge_epochs=5, lr=0.05)
+    config = learn.ModelConfig(hidden=8, emb=8, node_epochs=15, edge_epochs=5, syn_node_epochs=15, syn_edge_epochs=5, lr=0.05)
     out = learn.Transfer(config, ["x"], ["w"]).run(g, lambda: g)
-    assert out["real_node"]["test"]["roc_auc"] > 0.9 and set(out["drop_node"]) == {"roc_auc", "pr_auc", "f1", "f1_best"}
-    m = out["real_edge"]["test"]
+    assert out["node"]["real_train_eval"]["test"]["roc_auc"] > 0.9 and set(out["node"]["drop_test"]) == {"roc_auc_drop", "pr_auc_drop", "f1_drop"}
+    m = out["edge"]["real_train_eval"]["test"]
     assert math.isclose(m["prevalence"], m["n_pos"] / (m["n_pos"] + m["n_neg"]), abs_tol=1e-6)
-    arrays = learn.Arrays.of(g, ["x"], ["w"])
-    model, eps = learn.trained_privately(learn.Model(1, 1, config), arrays, "node", learn.PrivacyConfig(steps=3, batch=8))
-    assert eps > 0
-    spark_scores = {r["node"]: r["logit"] for r in learn.node_scores(g, model, ["x"]).collect()}
-    assert np.allclose([spark_scores[k] for k in arrays.ids.tolist()], learn.logits(model, arrays, "node"))
+    assert out["similarity"]["in_deg_hist_l1"] == 0 and {"real", "synthetic", "node_features", "edge_features"} <= set(out["similarity"]) and out["edge"]["synthetic_train_eval"]["val"]["n_pos"] > 0
+    only = learn.Transfer(learn.ModelConfig(hidden=4, emb=4, edge_epochs=1, syn_edge_epochs=1, edges_only=True, warm_start=True), ["x"], ["w"]).run(g, lambda: g, least_nodes=60)
+    assert only["node"]["skipped"] and only["edge"]["drop_test"]
+    with pytest.raises(ValueError, match="fewer than 61"):
+        learn.Transfer(learn.ModelConfig(hidden=4, emb=4, node_epochs=1, edge_epochs=1), ["x"], ["w"]).run(g, lambda: g, least_nodes=61)
+
+
+def test_scores_of_the_default_width(spark):
+    g = toy(spark)
+    arrays, model = learn.Arrays.of(g, ["x"], ["w"]), learn.Model(1, 1, learn.ModelConfig())
+    nodes = {r["node"]: r["logit"] for r in learn.node_scores(g, model, ["x"]).collect()}
+    edges = {r["eid"]: r["logit"] for r in learn.edge_scores(g, model, ["x"], ["w"]).collect()}
+    assert np.allclose([nodes[k] for k in arrays.ids.tolist()], learn.logits(model, arrays, "node"))
+    assert np.allclose([edges[k] for k in range(200)], learn.logits(model, arrays, "edge"))
+
+
+def test_noise_has_the_deviation_that_is_accounted_for():
+    rng, config = np.random.default_rng(1), learn.PrivacyConfig(noise=1.5, clip=0.5)
+    gradient = {"a": np.full((40, 50), 3.0), "b": np.full(30, -2.0)}
+    drawn = np.stack([learn.noised(gradient, config, rng)["a"] for _ in range(60)])
+    norm = math.sqrt(40 * 50 * 9 + 30 * 4)
+    assert abs(drawn.std() - 0.75) < 0.01 and abs(drawn.mean() - 3 * 0.5 / norm) < 0.02
+    small = learn.noised({"a": np.full(4, 0.01)}, learn.PrivacyConfig(noise=0.0), rng)["a"]
+    assert np.allclose(small, 0.01)
+
+
+def test_surroundings_and_last_parallel_edge():
+    ids = np.arange(6)
+    src, dst = np.array([0, 1, 2, 0, 4, 0]), np.array([1, 2, 3, 1, 5, 3])
+    g = learn.Arrays(ids, ids[:, None].astype(float), ids % 2, np.array(["train"] * 6), src, dst, np.arange(6.0)[:, None], np.zeros(6), np.array(["train"] * 6))
+    near, place = g.around(np.array([2]), 2)
+    assert near.ids.tolist() == [0, 1, 2] and place.tolist() == [0, 1, 2, -1, -1, -1]
+    assert list(zip(near.src.tolist(), near.dst.tolist(), strict=True)) == [(0, 1), (1, 2), (0, 1)] and near.attr.ravel().tolist() == [0.0, 1.0, 3.0]
+    assert near.columns_of(np.array([0, 1, 2]), np.array([1, 2, 0])).tolist() == [2, 1, -1]
+    assert g.around(np.array([3]), 1)[0].ids.tolist() == [0, 2, 3]
+
+
+def test_private_training_and_stored_weights(spark, tmp_path):
+    arrays, config = learn.Arrays.of(toy(spark), ["x"], ["w"]), learn.ModelConfig(hidden=8, emb=8)
+    for target in ("node", "edge"):
+        store = learn.Store(str(tmp_path), target)
+        (tmp_path / f"{target}_epoch_0009.npz").write_bytes(b"of an earlier run")
+        model, meta = learn.trained_privately(learn.Model(1, 1, config), arrays, target, 2, learn.PrivacyConfig(steps=3, batch=8, hops=1), store)
+        assert meta["total_optimizer_steps"] == 6 and meta["epsilon_rdp"] > 0
+        assert sorted(x.name for x in tmp_path.glob(f"{target}_*")) == [f"{target}_best.npz", f"{target}_epoch_0001.npz", f"{target}_epoch_0002.npz"]
+        back = store.load("best", learn.Model(1, 1, config))
+        assert np.allclose(learn.logits(back, arrays, target), learn.logits(model, arrays, target))
+        with pytest.raises(ValueError, match="another model"):
+            store.load("best", learn.Model(2, 1, config))
+    rate = 8 / 40
+    assert learn.epsilon(learn.PrivacyConfig(noise=1.0), rate, 6) < learn.epsilon(learn.PrivacyConfig(noise=1.0), rate, 60) and learn.epsilon(learn.PrivacyConfig(noise=0.0), rate, 6) is None
+
+
+def test_batch_quota():
+    assert [splits.batch_quota(8, r, 50, 50) for r in (0.1, 1, 3)] == [(4, 4), (4, 4), (6, 2)]
+    assert splits.batch_quota(8, 3, 2, 50) == (2, 6) and splits.batch_quota(8, 1, 50, 1) == (7, 1) and splits.batch_quota(8, 1, 0, 5) == (0, 5)
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(2)
+    for values in ([3.0], [1.0, 2.0], [5.0] * 7 + [1e300], [rng.choice([rng.random(), 1.0, -4.0]) for _ in range(500)]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        assert np.allclose(metrics.quantiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0]), np.quantile(values, [0.0, 0.25, 0.5, 0.9, 1.0]))
+    assert metrics.quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_first_beyond_the_ordered_limit(spark, monkeypatch):
+    import tallygraph.graph as graph
+
+    monkeypatch.setattr(graph, "TOP", 5)
+    assert sorted(r[0] for r in graph.first(spark.range(100), 30, F.col("id").desc()).collect()) == list(range(70, 100))
+    assert graph.first(spark.range(100), 0, "id").count() == 0
+
+
+def test_no_edge_cap_bites(spark):
+    """Queries count all edges, more than a cap of the report would."""
+    e = spark.range(2000).select(F.col("id").alias("eid"), (F.col("id") % 50).alias("src"), (F.col("id") * 7 % 53).alias("dst"), F.lit(0).alias("y"))
+    n = spark.range(53).select(F.col("id").alias("node"), F.lit(0).alias("y"))
+    assert one(structure.clustering(n, e)) != one(structure.clustering(n, e, max_edges=300))
+    assert one(structure.path_lengths(n, e, sources=5, cutoff=1))["n_pairs"] > one(structure.path_lengths(n, e, sources=5, cutoff=1, max_edges=30))["n_pairs"]
+
+
+def test_streaming_degrees(spark, tmp_path):
+    """Edges that arrive in two files, in complete mode."""
+    spark.createDataFrame([(0, 1), (0, 1)], "src long, dst long").write.parquet(str(tmp_path / "edges"))
+    stream = running_degrees(spark.readStream.schema("src long, dst long").parquet(str(tmp_path / "edges")))
+    run = stream.writeStream.format("memory").queryName("degrees").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        run.processAllAvailable()
+        spark.createDataFrame([(1, 1), (2, 0)], "src long, dst long").write.mode("append").parquet(str(tmp_path / "edges"))
+        run.processAllAvailable()
+        assert sorted(tuple(r) for r in spark.table("degrees").collect()) == [(0, 1, 2), (1, 3, 1), (2, 0, 1)]
+    finally:
+        run.stop()
