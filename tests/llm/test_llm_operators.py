@@ -210,6 +210,15 @@ def test_substring_removal_of_real_documents(spark):
     assert by_row(substring_dedup.op2_substring_dedup(spark, SF), *COLUMNS) == plain_removal(real())
 
 
+def test_removal_of_long_runs_and_periods(spark):
+    """One letter for 300,000 bytes, a period longer and shorter than a window, and one passage in every document."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    rows = [(1, "a" * 300_000), (2, "b" + "a" * 60), (3, "ab" * 20_000), (4, "ba" * 100), (5, (passage[:57] + "!") * 40), (6, passage[:57] + "!" + passage[:30])]
+    rows += [(10 + k, "".join(rng.choice("xyz") for _ in range(rng.randrange(40))) + passage + "".join(rng.choice("xyz") for _ in range(20))) for k in range(150)]
+    assert by_row(substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")), *COLUMNS) == plain_removal(rows)
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for _ in range(300):
