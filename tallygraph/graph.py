@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,14 +21,20 @@ class PropertyGraph:
     meta: dict = field(default_factory=dict)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Rows in the folder of spark.checkpoint.dir, which all executors share: iterative plans stay short and survive lost executors."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below that of spark.checkpoint.dir, which all executors share; where that is unset and all runs on one machine, below one of our own."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallygraph-"))
+    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Rows in the shared folder: iterative plans stay short and survive lost executors."""
+    shared_folder(df.sparkSession, "")
     return df.checkpoint()
 
 

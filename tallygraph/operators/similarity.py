@@ -33,6 +33,11 @@ def ks(values: DataFrame) -> DataFrame:
     return upto.groupBy("dim").agg(F.round(F.max(gap), 6).alias("ks"))
 
 
+def ks_summary(gaps: DataFrame) -> DataFrame:
+    """One row, ks_mean and ks_max of all features."""
+    return gaps.agg(F.round(F.avg("ks"), 6).alias("ks_mean"), F.max("ks").alias("ks_max"))
+
+
 def ks_p_value(d: float, n: int, m: int) -> float:
     """Two-sided p-value of the gap d, from the limit distribution with the first-order shift."""
     en = n * m / (n + m)

@@ -77,7 +77,7 @@ def comparison(real: tuple[DataFrame, DataFrame], synthetic: tuple[DataFrame, Da
         gaps = {r["dim"]: r["ks"] for r in similarity.ks(both).collect()}
         sizes = a.count(), b.count()
         p = {c: similarity.ks_p_value(g, *sizes) for c, g in gaps.items() if g is not None and all(sizes)}
-        out[f"{name}_features"] = {"ks": gaps, "p": p, "ks_mean": float(np.mean([*gaps.values()])) if gaps else None, "ks_max": max(gaps.values(), default=None), "corr_fro": similarity.correlation_distance(a, b, columns).collect()[0][0]}
+        out[f"{name}_features"] = {"ks": gaps, "p": p, "ks_mean": float(np.mean([g for g in gaps.values() if g is not None])) if any(g is not None for g in gaps.values()) else None, "ks_max": max((g for g in gaps.values() if g is not None), default=None), "corr_fro": similarity.correlation_distance(a, b, columns).collect()[0][0]}
     return sanitised(out)
 
 

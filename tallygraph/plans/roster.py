@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key, order_key_sql, uniform, uniform_sql
-from ..functions.scalars import bernoulli, entity_type, log_amount, one_hot_class, parsed_time, resized, seconds_since
+from ..functions.scalars import bernoulli, entity_type, log_amount, one_hot_class, parsed_time, probability, resized, seconds_since
 from ..graph import endpoints, neighbours, numbered, shuffled, simple, symmetrised
 from ..operators import features, metrics, sage, sampling, similarity, splits, structure, synth
 from ..sources.tables import HOP_EDGES_SQL, TRADE_ACCOUNTS_SQL, hop_edges, table, trade_accounts, trade_edges, trade_edges_sql
@@ -446,3 +446,129 @@ def drop_nullable(s: SparkSession, d: str) -> DataFrame:
 
     rows = s.createDataFrame([("pr_auc", 0.5, 0.25), ("roc_auc", float("nan"), 0.5), ("f1", 0.5, None)], "name string, real double, transfer double")
     return drops(rows)
+
+
+@query("q_seeds_all", f"WITH {TRADE_NODES} SELECT node FROM nodes WHERE y = 1")
+def seeds_all(s: SparkSession, d: str) -> DataFrame:
+    return sampling.seeds(trade_nodes(s, d), trade_edges(s, d), "all_sar")
+
+
+@query("q_seeds_top_degree", f"WITH {TRADE_DEGREES} SELECT node FROM deg ORDER BY deg DESC, node DESC LIMIT 20")
+def seeds_top_degree(s: SparkSession, d: str) -> DataFrame:
+    return sampling.seeds(trade_nodes(s, d), trade_edges(s, d), "top_degree")
+
+
+@query("q_edge_cap", f"WITH {HOP_EDGES_SQL} SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM ee WHERE src <> dst AND eid < 500")
+def edge_cap(s: SparkSession, d: str) -> DataFrame:
+    return simple(hop_edges(s, d), 500)
+
+
+@query("q_probability", f"WITH {HOP_EDGES_SQL} SELECT eid, round(1 / (1 + exp(-greatest(-40.0, least(40.0, amt - 100)))), 6) AS p FROM ee")
+def probability_of(s: SparkSession, d: str) -> DataFrame:
+    return hop_edges(s, d).select("eid", F.round(probability(F.col("amt") - 100), 6).alias("p"))
+
+
+def _repair_sql(rounds: int) -> str:
+    parts = ["r0 AS (SELECT eid AS pos, src, dst FROM ee)"]
+    for k in range(1, rounds + 1):
+        p = f"r{k - 1}"
+        parts.append(f"""b{k} AS (SELECT pos, coalesce(lag(dst) OVER (ORDER BY pos), last_value(dst) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS moved FROM {p} WHERE src = dst),
+r{k} AS (SELECT pos, src, CASE WHEN src = dst AND (SELECT count(*) FROM b{k}) > 1 THEN moved ELSE dst END AS dst FROM {p} LEFT JOIN b{k} USING (pos))""")
+    return f"WITH {HOP_EDGES_SQL}, {', '.join(parts)} SELECT pos, src, dst FROM r{rounds}"
+
+
+@query("q_loop_repair", _repair_sql(2))
+def loop_repair(s: SparkSession, d: str) -> DataFrame:
+    return synth.without_loops(hop_edges(s, d).select(F.col("eid").alias("pos"), "src", "dst"), 2)
+
+
+@query("q_from_sample", f"""WITH i AS (SELECT i FROM range(400) r(i)), ring AS (SELECT i AS u, (i + 1) % 400 AS v FROM i UNION SELECT (i + 1) % 400, i FROM i UNION SELECT 0, 0),
+d AS (SELECT i AS id, CAST(floor({uniform_sql(order_key_sql(SEED, "u", "i"))} * 400) AS BIGINT) AS a, CAST(floor({uniform_sql(order_key_sql(SEED, "v", "i"))} * 400) AS BIGINT) AS b FROM range(20000) r(i)),
+f AS (SELECT least(a, b) AS u, greatest(a, b) AS v, min(id) AS id FROM d WHERE a <> b GROUP BY 1, 2),
+g AS (SELECT u, v FROM f WHERE NOT EXISTS (SELECT 1 FROM ring WHERE ring.u = f.u AND ring.v = f.v) ORDER BY id LIMIT 400), e AS (SELECT * FROM ring UNION SELECT u, v FROM g UNION SELECT v, u FROM g)
+SELECT row_number() OVER (ORDER BY {order_key_sql(SEED, "eid", "u || '-' || v")}, u, v) - 1 AS eid, u AS src, v AS dst,
+  CASE WHEN {uniform_sql(order_key_sql(SEED, "label", "u || '-' || v"))} < CAST(0.05 AS DOUBLE) THEN 1 ELSE 0 END AS y, CAST(3 AS INTEGER) AS width FROM e""")
+def sample_to_graph(s: SparkSession, d: str) -> DataFrame:
+    from .build import from_sample
+
+    x = s.range(400).select(F.col("id").alias("node"), F.array(F.array(F.lit(1.0), F.lit(0.0))).alias("features"), F.lit(0).alias("y"))
+    g = from_sample(s, x, s.createDataFrame([], "u long, v long"), node_width=2, edge_width=3, edge_rate=0.02, rate_floor=0.05, seed=SEED, least_edges=1600)
+    return g.edges.select("eid", "src", "dst", "y", F.size("edge_attr").alias("width"))
+
+
+@query("q_split_one_class", f"""WITH {TG}, z AS (SELECT eid FROM te WHERE y = 0), c AS (SELECT count(*) AS n FROM z), s AS (SELECT n, CAST(floor(0.6 * n) AS BIGINT) AS n1, CAST(floor((n - floor(0.6 * n)) / 2) AS BIGINT) AS n2 FROM c),
+r AS (SELECT eid, row_number() OVER (ORDER BY {order_key_sql(SEED, "split", "eid")}, eid) - 1 AS rank FROM z)
+SELECT eid, CASE WHEN rank < n1 THEN 'train' WHEN rank < n1 + n2 THEN 'val' ELSE 'test' END AS split FROM r, s""")
+def split_one_class(s: SparkSession, d: str) -> DataFrame:
+    return splits.split(trade_edges(s, d).filter("y = 0").select("eid", "y"), SEED, stratify=True).select("eid", "split")
+
+
+LOGITS = f"""{HOP_EDGES_SQL}, sc AS (SELECT y, 1 / (1 + exp(-greatest(-40.0, least(40.0, (round(amt) - 100) / 50)))) AS score FROM ee),
+g AS (SELECT score, CAST(sum(y) AS DOUBLE) AS p, CAST(sum(1 - y) AS DOUBLE) AS n FROM sc GROUP BY 1), c AS (SELECT sum(p) AS all_p, sum(n) AS all_n FROM g)"""
+
+
+@query("q_metrics_bundle", f"""WITH {LOGITS}, {AP},
+b AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+q AS (SELECT DISTINCT unnest(quantile_cont(score, [{", ".join(str(k / 32) for k in range(33))}])) AS t FROM sc),
+e AS (SELECT t, sum(p) AS tp, sum(n) AS fp FROM q JOIN g ON score >= t GROUP BY t)
+SELECT CAST(all_p AS BIGINT) AS n_pos, CAST(all_n AS BIGINT) AS n_neg, (SELECT round(sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0), 6) FROM b) AS roc_auc, (SELECT round(ap, 6) FROM ap) AS pr_auc,
+  (SELECT round(coalesce(2.0 * count(*) FILTER (score >= 0.5 AND y = 1) / nullif(2.0 * count(*) FILTER (score >= 0.5 AND y = 1) + count(*) FILTER (score >= 0.5 AND y = 0) + count(*) FILTER (score < 0.5 AND y = 1), 0), 0), 6) FROM sc) AS f1,
+  (SELECT round(coalesce(max(2 * tp / (2 * tp + fp + all_p - tp)), 0), 6) FROM e) AS f1_best, (SELECT round(avg(y), 6) FROM sc) AS prevalence,
+  (SELECT round((SELECT ap FROM ap) / greatest(avg(y), 1e-12), 4) FROM sc) AS pr_lift FROM c""")
+def metrics_bundle(s: SparkSession, d: str) -> DataFrame:
+    return metrics.bundle(hop_edges(s, d).select("y", ((F.round("amt") - 100) / 50).alias("logit")))
+
+
+@query("q_ks_summary", f"SELECT round(avg(ks), 6) AS ks_mean, max(ks) AS ks_max FROM ({ORACLE['q_ks']}) t")
+def ks_summary(s: SparkSession, d: str) -> DataFrame:
+    return similarity.ks_summary(ks(s, d))
+
+
+@query("q_json", """SELECT n_nationkey, '{"half":' || CAST(CAST(n_nationkey AS DOUBLE) * 0.5 AS VARCHAR) || ',"missing":null,"infinite":null}' AS report FROM nation""")
+def json_report(s: SparkSession, d: str) -> DataFrame:
+    from .report import as_json
+
+    columns = {"half": F.col("n_nationkey") * F.lit(0.5), "missing": F.lit(float("nan")), "infinite": F.lit(float("inf"))}
+    return table(s, d, "nation").select("n_nationkey", as_json(columns).alias("report"))
+
+
+@query("q_interleaved_universe", f"""WITH {TG}, seen AS (SELECT src AS account_id, eid * 2 AS x FROM te UNION ALL SELECT dst, eid * 2 + 1 FROM te), f AS (SELECT account_id, min(x) AS x FROM seen GROUP BY 1)
+SELECT account_id, row_number() OVER (ORDER BY x) - 1 AS node_idx FROM f""")
+def interleaved_universe(s: SparkSession, d: str) -> DataFrame:
+    return features.interleaved_universe(trade_edges(s, d))
+
+
+@query("q_feature_vector", f"""WITH {TG}, k AS (SELECT fmt, row_number() OVER (ORDER BY fmt) - 1 AS nth FROM (SELECT DISTINCT fmt FROM te) t)
+SELECT eid, CAST(2 + (SELECT count(*) FROM k) AS INTEGER) AS width, CAST(nth AS BIGINT) AS format FROM te JOIN k USING (fmt)""")
+def feature_vector(s: SparkSession, d: str) -> DataFrame:
+    from ..sources.csv import as_vector
+
+    rows, names = features.edge_features(trade_edges(s, d))
+    return as_vector(rows, "x", names).select("eid", F.size("x").alias("width"), (F.array_position(F.slice("x", 3, len(names)), F.lit(1.0).cast("float")) - 1).alias("format"))
+
+
+@query("q_csv_prefix", f"WITH {TG} SELECT eid, src, dst, amt, fmt, y FROM te WHERE eid < 500")
+def csv_prefix(s: SparkSession, d: str) -> DataFrame:
+    """The trade graph as transaction files in order, of which the first rows are read."""
+    from ..sources.csv import read_transactions, write_transactions
+
+    return read_transactions(s, write_transactions(trade_edges(s, d)), prefix=500).select("eid", "src", "dst", "amt", "fmt", "y")
+
+
+@query("q_edge_head", f"""WITH {HOP_X}, z AS (SELECT eid, a.d AS a, b.d AS b, amt FROM ee JOIN x a ON ee.src = a.node JOIN x b ON ee.dst = b.node),
+h AS (SELECT eid, greatest(0.0, 0.5 * a - 0.25 * b + 0.125 * amt + 1.0) AS p, greatest(0.0, -0.5 * a + 0.75 * b - 0.25 * amt) AS q FROM z)
+SELECT eid, round(0.5 * p - 2.0 * q + 0.25, 8) AS logit FROM h""")
+def edge_head(s: SparkSession, d: str) -> DataFrame:
+    import numpy as np
+
+    rows = sage.edge_gather(hop_edges(s, d), _hop_x(s, d), ["d"], ["amt"])
+    first, second = np.array([[0.5, -0.5], [-0.25, 0.75], [0.125, -0.25]]), np.array([[0.5], [-2.0]])
+    out = sage.mapped(rows, ["eid"], ["src_d", "dst_d", "amt"], [(first, np.array([1.0, 0.0]), True), (second, np.array([0.25]), False)], ["logit"])
+    return out.select("eid", F.round("logit", 8).alias("logit"))
+
+
+@query("q_batch_quota", f"""WITH {TG}, c AS (SELECT CAST(sum(y) AS BIGINT) AS p, CAST(sum(1 - y) AS BIGINT) AS n FROM te), a AS (SELECT least(p, 384) AS p0, p, n FROM c), b AS (SELECT *, least(512 - p0, n) AS n0 FROM a)
+SELECT least(p, p0 + greatest(0, 512 - p0 - n0)) AS positives, n0 AS negatives FROM b""")
+def batch_quota(s: SparkSession, d: str) -> DataFrame:
+    n, p = splits.class_sizes(trade_edges(s, d))
+    return s.createDataFrame([splits.batch_quota(512, 3, p, n - p)], "positives long, negatives long")

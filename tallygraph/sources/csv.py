@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite, normal_names, parsed_time, resized
-from ..graph import PropertyGraph, numbered
+from ..functions.scalars import TIMESTAMP, finite, normal_names, parsed_time, resized
+from ..graph import PropertyGraph, numbered, shared_folder
 from ..operators import splits
 
 #: Header of the transaction file by position; "Account" stands there twice, so the schema is given, not read.
@@ -68,6 +68,16 @@ def read_transactions(spark: SparkSession, path: str, *, prefix: int | None = No
     return rows.select("eid", "src", "dst", parsed_time(F.col("timestamp")).alias("ts"), amount.alias("amt"), F.coalesce("fmt", F.lit("nan")).alias("fmt"), number("from_bank").alias("from_bank"), number("to_bank").alias("to_bank"), label.alias("y"))
 
 
+def write_transactions(edges: DataFrame) -> str:
+    """Edges (eid, src, dst, ts, amt, fmt, y) as transaction files in the shared folder, in order of eid along the files' names; returns their folder."""
+    folder = shared_folder(edges.sparkSession, "transactions")
+    text = {"timestamp": F.date_format("ts", TIMESTAMP), "src": F.col("src"), "dst": F.col("dst"), "amt": F.col("amt"), "fmt": F.col("fmt"), "label": F.col("y")}
+    names = [part.split("`")[1] for part in TRANSACTIONS.split(",")]
+    rows = edges.repartitionByRange("eid").sortWithinPartitions("eid")
+    rows.select(*[text.get(n, F.lit(1)).cast("string").alias(n) for n in names]).write.option("header", True).csv(folder)
+    return folder
+
+
 def read_accounts(spark: SparkSession, path: str) -> DataFrame:
     """account_id, bank and name, with a row id; names of columns are matched stripped and lower-cased."""
     rows = normal_names(spark.read.option("header", True).csv(path)).withColumn("row_id", F.monotonically_increasing_id())
