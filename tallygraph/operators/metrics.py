@@ -32,64 +32,98 @@ def cumulated(counts: DataFrame, *columns: str, by: str = "score", within: tuple
     return ranked.select(*counts.columns, *[(F.col(f"_s_{c}") + F.col(f"_o_{c}")).alias(f"below_{c}") for c in columns])
 
 
+def curve(scores: DataFrame) -> DataFrame:
+    """score, p, n, below_p, below_n: every distinct score with its rows and those of lower ones. Written once, as all metrics are sums over it."""
+    return checkpointed(cumulated(grouped(scores), "p", "n"))
+
+
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
-    """Exact quantiles of the values that are there, interpolated between neighbours in order; None without any. At most two rows for each share come to the driver."""
+    """Exact quantiles of the values that are there, interpolated between neighbours in order; None without any."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    placed = checkpointed(cumulated(counts, "n", by="value"))
+    return placed_quantiles(checkpointed(cumulated(counts, "n", by="value")), shares)
+
+
+def placed_quantiles(placed: DataFrame, shares: list[float]) -> list[float | None]:
+    """The same of distinct values with their rows n and those of lower ones, below_n. At most two rows for each share come to the driver."""
     total = int(placed.agg(F.coalesce(F.sum("n"), F.lit(0.0))).collect()[0][0])
     if not total:
         return [None] * len(shares)
     at = [q * (total - 1) for q in shares]
     ranks = sorted({r for x in at for r in (math.floor(x), math.ceil(x))})
-    asked = F.broadcast(df.sparkSession.createDataFrame([(float(r),) for r in ranks], "rank double"))
+    asked = F.broadcast(placed.sparkSession.createDataFrame([(float(r),) for r in ranks], "rank double"))
     rows = placed.join(asked, (F.col("rank") >= F.col("below_n")) & (F.col("rank") < F.col("below_n") + F.col("n"))).select("rank", "value").collect()
     value = {int(r["rank"]): r["value"] for r in rows}
     return [value[math.floor(x)] + (x - math.floor(x)) * (value[math.ceil(x)] - value[math.floor(x)]) for x in at]
 
 
+def totals(c: DataFrame) -> DataFrame:
+    """One row: positives and negatives of a curve."""
+    return c.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("all_p"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("all_n"))
+
+
+def area() -> Column:
+    return F.try_divide(F.sum(F.col("p") * (F.col("below_n") + F.col("n") / 2)), F.sum("p") * F.sum("n"))
+
+
+def precision() -> Column:
+    """Of a curve with its totals beside each row."""
+    tp, fp = F.col("all_p") - F.col("below_p"), F.col("all_n") - F.col("below_n")
+    return F.sum(F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), F.col("p") / F.col("all_p") * tp / (tp + fp)))
+
+
+def with_totals(c: DataFrame) -> DataFrame:
+    return c.crossJoin(F.broadcast(totals(c)))  # one row
+
+
 def roc_auc(scores: DataFrame) -> DataFrame:
     """One row, roc_auc: chance that a positive outranks a negative, ties half; NULL with one class."""
-    c = cumulated(grouped(scores), "n")
-    area = F.sum(F.col("p") * (F.col("below_n") + F.col("n") / 2))
-    return c.agg(F.round(F.try_divide(area, F.sum("p") * F.sum("n")), 6).alias("roc_auc"))
+    return curve(scores).agg(F.round(area(), 6).alias("roc_auc"))
 
 
 def average_precision(scores: DataFrame) -> DataFrame:
     """One row, pr_auc: sum over falling thresholds of the gain in recall times precision, without interpolation; NULL with one class."""
-    counts = grouped(scores)
-    total = counts.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    c = cumulated(counts, "p", "n").crossJoin(F.broadcast(total))
-    tp, fp = F.col("all_p") - F.col("below_p"), F.col("all_n") - F.col("below_n")
-    gain = F.sum(F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), F.col("p") / F.col("all_p") * tp / (tp + fp)))
-    return c.agg(F.round(gain, 6).alias("pr_auc"))
+    return with_totals(curve(scores)).agg(F.round(precision(), 6).alias("pr_auc"))
 
 
 def f1_of(tp: Column, fp: Column, fn: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + fp + fn), F.lit(0.0))
 
 
+def f1_at(threshold: float) -> Column:
+    """Of rows with score, p and n."""
+    hit = F.col("score") >= threshold
+    tp, fp = F.coalesce(F.sum(F.when(hit, F.col("p"))), F.lit(0.0)), F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0.0))
+    return f1_of(tp, fp, F.coalesce(F.sum(F.when(~hit, F.col("p"))), F.lit(0.0)))
+
+
 def f1(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row, f1 at the threshold; 0 where it is undefined."""
-    hit = F.col("score") >= threshold
-    count = lambda c: F.count(F.when(c, 1)).cast("double")
-    return scores.agg(F.round(f1_of(count(hit & (F.col("y") == 1)), count(hit & (F.col("y") == 0)), count(~hit & (F.col("y") == 1))), 6).alias("f1"))
+    return grouped(scores).agg(F.round(f1_at(threshold), 6).alias("f1"))
 
 
 def best_f1(scores: DataFrame, steps: int = 32) -> DataFrame:
     """One row, f1_best: the greatest F1 over the distinct interpolated quantiles 0, 1/steps, ..., 1 of the scores; 0 with one class."""
-    cut = sorted({q for q in quantiles(scores, "score", [k / steps for k in range(steps + 1)]) if q is not None})
-    totals = scores.agg(F.sum("y").cast("double").alias("all_p"), F.sum(1 - F.col("y")).cast("double").alias("all_n"))
-    cuts = F.broadcast(scores.sparkSession.createDataFrame([(t,) for t in cut], "t double").crossJoin(totals))  # at most steps + 1 rows
-    each = grouped(scores).crossJoin(cuts).filter("score >= t").groupBy("t", "all_p", "all_n").agg(F.sum("p").alias("tp"), F.sum("n").alias("fp"))
+    return best_f1_of(curve(scores), steps)
+
+
+def best_f1_of(c: DataFrame, steps: int = 32) -> DataFrame:
+    placed = c.select(F.col("score").alias("value"), (F.col("p") + F.col("n")).alias("n"), (F.col("below_p") + F.col("below_n")).alias("below_n"))
+    cut = sorted({q for q in placed_quantiles(placed, [k / steps for k in range(steps + 1)]) if q is not None})
+    cuts = F.broadcast(c.sparkSession.createDataFrame([(t,) for t in cut], "t double"))  # at most steps + 1 rows
+    each = with_totals(c).crossJoin(cuts).filter("score >= t").groupBy("t", "all_p", "all_n").agg(F.sum("p").alias("tp"), F.sum("n").alias("fp"))
     value = F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), f1_of(F.col("tp"), F.col("fp"), F.col("all_p") - F.col("tp"))).otherwise(0.0)
     return each.agg(F.round(F.coalesce(F.max(value), F.lit(0.0)), 6).alias("f1_best"))
 
 
+def rate() -> Column:
+    """Share of positives of a curve with its totals; NULL without rows."""
+    return F.try_divide(F.max("all_p"), F.max("all_p") + F.max("all_n"))
+
+
 def lift(scores: DataFrame) -> DataFrame:
     """One row: prevalence and pr_lift, average precision over max(prevalence, 1e-12)."""
-    rate = scores.agg(F.avg("y").alias("rate"))
-    both = average_precision(scores).crossJoin(F.broadcast(rate))
-    return both.select(F.round("rate", 6).alias("prevalence"), F.round(F.col("pr_auc") / F.greatest(F.col("rate"), F.lit(1e-12)), 4).alias("pr_lift"))
+    one = with_totals(curve(scores)).agg(rate().alias("rate"), precision().alias("ap"))
+    return one.select(F.round("rate", 6).alias("prevalence"), F.round(F.col("ap") / F.greatest(F.col("rate"), F.lit(1e-12)), 4).alias("pr_lift"))
 
 
 def positive_weight(labels: DataFrame, most: float = 50_000.0) -> DataFrame:
@@ -99,9 +133,12 @@ def positive_weight(labels: DataFrame, most: float = 50_000.0) -> DataFrame:
 
 
 def bundle(logits: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row of all metrics of rows (y, logit): roc_auc, pr_auc, f1, f1_best, prevalence, pr_lift, n_pos, n_neg."""
-    scores = logits.select("y", probability(F.col("logit")).alias("score"))
-    counts = scores.agg(F.coalesce(F.sum("y"), F.lit(0)).cast("long").alias("n_pos"), F.coalesce(F.sum(1 - F.col("y")), F.lit(0)).cast("long").alias("n_neg"))
-    for part in (roc_auc(scores), average_precision(scores), f1(scores, threshold), best_f1(scores), lift(scores)):
-        counts = counts.crossJoin(F.broadcast(part))  # one row each
-    return counts
+    """One row of all metrics of rows (y, logit): roc_auc, pr_auc, f1, f1_best, prevalence, pr_lift, n_pos, n_neg; all from one curve."""
+    c = curve(logits.select("y", probability(F.col("logit")).alias("score")))
+    one = with_totals(c).agg(
+        F.coalesce(F.sum("p"), F.lit(0)).cast("long").alias("n_pos"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_neg"), F.round(area(), 6).alias("roc_auc"), precision().alias("_ap"),
+        F.round(f1_at(threshold), 6).alias("f1"), rate().alias("_rate"),
+    )
+    named = one.crossJoin(F.broadcast(best_f1_of(c)))  # one row each
+    lifted = F.round(F.col("_ap") / F.greatest(F.col("_rate"), F.lit(1e-12)), 4)
+    return named.select("n_pos", "n_neg", "roc_auc", F.round("_ap", 6).alias("pr_auc"), "f1", "f1_best", F.round("_rate", 6).alias("prevalence"), lifted.alias("pr_lift"))

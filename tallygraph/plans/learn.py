@@ -197,8 +197,10 @@ class Model:
 
 def scattered(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows by place."""
-    out = np.zeros((n, values.shape[1]))
-    np.add.at(out, at, values)
+    out, order = np.zeros((n, values.shape[1])), np.argsort(at, kind="stable")
+    places, first = np.unique(at[order], return_index=True)
+    if len(places):
+        out[places] = np.add.reduceat(values[order], first)
     return out
 
 
