@@ -200,7 +200,7 @@ def test_gradients(spark):
             assert math.isclose((up - down) / 2e-5, d[at], rel_tol=1e-3, abs_tol=1e-6), (target, name)
 
 
-def test_transfer(spark):
+def test_transfer(spark, monkeypatch):
     g = toy(spark)
     config = learn.ModelConfig(hidden=8, emb=8, node_epochs=15, edge_epochs=5, syn_node_epochs=15, syn_edge_epochs=5, lr=0.05)
     out = learn.Transfer(config, ["x"], ["w"]).run(g, lambda: g)
@@ -208,6 +208,8 @@ def test_transfer(spark):
     m = out["edge"]["real_train_eval"]["test"]
     assert math.isclose(m["prevalence"], m["n_pos"] / (m["n_pos"] + m["n_neg"]), abs_tol=1e-6)
     assert out["similarity"]["in_deg_hist_l1"] == 0 and {"real", "synthetic", "node_features", "edge_features"} <= set(out["similarity"]) and out["edge"]["synthetic_train_eval"]["val"]["n_pos"] > 0
+    monkeypatch.setattr(learn.Transfer, "metrics", lambda *_: {k: dict.fromkeys(("roc_auc", "pr_auc", "f1"), 0.5) for k in splits.SPLITS})
+    monkeypatch.setattr(report, "comparison", lambda *_, **__: {})
     only = learn.Transfer(learn.ModelConfig(hidden=4, emb=4, edge_epochs=1, syn_edge_epochs=1, edges_only=True, warm_start=True), ["x"], ["w"]).run(g, lambda: g, least_nodes=60)
     assert only["node"]["skipped"] and only["edge"]["drop_test"]
     with pytest.raises(ValueError, match="fewer than 61"):
