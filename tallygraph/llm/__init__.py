@@ -1,4 +1,4 @@
-"""Training-data operators: ten batch operators over documents, pages and vectors.
+"""Training-data operators: thirteen batch operators over documents, pages and vectors.
 
 Nothing outside this folder imports it, so it can be removed as a whole.
 """

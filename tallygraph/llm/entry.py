@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, decontaminate, language_id, near_dup, neighbours, packing, secret_scan, substring_dedup, token_count, url_filter
+from . import clustering, context_tree, decontaminate, language_id, merkle, near_dup, neighbours, packing, secret_scan, substring_dedup, token_count, top_search, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,17 @@ def queries() -> dict[str, Query]:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_language_id": language_id.op9_language_id,
         "op10_lm_scores": context_tree.op10_lm_scores,
+        "op11_centroid_clusters": clustering.op11_centroid_clusters,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_top_products": top_search.op13_top_products,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.oracle(), "op7_secret_scan": secret_scan.oracle()}
+    return {
+        "op3_url_filter": url_filter.oracle(),
+        "op7_secret_scan": secret_scan.oracle(),
+        "op11_centroid_clusters": clustering.oracle(),
+        "op12_merkle_manifest": merkle.oracle(),
+        "op13_top_products": top_search.oracle(),
+    }
