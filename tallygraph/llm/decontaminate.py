@@ -5,7 +5,7 @@ each item; a CGK random walk embeds a window, so that few edits become few diffe
 are keys, repeated until a passage with as many edits as an item allows shares one with the target recall. Where a window
 shares a key with an item, bounds from the item's parts and then its exact edit distance to the surroundings decide.
 
-Windows have sizes to suit their items: SIZES has two, and items too small for either meet every place of every text.
+Windows have sizes to suit their items: SIZES has four, and items too small for any meet every place of every text.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .kernel import buffers
 from .shared import bounded_batches, machine, pieces, record
@@ -53,7 +54,7 @@ class Size:
 
 
 #: Measured recall of passages within the limit: see the README and the tests.
-SIZES = (Size(72, 44, 12, 4, 4), Size(24, 32, 8, 8, 2))
+SIZES = (Size(112, 44, 12, 4, 4), Size(72, 44, 12, 8, 2), Size(40, 32, 8, 8, 2), Size(24, 28, 7, 8, 1))
 
 
 def symbols_of(text: str) -> np.ndarray:
@@ -288,9 +289,10 @@ class Items:
 
 
 def matches(docs: DataFrame, ids: list[int], texts: list[str | None], edits: float = EDITS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, edits: for each text and item the least distance of a passage, if it is small enough."""
+    """doc_id, item_id, edits: for each text and item the least distance of a passage, if it is small enough. The id may be of any type, as a digest of the text."""
+    kind = docs.schema[id_col].dataType
     shared, token = docs.sparkSession.sparkContext.broadcast((ids, texts)), uuid.uuid4().hex
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32())])
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("item_id", pa.int64()), ("edits", pa.int32())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = machine(("items", token), lambda: Items(*shared.value, edits))
@@ -299,7 +301,7 @@ def matches(docs: DataFrame, ids: list[int], texts: list[str | None], edits: flo
             yield record(schema, [names[t] for t, _ in found], [items.ids[n] for _, n in found], list(found.values()))
 
     bounded_batches(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(find, "doc_id long, item_id long, edits int")
+    return docs.select(id_col, text_col).mapInArrow(find, f"doc_id {kind.simpleString()}, item_id long, edits int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

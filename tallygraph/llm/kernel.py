@@ -63,12 +63,17 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 #: Bytes of a range that run_hashes mixes eight at a time; longer ranges, few in running text, are hashed by BLAKE2.
 MIXED = 128
 _TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+_SECOND = 0xD6E8FEB86659FD93
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges in which every eight bytes pass through the finaliser: unlike sums of powers, no two texts built from one pattern meet."""
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges from a state of 128 bits.
+
+    Every eight bytes enter both halves, mixed in the second and not in the first, so bytes chosen to make one half meet
+    leave the other apart. Where hashes never leave a process, a random key keeps texts from being built for it at all.
+    """
     size = ends - starts
-    out = mix(size.astype(U64) + U64(_MULTIPLIER))
+    first, second = mix(size.astype(U64) + U64(_MULTIPLIER) + U64(key)), mix((size.astype(U64) ^ U64(key)) + U64(_SECOND))
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
     own = np.flatnonzero(size <= MIXED)
@@ -77,11 +82,13 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         if not len(own):
             break
         block = eight[starts[own] + at] & _TAIL[np.minimum(size[own] - at, 8)]
-        out[own] = mix((out[own] ^ block) * U64(_MULTIPLIER) + U64(at + 1))
+        first[own] = mix((first[own] ^ block) * U64(_MULTIPLIER) + U64(at + 1))
+        second[own] = (second[own] ^ mix(block + U64(_SECOND))) * U64(_MULTIPLIER) + (second[own] >> U64(29))
+    out = mix(first + mix(second))
     long = np.flatnonzero(size > MIXED)
     if len(long):
-        raw = data.tobytes()
-        out[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        raw, salt = data.tobytes(), key.to_bytes(8, "little")
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8, key=salt).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
     return out
 
 

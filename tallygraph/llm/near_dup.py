@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -83,9 +83,14 @@ def digest_of(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values, digest_size=16).digest()
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text as bytes, null for null."""
+    return F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_sha256")
+
+
 def sketches(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (size of the set), digest (of the set) and sketch (up to RETAINED ascending 32-bit values)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
+    """doc_id, n (size of the set), digest (of the set), sketch (up to RETAINED ascending 32-bit values) and text_sha256 (as bytes)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("text_sha256", pa.binary())])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine(("sketch",))
@@ -96,10 +101,11 @@ def sketches(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", tex
                     sizes.append(b - a)
                     digests.append(digest_of(values[a:b]))
                     kept.append((values[a : min(b, a + RETAINED)] >> U64(32)).astype(np.uint32).tobytes())
-            yield record(schema, batch.column(0), sizes, digests, kept)
+            yield record(schema, batch.column(0), sizes, digests, kept, batch.column(2))
 
     bounded_batches(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(sketch, "doc_id long, n long, digest binary, sketch binary")
+    named = docs.select(id_col, text_col, text_digest(F.col(text_col)))
+    return named.mapInArrow(sketch, "doc_id long, n long, digest binary, sketch binary, text_sha256 binary")
 
 
 def keys(classes: DataFrame, values: int, run: int) -> DataFrame:
@@ -355,13 +361,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row doc_id, n_shingles, component_id (least id reachable over links) and kept (whether that is its own).
+    """For every row doc_id, n_shingles, component_id (least id reachable over links), kept (whether that is its own) and text_sha256.
 
     A null, empty or blank text has no shingles and is linked with nothing; a text of fewer words than a shingle is one
     shingle; very long texts are taken whole. Repeated rows share a component; a repeated id with different texts is judged
     row by row. A null id is linked with nothing and kept, with a null component. Other columns, whatever their names, are
     not looked at. An empty table gives no rows.
     """
+    if similarity < SIMILARITY:
+        raise ValueError(f"lists and estimates find pairs from a similarity of {SIMILARITY} hundredths on")
     rows = written(sketches(docs, words=words, id_col=id_col, text_col=text_col), "sketches")
     named = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     first = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x")).select("digest", "x.*")
@@ -376,11 +384,11 @@ def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, words: int
     least = linked_classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = classes.select("digest", "doc_id").join(linked_classes.join(least, "component").select("digest", "component_id"), "digest", "left")
     of_class = of_class.select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
-    joined = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
+    joined = rows.select("doc_id", "n", "text_sha256", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_sha256")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, linked at 85 hundredths."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), similarity=85)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), similarity=85).drop("text_sha256")

@@ -197,12 +197,13 @@ class Encoder:
         self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self.ends[[k for t, k in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.known, self.words = RunTable(), Recent(self.KEPT_WORDS)
+        self.key = int.from_bytes(os.urandom(8), "little")  # runs are known by their hash, within this process only
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """A run here ends at white space of ASCII; other white space within it only parts its matches."""
         data, at = buffers(texts)
         starts, ends, first = words(data, at)
-        hashes = run_hashes(data, starts, ends)
+        hashes = run_hashes(data, starts, ends, self.key)
         entries = self.known.find(hashes)
         new = np.flatnonzero(entries < 0)
         if len(new):

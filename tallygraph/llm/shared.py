@@ -69,9 +69,14 @@ def machine(key: tuple, make: Callable[[], object] = lambda: None) -> object:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as by rows, unless the session already asks for less."""
+    """Bound Arrow batches by bytes as well as by rows, unless the session already asks for less.
+
+    The setting holds until the session is told otherwise, since rows are computed when the caller asks for them. It may
+    be any size that Spark reads, such as 64m.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < held <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 

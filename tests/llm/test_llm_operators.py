@@ -1,4 +1,4 @@
-"""The ten operators against plain versions, and on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
+"""The first ten operators against plain versions, and on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 from __future__ import annotations
 
@@ -546,6 +546,21 @@ def test_recall_at_every_share_of_edits(spark):
         assert all(found[k, k] == want[k] for k in hits)
 
 
+@pytest.mark.parametrize("length", [24, 30, 40, 60, 72, 80, 90, 100, 111, 112, 140])
+def test_recall_in_every_class_of_lengths(length):
+    """Items cut to a length, by share of random edits; the short ones of a size are the hardest."""
+    rng, normal = random.Random(length), lambda t: " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower()))
+    long = " ".join(normal(t) for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/benchmark.parquet' ORDER BY item_id").fetchall())
+    items = [x for p in rng.sample(range(len(long) - length), 200) if len(x := long[p : p + length].strip()) == length][:120]
+    fill = " ".join(normal(t) for _, t in real(100))
+    held = decontaminate.Items(list(range(len(items))), items)
+    for share in (0.1, 0.18, 0.2):
+        texts = [f"{fill[p : p + 300]} {blurred(rng, t, share)} {fill[p + 300 : p + 600]}" for t in items for p in [rng.randrange(len(fill) - 600)]]
+        found = held.found(pa.array(texts))
+        want = [k for k, t in enumerate(texts) if decontaminate.edit_distance(items[k], normal(t), length // 5) <= length // 5]
+        assert len(want) > 0.9 * len(items) and np.mean([(k, k) in found for k in want]) >= 0.93
+
+
 def test_walks_keep_few_edits_few():
     """An embedding agrees on more positions the fewer edits there are, and on few for unrelated texts."""
     rng, size = random.Random(1), decontaminate.SIZES[0]
@@ -588,6 +603,17 @@ def test_texts_built_to_collide(spark):
     assert known == {1: 2, 2: 1, 3: 2, 4: 1, 5: 1}
 
 
+def test_words_solved_to_collide(spark):
+    """Words of 16 bytes whose second halves were solved for an earlier hash: ids, shingles and counts tell them apart."""
+    tokenizer, words_ = library("word_bpe_49k.json"), ["mntyadvy!a!aa!a!", "ipyvafxp[t_zuGfA", "mntyadvy!!!!!&!;", "ipyvafxp[4_:5@&["]
+    df = spark.createDataFrame(list(enumerate(words_)), "doc_id long, text string")
+    own = packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode(pa.array(words_))
+    assert [np.frombuffer(i, "<u4").tolist() for i in own] == [tokenizer.encode(t, add_special_tokens=False).ids for t in words_]
+    assert {r["component_id"] for r in near_dup.near_duplicates(df).collect()} == {0, 1, 2, 3}
+    known = {r["doc_id"]: r["n_known"] for r in context_tree.lm_scores(df, F.col("doc_id") == 1).collect()}
+    assert known == {0: 1, 1: 2, 2: 1, 3: 1}
+
+
 # languages
 
 
