@@ -3,7 +3,7 @@
 Language ID drops documents without a recognised language; near-duplicate detection leaves one document of each group;
 decontamination drops documents that hold a passage of the benchmark; the secret scan masks every secret in the text;
 best-fit packing lays the rest out in sequences. Each stage works on all rows that the one before kept, whole texts included.
-Rows with null ids are kept where their text is, since groups and matches are named by ids.
+Rows with null ids are in no group of near duplicates; all other decisions are of the text alone.
 """
 
 from __future__ import annotations
@@ -23,9 +23,13 @@ LEAST_SCORE = 0.2
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among the rejected ones; null ids stay."""
-    return docs.join(rejected.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+def without(docs: DataFrame, rejected: DataFrame, *names: str) -> DataFrame:
+    """The documents that are not among the rejected rows, told by the names and the digest of the text, so that another text of the same id stays."""
+    gone = rejected.select(*[F.col(c).alias(f"_{c}") for c in names], F.col("text_sha256").alias("_text")).distinct()
+    same = near_dup.text_digest(F.col("text")) == F.col("_text")
+    for c in names:
+        same &= F.col(c) == F.col(f"_{c}")
+    return docs.select(*COLUMNS).join(gone, same, "left_anti")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,18 +47,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one document of each group (similarity 0.8 of five-word shingles): that with the least doc_id.
 
     Null and empty texts and null ids are in no group and stay; so do repeated rows of the least id, which is kept as a
-    whole; extra columns are dropped; an empty table stays empty.
+    whole; of one id with different texts only those in the group of a smaller id go; extra columns are dropped; an empty
+    table stays empty.
     """
-    return without(docs, near_dup.near_duplicates(docs).filter("NOT kept"))
+    return without(docs, near_dup.near_duplicates(docs).filter("NOT kept"), "doc_id")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage within the edit distance of a benchmark item.
 
-    Null and empty texts hold none and stay, as do rows with a null id; repeated rows go together; extra columns are
-    dropped; an empty table of documents stays empty, an empty benchmark drops nothing.
+    The text alone decides, so equal texts share their fate whatever their ids, null ones included, and other texts of an
+    id stay; null and empty texts hold no passage and stay; extra columns are dropped; an empty table of documents stays
+    empty, an empty benchmark drops nothing.
     """
-    return without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    texts = docs.select(near_dup.text_digest(F.col("text")), "text")
+    leaks = decontaminate.contaminated(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="text_sha256")
+    return without(docs, leaks.withColumnRenamed("doc_id", "text_sha256"))
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
