@@ -73,7 +73,7 @@ def test_packing_stage(spark, docs):
 def test_repeated_ids_keep_their_other_texts(spark, docs):
     """Of one id only the text that is a copy, or holds a passage, goes."""
     words = "the quick brown fox jumps over a lazy dog while seven wise owls watch from an old oak tree near the river bank at night"
-    item = duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet' ORDER BY item_id LIMIT 1").fetchone()[0]
+    item = duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet' ORDER BY item_id LIMIT 1").fetchall()[0][0]
     other = "an unrelated text about ships and harbours that nobody has copied from anywhere else so far"
     odd = spark.createDataFrame([(3, words, "en", "s", 1), (5, words + " again", "en", "s", 1), (5, other, "en", "s", 1), (7, f"so {item} it is", "en", "s", 1), (7, other + " indeed it is so", "en", "s", 1), (None, item, "en", "s", 1), (None, None, "en", "s", 1)], docs.schema)
     assert sorted((r[0], r[1][:9]) for r in rows(pipeline.near_duplicates(spark, odd.filter("doc_id < 7"), SF))) == [(3, "the quick"), (5, "an unrela")]
