@@ -54,18 +54,42 @@ def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
     return checkpointed(df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()))
 
 
-def numbered(df: DataFrame, bucket: Column | None, *order: Column | str, name: str) -> DataFrame:
+#: Of a row's place: the bits below the number of its range, as monotonically_increasing_id has them.
+WITHIN = 33
+#: Buckets whose first numbers one task may add up.
+BUCKETS = 100_000
+
+
+def numbered(df: DataFrame, bucket: Column | None, *order: Column | str, name: str, buckets: int = 0) -> DataFrame:
     """Rows numbered from 0 in the order given.
 
-    bucket never decreases along that order (None: ranges of about equal size), so rows are numbered within buckets, in
-    parallel, and a bucket's first number is the rows of those before it; only a row for each bucket meets in one task.
+    Without a bucket the rows are sorted within ranges of about equal size, whatever their values, and stored with their place
+    in the range; a range's first number is the rows of those before it, and only a row for each range meets in one task.
+    A bucket, which never decreases along the order, saves the store, for orders by a hash: its rows are numbered in one task
+    each. Where there may be more than BUCKETS of them (buckets, about), their first numbers are added up over ranges too.
     """
-    held = ranged(df, *order) if bucket is None else df.withColumn("_bucket", bucket)
+    if bucket is None:
+        held = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+        held = held.withColumn("_bucket", F.shiftright("_at", WITHIN)).withColumn("_nth", F.col("_at").bitwiseAND((1 << WITHIN) - 1)).drop("_at")
+    else:
+        nth = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
+        held = df.withColumn("_bucket", bucket).withColumn("_nth", nth.cast("long") - 1)
     sizes = held.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    nth = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
-    return held.withColumn("_nth", nth).join(starts, "_bucket").withColumn(name, F.col("_start") + F.col("_nth") - 1).drop("_bucket", "_nth", "_start")
+    starts = running(sizes, "_bucket", "_n", "_start", buckets > BUCKETS)
+    starts = F.broadcast(starts) if bucket is None else starts  # a row for each range
+    return held.join(starts, "_bucket").withColumn(name, F.col("_start") + F.col("_nth")).drop("_bucket", "_nth", "_start")
+
+
+def running(rows: DataFrame, key: str, amount: str, name: str, many: bool) -> DataFrame:
+    """key and name, the sum of amount over smaller keys; many: in ranges of the key, whose totals are added up first."""
+    before = lambda *within: W.partitionBy(*within).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    upto = lambda c, window: F.coalesce(F.sum(c).over(window), F.lit(0))
+    if not many:
+        return rows.select(key, upto(amount, before()).alias(name))
+    held = checkpointed(rows.select(key, amount).repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    totals = held.groupBy("_range").agg(F.sum(amount).alias("_all"))
+    ahead = totals.select("_range", upto("_all", W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_ahead"))
+    return held.withColumn("_own", upto(amount, before("_range"))).join(F.broadcast(ahead), "_range").select(key, (F.col("_ahead") + F.col("_own")).alias(name))  # a row for each range
 
 
 def first(df: DataFrame, rows: int, *order: Column | str) -> DataFrame:
@@ -79,7 +103,7 @@ def shuffled(df: DataFrame, key: Column, *ties: str, name: str, rows: int | None
     """Rows numbered from 0 in the order of a hexadecimal hash, whose first digits are the buckets: as many as the rows need, which are counted unless given."""
     held = df.withColumn("_key", key)
     digits = hash_digits(df.count() if rows is None else rows)
-    return numbered(held, F.substring("_key", 1, digits), "_key", *ties, name=name).drop("_key")
+    return numbered(held, F.substring("_key", 1, digits), "_key", *ties, name=name, buckets=16**digits).drop("_key")
 
 
 def induced(edges: DataFrame, kept: DataFrame, node: str = "node") -> DataFrame:
@@ -111,6 +135,46 @@ def neighbours(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("other")).unionAll(pairs.select(F.col("v").alias("node"), F.col("u").alias("other")))
 
 
+#: Neighbours that one block of a node's list holds, about; and nodes of several blocks that may be broadcast, some 40 bytes each.
+HUB, BROADCAST = 2048, 500_000
+
+
+@dataclass(frozen=True)
+class Adjacency:
+    """Lists of neighbours in blocks of about HUB, so that a hub's list is many tasks' work: blocks(at, block, ...), stored by at and block.
+
+    hubs(at, blocks) are the nodes of several blocks; None if there is none.
+    """
+
+    blocks: DataFrame
+    hubs: DataFrame | None
+
+    @classmethod
+    def of(cls, links: DataFrame, *, distinct: bool = True, hub: int = HUB) -> Adjacency:
+        """From links(at, node, ...): written once, as every wave of a search joins it there; each row once if distinct."""
+        many = checkpointed(links.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("blocks")).filter("blocks > 1"))
+        n = many.count()
+        hubs = (F.broadcast(many) if n <= BROADCAST else many) if n else None
+        block = F.pmod(F.xxhash64(*[c for c in links.columns if c != "at"]), F.col("blocks")).cast("int")
+        placed = links.withColumn("block", F.lit(0)) if hubs is None else links.join(hubs, "at", "left").withColumn("block", F.coalesce(block, F.lit(0))).drop("blocks")
+        dealt = placed.repartition("at", "block")
+        return cls(checkpointed(dealt.dropDuplicates() if distinct else dealt), hubs)
+
+    def met(self, rows: DataFrame) -> DataFrame:
+        """rows(at, ...), each once for every neighbour of at, with the neighbour's columns; a hub's rows are copied to its blocks."""
+        if self.hubs is None:
+            spread = rows.withColumn("block", F.lit(0))
+        else:
+            every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+            spread = rows.join(self.hubs, "at", "left").withColumn("block", every).drop("blocks")
+        return spread.join(self.blocks, ["at", "block"]).drop("block")
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """at and node: every edge from each of its ends."""
+    return edges.select(F.col("src").alias("at"), F.col("dst").alias("node")).unionAll(edges.select("dst", "src"))
+
+
 def endpoints(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node"))).distinct()
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
-from ..graph import checkpointed, empty_like, first, induced, numbered, relabelled
+from ..graph import Adjacency, both_ways, checkpointed, empty_like, first, induced, numbered, relabelled
 from .structure import degrees
 
 
@@ -40,21 +40,22 @@ def random_induced(nodes: DataFrame, edges: DataFrame, max_nodes: int, seed: int
     return first_by_hash(kept, max_nodes - 1, seed, "induced").unionAll(positive) if positive.count() else kept
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """at and node, both ways, each pair once: written once by at, as every wave joins it there."""
-    return checkpointed(edges.select(F.col("src").alias("at"), F.col("dst").alias("node")).unionAll(edges.select("dst", "src")).distinct().repartition("at"))
-
-
-def enriched(nodes: DataFrame, edges: DataFrame, max_nodes: int, seed: int, hops: int = 2) -> DataFrame:
-    """Nodes within so many undirected hops of a positive; over max_nodes negatives drop out at random, under it others fill up. Positives alone may exceed it."""
-    both = adjacency(edges)
-    kept = checkpointed(nodes.filter("y = 1").select("node"))
-    frontier = kept
+def grown(near: Adjacency, kept: DataFrame, hops: int, *within: str) -> DataFrame:
+    """kept(within..., node) and all nodes met in at most so many steps along near's lists, each search within its own key."""
+    key = [*within, "node"]
+    kept = frontier = checkpointed(kept.select(*key).distinct())
     for _ in range(hops):
-        frontier = checkpointed(frontier.select(F.col("node").alias("at")).join(both, "at").select("node").distinct().join(kept, "node", "left_anti"))
+        met = near.met(frontier.select(*within, F.col("node").alias("at"))).select(*key).distinct()
+        frontier = checkpointed(met.join(kept, key, "left_anti"))
         if not frontier.limit(1).count():
             break
         kept = kept.unionAll(frontier)
+    return kept
+
+
+def enriched(nodes: DataFrame, edges: DataFrame, max_nodes: int, seed: int, hops: int = 2) -> DataFrame:
+    """Nodes within so many undirected hops of a positive; over max_nodes negatives drop out at random, under it others fill up. Positives alone may exceed it."""
+    kept = grown(Adjacency.of(both_ways(edges)), nodes.filter("y = 1"), hops)
     labelled = nodes.select("node", "y").join(kept, "node", "left_semi")
     positives, size = labelled.filter("y = 1"), labelled.count()
     if size > max_nodes:
@@ -63,17 +64,14 @@ def enriched(nodes: DataFrame, edges: DataFrame, max_nodes: int, seed: int, hops
     return labelled.unionAll(first_by_hash(rest, max_nodes - size, seed, "fill")) if size < max_nodes else labelled
 
 
+def incoming(edges: DataFrame) -> DataFrame:
+    """at and node: from each edge's destination to its source."""
+    return edges.select(F.col("dst").alias("at"), F.col("src").alias("node"))
+
+
 def k_hop_in(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Nodes from which a seed is reached along at most so many edges."""
-    kept, edges = checkpointed(seeds.select("node").distinct()), checkpointed(edges.select("src", "dst").repartition("dst"))
-    frontier = kept
-    for _ in range(hops):
-        back = edges.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
-        frontier = checkpointed(back.join(kept, "node", "left_anti"))
-        if not frontier.limit(1).count():
-            break
-        kept = kept.unionAll(frontier)
-    return kept
+    return grown(Adjacency.of(incoming(edges)), seeds, hops)
 
 
 def seeds(nodes: DataFrame, edges: DataFrame, strategy: str = "top_sar_by_degree", k: int = 20) -> DataFrame:
@@ -93,16 +91,16 @@ def snowball(nodes: DataFrame, edges: DataFrame, max_nodes: int, seed: int, *, k
     new nodes are taken in order of their offers until max_nodes. Seeds are never cut.
     """
     spark = nodes.sparkSession
-    both = adjacency(edges.filter("src <> dst"))
+    both = Adjacency.of(both_ways(edges.filter("src <> dst")))
     kept = checkpointed(seeds(nodes, edges, strategy, k).withColumn("wave", F.lit(0)))
     total = kept.count()
     rows, frontier = [(0, total, total)], kept
     for wave in range(1, waves + 1):
         if total >= max_nodes:
             break
-        offers = frontier.select(F.col("node").alias("at")).join(both, "at").join(kept.select("node"), "node", "left_anti")
         offer = F.struct(order_key(seed, f"f{wave}", "at").alias("f"), order_key(seed, f"n{wave}", "node").alias("n"), F.col("node").alias("v"))
-        offered = offers.groupBy("node").agg(F.min(offer).alias("x"))
+        offers = both.met(frontier.select(F.col("node").alias("at"))).groupBy("node").agg(F.min(offer).alias("x"))  # first, as many offer a hub
+        offered = offers.join(kept.select("node"), "node", "left_anti")
         frontier = checkpointed(first(offered, max_nodes - total, "x").select("node", F.lit(wave).alias("wave")))
         new = frontier.count()
         if not new:

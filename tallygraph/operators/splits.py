@@ -23,7 +23,7 @@ def ranked_by_class(df: DataFrame, seed: int, salt: str, key: str, sizes: tuple[
     """df with rank, from 0 in hash order within its class y; sizes are its rows and positives."""
     held, digits = df.withColumn("_key", order_key(seed, salt, F.col(key))), hash_digits(sizes[0])
     bucket = F.col("y") * 16**digits + F.conv(F.substring("_key", 1, digits), 16, 10).cast("long")
-    every = numbered(held, bucket, "_key", key, name="_all").drop("_key")
+    every = numbered(held, bucket, "_key", key, name="_all", buckets=2 * 16**digits).drop("_key")
     negatives = F.lit(sizes[0] - sizes[1])
     return every.withColumn("rank", F.col("_all") - F.when(F.col("y") == 1, negatives).otherwise(0)).drop("_all")
 

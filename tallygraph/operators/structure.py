@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
-from ..graph import checkpointed, endpoints, first, neighbours, simple
+from ..graph import Adjacency, checkpointed, endpoints, first, neighbours, simple
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -75,12 +75,13 @@ def clustering(nodes: DataFrame, edges: DataFrame, max_edges: int | None = None)
 
 def path_lengths(nodes: DataFrame, edges: DataFrame, *, sources: int = 2000, seed: int = 7, cutoff: int = 10, max_edges: int | None = None) -> DataFrame:
     """One row, path_mean, path_median, n_pairs, of distances up to the cutoff from sources drawn by hash to other nodes."""
-    hop = checkpointed(neighbours(simple(edges, max_edges)).select(F.col("node").alias("at"), F.col("other")).repartition("at"))  # every step joins it there
+    hop = Adjacency.of(neighbours(simple(edges, max_edges)).select(F.col("node").alias("at"), F.col("other").alias("node")), distinct=False)
     start = first(nodes.select("node", order_key(seed, "paths", "node").alias("_k")), sources, "_k", "node")
     reached = checkpointed(start.select(F.col("node").alias("source"), F.col("node").alias("at"), F.lit(0).alias("dist")))
     frontier = reached
     for k in range(1, cutoff + 1):
-        new = frontier.select("source", "at").join(hop, "at").select("source", F.col("other").alias("at")).distinct().join(reached.select("source", "at"), ["source", "at"], "left_anti")
+        met = hop.met(frontier.select("source", "at")).select("source", F.col("node").alias("at")).distinct()
+        new = met.join(reached.select("source", "at"), ["source", "at"], "left_anti")
         frontier = checkpointed(new.withColumn("dist", F.lit(k)))
         if not frontier.limit(1).count():
             break

@@ -26,7 +26,7 @@ def without_loops(pairs: DataFrame, rounds: int = 5) -> DataFrame:
         many = bad.count()
         if many < 2:
             break
-        ordered = numbered(bad, F.floor(F.col("pos") / 65_536), "pos", name="nth")
+        ordered = numbered(bad, None, "pos", name="nth")
         moved = ordered.select(F.pmod(F.col("nth") + 1, F.lit(many)).alias("nth"), F.col("dst").alias("moved"))
         fixed = ordered.join(moved, "nth").select("pos", "src", F.col("moved").alias("dst"))
         pairs = pairs.filter("src <> dst").unionByName(fixed)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import order_key, order_key_sql, uniform, uniform_sql
 from ..functions.scalars import bernoulli, entity_type, log_amount, one_hot_class, parsed_time, probability, resized, seconds_since
 from ..graph import endpoints, neighbours, numbered, shuffled, simple, symmetrised
-from ..operators import features, metrics, sage, sampling, similarity, splits, structure, synth
-from ..sources.tables import HOP_EDGES_SQL, TRADE_ACCOUNTS_SQL, hop_edges, table, trade_accounts, trade_edges, trade_edges_sql
+from ..operators import batches, features, metrics, sage, sampling, similarity, splits, structure, synth
+from ..sources.tables import HOP_EDGES_SQL, TRADE_ACCOUNTS_SQL, hop_edges, table, trade_accounts, trade_edges, trade_edges_sql, trade_rows
 
 SEED = 7
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,12 +41,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def trade_nodes(s: SparkSession, d: str) -> DataFrame:
     """node and y of all accounts of the trade graph."""
-    return features.labelled(trade_accounts(s, d).select(F.col("account_id").alias("node")), trade_edges(s, d))
-
-
-def hop_nodes(s: SparkSession, d: str) -> DataFrame:
-    e = hop_edges(s, d)
-    return features.labelled(endpoints(e), e)
+    return features.labelled(trade_accounts(s, d).select(F.col("account_id").alias("node")), trade_rows(s, d))
 
 
 @query("q_edges_scan", f"WITH {TG} SELECT eid, src, dst, amt, y FROM te")
@@ -169,18 +164,18 @@ def split_rare(s: SparkSession, d: str) -> DataFrame:
 
 @query("q_degrees", f"WITH {TRADE_DEGREES} SELECT node, in_deg, out_deg, deg FROM deg")
 def degrees(s: SparkSession, d: str) -> DataFrame:
-    return structure.degrees(trade_nodes(s, d), trade_edges(s, d))
+    return structure.degrees(trade_nodes(s, d), trade_rows(s, d))
 
 
 @query("q_degree_hist", f"""WITH {TRADE_DEGREES} SELECT r.i AS deg, CAST(count(node) AS BIGINT) AS n
 FROM (SELECT unnest(range(0, (SELECT max(out_deg) + 1 FROM deg))) AS i) r LEFT JOIN deg ON deg.out_deg = r.i GROUP BY 1""")
 def degree_hist(s: SparkSession, d: str) -> DataFrame:
-    return structure.dense_histogram(structure.degrees(trade_nodes(s, d), trade_edges(s, d)), "out_deg")
+    return structure.dense_histogram(structure.degrees(trade_nodes(s, d), trade_rows(s, d)), "out_deg")
 
 
 @query("q_degree_mean", f"WITH {TRADE_DEGREES} SELECT round(avg(in_deg), 6) AS in_mean, round(avg(out_deg), 6) AS out_mean, max(deg) AS deg_max FROM deg")
 def degree_mean(s: SparkSession, d: str) -> DataFrame:
-    return structure.degrees(trade_nodes(s, d), trade_edges(s, d)).agg(F.round(F.avg("in_deg"), 6).alias("in_mean"), F.round(F.avg("out_deg"), 6).alias("out_mean"), F.max("deg").alias("deg_max"))
+    return structure.degrees(trade_nodes(s, d), trade_rows(s, d)).agg(F.round(F.avg("in_deg"), 6).alias("in_mean"), F.round(F.avg("out_deg"), 6).alias("out_mean"), F.max("deg").alias("deg_max"))
 
 
 @query("q_degree_by_label", f"WITH {TRADE_DEGREES} SELECT " + ", ".join(
@@ -188,7 +183,7 @@ def degree_mean(s: SparkSession, d: str) -> DataFrame:
         *(f"round(avg({c}) FILTER (y = {y}), 6) AS {name}_{c}_mean, max({c}) FILTER (y = {y}) AS {name}_{c}_max" for c in ("in_deg", "out_deg")), f"count(*) FILTER (y = {y}) AS {name}_n")) + " FROM deg")
 def degree_by_label(s: SparkSession, d: str) -> DataFrame:
     nodes = trade_nodes(s, d)
-    return structure.by_label(structure.degrees(nodes, trade_edges(s, d)), nodes)
+    return structure.by_label(structure.degrees(nodes, trade_rows(s, d)), nodes)
 
 
 def _rewired(s: SparkSession, d: str) -> DataFrame:
@@ -215,7 +210,7 @@ def hist_l1(s: SparkSession, d: str) -> DataFrame:
 @query("q_label_rates", f"WITH {TRADE_NODES} SELECT (SELECT round(avg(y), 6) FROM nodes) AS node_rate, (SELECT round(avg(y), 6) FROM te) AS edge_rate")
 def label_rates(s: SparkSession, d: str) -> DataFrame:
     rate = lambda df, name: df.agg(F.round(F.avg("y"), 6).alias(name))
-    return rate(trade_nodes(s, d), "node_rate").crossJoin(F.broadcast(rate(trade_edges(s, d), "edge_rate")))
+    return rate(trade_nodes(s, d), "node_rate").crossJoin(F.broadcast(rate(trade_rows(s, d), "edge_rate")))
 
 
 @query("q_graph_stats", f"""WITH {TRADE_NODES}, c AS (SELECT CAST((SELECT count(*) FROM nodes) AS DOUBLE) AS n, CAST((SELECT count(*) FROM te) AS DOUBLE) AS e)
@@ -223,12 +218,12 @@ SELECT CAST(n AS BIGINT) AS n_nodes, CAST(e AS BIGINT) AS n_edges, (SELECT count
   round(e / greatest(1.0, n * (n - 1)), 6) AS density, round(2 * e / greatest(1.0, n), 6) AS avg_degree,
   (SELECT round(avg(y), 6) FROM nodes) AS node_rate, (SELECT round(avg(y), 6) FROM te) AS edge_rate FROM c""")
 def graph_stats(s: SparkSession, d: str) -> DataFrame:
-    return structure.graph_stats(trade_nodes(s, d), trade_edges(s, d))
+    return structure.graph_stats(trade_nodes(s, d), trade_rows(s, d))
 
 
 @query("q_top_hubs", f"WITH {TRADE_DEGREES} SELECT CAST(row_number() OVER (ORDER BY deg DESC, node DESC) AS INTEGER) AS rank, node, deg FROM deg ORDER BY 1 LIMIT 20")
 def top_hubs(s: SparkSession, d: str) -> DataFrame:
-    return sampling.top_hubs(structure.degrees(trade_nodes(s, d), trade_edges(s, d)))
+    return sampling.top_hubs(structure.degrees(trade_nodes(s, d), trade_rows(s, d)))
 
 
 @query("q_simple_projection", f"WITH {HOP_PAIRS} SELECT u, v FROM pairs")
@@ -244,7 +239,7 @@ def symmetrize(s: SparkSession, d: str) -> DataFrame:
 @query("q_binarize_median", f"""WITH {TRADE_DEGREES}, m AS (SELECT median(in_deg) AS a, median(out_deg) AS b FROM deg)
 SELECT node, CASE WHEN in_deg > a THEN 1 ELSE 0 END AS in_deg, CASE WHEN out_deg > b THEN 1 ELSE 0 END AS out_deg FROM deg, m""")
 def binarize_median(s: SparkSession, d: str) -> DataFrame:
-    g = structure.degrees(trade_nodes(s, d), trade_edges(s, d)).select("node", "in_deg", "out_deg").withColumn("constant", F.lit(1))
+    g = structure.degrees(trade_nodes(s, d), trade_rows(s, d)).select("node", "in_deg", "out_deg").withColumn("constant", F.lit(1))
     return features.median_bits(g, ["in_deg", "out_deg", "constant"])
 
 
@@ -256,7 +251,8 @@ ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM k2)
 SELECT eid, a.idx AS src, b.idx AS dst FROM ee JOIN ids a ON ee.src = a.node JOIN ids b ON ee.dst = b.node""")
 def induced_random(s: SparkSession, d: str) -> DataFrame:
     e = hop_edges(s, d)
-    return sampling.subgraph(e, sampling.random_induced(hop_nodes(s, d), e, 60, SEED)).select("eid", "src", "dst")
+    nodes = features.labelled(endpoints(e), e)
+    return sampling.subgraph(e, sampling.random_induced(nodes, e, 60, SEED)).select("eid", "src", "dst")
 
 
 @query("q_khop_enriched", f"""WITH {TRADE_NODES}, b AS (SELECT src AS at, dst AS node FROM te UNION SELECT dst, src FROM te),
@@ -267,7 +263,7 @@ SELECT node, y FROM kept WHERE y = 1 OR (SELECT n FROM c) <= 500
 UNION ALL SELECT node, y FROM (SELECT node, y, row_number() OVER (ORDER BY {order_key_sql(SEED, "trim", "node")}, node) AS r FROM kept WHERE y = 0) t WHERE (SELECT n FROM c) > 500 AND r <= greatest(0, 500 - (SELECT p FROM c))
 UNION ALL SELECT node, y FROM (SELECT node, y, row_number() OVER (ORDER BY {order_key_sql(SEED, "fill", "node")}, node) AS r FROM nodes WHERE node NOT IN (SELECT node FROM s2)) t WHERE (SELECT n FROM c) < 500 AND r <= 500 - (SELECT n FROM c)""")
 def khop_enriched(s: SparkSession, d: str) -> DataFrame:
-    return sampling.enriched(trade_nodes(s, d), trade_edges(s, d), 500, SEED)
+    return sampling.enriched(trade_nodes(s, d), trade_rows(s, d), 500, SEED)
 
 
 @query("q_khop_in", f"""WITH {HOP_EDGES_SQL}, s0 AS (SELECT node FROM (SELECT src AS node FROM ee UNION SELECT dst FROM ee) t ORDER BY {order_key_sql(SEED, "seed", "node")}, node LIMIT 2),
@@ -291,12 +287,12 @@ k{w} AS (SELECT * FROM k{p} UNION ALL SELECT * FROM n{w})""")
 
 @query("q_snowball", _snowball_sql(4, 400))
 def snowball(s: SparkSession, d: str) -> DataFrame:
-    return sampling.snowball(trade_nodes(s, d), trade_edges(s, d), 400, SEED, waves=4)[0]
+    return sampling.snowball(trade_nodes(s, d), trade_rows(s, d), 400, SEED, waves=4)[0]
 
 
 @query("q_snowball_waves", _snowball_sql(4, 400).replace("SELECT node, wave FROM k4", "SELECT CAST(wave AS INTEGER) AS wave, n AS new_nodes, CAST(sum(n) OVER (ORDER BY wave) AS BIGINT) AS total_nodes FROM (SELECT wave, count(*) AS n FROM k4 GROUP BY 1) t"))
 def snowball_waves(s: SparkSession, d: str) -> DataFrame:
-    return sampling.snowball(trade_nodes(s, d), trade_edges(s, d), 400, SEED, waves=4)[1]
+    return sampling.snowball(trade_nodes(s, d), trade_rows(s, d), 400, SEED, waves=4)[1]
 
 
 @query("q_bootstrap", f"""WITH {TG}, c AS (SELECT count(*) AS n FROM te), i AS (SELECT i AS idx, CAST(floor({uniform_sql(order_key_sql(SEED, "boot", "i"))} * n) AS BIGINT) AS eid FROM c, range((SELECT n FROM c)) r(i))
@@ -337,7 +333,7 @@ w AS (SELECT node AS source, node AS cur, 0 AS dist FROM st UNION SELECT source,
 f AS (SELECT source, cur, min(dist) AS dist FROM w GROUP BY 1, 2)
 SELECT round(avg(dist), 6) AS path_mean, median(dist) AS path_median, count(*) AS n_pairs FROM f WHERE dist > 0""")
 def path_length(s: SparkSession, d: str) -> DataFrame:
-    return structure.path_lengths(trade_nodes(s, d), trade_edges(s, d), sources=20, seed=SEED, cutoff=4, max_edges=None)
+    return structure.path_lengths(trade_nodes(s, d), trade_rows(s, d), sources=20, seed=SEED, cutoff=4, max_edges=None)
 
 
 LONG = "v AS (SELECT 'amt' AS dim, amt AS value, y AS sample FROM te UNION ALL SELECT 'day', CAST(epoch(ts) AS DOUBLE), y FROM te)"
@@ -450,12 +446,12 @@ def drop_nullable(s: SparkSession, d: str) -> DataFrame:
 
 @query("q_seeds_all", f"WITH {TRADE_NODES} SELECT node FROM nodes WHERE y = 1")
 def seeds_all(s: SparkSession, d: str) -> DataFrame:
-    return sampling.seeds(trade_nodes(s, d), trade_edges(s, d), "all_sar")
+    return sampling.seeds(trade_nodes(s, d), trade_rows(s, d), "all_sar")
 
 
 @query("q_seeds_top_degree", f"WITH {TRADE_DEGREES} SELECT node FROM deg ORDER BY deg DESC, node DESC LIMIT 20")
 def seeds_top_degree(s: SparkSession, d: str) -> DataFrame:
-    return sampling.seeds(trade_nodes(s, d), trade_edges(s, d), "top_degree")
+    return sampling.seeds(trade_nodes(s, d), trade_rows(s, d), "top_degree")
 
 
 @query("q_edge_cap", f"WITH {HOP_EDGES_SQL} SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM ee WHERE src <> dst AND eid < 500")
@@ -572,3 +568,57 @@ SELECT least(p, p0 + greatest(0, 512 - p0 - n0)) AS positives, n0 AS negatives F
 def batch_quota(s: SparkSession, d: str) -> DataFrame:
     n, p = splits.class_sizes(trade_edges(s, d))
     return s.createDataFrame([splits.batch_quota(512, 3, p, n - p)], "positives long, negatives long")
+
+
+def _batches_sql(graph: str, edges: str, steps: int, batch: int, ratio: int) -> str:
+    """b(step, eid, y) and d(step, eid, src, dst): the minibatches of an edge table."""
+    key = order_key_sql(SEED, "batch", "step || ':' || eid")
+    return f"""{graph}, bc AS (SELECT CAST(sum(y) AS BIGINT) AS p, CAST(sum(1 - y) AS BIGINT) AS n FROM {edges}),
+ba AS (SELECT least(p, {batch * ratio // (ratio + 1)}) AS p0, p, n FROM bc), bn AS (SELECT p0, p, least(n, {batch} - p0) AS n0 FROM ba), bq AS (SELECT least(p, p0 + greatest(0, {batch} - p0 - n0)) AS p1, n0 FROM bn),
+br AS (SELECT CAST(step AS INTEGER) AS step, eid, y, row_number() OVER (PARTITION BY step, y ORDER BY {key}, eid) AS nth FROM {edges}, range({steps}) r(step)),
+b AS (SELECT step, eid, y FROM br, bq WHERE nth <= CASE WHEN y = 1 THEN p1 ELSE n0 END),
+d AS (SELECT step, eid, src, dst FROM b JOIN {edges} USING (eid)), ends AS (SELECT step, src AS node FROM d UNION SELECT step, dst FROM d)"""
+
+
+TRADE_BATCHES, HOP_BATCHES = _batches_sql(TG, "te", 5, 8, 3), _batches_sql(HOP_EDGES_SQL, "ee", 6, 32, 1)
+
+
+def _trade_batches(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges, and those drawn by step."""
+    e = trade_edges(s, d)
+    return e, batches.batch_edges(batches.minibatches(e, 5, 8, 3, SEED), e)
+
+
+@query("q_minibatches", f"WITH {_batches_sql(TG, 'te', 20, 512, 3)} SELECT step, eid, y FROM b")
+def minibatches(s: SparkSession, d: str) -> DataFrame:
+    return batches.minibatches(trade_edges(s, d), 20, 512, 3, SEED)
+
+
+@query("q_batch_endpoints", f"WITH {TRADE_BATCHES} SELECT step, node FROM ends")
+def batch_endpoints(s: SparkSession, d: str) -> DataFrame:
+    return batches.batch_endpoints(_trade_batches(s, d)[1])
+
+
+AROUND = """s1 AS (SELECT step, node FROM ends UNION SELECT step, src FROM {e} JOIN ends ON dst = node), s2 AS (SELECT step, node FROM s1 UNION SELECT step, src FROM {e} JOIN s1 ON dst = node),
+ar AS (SELECT a.step, eid, src, dst FROM {e} JOIN s2 a ON dst = a.node JOIN s2 b ON src = b.node AND a.step = b.step)"""
+
+
+@query("q_step_nodes", f"WITH {TRADE_BATCHES}, {AROUND.format(e='te')} SELECT step, node FROM s2")
+def step_nodes(s: SparkSession, d: str) -> DataFrame:
+    e, drawn = _trade_batches(s, d)
+    return batches.surroundings(batches.incoming_lists(e), batches.batch_endpoints(drawn), 2)
+
+
+@query("q_step_edges", f"WITH {TRADE_BATCHES}, {AROUND.format(e='te')} SELECT step, eid, src, dst FROM ar")
+def step_edges(s: SparkSession, d: str) -> DataFrame:
+    e, drawn = _trade_batches(s, d)
+    near = batches.incoming_lists(e)
+    return batches.surrounding_edges(near, batches.surroundings(near, batches.batch_endpoints(drawn), 2))
+
+
+@query("q_local_edges", f"WITH {HOP_BATCHES}, {AROUND.format(e='ee')} SELECT d.step, d.eid, max(ar.eid) AS seen FROM d JOIN ar ON d.step = ar.step AND d.src = ar.src AND d.dst = ar.dst GROUP BY 1, 2")
+def local_edges(s: SparkSession, d: str) -> DataFrame:
+    e = hop_edges(s, d)
+    drawn = batches.batch_edges(batches.minibatches(e, 6, 32, 1, SEED), e)
+    near = batches.incoming_lists(e)
+    return batches.local_edges(drawn, batches.surrounding_edges(near, batches.surroundings(near, batches.batch_endpoints(drawn), 2)))

@@ -25,19 +25,24 @@ def trade_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(s)
 
 
-def trade_edges(spark: SparkSession, sf_dir: str, *, strict: bool = False) -> DataFrame:
-    """eid, src, dst, ts, amt, fmt, y; strict labels are rarer."""
+def trade_rows(spark: SparkSession, sf_dir: str, *, strict: bool = False) -> DataFrame:
+    """src, dst, ts, amt, fmt, y of the trade graph and what orders them; strict labels are rarer."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     lines = table(spark, sf_dir, "lineitem").select(*ORDER, "l_returnflag").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     discount, quantity = (0.095, 50) if strict else (0.09, 45)
     y = ((F.col("l_returnflag") == "R") & (F.col("l_discount") >= discount) & (F.col("l_quantity") >= quantity)).cast("int")
-    rows = numbered(lines, F.floor(F.col("l_orderkey") / 4096), *ORDER, name="eid")
-    return rows.select("eid", F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst"), F.col("l_shipdate").alias("ts"), F.col("l_extendedprice").alias("amt"), F.col("o_orderpriority").alias("fmt"), y.alias("y"))
+    src, dst = F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst")
+    return lines.select(src, dst, F.col("l_shipdate").alias("ts"), F.col("l_extendedprice").alias("amt"), F.col("o_orderpriority").alias("fmt"), y.alias("y"), *ORDER)
+
+
+def trade_edges(spark: SparkSession, sf_dir: str, *, strict: bool = False) -> DataFrame:
+    """eid, src, dst, ts, amt, fmt, y: numbered over ranges of about equal size, however the keys are spread."""
+    return numbered(trade_rows(spark, sf_dir, strict=strict), None, *ORDER, name="eid").select("eid", "src", "dst", "ts", "amt", "fmt", "y")
 
 
 def hop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """eid, src, dst, ts, amt, fmt, y: from each event's user to the next event's."""
-    e = numbered(table(spark, sf_dir, "events"), F.date_trunc("hour", "ts"), "ts", "event_id", name="nth")
+    """eid, src, dst, ts, amt, fmt, y: from each event's user to the next event's. Events are numbered over ranges of about equal size, as an hour may hold them all."""
+    e = numbered(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), None, "ts", "event_id", name="nth")
     after = e.select((F.col("nth") - 1).alias("nth"), F.col("user_id").alias("dst"))
     y = ((F.col("event_type") == "error") & (F.col("value") > 100)).cast("int")
     return e.join(after, "nth").select(F.col("event_id").alias("eid"), F.col("user_id").alias("src"), "dst", "ts", F.col("value").alias("amt"), F.col("event_type").alias("fmt"), y.alias("y"))
