@@ -160,14 +160,22 @@ class Adjacency:
         dealt = placed.repartition("at", "block")
         return cls(checkpointed(dealt.dropDuplicates() if distinct else dealt), hubs)
 
+    def copied(self, rows: DataFrame) -> DataFrame:
+        """rows(at, ...) with block: a hub's rows once for each of its blocks."""
+        if self.hubs is None:
+            return rows.withColumn("block", F.lit(0))
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+        return rows.join(self.hubs, "at", "left").withColumn("block", every).drop("blocks")
+
     def met(self, rows: DataFrame) -> DataFrame:
         """rows(at, ...), each once for every neighbour of at, with the neighbour's columns; a hub's rows are copied to its blocks."""
-        if self.hubs is None:
-            spread = rows.withColumn("block", F.lit(0))
-        else:
-            every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-            spread = rows.join(self.hubs, "at", "left").withColumn("block", every).drop("blocks")
-        return spread.join(self.blocks, ["at", "block"]).drop("block")
+        return self.copied(rows).join(self.blocks, ["at", "block"]).drop("block")
+
+    def given(self, rows: DataFrame, values: DataFrame, *by: str) -> DataFrame:
+        """rows(at, ...) joined with values(at, ...), one row for each at: a hub's rows are dealt to its blocks by a hash of the columns named."""
+        block = F.pmod(F.xxhash64(*by), F.coalesce("blocks", F.lit(1))).cast("int")
+        dealt = rows.withColumn("block", F.lit(0)) if self.hubs is None else rows.join(self.hubs, "at", "left").withColumn("block", block).drop("blocks")
+        return dealt.join(self.copied(values), ["at", "block"]).drop("block")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

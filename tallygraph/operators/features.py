@@ -21,7 +21,7 @@ def first_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
 
 
-def node_universe(accounts: DataFrame, edges: DataFrame, per_bucket: int = 65_536) -> DataFrame:
+def node_universe(accounts: DataFrame, edges: DataFrame) -> DataFrame:
     """account_id and node_idx, dense by first appearance: listed accounts by (side, number), then all sources, then all destinations by eid."""
     at = lambda rank, ordinal: F.struct(rank.cast("int").alias("part"), ordinal.cast("long").alias("at"))
     seen = (
@@ -30,8 +30,7 @@ def node_universe(accounts: DataFrame, edges: DataFrame, per_bucket: int = 65_53
         .unionAll(edges.select(F.col("dst"), at(F.lit(3), F.col("eid"))))
     )
     least = seen.groupBy("account_id").agg(F.min("x").alias("x"))
-    bucket = F.col("x.part") * F.lit(1 << 40) + F.floor(F.col("x.at") / per_bucket)
-    return numbered(least, bucket, "x", "account_id", name="node_idx").select("account_id", "node_idx")
+    return numbered(least, None, "x", "account_id", name="node_idx").select("account_id", "node_idx")
 
 
 def risky_nodes(edges: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
-"""GraphSAGE node and edge classifiers: training in NumPy on a bounded graph, scoring as Spark joins and matrix products.
+"""GraphSAGE node and edge classifiers, and the transfer experiment.
 
-Training needs the whole graph in one place, so it takes graphs up to MAX_EDGES edges, the size of the slices and
-subgraphs it is meant for, and refuses larger ones; scoring (node_scores, edge_scores) is distributed and has no bound.
+Graphs up to MAX_EDGES edges, the size of the slices and subgraphs of the experiments, are trained in NumPy; larger ones on
+the cluster (distributed), with the same gradients. Scoring is distributed at every size.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ import os
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
+from typing import TYPE_CHECKING
 
 import numpy as np
-from pyspark.sql import DataFrame
 
 from ..graph import PropertyGraph, checkpointed
-from ..operators import sage
+from ..operators.vectors import scattered
+
+if TYPE_CHECKING:
+    from . import distributed
 
 MAX_EDGES = 2_000_000
 
@@ -54,6 +57,11 @@ class PrivacyConfig:
     ratio: int = 1
 
 
+def fits(graph: PropertyGraph) -> bool:
+    """Whether one process trains it."""
+    return graph.edges.limit(MAX_EDGES + 1).count() <= MAX_EDGES
+
+
 @dataclass
 class Arrays:
     """A graph as arrays: nodes renumbered from 0."""
@@ -70,8 +78,8 @@ class Arrays:
 
     @classmethod
     def of(cls, graph: PropertyGraph, node_columns: list[str], edge_columns: list[str]) -> Arrays:
-        if graph.edges.limit(MAX_EDGES + 1).count() > MAX_EDGES:
-            raise ValueError(f"training takes at most {MAX_EDGES} edges; slice or sample the graph first")
+        if not fits(graph):
+            raise ValueError(f"arrays hold at most {MAX_EDGES} edges; distributed.LaidOut has no bound")
         nodes = graph.nodes.select("node", "y", "split", *node_columns).orderBy("node").toPandas()
         edges = graph.edges.select("eid", "src", "dst", "y", "split", *edge_columns).orderBy("eid").toPandas()
         ids = nodes["node"].to_numpy()
@@ -159,22 +167,17 @@ class Model:
             out.append((z * mask, mask))
         return (out[1][0] @ self.w["edge3"] + self.w["edge3_bias"]).ravel(), [x, *out]
 
-    def loss_gradient(self, logits: np.ndarray, y: np.ndarray, weight: float) -> np.ndarray:
-        """Of the mean weighted cross-entropy."""
-        p = 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
-        return (p * (1 + (weight - 1) * y) - weight * y) / max(len(y), 1)
-
     def node_gradient(self, g: Arrays, rows: np.ndarray, weight: float) -> dict[str, np.ndarray]:
         h, kept = self.encode(g, True)
         d = np.zeros(len(g.ids))
-        d[rows] = self.loss_gradient(self.node_logits(h)[rows], g.y[rows], weight)
+        d[rows] = loss_gradient(self.node_logits(h)[rows], g.y[rows], weight)
         return {"node": h.T @ d[:, None], "node_bias": np.array([d.sum()])} | self.backward(g, kept, d[:, None] @ self.w["node"].T)
 
     def edge_gradient(self, g: Arrays, rows: np.ndarray, weight: float, y: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """y: labels of the rows, unless they are the graph's."""
         h, kept = self.encode(g, True)
         logits, (x, (a, mask_a), (b, mask_b)) = self.edge_forward(g, h, rows, True)
-        d = self.loss_gradient(logits, g.y_edge[rows] if y is None else y, weight)[:, None]
+        d = loss_gradient(logits, g.y_edge[rows] if y is None else y, weight)[:, None]
         db = d @ self.w["edge3"].T * mask_b
         da = db @ self.w["edge2"].T * mask_a
         dx, size = da @ self.w["edge1"].T, h.shape[1]
@@ -195,13 +198,10 @@ class Model:
         return {k: v.copy() for k, v in self.w.items()}
 
 
-def scattered(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by place."""
-    out, order = np.zeros((n, values.shape[1])), np.argsort(at, kind="stable")
-    places, first = np.unique(at[order], return_index=True)
-    if len(places):
-        out[places] = np.add.reduceat(values[order], first)
-    return out
+def loss_gradient(logits: np.ndarray, y: np.ndarray, weight: float) -> np.ndarray:
+    """Of the mean weighted cross-entropy, by logits."""
+    p = 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
+    return (p * (1 + (weight - 1) * y) - weight * y) / max(len(y), 1)
 
 
 def weight_of(y: np.ndarray, most: float = 50_000.0) -> float:
@@ -320,12 +320,16 @@ def trained_privately(model: Model, g: Arrays, target: str, epochs: int, config:
             model.adam(noised(gradient, config, rng))
             steps += 1
         best.after(epoch)
-    rate = min(1.0, config.batch / max(1, len(rows)))
-    meta = {
+    return best.restore(), accounted(config, target, epochs, steps, len(rows), store)
+
+
+def accounted(config: PrivacyConfig, target: str, epochs: int, steps: int, rows: int, store: Store | None) -> dict:
+    """The accounting of so many steps over so many training rows."""
+    rate = min(1.0, config.batch / max(1, rows))
+    return {
         "dp_sgd": True, "target": target, "checkpoints_written": store.folder if store else None, "subgraph_k_hop": config.hops, "noise_multiplier": config.noise, "max_grad_norm": config.clip, "delta": config.delta,
         "batch_size": config.batch, "steps_per_epoch": config.steps, "epochs": epochs, "total_optimizer_steps": steps, "sample_rate_approx": rate, "epsilon_rdp": epsilon(config, rate, steps), "pos_to_neg_ratio": config.ratio,
     }
-    return best.restore(), meta
 
 
 def epsilon(config: PrivacyConfig, rate: float, steps: int) -> float | None:
@@ -344,32 +348,6 @@ def epsilon(config: PrivacyConfig, rate: float, steps: int) -> float | None:
     return best
 
 
-def embeddings(graph: PropertyGraph, model: Model, node_columns: list[str]) -> tuple[DataFrame, list[str]]:
-    """node with its embedding's columns, and their names; a table in the shared folder, as both heads read it."""
-    h, columns = graph.nodes.select("node", *node_columns), node_columns
-    for k in range(model.config.layers):
-        w = (model.w[f"mean{k}"].T.tolist(), model.w[f"self{k}"].T.tolist(), model.w[f"bias{k}"].tolist())
-        h = sage.sage_layer(h, graph.edges, columns, *w, relu=k < model.config.layers - 1)
-        columns = [c for c in h.columns if c != "node"]
-    return checkpointed(h), columns
-
-
-def node_scores(graph: PropertyGraph, model: Model, node_columns: list[str]) -> DataFrame:
-    """node, y, split, logit of every node, distributed."""
-    h, columns = embeddings(graph, model, node_columns)
-    scored = sage.mapped(h, ["node"], columns, [(model.w["node"], model.w["node_bias"], False)], ["logit"])
-    return graph.nodes.select("node", "y", "split").join(scored, "node")
-
-
-def edge_scores(graph: PropertyGraph, model: Model, node_columns: list[str], edge_columns: list[str]) -> DataFrame:
-    """eid, y, split, logit of every edge, distributed: both ends' embeddings are joined to the edge."""
-    h, columns = embeddings(graph, model, node_columns)
-    gathered = sage.edge_gather(graph.edges, h, columns, edge_columns)
-    inputs = [f"src_{c}" for c in columns] + [f"dst_{c}" for c in columns] + edge_columns
-    layers = [(model.w[f"edge{k}"], model.w[f"edge{k}_bias"], k < 3) for k in (1, 2, 3)]
-    return graph.edges.select("eid", "y", "split").join(sage.mapped(gathered, ["eid"], inputs, layers, ["logit"]), "eid")
-
-
 #: Keys of the report, fixed as results are read by them.
 SKIPPED = "edges_only: GraphSAGE encoder and edge head are trained jointly on edge loss only; account-level node classifier was not trained or evaluated."
 COMPOSITION = "Each training phase restarts the accounting; the epsilons reported are not composed into one guarantee across phases."
@@ -386,15 +364,23 @@ class Transfer:
     folder: str | None = None
     accounting: dict = field(default_factory=dict)
 
-    def fit(self, g: Arrays, target: str, model: Model, name: str) -> Model:
-        c = self.config
+    def prepared(self, graph: PropertyGraph) -> Arrays | distributed.LaidOut:
+        from . import distributed
+
+        return (Arrays if fits(graph) else distributed.LaidOut).of(graph, self.node_columns, self.edge_columns)
+
+    def fit(self, g: Arrays | distributed.LaidOut, target: str, model: Model, name: str) -> Model:
+        from . import distributed
+
+        c, by = self.config, globals() if isinstance(g, Arrays) else vars(distributed)
         epochs = {"node_real": c.node_epochs, "edge_real": c.edge_epochs, "node_syn": c.syn_node_epochs, "edge_syn": c.syn_edge_epochs}[f"{target}_{name}"]
         if self.privacy:
-            model, self.accounting[f"{target}_{name}"] = trained_privately(model, g, target, epochs, self.privacy, Store(self.folder, f"{target}_{name}") if self.folder else None)
+            model, self.accounting[f"{target}_{name}"] = by["trained_privately"](model, g, target, epochs, self.privacy, Store(self.folder, f"{target}_{name}") if self.folder else None)
             return model
-        return trained(model, g, target, epochs)
+        return by["trained"](model, g, target, epochs)
 
     def metrics(self, graph: PropertyGraph, target: str, model: Model) -> dict:
+        from .distributed import edge_scores, node_scores
         from .report import evaluated
 
         scores = node_scores(graph, model, self.node_columns) if target == "node" else edge_scores(graph, model, self.node_columns, self.edge_columns)
@@ -405,7 +391,7 @@ class Transfer:
         from .report import comparison, sanitised
 
         widths = len(self.node_columns), len(self.edge_columns)
-        g, model = Arrays.of(real, self.node_columns, self.edge_columns), Model(*widths, self.config)
+        g, model = self.prepared(real), Model(*widths, self.config)
         targets, out = ["edge"] if self.config.edges_only else ["node", "edge"], {}
         for t in targets:
             model = self.fit(g, t, model, "real")
@@ -413,7 +399,7 @@ class Transfer:
         other = synthetic()
         if other.nodes.limit(least_nodes).count() < least_nodes:
             raise ValueError(f"the synthetic graph has fewer than {least_nodes} nodes")
-        h, second = Arrays.of(other, self.node_columns, self.edge_columns), Model(*widths, self.config)
+        h, second = self.prepared(other), Model(*widths, self.config)
         if self.config.warm_start:
             second.w = model.copy()
         for t in targets:

@@ -622,3 +622,71 @@ def local_edges(s: SparkSession, d: str) -> DataFrame:
     drawn = batches.batch_edges(batches.minibatches(e, 6, 32, 1, SEED), e)
     near = batches.incoming_lists(e)
     return batches.local_edges(drawn, batches.surrounding_edges(near, batches.surroundings(near, batches.batch_endpoints(drawn), 2)))
+
+
+#: Weights of a small model: mean, own and bias of each layer, and the head.
+SMALL = {"mean0": [[0.5], [-0.25]], "self0": [[0.25], [0.125]], "bias0": [0.125], "mean1": [[0.75]], "self1": [[-0.5]], "bias1": [0.25], "node": [[0.75]], "node_bias": [-0.125]}
+
+
+def _hop_model(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, a, b, y, split) and edges of the hop graph."""
+    x = _hop_x(s, d).select("node", (F.col("d") / 256).alias("a"), (F.col("r") / 4).alias("b"), (F.col("r") % 2).cast("int").alias("y"), F.lit("train").alias("split"))
+    return x, hop_edges(s, d).select("eid", "src", "dst", "y", F.lit("train").alias("split"))
+
+
+HOP_MODEL = f"""{HOP_X}, f AS (SELECT node, d / 256 AS a, r / 4 AS b, CAST(r AS INTEGER) % 2 AS y FROM x), many AS (SELECT dst AS node, CAST(count(*) AS DOUBLE) AS many FROM ee GROUP BY 1),
+fm AS (SELECT dst AS node, avg(a) AS ma, avg(b) AS mb FROM ee JOIN f ON f.node = ee.src GROUP BY 1), l0 AS (SELECT f.*, coalesce(ma, 0) AS ma, coalesce(mb, 0) AS mb, coalesce(many, 0) AS many FROM f LEFT JOIN fm USING (node) LEFT JOIN many USING (node))"""
+
+
+@query("q_sage_gradient", f"""WITH {HOP_MODEL}, l1 AS (SELECT *, 0.5::DOUBLE * ma - 0.25::DOUBLE * mb + 0.25::DOUBLE * a + 0.125::DOUBLE * b + 0.125::DOUBLE AS z FROM l0), h1 AS (SELECT *, greatest(0.0::DOUBLE, z) AS h FROM l1),
+m1 AS (SELECT dst AS node, avg(h) AS mh FROM ee JOIN h1 ON h1.node = ee.src GROUP BY 1), l2 AS (SELECT h1.*, coalesce(mh, 0) AS mh, 0.75::DOUBLE * coalesce(mh, 0) - 0.5::DOUBLE * h + 0.25::DOUBLE AS o FROM h1 LEFT JOIN m1 USING (node)),
+p AS (SELECT *, 1 / (1 + exp(-(0.75::DOUBLE * o - 0.125::DOUBLE))) AS p FROM l2), g AS (SELECT *, (p * (1 + y) - 2.0::DOUBLE * y) / (SELECT count(*) FROM f) AS d FROM p), s2 AS (SELECT *, d * 0.75::DOUBLE AS dz FROM g),
+bk AS (SELECT src AS node, sum(dz * 0.75::DOUBLE / many) AS got FROM ee JOIN s2 ON s2.node = ee.dst GROUP BY 1), s1 AS (SELECT s2.*, CASE WHEN z > 0 THEN dz * -0.5::DOUBLE + coalesce(got, 0) ELSE 0 END AS dy FROM s2 LEFT JOIN bk USING (node)),
+o AS (SELECT unnest([{{'name': 'node', 'place': 0, 'value': sum(o * d)}}, {{'name': 'node_bias', 'place': 0, 'value': sum(d)}}, {{'name': 'mean1', 'place': 0, 'value': sum(mh * dz)}}, {{'name': 'self1', 'place': 0, 'value': sum(h * dz)}}, {{'name': 'bias1', 'place': 0, 'value': sum(dz)}},
+  {{'name': 'mean0', 'place': 0, 'value': sum(ma * dy)}}, {{'name': 'mean0', 'place': 1, 'value': sum(mb * dy)}}, {{'name': 'self0', 'place': 0, 'value': sum(a * dy)}}, {{'name': 'self0', 'place': 1, 'value': sum(b * dy)}}, {{'name': 'bias0', 'place': 0, 'value': sum(dy)}}]) AS x FROM s1)
+SELECT x.name, CAST(x.place AS INTEGER) AS place, round(x.value, 9) AS value FROM o""")
+def sage_gradient(s: SparkSession, d: str) -> DataFrame:
+    """One epoch's gradient of a node classifier over all nodes, distributed."""
+    import numpy as np
+
+    from ..graph import PropertyGraph
+    from . import distributed, learn
+
+    nodes, edges = _hop_model(s, d)
+    model = learn.Model(2, 0, learn.ModelConfig(hidden=1, emb=1, dropout=0.0))
+    model.w |= {k: np.array(v) for k, v in SMALL.items()}
+    g = distributed.LaidOut.of(PropertyGraph(nodes, edges), ["a", "b"], [])
+    rows, _ = distributed.training_rows(g, "node")
+    found = distributed.gradient(g, model, "node", rows, 2.0)
+    return s.createDataFrame([(n, k, round(float(x), 9)) for n, m in found.items() for k, x in enumerate(m.ravel())], "name string, place int, value double")
+
+
+WIDTH = 128
+
+
+def _wide(rows: int, columns: int, shift: int) -> list[list[float]]:
+    """A matrix that a rule gives, so that SQL has it too."""
+    return [[((7 * i + 13 * j + shift) % 17 - 8) / 64 for j in range(columns)] for i in range(rows)]
+
+
+def _wide_sql(values: str, shift: int) -> str:
+    """Sums over i of value(node, i) times the matrix, for each node and j."""
+    return f"SELECT node, j, sum(value * CAST(((7 * i + 13 * j + {shift}) % 17 - 8) AS DOUBLE) / 64) AS s FROM ({values}), range({WIDTH}) r(j) GROUP BY 1, 2"
+
+
+@query("q_node_logits", f"""WITH {HOP_MODEL}, v0 AS (SELECT node, unnest([0, 1]) AS i, unnest([a, b]) AS value FROM l0), w0 AS (SELECT node, unnest([0, 1]) AS i, unnest([ma, mb]) AS value FROM l0),
+h1 AS (SELECT node, j AS i, greatest(0.0::DOUBLE, p.s + q.s) AS value FROM ({_wide_sql('SELECT * FROM w0', 1)}) p JOIN ({_wide_sql('SELECT * FROM v0', 2)}) q USING (node, j)),
+m1 AS (SELECT dst AS node, i, avg(value) AS value FROM ee JOIN h1 ON h1.node = ee.src GROUP BY 1, 2), z1 AS (SELECT h1.node, h1.i, coalesce(m1.value, 0) AS value FROM h1 LEFT JOIN m1 ON m1.node = h1.node AND m1.i = h1.i),
+h2 AS (SELECT node, j AS i, p.s + q.s AS value FROM ({_wide_sql('SELECT * FROM z1', 3)}) p JOIN ({_wide_sql('SELECT * FROM h1', 4)}) q USING (node, j))
+SELECT node, round(sum(value * CAST((7 * i + 5) % 17 - 8 AS DOUBLE) / 64), 6) AS logit FROM h2 GROUP BY 1""")
+def node_logits(s: SparkSession, d: str) -> DataFrame:
+    """The encoder and the node head at their default width."""
+    import numpy as np
+
+    from ..graph import PropertyGraph
+    from . import distributed, learn
+
+    nodes, edges = _hop_model(s, d)
+    model = learn.Model(2, 0, learn.ModelConfig(hidden=WIDTH, emb=WIDTH))
+    model.w |= {"mean0": np.array(_wide(2, WIDTH, 1)), "self0": np.array(_wide(2, WIDTH, 2)), "mean1": np.array(_wide(WIDTH, WIDTH, 3)), "self1": np.array(_wide(WIDTH, WIDTH, 4)), "node": np.array(_wide(WIDTH, 1, 5))}
+    return distributed.node_scores(PropertyGraph(nodes, edges), model, ["a", "b"]).select("node", F.round("logit", 6).alias("logit"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def read_transactions(spark: SparkSession, path: str, *, prefix: int | None = No
     rows = rows.select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_line"))
     if limit:
         sizes = sorted(((r["_part"], r["n"]) for r in rows.select("_part", "src", *["_broken"] * lenient).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: tuple(x[0]))
-        reached = next((k for k in range(len(sizes)) if sum(n for _, n in sizes[: k + 1]) >= limit), len(sizes) - 1)
+        reached = next((k for k, total in enumerate(accumulate(n for _, n in sizes)) if total >= limit), len(sizes) - 1)
         if sizes:
             last = sizes[reached][0]
             rows = rows.filter(F.col("_part") <= F.struct(F.lit(last["file_path"]).alias("file_path"), F.lit(last["file_block_start"]).cast("long").alias("file_block_start")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallygraph.functions import scalars
 from tallygraph.graph import PropertyGraph, numbered, simple
 from tallygraph.operators import features, metrics, sage, sampling, similarity, splits, structure, synth
-from tallygraph.plans import learn, report, roster
+from tallygraph.plans import distributed, learn, report, roster
 from tallygraph.sources import csv
 from tallygraph.streaming import running_degrees
 
@@ -39,7 +39,7 @@ def test_structure_queries_count_all_edges(spark, monkeypatch):
     n, e = graph(spark, [(0, 1), (1, 2), (2, 0), (2, 3)])
     assert one(structure.clustering(n, e, max_edges=2))[0] == 0.0
     late = e.withColumn("eid", F.col("eid") + 1_999_998)  # two edges on either side of the report's limit
-    for name in ("trade_edges", "hop_edges"):
+    for name in ("trade_edges", "trade_rows", "hop_edges"):
         monkeypatch.setattr(roster, name, lambda s, d: late)
     monkeypatch.setattr(roster, "trade_nodes", lambda s, d: n)
     assert one(roster.QUERIES["q_clustering"](spark, ""))[0] == 0.583333
@@ -219,8 +219,8 @@ def test_transfer(spark, monkeypatch):
 def test_scores_of_the_default_width(spark):
     g = toy(spark)
     arrays, model = learn.Arrays.of(g, ["x"], ["w"]), learn.Model(1, 1, learn.ModelConfig())
-    nodes = {r["node"]: r["logit"] for r in learn.node_scores(g, model, ["x"]).collect()}
-    edges = {r["eid"]: r["logit"] for r in learn.edge_scores(g, model, ["x"], ["w"]).collect()}
+    nodes = {r["node"]: r["logit"] for r in distributed.node_scores(g, model, ["x"]).collect()}
+    edges = {r["eid"]: r["logit"] for r in distributed.edge_scores(g, model, ["x"], ["w"]).collect()}
     assert np.allclose([nodes[k] for k in arrays.ids.tolist()], learn.logits(model, arrays, "node"))
     assert np.allclose([edges[k] for k in range(200)], learn.logits(model, arrays, "edge"))
 
