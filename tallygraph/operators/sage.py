@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Weights that a layer written as expressions may have.
+SMALL = 64
 
 def mean_in(nodes: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
     """node and each column's mean over in-edges, parallel ones counted; 0 without in-edges."""
@@ -39,6 +42,10 @@ def sage_layer(nodes: DataFrame, edges: DataFrame, columns: list[str], w_mean: l
     """node, h0, h1, ...: weights (a row for each output) on the in-edges' mean plus bias plus weights on the node itself, negative sums cut to 0 unless it is the last layer."""
     joined = nodes.select("node", *columns).join(mean_in(nodes, edges, columns), "node")
     weights = np.concatenate([np.asarray(w_mean, float), np.asarray(w_self, float)], 1).T
+    if weights.size <= SMALL:  # an expression for each output stays in the JVM
+        inputs = [F.col(f"mean_{c}") for c in columns] + [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+        out = [reduce(Column.__add__, [F.lit(float(b)), *(F.lit(float(w)) * x for w, x in zip(own, inputs, strict=True))]) for own, b in zip(weights.T, bias, strict=True)]
+        return joined.select("node", *[(F.greatest(F.lit(0.0), z) if relu else z).alias(f"h{k}") for k, z in enumerate(out)])
     return mapped(joined, ["node"], [f"mean_{c}" for c in columns] + columns, [(weights, np.asarray(bias, float), relu)], [f"h{k}" for k in range(len(bias))])
 
 

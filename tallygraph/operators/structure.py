@@ -55,7 +55,12 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def clustering(nodes: DataFrame, edges: DataFrame, max_edges: int | None = None) -> DataFrame:
-    """One row, avg_clustering: mean over all nodes of 2 T / (d (d - 1)), 0 where d < 2, on the simple projection.
+    """One row, avg_clustering: mean of local_clustering over all nodes."""
+    return local_clustering(nodes, edges, max_edges).agg(F.round(F.avg("local"), 6).alias("avg_clustering"))
+
+
+def local_clustering(nodes: DataFrame, edges: DataFrame, max_edges: int | None = None) -> DataFrame:
+    """node and local: 2 T / (d (d - 1)), 0 where d < 2, on the simple projection.
 
     Every pair is directed from its end of lower degree, so a hub starts few wedges; each triangle is found once.
     """
@@ -70,13 +75,17 @@ def clustering(nodes: DataFrame, edges: DataFrame, max_edges: int | None = None)
     corners = closed.select(F.explode(F.array("a", "x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("t"))
     d = F.col("d").cast("double")
     local = F.when(F.col("d") >= 2, 2.0 * F.coalesce("t", F.lit(0)) / (d * (d - 1))).otherwise(0.0)
-    return nodes.select("node").join(degree, "node", "left").join(corners, "node", "left").agg(F.round(F.avg(F.coalesce(local, F.lit(0.0))), 6).alias("avg_clustering"))
+    return nodes.select("node").join(degree, "node", "left").join(corners, "node", "left").select("node", F.coalesce(local, F.lit(0.0)).alias("local"))
 
 
-def path_lengths(nodes: DataFrame, edges: DataFrame, *, sources: int = 2000, seed: int = 7, cutoff: int = 10, max_edges: int | None = None) -> DataFrame:
-    """One row, path_mean, path_median, n_pairs, of distances up to the cutoff from sources drawn by hash to other nodes."""
+def path_sources(nodes: DataFrame, sources: int, seed: int) -> DataFrame:
+    """The first nodes in hash order."""
+    return first(nodes.select("node", order_key(seed, "paths", "node").alias("_k")), sources, "_k", "node").select("node")
+
+
+def distances(start: DataFrame, edges: DataFrame, cutoff: int, max_edges: int | None = None) -> DataFrame:
+    """source, at, dist: nodes within the cutoff of each node of start, itself at 0, along edges either way; the searches are one."""
     hop = Adjacency.of(neighbours(simple(edges, max_edges)).select(F.col("node").alias("at"), F.col("other").alias("node")), distinct=False)
-    start = first(nodes.select("node", order_key(seed, "paths", "node").alias("_k")), sources, "_k", "node")
     reached = checkpointed(start.select(F.col("node").alias("source"), F.col("node").alias("at"), F.lit(0).alias("dist")))
     frontier = reached
     for k in range(1, cutoff + 1):
@@ -86,5 +95,10 @@ def path_lengths(nodes: DataFrame, edges: DataFrame, *, sources: int = 2000, see
         if not frontier.limit(1).count():
             break
         reached = reached.unionAll(frontier)
-    far = reached.filter("dist > 0")
+    return reached
+
+
+def path_lengths(nodes: DataFrame, edges: DataFrame, *, sources: int = 2000, seed: int = 7, cutoff: int = 10, max_edges: int | None = None) -> DataFrame:
+    """One row, path_mean, path_median, n_pairs, of distances up to the cutoff from sources drawn by hash to other nodes."""
+    far = distances(path_sources(nodes, sources, seed), edges, cutoff, max_edges).filter("dist > 0")
     return far.agg(F.round(F.avg("dist"), 6).alias("path_mean"), F.median("dist").alias("path_median"), F.count(F.lit(1)).alias("n_pairs"))

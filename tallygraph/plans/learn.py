@@ -348,8 +348,7 @@ def epsilon(config: PrivacyConfig, rate: float, steps: int) -> float | None:
     return best
 
 
-#: Keys of the report, fixed as results are read by them.
-SKIPPED = "edges_only: GraphSAGE encoder and edge head are trained jointly on edge loss only; account-level node classifier was not trained or evaluated."
+SKIPPED = "Only edges were asked for: the encoder was fitted together with the edge head, and no classifier of accounts exists to be judged."
 COMPOSITION = "Each training phase restarts the accounting; the epsilons reported are not composed into one guarantee across phases."
 
 
@@ -411,8 +410,9 @@ class Transfer:
             out[t] |= {"transfer_eval_on_real_test": moved, "drop_test": {f"{k}_drop": held[k] - moved[k] if held[k] is not None and moved[k] is not None else None for k in ("roc_auc", "pr_auc", "f1")}}
         if self.config.edges_only:
             out["node"] = {"skipped": True, "reason": SKIPPED}
-        out |= {"training": asdict(self.config), "synthetic_meta": other.meta, "dp_accounting": self.accounting, "checkpoint_dir": self.folder}
-        out["similarity"] = comparison((real.nodes, real.edges), (other.nodes, other.edges), node_columns=self.node_columns, edge_columns=self.edge_columns)
+        out |= {"training": asdict(self.config), "synthetic_meta": other.meta, "dp_accounting": self.accounting, "checkpoint_dir": self.folder, "edge_checkpoint_dir": self.folder}
+        alike = comparison((real.nodes, real.edges), (other.nodes, other.edges), node_columns=self.node_columns, edge_columns=self.edge_columns)
+        out |= {"fraud_patterns": alike.pop("fraud_patterns", {}), "similarity": alike}
         if self.privacy:
             out["dp_composition_note"] = COMPOSITION
         return sanitised(out)

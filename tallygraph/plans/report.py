@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..graph import checkpointed
 from ..operators import metrics, similarity, splits, structure
 
 #: Edges of the slice whose clustering and distances the comparison gives, as in the reference.
@@ -61,26 +63,77 @@ def metadata(nodes: DataFrame, edges: DataFrame, node_width: int, edge_width: in
     return out
 
 
+NAMES = ("real", "syn")
+
+
+def compared(real: tuple[DataFrame, DataFrame], synthetic: tuple[DataFrame, DataFrame], *, node_columns: list[str], edge_columns: list[str], sources: int = 2000, cutoff: int = 10, seed: int = 7) -> DataFrame:
+    """key and value: how alike two graphs (nodes, edges) are in structure and features, and degrees by label of each.
+
+    Both graphs go through every plan as one, each row tagged with its graph, so they share all shuffles; what comes out is
+    a row for each figure. Keys are the report's, levels parted by dots. Clustering and distances are of the first MAX_EDGES edges.
+    """
+    tag = lambda c, k: F.struct(F.lit(k).alias("g"), F.col(c).alias("id")).alias(c)
+    node_rows = [df.select(tag("node", k), F.lit(k).alias("g"), F.col("y").cast("int").alias("y"), *node_columns) for k, (df, _) in enumerate((real, synthetic))]
+    edge_rows = [df.select(F.col("eid").cast("long").alias("eid"), tag("src", k), tag("dst", k), F.lit(k).alias("g"), F.col("y").cast("int").alias("y"), *edge_columns) for k, (_, df) in enumerate((real, synthetic))]
+    nodes, edges = checkpointed(node_rows[0].unionByName(node_rows[1])), checkpointed(edge_rows[0].unionByName(edge_rows[1]))
+    row = lambda key, value: F.struct(key.alias("key"), value.cast("double").alias("value"))
+    name = F.when(F.col("g") == 0, NAMES[0]).otherwise(NAMES[1])
+    keyed = lambda df, figures: df.select(F.explode(F.array(*[row(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in key]), value) for key, value in figures])).alias("x")).select("x.*")
+
+    degree = checkpointed(structure.degrees(nodes, edges).join(nodes.select("node", "g", "y"), "node"))
+    risky, clean = F.col("y") == 1, F.col("y") == 0
+    mean = lambda when, c: F.avg(F.when(when, F.col(c)))
+    by_graph = degree.groupBy("g").agg(
+        F.avg("in_deg").alias("in"), F.avg("out_deg").alias("out"), mean(risky, "in_deg").alias("ri"), mean(risky, "out_deg").alias("ro"), mean(clean, "in_deg").alias("ci"), mean(clean, "out_deg").alias("co"),
+        F.avg(risky.cast("int")).alias("rf"), F.avg("y").alias("yn"),
+    )
+    label = "fraud_patterns.node_degree_by_label."
+    parts = [keyed(by_graph, [
+        (("degree.", name, ".in_deg_mean"), F.col("in")), (("degree.", name, ".out_deg_mean"), F.col("out")), ((label, name, ".sar_in_mean"), F.col("ri")), ((label, name, ".sar_out_mean"), F.col("ro")),
+        ((label, name, ".clean_in_mean"), F.col("ci")), ((label, name, ".clean_out_mean"), F.col("co")), ((label, name, ".sar_frac"), F.col("rf")), (("label_rates.node_pos_rate_", name), F.col("yn")),
+    ])]
+    parts.append(keyed(edges.groupBy("g").agg(F.avg("y").alias("ye")), [(("label_rates.edge_pos_rate_", name), F.col("ye"))]))
+    count = lambda k: F.sum(F.when(F.col("g") == k, F.col("n")).otherwise(0))
+    hist = degree.groupBy("g", "in_deg").agg(F.count(F.lit(1)).alias("n")).groupBy("in_deg").agg(F.abs(count(0) - count(1)).alias("gap"), count(0).alias("a"), count(1).alias("b"))
+    top = lambda c: F.max(F.when(F.col(c) > 0, F.col("in_deg")))
+    ends = hist.agg(top("a").alias("r"), top("b").alias("s"))
+    l1 = hist.crossJoin(F.broadcast(ends)).agg(F.sum(F.when((F.col("s") >= F.col("r")) & (F.col("in_deg") <= F.col("r")), F.col("gap"))).alias("l1"))  # one row
+    parts.append(keyed(l1, [(("degree.in_deg_hist_l1",), F.col("l1"))]))
+    local = structure.local_clustering(nodes, edges, MAX_EDGES).groupBy(F.col("node.g").alias("g")).agg(F.avg("local").alias("c"))
+    parts.append(keyed(local, [(("clustering_undirected.", name), F.col("c"))]))
+    start = [structure.path_sources(df, sources, seed).select(tag("node", k)) for k, (df, _) in enumerate((real, synthetic))]
+    far = structure.distances(start[0].unionByName(start[1]), edges, cutoff, MAX_EDGES).groupBy(F.col("source.g").alias("g"))
+    away = F.when(F.col("dist") > 0, F.col("dist"))
+    lengths = far.agg(F.avg(away).alias("m"), F.median(away).alias("h"), F.count(away).alias("n"))
+    parts.append(keyed(lengths, [(("path_length.", name, ".mean"), F.col("m")), (("path_length.", name, ".median"), F.col("h")), (("path_length.", name, ".n_pairs"), F.col("n"))]))
+    for kind, rows, columns in (("node", nodes, node_columns), ("edge", edges, edge_columns)):
+        if columns:
+            gaps = checkpointed(similarity.ks(similarity.long_form(rows, F.col("g"), columns)))
+            at = f"{kind}_feature_ks."
+            parts.append(keyed(gaps, [((at, "per_dim.ks_stat.", F.col("dim")), F.col("ks")), ((at, "per_dim.ks_pvalue.", F.col("dim")), F.col("p"))]))
+            parts.append(keyed(similarity.ks_summary(gaps), [((at, "ks_stat_mean"), F.col("ks_mean")), ((at, "ks_stat_max"), F.col("ks_max")), ((at, "ks_pvalue_mean"), F.col("p_mean"))]))
+            fro = similarity.tagged_correlation_distance(rows, F.col("g"), columns)
+            parts.append(keyed(fro, [((f"{kind}_feature_corr.corr_fro_norm",), F.col("corr_fro")), ((f"{kind}_feature_corr.dims",), F.lit(len(columns)))]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def comparison(real: tuple[DataFrame, DataFrame], synthetic: tuple[DataFrame, DataFrame], *, node_columns: list[str], edge_columns: list[str], sources: int = 2000, seed: int = 7) -> dict:
-    """Structural and feature similarity of two graphs (nodes, edges), and degrees by label of each."""
-    out: dict[str, Any] = {}
-    degree = {}
-    for name, (nodes, edges) in (("real", real), ("synthetic", synthetic)):
-        degree[name] = structure.degrees(nodes, edges)
-        out[name] = structure.graph_stats(nodes, edges).collect()[0].asDict() | structure.clustering(nodes, edges, MAX_EDGES).collect()[0].asDict()
-        out[name] |= structure.path_lengths(nodes, edges, sources=sources, seed=seed, max_edges=MAX_EDGES).collect()[0].asDict() | structure.by_label(degree[name], nodes).collect()[0].asDict()
-    hist = lambda name: structure.histogram(degree[name], "in_deg")
-    out["in_deg_hist_l1"] = similarity.histogram_l1(hist("real"), hist("synthetic")).collect()[0][0]
-    for name, k, columns in (("node", 0, node_columns), ("edge", 1, edge_columns)):
-        a, b = real[k], synthetic[k]
-        both = similarity.long_form(a, F.lit(0), columns).unionAll(similarity.long_form(b, F.lit(1), columns))
-        gaps = {r["dim"]: r["ks"] for r in similarity.ks(both).collect()}
-        sizes = a.count(), b.count()
-        p = {c: similarity.ks_p_value(g, *sizes) for c, g in gaps.items() if g is not None and all(sizes)}
-        out[f"{name}_features"] = {"ks": gaps, "p": p, "ks_mean": float(np.mean([g for g in gaps.values() if g is not None])) if any(g is not None for g in gaps.values()) else None, "ks_max": max((g for g in gaps.values() if g is not None), default=None), "corr_fro": similarity.correlation_distance(a, b, columns).collect()[0][0]}
+    """The same as a report: levels of keys as nested objects, figures by feature as lists in the order of the columns, counts as whole numbers."""
+    out: dict[str, Any] = {"fraud_patterns": {}}
+    for r in compared(real, synthetic, node_columns=node_columns, edge_columns=edge_columns, sources=sources, seed=seed).collect():
+        *path, last = r["key"].split(".")
+        held = out
+        for x in path:
+            held = held.setdefault(x, {})
+        held[last] = int(r["value"]) if last in ("n_pairs", "dims") else r["value"]
+    for kind, columns in (("node_feature_ks", node_columns), ("edge_feature_ks", edge_columns)):
+        if columns:
+            out[kind]["per_dim"] = {what: [found.get(c) for c in columns] for what, found in out[kind]["per_dim"].items()}
     return sanitised(out)
 
 
 def evaluated(scores: DataFrame) -> dict[str, dict]:
-    """All metrics of rows (split, y, logit) for each split; an empty one has NULL metrics and zero counts."""
-    return {name: sanitised(metrics.bundle(scores.filter(F.col("split") == name)).collect()[0].asDict()) for name in splits.SPLITS}
+    """All metrics of rows (split, y, logit) for each split, from one pass; an empty one has NULL metrics and zero counts."""
+    found = {r["split"]: r.asDict() for r in metrics.bundles(scores, "split").collect()}
+    nothing = dict.fromkeys(metrics.METRICS) | {"n_pos": 0, "n_neg": 0, "f1": 0.0, "f1_best": 0.0}
+    return {name: sanitised({k: v for k, v in found.get(name, nothing).items() if k != "split"}) for name in splits.SPLITS}

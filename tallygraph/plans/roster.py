@@ -343,8 +343,8 @@ LONG = "v AS (SELECT 'amt' AS dim, amt AS value, y AS sample FROM te UNION ALL S
 r AS (SELECT dim, sum(c0) OVER w AS r0, sum(c1) OVER w AS r1, sum(c0) OVER p AS n0, sum(c1) OVER p AS n1 FROM g WINDOW w AS (PARTITION BY dim ORDER BY value), p AS (PARTITION BY dim))
 SELECT dim, round(max(abs(CAST(r0 AS DOUBLE) / n0 - CAST(r1 AS DOUBLE) / n1)), 6) AS ks FROM r GROUP BY dim""")
 def ks(s: SparkSession, d: str) -> DataFrame:
-    e = trade_edges(s, d).select("y", "amt", F.unix_timestamp("ts").cast("double").alias("day"))
-    return similarity.ks(similarity.long_form(e, F.col("y"), ["amt", "day"]))
+    e = trade_rows(s, d).select("y", "amt", F.unix_timestamp("ts").cast("double").alias("day"))
+    return similarity.ks(similarity.long_form(e, F.col("y"), ["amt", "day"])).drop("p")
 
 
 def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -517,7 +517,8 @@ def metrics_bundle(s: SparkSession, d: str) -> DataFrame:
 
 @query("q_ks_summary", f"SELECT round(avg(ks), 6) AS ks_mean, max(ks) AS ks_max FROM ({ORACLE['q_ks']}) t")
 def ks_summary(s: SparkSession, d: str) -> DataFrame:
-    return similarity.ks_summary(ks(s, d))
+    e = trade_rows(s, d).select("y", "amt", F.unix_timestamp("ts").cast("double").alias("day"))
+    return similarity.ks_summary(similarity.ks(similarity.long_form(e, F.col("y"), ["amt", "day"]))).select("ks_mean", "ks_max")
 
 
 @query("q_json", """SELECT n_nationkey, '{"half":' || CAST(CAST(n_nationkey AS DOUBLE) * 0.5 AS VARCHAR) || ',"missing":null,"infinite":null}' AS report FROM nation""")
@@ -690,3 +691,89 @@ def node_logits(s: SparkSession, d: str) -> DataFrame:
     model = learn.Model(2, 0, learn.ModelConfig(hidden=WIDTH, emb=WIDTH))
     model.w |= {"mean0": np.array(_wide(2, WIDTH, 1)), "self0": np.array(_wide(2, WIDTH, 2)), "mean1": np.array(_wide(WIDTH, WIDTH, 3)), "self1": np.array(_wide(WIDTH, WIDTH, 4)), "node": np.array(_wide(WIDTH, 1, 5))}
     return distributed.node_scores(PropertyGraph(nodes, edges), model, ["a", "b"]).select("node", F.round("logit", 6).alias("logit"))
+
+
+KS_P = """p AS (SELECT dim, n0, n1, gap, sqrt(n0 * n1 / (n0 + n1)) * gap + 1 / (6 * sqrt(n0 * n1 / (n0 + n1))) AS x FROM gaps),
+ps AS (SELECT dim, gap, CASE WHEN x < 0.2 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 2 * sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * x * x)))) END AS p FROM p, range(1, 101) r(k) GROUP BY dim, gap, x)"""
+
+
+def _gaps_sql(values: str) -> str:
+    """gaps(dim, n0, n1, gap) of values(dim, value, sample)."""
+    return f"""kg AS (SELECT dim, value, CAST(sum(1 - sample) AS DOUBLE) AS c0, CAST(sum(sample) AS DOUBLE) AS c1 FROM {values} GROUP BY 1, 2),
+kr AS (SELECT dim, sum(c0) OVER w AS r0, sum(c1) OVER w AS r1, sum(c0) OVER p AS n0, sum(c1) OVER p AS n1 FROM kg WINDOW w AS (PARTITION BY dim ORDER BY value), p AS (PARTITION BY dim)),
+gaps AS (SELECT dim, n0, n1, max(abs(r0 / n0 - r1 / n1)) AS gap FROM kr GROUP BY ALL), {KS_P}"""
+
+
+@query("q_ks_p", f"WITH {HOP_EDGES_SQL}, v AS (SELECT 'amt' AS dim, amt AS value, CAST(eid % 2 AS INTEGER) AS sample FROM ee UNION ALL SELECT 'hour', CAST(floor(epoch(ts)) % 3600 AS DOUBLE), CAST(eid % 2 AS INTEGER) FROM ee UNION ALL SELECT 'user', CAST(src AS DOUBLE), CAST(eid % 2 AS INTEGER) FROM ee), {_gaps_sql('v')} SELECT dim, round(gap, 6) AS ks, round(p, 6) AS p FROM ps")
+def ks_p(s: SparkSession, d: str) -> DataFrame:
+    """Even against odd events: alike, so the p-values are not all 0."""
+    e = hop_edges(s, d).select((F.col("eid") % 2).cast("int").alias("half"), "amt", (F.unix_timestamp("ts") % 3600).cast("double").alias("hour"), F.col("src").alias("user"))
+    return similarity.ks(similarity.long_form(e, F.col("half"), ["amt", "hour", "user"])).select("dim", "ks", F.round("p", 6).alias("p"))
+
+
+def _evaluate_sql(graph: str) -> str:
+    """All metrics by key of scored rows ls(split, y, score)."""
+    shares = ", ".join(str(k / 32) for k in range(33))
+    return f"""{graph}, g AS (SELECT split, score, CAST(sum(y) AS DOUBLE) AS p, CAST(sum(1 - y) AS DOUBLE) AS n FROM ls GROUP BY 1, 2), c AS (SELECT split, sum(p) AS all_p, sum(n) AS all_n FROM g GROUP BY 1),
+b AS (SELECT split, p, n, coalesce(sum(n) OVER (PARTITION BY split ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g), auc AS (SELECT split, sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) AS auc FROM b GROUP BY 1),
+cu AS (SELECT split, p, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM g WINDOW w AS (PARTITION BY split ORDER BY score DESC)), ap AS (SELECT split, sum(cu.p / all_p * tp / (tp + fp)) AS ap FROM cu JOIN c USING (split) GROUP BY 1),
+q AS (SELECT DISTINCT split, unnest(t) AS t FROM (SELECT split, quantile_cont(score, [{shares}]) AS t FROM ls GROUP BY 1)),
+e AS (SELECT q.split, t, sum(p) AS tp, sum(n) AS fp FROM q JOIN g ON g.split = q.split AND score >= t GROUP BY 1, 2), f AS (SELECT split, max(2 * tp / (2 * tp + fp + all_p - tp)) AS f1_best FROM e JOIN c USING (split) GROUP BY 1),
+h AS (SELECT split, count(*) FILTER (score >= 0.5 AND y = 1) AS tp, count(*) FILTER (score >= 0.5 AND y = 0) AS fp, count(*) FILTER (score < 0.5 AND y = 1) AS fn FROM ls GROUP BY 1)
+SELECT split, CAST(all_p AS BIGINT) AS n_pos, CAST(all_n AS BIGINT) AS n_neg, round(auc, 6) AS roc_auc, round(ap, 6) AS pr_auc, round(coalesce(2.0 * tp / nullif(2.0 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce(f1_best, 0), 6) AS f1_best,
+  round(all_p / (all_p + all_n), 6) AS prevalence, round(ap / greatest(all_p / (all_p + all_n), 1e-12), 4) AS pr_lift FROM c JOIN auc USING (split) JOIN ap USING (split) JOIN f USING (split) JOIN h USING (split)"""
+
+
+@query("q_evaluate", "WITH " + _evaluate_sql(f"{HOP_EDGES_SQL}, ls AS (SELECT ['train', 'val', 'test'][CAST(eid % 3 AS INTEGER) + 1] AS split, y, 1 / (1 + exp(-greatest(-40.0, least(40.0, (round(amt) - 100) / 50)))) AS score FROM ee)"))
+def evaluate(s: SparkSession, d: str) -> DataFrame:
+    """Metrics of all splits from one pass."""
+    split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("eid") % 3 + 1).cast("int"))
+    return metrics.bundles(hop_edges(s, d).select(split.alias("split"), "y", ((F.round("amt") - 100) / 50).alias("logit")), "split")
+
+
+def _graph_sql(g: str, nodes: str, edges: str, name: str) -> str:
+    """Figures of one graph as rows key, value: from nodes (node, y, r, one) and edges (src, dst, y)."""
+    return f"""{g}_d AS (SELECT node, y, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM {nodes} LEFT JOIN (SELECT dst AS node, count(*) AS i FROM {edges} GROUP BY 1) a USING (node) LEFT JOIN (SELECT src AS node, count(*) AS o FROM {edges} GROUP BY 1) b USING (node)),
+{g}_s AS (SELECT src AS a, dst AS b FROM {edges} WHERE src <> dst UNION SELECT dst, src FROM {edges} WHERE src <> dst), {g}_k AS (SELECT a AS node, CAST(count(*) AS DOUBLE) AS k FROM {g}_s GROUP BY 1),
+{g}_t AS (SELECT p.a AS node, CAST(count(*) AS DOUBLE) AS t2 FROM {g}_s p JOIN {g}_s q ON p.a = q.a AND p.b <> q.b JOIN {g}_s r ON r.a = p.b AND r.b = q.b GROUP BY 1),
+{g}_c AS (SELECT avg(CASE WHEN k >= 2 THEN coalesce(t2, 0) / (k * (k - 1)) ELSE 0.0 END) AS c FROM {nodes} LEFT JOIN {g}_k USING (node) LEFT JOIN {g}_t USING (node)),
+{g}_0 AS (SELECT node FROM {nodes} ORDER BY {order_key_sql(SEED, "paths", "node")}, node LIMIT 10), {g}_w AS (SELECT node AS source, node AS cur, 0 AS dist FROM {g}_0 UNION SELECT source, b, dist + 1 FROM {g}_w JOIN {g}_s ON cur = a WHERE dist < 3),
+{g}_l AS (SELECT source, cur, min(dist) AS dist FROM {g}_w GROUP BY 1, 2), {g}_f AS (
+  SELECT unnest([{{'key': 'degree.{name}.in_deg_mean', 'value': avg(i)}}, {{'key': 'degree.{name}.out_deg_mean', 'value': avg(o)}}, {{'key': 'fraud_patterns.node_degree_by_label.{name}.sar_in_mean', 'value': avg(i) FILTER (y = 1)}},
+    {{'key': 'fraud_patterns.node_degree_by_label.{name}.sar_out_mean', 'value': avg(o) FILTER (y = 1)}}, {{'key': 'fraud_patterns.node_degree_by_label.{name}.clean_in_mean', 'value': avg(i) FILTER (y = 0)}},
+    {{'key': 'fraud_patterns.node_degree_by_label.{name}.clean_out_mean', 'value': avg(o) FILTER (y = 0)}}, {{'key': 'fraud_patterns.node_degree_by_label.{name}.sar_frac', 'value': avg(CAST(y = 1 AS INTEGER))}},
+    {{'key': 'label_rates.node_pos_rate_{name}', 'value': avg(y)}}]) AS x FROM {g}_d
+  UNION ALL SELECT {{'key': 'label_rates.edge_pos_rate_{name}', 'value': avg(y)}} FROM {edges} UNION ALL SELECT {{'key': 'clustering_undirected.{name}', 'value': c}} FROM {g}_c
+  UNION ALL SELECT unnest([{{'key': 'path_length.{name}.mean', 'value': avg(dist)}}, {{'key': 'path_length.{name}.median', 'value': median(dist)}}, {{'key': 'path_length.{name}.n_pairs', 'value': CAST(count(*) AS DOUBLE)}}]) FROM {g}_l WHERE dist > 0)"""
+
+
+def _features_sql(kind: str, columns: tuple[str, str], a: str, b: str) -> str:
+    """Figures of the features of two samples as rows key, value."""
+    x, y = columns
+    values = " UNION ALL ".join(f"SELECT '{c}' AS dim, CAST({c} AS DOUBLE) AS value, {k} AS sample FROM {t}" for k, t in ((0, a), (1, b)) for c in columns)
+    r = lambda t, p, q: f"(SELECT coalesce(covar_pop({p}, {q}) / nullif(stddev_pop({p}) * stddev_pop({q}), 0), 0) FROM {t})"
+    fro = " + ".join(f"power({r(a, p, q)} - {r(b, p, q)}, 2)" for p in (x, y) for q in (x, y))
+    inner = f"WITH kv AS ({values}), {_gaps_sql('kv')}"
+    at = f"{kind}_feature_ks."
+    return f"""{kind}_f AS (SELECT unnest([{{'key': '{at}per_dim.ks_stat.' || dim, 'value': round(gap, 6)}}, {{'key': '{at}per_dim.ks_pvalue.' || dim, 'value': round(p, 9)}}]) AS x FROM ({inner} SELECT * FROM ps)
+  UNION ALL SELECT unnest([{{'key': '{at}ks_stat_mean', 'value': avg(round(gap, 6))}}, {{'key': '{at}ks_stat_max', 'value': max(round(gap, 6))}}, {{'key': '{at}ks_pvalue_mean', 'value': avg(round(p, 9))}}]) FROM ({inner} SELECT * FROM ps)
+  UNION ALL SELECT {{'key': '{kind}_feature_corr.corr_fro_norm', 'value': sqrt({fro})}} UNION ALL SELECT {{'key': '{kind}_feature_corr.dims', 'value': 2.0::DOUBLE}})"""
+
+
+@query("q_graph_comparison", f"""WITH RECURSIVE {HOP_X}, rn AS (SELECT node, CAST(r AS INTEGER) % 2 AS y, r, 1.0::DOUBLE AS one FROM x), re AS (SELECT eid, src, dst, y, amt, CAST(floor(epoch(ts)) % 3600 AS DOUBLE) AS hour FROM ee),
+o AS (SELECT row_number() OVER (ORDER BY src, eid) - 1 AS pos, src FROM ee), i AS (SELECT row_number() OVER (ORDER BY {order_key_sql(SEED, "stubs", "eid")}, eid) - 1 AS pos, dst FROM ee),
+se AS (SELECT pos AS eid, src, dst, CAST(pos % 7 = 0 AS INTEGER) AS y, CAST(pos % 100 AS DOUBLE) AS amt, CAST(pos % 61 AS DOUBLE) AS hour FROM o JOIN i USING (pos)), sn AS (SELECT node, CAST(node % 3 = 0 AS INTEGER) AS y, CAST(node % 4 AS DOUBLE) AS r, 1.0::DOUBLE AS one FROM x),
+{_graph_sql("gr", "rn", "re", "real")}, {_graph_sql("gs", "sn", "se", "syn")}, ha AS (SELECT i AS deg, count(*) AS a FROM gr_d GROUP BY 1), hb AS (SELECT i AS deg, count(*) AS b FROM gs_d GROUP BY 1),
+{_features_sql("node", ("r", "one"), "rn", "sn")}, {_features_sql("edge", ("amt", "hour"), "re", "se")},
+allf AS (SELECT x FROM gr_f UNION ALL SELECT x FROM gs_f UNION ALL SELECT x FROM node_f UNION ALL SELECT x FROM edge_f UNION ALL SELECT {{'key': 'degree.in_deg_hist_l1', 'value': CAST(sum(CASE WHEN (SELECT max(deg) FROM hb) >= (SELECT max(deg) FROM ha) AND deg <= (SELECT max(deg) FROM ha) THEN abs(coalesce(a, 0) - coalesce(b, 0)) END) AS DOUBLE)}} FROM ha FULL JOIN hb USING (deg))
+SELECT x.key AS key, round(x.value, 5) AS value FROM allf""")
+def graph_comparison(s: SparkSession, d: str) -> DataFrame:
+    """The hop graph against its rewiring with other attributes."""
+    from .report import compared
+
+    e = hop_edges(s, d)
+    x = _hop_x(s, d).select("node", "r")
+    real = (x.select("node", (F.col("r") % 2).cast("int").alias("y"), "r", F.lit(1.0).alias("one")), e.select("eid", "src", "dst", "y", "amt", (F.unix_timestamp("ts") % 3600).cast("double").alias("hour")))
+    wired = synth.rewired(e, SEED).select(F.col("pos").alias("eid"), "src", "dst", (F.col("pos") % 7 == 0).cast("int").alias("y"), (F.col("pos") % 100).cast("double").alias("amt"), (F.col("pos") % 61).cast("double").alias("hour"))
+    syn = (x.select("node", (F.col("node") % 3 == 0).cast("int").alias("y"), (F.col("node") % 4).cast("double").alias("r"), F.lit(1.0).alias("one")), wired)
+    return compared(real, syn, node_columns=["r", "one"], edge_columns=["amt", "hour"], sources=10, cutoff=3, seed=SEED).select("key", F.round("value", 5).alias("value"))

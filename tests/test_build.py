@@ -82,7 +82,7 @@ def test_degree_preserving(graph):
     both = [sorted((r["node"], r["in_deg"], r["out_deg"]) for r in structure.degrees(x.nodes, x.edges).collect()) for x in (graph, g)]
     assert both[0] == both[1]
     out = report.comparison((graph.nodes, graph.edges), (g.nodes, g.edges), node_columns=graph.meta["node_columns"], edge_columns=graph.meta["edge_columns"], sources=5)
-    assert out["in_deg_hist_l1"] == 0.0 and out["edge_features"]["ks_max"] < 0.3
+    assert out["degree"]["in_deg_hist_l1"] == 0.0 and out["edge_feature_ks"]["ks_stat_max"] < 0.3 and len(out["node_feature_ks"]["per_dim"]["ks_pvalue"]) == 6
 
 
 def test_external_sample(spark, tmp_path):
