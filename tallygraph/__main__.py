@@ -28,6 +28,7 @@ def arguments() -> argparse.ArgumentParser:
         p.add_argument("--seed", type=int, default=7)
         p.add_argument("--max_nodes", type=int, default=1000 if name == "prepare" else 1200)
         p.add_argument("--seed_strategy", choices=("top_sar_by_degree", "all_sar", "top_degree"), default="top_sar_by_degree")
+        p.add_argument("--neighbor_hops", type=int, default=2, help="hops of fraud_enriched sampling")
         p.add_argument("--snowball_top_k", type=int, default=20)
         p.add_argument("--snowball_wave_limit", type=int, default=15)
         p.add_argument("--no_stratify_edges", action="store_true")
@@ -42,14 +43,14 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--min_directed_edges", type=int, default=4096)
     p = commands.choices["experiment"]
     p.add_argument("--all_transactions", action="store_true")
-    p.add_argument("--generator", choices=("from_files", "degree_preserving", "snowball"), default="degree_preserving")
-    p.add_argument("--synthetic", help="folder of a stored graph, for from_files")
+    p.add_argument("--generator", choices=("from_files", "from_pt", "degree_preserving", "snowball"), default="degree_preserving")
+    p.add_argument("--synthetic", "--synthetic_pt", help="folder of a stored graph, for from_files")
     p.add_argument("--no_self_loops", action="store_true", help="repair the self-loops of degree_preserving")
     p.add_argument("--min_synthetic_nodes", type=int, default=50_000)
     p.add_argument("--edges_only", action="store_true")
     p.add_argument("--warm_start", action="store_true")
     p.add_argument("--use_dp", action="store_true")
-    p.add_argument("--checkpoint_dir", help="with --use_dp: folder of the driver for the weights of each epoch and the best ones")
+    p.add_argument("--checkpoint_dir", help="with --use_dp: folder, in any store Spark reaches, for the weights of each epoch and the best ones; an interrupted run goes on from there")
     for name, field in (("noise_multiplier", "noise"), ("max_grad_norm", "clip"), ("delta", "delta"), ("batch_size", "batch"), ("steps_per_epoch", "steps"), ("num_hops", "hops"), ("pos_to_neg_ratio", "ratio")):
         default = getattr(PRIVACY, field)
         p.add_argument(f"--dp_{name}", dest=field, type=type(default), default=default)
@@ -75,7 +76,7 @@ def main(argv: list[str] | None = None) -> None:
     if getattr(a, "all_transactions", False) or a.max_transactions <= 0:
         options["max_transactions"] = None
     real = build.load_graph(spark, a.folder, stratify_edges=not a.no_stratify_edges, stratify_nodes=not a.no_stratify_nodes, **options)
-    sample = lambda mode: build.sampled(real, mode, a.max_nodes, a.seed, top_k=a.snowball_top_k, waves=a.snowball_wave_limit, strategy=a.seed_strategy)
+    sample = lambda mode: build.sampled(real, mode, a.max_nodes, a.seed, hops=a.neighbor_hops, top_k=a.snowball_top_k, waves=a.snowball_wave_limit, strategy=a.seed_strategy)
     if a.command == "prepare":
         bits = build.generator_input(sample(a.sampling), real.meta["node_columns"])
         names = [c for c in bits.nodes.columns if c not in ("node", "y")]
@@ -95,11 +96,11 @@ def main(argv: list[str] | None = None) -> None:
         "degree_preserving": lambda: build.degree_preserving(real, a.seed, allow_self_loops=not a.no_self_loops),
         "snowball": lambda: sample("snowball"),
         "from_files": lambda: build.from_files(spark, a.synthetic, real, a.seed),
-    }[a.generator]
+    }["from_files" if a.generator == "from_pt" else a.generator]
     config = learn.ModelConfig(node_epochs=a.node_epochs, edge_epochs=a.edge_epochs, syn_node_epochs=a.syn_node_epochs, syn_edge_epochs=a.syn_edge_epochs, seed=a.seed, edges_only=a.edges_only, warm_start=a.warm_start)
     privacy = learn.PrivacyConfig(noise=a.noise, clip=a.clip, delta=a.delta, batch=a.batch, steps=a.steps, hops=a.hops, ratio=a.ratio) if a.use_dp else None
     run = learn.Transfer(config, real.meta["node_columns"], real.meta["edge_columns"], privacy, a.checkpoint_dir if a.use_dp else None)
-    out = run.run(real, make, least_nodes=a.min_synthetic_nodes if a.generator == "from_files" else 0)
+    out = run.run(real, make, least_nodes=a.min_synthetic_nodes if a.generator in ("from_files", "from_pt") else 0)
     name = report.result_name(real.meta["n_nodes"], real.meta["n_edges"], a.max_transactions, a.generator, edges_only=a.edges_only, private=a.use_dp)
     report.write_json(f"{a.out_dir}/{name}", {"meta": real.meta} | out)
 

@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..graph import Adjacency, PropertyGraph, checkpointed
 from ..operators import batches, metrics
 from ..operators.vectors import lists, matrix, vector_sums
-from .learn import Model, PrivacyConfig, Store, accounted, loss_gradient, noised
+from .learn import Best, Model, PrivacyConfig, Store, accounted, loss_gradient, noised
 
 
 def vector(columns: list[str]) -> Column:
@@ -258,29 +258,15 @@ def edge_scores(graph: PropertyGraph, model: Model, node_columns: list[str], edg
     return graph.edges.select("eid", "y", "split").join(logits(LaidOut.of(graph, node_columns, edge_columns), model, "edge"), "eid")
 
 
-@dataclass
-class Kept:
-    """The weights of the best average precision on the validation rows; the last ones if there is none. Written besides, if there is a store."""
+class Kept(Best):
+    """The same of a graph laid out on the cluster."""
 
-    g: LaidOut
-    model: Model
-    target: str
-    store: Store | None = None
-    best: float = -np.inf
-    weights: dict | None = None
+    def __init__(self, model: Model, g: LaidOut, target: str, store: Store | None = None) -> None:
+        self.model, self.g, self.target, self.store, self.score, self.kept = model, g, target, store, -np.inf, None
 
-    def after(self, epoch: int) -> None:
-        found = metrics.average_precision(scores(self.g, self.model, self.target, "val").select("y", F.col("logit").alias("score"))).collect()[0][0]
-        if found is not None and found > self.best:
-            self.best, self.weights = found, self.model.copy()
-            if self.store:
-                self.store.put("best", self.model)
-        if self.store:
-            self.store.put(f"epoch_{epoch:04d}", self.model)
-
-    def restored(self) -> Model:
-        self.model.w = self.weights or self.model.w
-        return self.model
+    def judged(self, model: Model) -> float:
+        found = metrics.average_precision(scores(self.g, model, self.target, "val").select("y", F.col("logit").alias("score"))).collect()[0][0]
+        return np.nan if found is None else found
 
 
 def training_rows(g: LaidOut, target: str) -> tuple[DataFrame, float]:
@@ -293,11 +279,11 @@ def training_rows(g: LaidOut, target: str) -> tuple[DataFrame, float]:
 def trained(model: Model, g: LaidOut, target: str, epochs: int) -> Model:
     """Full-batch epochs."""
     rows, weight = training_rows(g, target)
-    kept = Kept(g, model, target)
+    kept = Kept(model, g, target)
     for epoch in range(1, epochs + 1 if rows.limit(1).count() else 1):
         model.adam(gradient(g, model, target, rows, weight, dropout=f"{model.config.seed}:{target}:{epoch}"))
         kept.after(epoch)
-    return kept.restored()
+    return kept.restore()
 
 
 def step_graph(g: LaidOut, nodes: DataFrame, edges: DataFrame) -> LaidOut:
@@ -309,14 +295,14 @@ def step_graph(g: LaidOut, nodes: DataFrame, edges: DataFrame) -> LaidOut:
 def trained_privately(model: Model, g: LaidOut, target: str, epochs: int, config: PrivacyConfig, store: Store | None = None) -> tuple[Model, dict]:
     """Steps on the surroundings of balanced batches, clipped and noised; an epoch's batches and surroundings are one plan. Returns the accounting too."""
     rows, weight = training_rows(g, target)
-    kept, steps, rng = Kept(g, model, target, store), 0, np.random.default_rng(model.config.seed + (target == "edge"))
+    kept = Kept(model, g, target, store)
     key = "node" if target == "node" else "eid"
     pool, n = rows.withColumnRenamed("label", "y"), rows.count()
     near = batches.incoming_lists(g.edges)
-    if store:
-        store.clear()
-    for epoch in range(1, epochs + 1 if n else 1):
-        first = (epoch - 1) * config.steps
+    done = kept.resumed()
+    steps = done * config.steps
+    for epoch in range(done + 1, epochs + 1 if n else 1):
+        first, rng = (epoch - 1) * config.steps, np.random.default_rng([model.config.seed + (target == "edge"), epoch])
         drawn = checkpointed(batches.minibatches(pool, config.steps, config.batch, config.ratio, model.config.seed, key=key, first=first))
         ends = drawn.select("step", "node") if target == "node" else batches.batch_endpoints(batches.batch_edges(drawn, g.edges))
         nodes = checkpointed(batches.surroundings(near, ends, config.hops))
@@ -332,4 +318,4 @@ def trained_privately(model: Model, g: LaidOut, target: str, epochs: int, config
             model.adam(noised(gradient(small, model, target, own(labels), weight, dropout=f"{model.config.seed}:{target}:{step}"), config, rng))
             steps += 1
         kept.after(epoch)
-    return kept.restored(), accounted(config, target, epochs, steps, n, store)
+    return kept.restore(), accounted(config, target, epochs, steps, n, store)

@@ -6,19 +6,22 @@ the cluster (distributed), with the same gradients. Scoring is distributed at ev
 
 from __future__ import annotations
 
+import io
 import math
-import os
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 from typing import TYPE_CHECKING
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 from ..graph import PropertyGraph, checkpointed
 from ..operators.vectors import scattered
 
 if TYPE_CHECKING:
+    from py4j.java_gateway import JavaObject
+
     from . import distributed
 
 MAX_EDGES = 2_000_000
@@ -119,7 +122,7 @@ class Model:
         if config.layers < 2:
             raise ValueError("the encoder has two layers at least")
         rng = np.random.default_rng(config.seed)
-        self.config, self.rng = config, rng
+        self.config, self.rng, self.widths = config, rng, (node_width, edge_width)
         sizes = [node_width] + [config.hidden] * (config.layers - 1) + [config.emb]
         init = lambda a, b: rng.uniform(-1, 1, (a, b)) / math.sqrt(max(a, 1))
         self.w: dict[str, np.ndarray] = {}
@@ -233,7 +236,9 @@ class Best:
         self.score, self.kept = -math.inf, None
 
     def after(self, epoch: int) -> None:
-        found = precision(self.y[self.val], logits(self.model, self.g, self.target)[self.val])
+        self.keep(self.judged(self.model), epoch)
+
+    def keep(self, found: float, epoch: int) -> None:
         if found > self.score:
             self.score, self.kept = found, self.model.copy()
             if self.store:
@@ -241,35 +246,105 @@ class Best:
         if self.store:
             self.store.put(f"epoch_{epoch:04d}", self.model)
 
+    def resumed(self) -> int:
+        """Epochs that an interrupted run has done; its best weights are judged again."""
+        done = self.store.resumed(self.model) if self.store else 0
+        if done and "best.npz" in self.store.names(self.store.running):
+            best = self.store.load("best", Model(*self.model.widths, self.model.config), running=True)
+            self.score, self.kept = self.judged(best), best.w
+        return done
+
+    def judged(self, model: Model) -> float:
+        return precision(self.y[self.val], logits(model, self.g, self.target)[self.val])
+
     def restore(self) -> Model:
         self.model.w = self.kept or self.model.w
+        if self.store:
+            self.store.finish()
         return self.model
 
 
 @dataclass(frozen=True)
 class Store:
-    """Weights as NumPy archives tag_name.npz in a folder of the driver; a new run replaces those of its tag, each only once it is whole."""
+    """Weights by tag and name in a folder that Spark's file systems reach, so that they outlive the driver.
 
+    A run writes into a folder of its own, folder/tag.next, each file whole or not at all, and takes the place of the run
+    before it only when it is complete; a run that was interrupted is found there and goes on after its last epoch.
+    """
+
+    spark: SparkSession
     folder: str
     tag: str
 
+    @property
+    def running(self) -> str:
+        return f"{self.folder}/{self.tag}.next"
+
+    def at(self, path: str) -> tuple[JavaObject, JavaObject]:
+        """A path of Hadoop's and its file system."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def write(self, path: str, data: bytes) -> None:
+        """The file appears under its name once it is whole."""
+        part, files = self.at(f"{path}.{uuid.uuid4().hex}.part")
+        out = files.create(part)
+        out.write(bytearray(data))
+        out.close()
+        end, _ = self.at(path)
+        files.delete(end, False)
+        if not files.rename(part, end):
+            raise OSError(f"{path} could not be written")
+
+    def read(self, path: str) -> bytes:
+        at, files = self.at(path)
+        if not files.exists(at):
+            raise FileNotFoundError(path)
+        stream = files.open(at)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def names(self, folder: str) -> list[str]:
+        at, files = self.at(folder)
+        return sorted(f.getPath().getName() for f in files.listStatus(at) if f.getPath().getName().endswith(".npz")) if files.exists(at) else []
+
     def put(self, name: str, model: Model) -> None:
-        Path(self.folder).mkdir(parents=True, exist_ok=True)
-        path = Path(self.folder) / f"{self.tag}_{name}.npz"
-        with open(path.with_suffix(".tmp"), "wb") as file:
-            np.savez(file, **model.w)
-        os.replace(path.with_suffix(".tmp"), path)
-
-    def load(self, name: str, model: Model) -> Model:
-        with np.load(Path(self.folder) / f"{self.tag}_{name}.npz") as held:
-            if {k: v.shape for k, v in model.w.items()} != {k: held[k].shape for k in held.files}:
+        """Weights, and what a run needs to go on: the optimiser's moments and step."""
+        held = {f"w/{k}": v for k, v in model.w.items()} | {f"m/{k}": m for k, (m, _) in model.moments.items()} | {f"v/{k}": v for k, (_, v) in model.moments.items()}
+        packed = io.BytesIO()
+        np.savez(packed, step=np.array(model.step), **held)
+        self.write(f"{self.running}/{name}.npz", packed.getvalue())
+
+    def load(self, name: str, model: Model, *, running: bool = False) -> Model:
+        """Of the last complete run, or of the one under way."""
+        with np.load(io.BytesIO(self.read(f"{self.running if running else f'{self.folder}/{self.tag}'}/{name}.npz"))) as held:
+            if {k: v.shape for k, v in model.w.items()} != {k[2:]: held[k].shape for k in held.files if k.startswith("w/")}:
                 raise ValueError("the stored weights are of another model")
-            model.w = {k: held[k] for k in held.files}
+            model.w = {k: held[f"w/{k}"] for k in model.w}
+            model.moments = {k: (held[f"m/{k}"].copy(), held[f"v/{k}"].copy()) for k in model.w}
+            model.step = int(held["step"])
         return model
 
-    def clear(self) -> None:
-        for path in Path(self.folder).glob(f"{self.tag}_*.npz"):
-            path.unlink()
+    def resumed(self, model: Model) -> int:
+        """The last epoch of an interrupted run of this model, whose state the model then has; 0 if there is none."""
+        epochs = [n for n in self.names(self.running) if n.startswith("epoch_")]
+        if not epochs:
+            return 0
+        self.load(epochs[-1].removesuffix(".npz"), model, running=True)
+        return int(epochs[-1].removeprefix("epoch_").removesuffix(".npz"))
+
+    def finish(self) -> None:
+        """The run's folder takes the place of the one before it as a whole."""
+        (old, files), (new, _), (gone, _) = self.at(f"{self.folder}/{self.tag}"), self.at(self.running), self.at(f"{self.folder}/{self.tag}.{uuid.uuid4().hex}.old")
+        if not files.exists(new):
+            return
+        if files.exists(old) and not files.rename(old, gone):
+            raise OSError(f"{old} could not be replaced")
+        if not files.rename(new, old):
+            raise OSError(f"{new} could not be put in place")
+        files.delete(gone, True)
 
 
 def trained(model: Model, g: Arrays, target: str, epochs: int) -> Model:
@@ -304,10 +379,10 @@ def trained_privately(model: Model, g: Arrays, target: str, epochs: int, config:
 
     y, rows, _ = parts(g, target)
     pools, weight, best, steps = (rows[y[rows] == 1], rows[y[rows] == 0]), weight_of(y[rows]), Best(model, g, target, store), 0
-    rng = np.random.default_rng(model.config.seed + (target == "edge"))
-    if store:
-        store.clear()
-    for epoch in range(1, epochs + 1 if len(rows) else 1):
+    done = best.resumed()
+    steps = done * config.steps
+    for epoch in range(done + 1, epochs + 1 if len(rows) else 1):
+        rng = np.random.default_rng([model.config.seed + (target == "edge"), epoch])  # an epoch's draws don't hang on those before it
         for _ in range(config.steps):
             p, n = batch_quota(config.batch, config.ratio, len(pools[0]), len(pools[1]))
             batch = rng.permutation(np.concatenate([rng.choice(pools[0], p, False), rng.choice(pools[1], n, False)]))
@@ -374,7 +449,7 @@ class Transfer:
         c, by = self.config, globals() if isinstance(g, Arrays) else vars(distributed)
         epochs = {"node_real": c.node_epochs, "edge_real": c.edge_epochs, "node_syn": c.syn_node_epochs, "edge_syn": c.syn_edge_epochs}[f"{target}_{name}"]
         if self.privacy:
-            model, self.accounting[f"{target}_{name}"] = by["trained_privately"](model, g, target, epochs, self.privacy, Store(self.folder, f"{target}_{name}") if self.folder else None)
+            model, self.accounting[f"{target}_{name}"] = by["trained_privately"](model, g, target, epochs, self.privacy, Store(SparkSession.active(), self.folder, f"{target}_{name}") if self.folder else None)
             return model
         return by["trained"](model, g, target, epochs)
 

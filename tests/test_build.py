@@ -132,4 +132,4 @@ def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     short = [x for name in ("node_epochs", "edge_epochs", "syn_node_epochs", "syn_edge_epochs") for x in (f"--{name}", "1")]
     command.main(["experiment", folder, "--generator", "from_files", "--synthetic", f"{out}/synthetic", "--min_synthetic_nodes", "10", "--edges_only", "--use_dp", "--dp_steps_per_epoch", "1", "--checkpoint_dir", f"{out}/weights", "--out_dir", out, *short])
     found = json.loads(next(tmp_path.glob("transfer_*_from_files_edgesonly_dp.json")).read_text())
-    assert found["dp_accounting"]["edge_syn"]["total_optimizer_steps"] == 1 and (tmp_path / "weights" / "edge_real_epoch_0001.npz").exists()
+    assert found["dp_accounting"]["edge_syn"]["total_optimizer_steps"] == 1 and (tmp_path / "weights" / "edge_real" / "epoch_0001.npz").exists() and found["edge_checkpoint_dir"] == found["checkpoint_dir"] == f"{out}/weights"

@@ -248,17 +248,54 @@ def test_surroundings_and_last_parallel_edge():
 
 
 def test_private_training_and_stored_weights(spark, tmp_path):
+    """A run replaces the one before it as a whole, once it is complete."""
     arrays, config = learn.Arrays.of(toy(spark), ["x"], ["w"]), learn.ModelConfig(hidden=8, emb=8)
     for target in ("node", "edge"):
-        store = learn.Store(str(tmp_path), target)
-        (tmp_path / f"{target}_epoch_0009.npz").write_bytes(b"of an earlier run")
-        model, meta = learn.trained_privately(learn.Model(1, 1, config), arrays, target, 2, learn.PrivacyConfig(steps=3, batch=8, hops=1), store)
+        store = learn.Store(spark, str(tmp_path), target)
+        for epochs in (3, 2):
+            model, meta = learn.trained_privately(learn.Model(1, 1, config), arrays, target, epochs, learn.PrivacyConfig(steps=3, batch=8, hops=1), store)
         assert meta["total_optimizer_steps"] == 6 and meta["epsilon_rdp"] > 0
-        assert sorted(x.name for x in tmp_path.glob(f"{target}_*")) == [f"{target}_best.npz", f"{target}_epoch_0001.npz", f"{target}_epoch_0002.npz"]
+        assert store.names(f"{tmp_path}/{target}") == ["best.npz", "epoch_0001.npz", "epoch_0002.npz"] and not (tmp_path / f"{target}.next").exists()
         back = store.load("best", learn.Model(1, 1, config))
         assert np.allclose(learn.logits(back, arrays, target), learn.logits(model, arrays, target))
         with pytest.raises(ValueError, match="another model"):
             store.load("best", learn.Model(2, 1, config))
+        with pytest.raises(FileNotFoundError):
+            store.load("epoch_0003", learn.Model(1, 1, config))
+    assert sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["edge", "node"]
+
+
+def test_interrupted_training_goes_on(spark, tmp_path, monkeypatch):
+    """A driver lost in the third epoch: the run before stays in place, and the next one ends at the weights of an undisturbed one."""
+    arrays, config, privacy = learn.Arrays.of(toy(spark), ["x"], ["w"]), learn.ModelConfig(hidden=8, emb=8, dropout=0.0), learn.PrivacyConfig(steps=2, batch=8, hops=1)
+    run = lambda store, epochs=4: learn.trained_privately(learn.Model(1, 1, config), arrays, "node", epochs, privacy, store)
+    whole = learn.Store(spark, str(tmp_path), "whole")
+    want, _ = run(whole)
+    store = learn.Store(spark, str(tmp_path), "node")
+    run(store, 1)
+    write = learn.Store.write
+
+    def lost(self, path, data):
+        if path.endswith("epoch_0003.npz"):
+            part, files = self.at(f"{path}.part")
+            out = files.create(part)
+            out.write(bytearray(data[:100]))
+            out.close()
+            raise ConnectionError("driver lost")
+        write(self, path, data)
+
+    monkeypatch.setattr(learn.Store, "write", lost)
+    with pytest.raises(ConnectionError):
+        run(store)
+    assert store.names(f"{tmp_path}/node") == ["best.npz", "epoch_0001.npz"] and "epoch_0003.npz" not in store.names(store.running)
+    monkeypatch.setattr(learn.Store, "write", write)
+    found, meta = run(store)
+    assert meta["total_optimizer_steps"] == 8 and all(np.array_equal(found.w[k], want.w[k]) for k in want.w)
+    last = [x.load("epoch_0004", learn.Model(1, 1, config)) for x in (store, whole)]
+    assert all(np.array_equal(last[0].w[k], last[1].w[k]) for k in want.w) and len(store.names(f"{tmp_path}/node")) == 5
+
+
+def test_accounting():
     rate = 8 / 40
     assert learn.epsilon(learn.PrivacyConfig(noise=1.0), rate, 6) < learn.epsilon(learn.PrivacyConfig(noise=1.0), rate, 60) and learn.epsilon(learn.PrivacyConfig(noise=0.0), rate, 6) is None
 
