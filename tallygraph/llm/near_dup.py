@@ -36,6 +36,8 @@ LISTED, RUN = 14, 2
 LONG = 256
 #: Estimates are within 0.045 of the truth in two of three cases; pairs below this are not verified.
 ESTIMATED = 0.6
+#: Share of a sketch's values that another one has too if the pair passes the estimate: as many as of the union at least.
+LEAST = 0.59
 #: In long lists documents are compared with leaders; each other one passes the estimate with a leader, so is within 0.4 of
 #: it, and a document linked with it (0.2 apart at most) within 0.6; this is below 0.4 by as much as estimates err.
 LED = 0.25
@@ -243,22 +245,58 @@ def pivoted(members: DataFrame) -> DataFrame:
     return members.mapInArrow(compare, "key long, id long, pivot long")
 
 
+def rare_lists(members: DataFrame) -> DataFrame:
+    """key, id, many: the members (key, id, sketch) of each list dealt anew, by those of a sketch's values that fewest of the list have.
+
+    Sketches that pass the estimate share at least LEAST of their values. So of the others there is one too few to fill the
+    first values of both in any common order, and the rarest value they share is among both's first ones. Documents that only
+    have a passage in common, which is what their list is about, part here: their own values are rarer than the passage's.
+    """
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("value", pa.int64())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = buffers(batch.column(2))
+            many = np.diff(at) // 4
+            first = many - (LEAST * many).astype(np.int64) + 1
+            yield record(schema, np.repeat(batch.column(0).to_numpy(), many), np.repeat(batch.column(1).to_numpy(), many), np.repeat(first, many), data.view(np.uint32).astype(np.int64))
+
+    values = written(members.select("key", "id", "sketch").mapInArrow(spread, "key long, id long, first int, value long"), "values")
+    counts = values.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(W.partitionBy("key", "id").orderBy("n", "value"))
+    rarest = values.join(counts, ["key", "value"]).withColumn("nth", nth).filter((F.col("nth") <= F.col("first")) & (F.col("n") > 1))
+    lists = written(rarest.select(F.xxhash64("key", "value").alias("key"), "id"), "rare")
+    return lists.join(lists.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "key")
+
+
 def candidates(classes: DataFrame) -> DataFrame:
     """Distinct pairs of classes that join all that share a list and pass the estimate."""
-    parts, sketch = width(classes.sparkSession), classes.select("id", "sketch")
+    sketch = classes.select("id", "sketch")
     rows = written(keys(classes, LISTED, RUN), "keys")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    listed = written(rows.join(sizes, "key"), "lists")
+    pairs = pairs_of_lists(written(rows.join(sizes, "key"), "lists"), sketch, again=True)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def pairs_of_lists(listed: DataFrame, sketch: DataFrame, *, again: bool) -> DataFrame:
+    """a and b: spanning forests of the pairs that pass the estimate, for lists (key, id, many). Of a long list what no pivot leads is dealt anew by its rare values, once, if that is many too."""
+    parts = width(sketch.sparkSession)
     long = listed.filter(F.col("many") > LONG).join(sketch, "id").withColumn("salts", F.ceil(F.col("many") / DEALT).cast("int"))
     drawn = F.pmod(F.xxhash64("id", F.lit("pivot")), F.ceil(F.col("many") / PIVOTS)) == 0
     pivots = long.filter(drawn).select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("leads"), "id", "sketch")
     members = long.select("key", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("leads"), "id", "sketch")
     met = written(pivoted(pivots.unionByName(members).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", F.desc("leads"), "id")), "pivoted")
-    rest = listed.filter(F.col("many") <= LONG).select("key", "id").unionByName(met.filter("pivot IS NULL").select("key", "id"))
+    pairs = met.filter("pivot IS NOT NULL").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    unled = met.filter("pivot IS NULL").select("key", "id")
+    crowded = unled.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > LONG).select("key")
+    if again and crowded.limit(1).count():
+        crowded = written(crowded, "crowded")
+        anew = rare_lists(unled.join(crowded, "key", "left_semi").join(sketch, "id"))
+        pairs = pairs.unionByName(pairs_of_lists(written(anew, "lists"), sketch, again=False))
+        unled = unled.join(crowded, "key", "left_anti")
+    rest = listed.filter(F.col("many") <= LONG).select("key", "id").unionByName(unled)
     postings = rest.join(sketch, "id").select("key", "id", "sketch")
-    pairs = listed_pairs(postings.repartition(parts, "key").sortWithinPartitions("key", "id"))
-    pairs = pairs.unionByName(met.filter("pivot IS NOT NULL").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.unionByName(listed_pairs(postings.repartition(parts, "key").sortWithinPartitions("key", "id")))
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:

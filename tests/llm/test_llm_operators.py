@@ -148,6 +148,19 @@ def test_unlike_documents_in_long_lists(spark, monkeypatch):
     assert by_row(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(plain_components(rows, 80), key=repr)
 
 
+def test_thousands_of_documents_with_one_head(spark):
+    """A head of 40 words before 60 own ones, and copies of some with a word changed: all found, by lists of rare values rather than all with all."""
+    rng, rows, head = random.Random(8), [], [f"h{k}" for k in range(40)]
+    for k in range(6000):
+        w = head + [f"own{k}w{j}" for j in range(60)]
+        rows.append((k, " ".join(w)))
+        if k % 40 == 0:
+            w[60 + rng.randrange(30)] = f"changed{k}"
+            rows.append((10_000 + k, " ".join(w)))
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i % 10_000 for i, _ in rows}
+
+
 def test_small_sets_of_all_sizes(spark):
     rng, rows = random.Random(6), []
     for size in range(1, 71):
