@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key, order_key_sql, uniform, uniform_sql
 from ..functions.scalars import bernoulli, entity_type, log_amount, one_hot_class, parsed_time, probability, resized, seconds_since
-from ..graph import endpoints, neighbours, numbered, shuffled, simple, symmetrised
+from ..graph import endpoints, neighbours, numbered, relabelled, shuffled, simple, symmetrised
 from ..operators import batches, features, metrics, sage, sampling, similarity, splits, structure, synth
 from ..sources.tables import HOP_EDGES_SQL, TRADE_ACCOUNTS_SQL, hop_edges, table, trade_accounts, trade_edges, trade_edges_sql, trade_rows
 
@@ -302,13 +302,32 @@ def bootstrap(s: SparkSession, d: str) -> DataFrame:
     return synth.bootstrap(e, e.count(), SEED, "boot", key="eid", columns=["amt", "y"])
 
 
-@query("q_ring_augment", f"""WITH i AS (SELECT i FROM range(400) r(i)), ring AS (SELECT i AS u, (i + 1) % 400 AS v FROM i UNION SELECT (i + 1) % 400, i FROM i),
-d AS (SELECT i AS id, CAST(floor({uniform_sql(order_key_sql(SEED, "u", "i"))} * 400) AS BIGINT) AS a, CAST(floor({uniform_sql(order_key_sql(SEED, "v", "i"))} * 400) AS BIGINT) AS b FROM range(20000) r(i)),
-f AS (SELECT least(a, b) AS u, greatest(a, b) AS v, min(id) AS id FROM d WHERE a <> b GROUP BY 1, 2),
-g AS (SELECT u, v FROM f WHERE NOT EXISTS (SELECT 1 FROM ring WHERE ring.u = f.u AND ring.v = f.v) ORDER BY id LIMIT 400), e AS (SELECT * FROM ring UNION SELECT u, v FROM g UNION SELECT v, u FROM g)
-SELECT u, v, CASE WHEN {uniform_sql(order_key_sql(SEED, "label", "u || '-' || v"))} < CAST(0.05 AS DOUBLE) THEN 1 ELSE 0 END AS y FROM e""")
+#: Accounts numbered in order of their names, and the pairs of accounts that a positive payment links.
+RISKY_PAIRS = f"""{ACC}, {TG}, ix AS (SELECT account_id, row_number() OVER (ORDER BY account_id) - 1 AS idx FROM ta), n AS (SELECT count(*) AS n FROM ta),
+rp AS (SELECT DISTINCT a.idx AS u, b.idx AS v FROM te JOIN ix a ON te.src = a.account_id JOIN ix b ON te.dst = b.account_id WHERE te.y = 1)"""
+
+
+def _augment_sql(start: str) -> str:
+    """e(u, v): the pairs of start, a ring of all accounts and drawn pairs, up to 8 directed edges for each account."""
+    return f"""ring AS (SELECT u, v FROM {start} UNION SELECT i, (i + 1) % n FROM n, range((SELECT n FROM n)) r(i) UNION SELECT (i + 1) % n, i FROM n, range((SELECT n FROM n)) r(i)),
+dr AS (SELECT i AS id, CAST(floor({uniform_sql(order_key_sql(SEED, "u", "i"))} * n) AS BIGINT) AS a, CAST(floor({uniform_sql(order_key_sql(SEED, "v", "i"))} * n) AS BIGINT) AS b FROM n, range((SELECT 50 * n FROM n)) r(i)),
+fr AS (SELECT least(a, b) AS u, greatest(a, b) AS v, min(id) AS id FROM dr WHERE a <> b GROUP BY 1, 2),
+g AS (SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY id) AS nth FROM fr WHERE NOT EXISTS (SELECT 1 FROM ring WHERE ring.u = fr.u AND ring.v = fr.v)) t WHERE nth <= (SELECT (8 * n - (SELECT count(*) FROM ring) + 1) // 2 FROM n)),
+e AS (SELECT * FROM ring UNION SELECT u, v FROM g UNION SELECT v, u FROM g)"""
+
+
+def _risky_pairs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Accounts (node, idx), and u, v of the pairs that a positive payment links."""
+    ids = sampling.compact(trade_accounts(s, d).select(F.col("account_id").alias("node")))
+    return ids, relabelled(trade_rows(s, d).filter("y = 1").select("src", "dst"), ids).select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
+
+
+@query("q_ring_augment", f"WITH {RISKY_PAIRS}, {_augment_sql('rp')} SELECT u, v, CASE WHEN {uniform_sql(order_key_sql(SEED, 'label', 'u || chr(45) || v'))} < CAST(0.05 AS DOUBLE) THEN 1 ELSE 0 END AS y FROM e")
 def ring_augment(s: SparkSession, d: str) -> DataFrame:
-    e = synth.augmented(s, s.createDataFrame([], "u long, v long"), 400, 1600, SEED)
+    """The pairs of positive payments made dense."""
+    ids, pairs = _risky_pairs(s, d)
+    n = ids.count()
+    e = synth.augmented(s, pairs, n, 8 * n, SEED)
     return e.withColumn("y", bernoulli(uniform(order_key(SEED, "label", F.concat_ws("-", "u", "v"))), 0.05))
 
 
@@ -436,14 +455,6 @@ def edge_gather(s: SparkSession, d: str) -> DataFrame:
     return sage.edge_gather(hop_edges(s, d), _hop_x(s, d), ["d", "r"], ["amt"])
 
 
-@query("q_drop_nullable", "SELECT name, a - b AS drop FROM (VALUES ('pr_auc', 0.5::DOUBLE, 0.25::DOUBLE), ('roc_auc', NULL, 0.5::DOUBLE), ('f1', 0.5::DOUBLE, NULL)) t(name, a, b)")
-def drop_nullable(s: SparkSession, d: str) -> DataFrame:
-    from .report import drops
-
-    rows = s.createDataFrame([("pr_auc", 0.5, 0.25), ("roc_auc", float("nan"), 0.5), ("f1", 0.5, None)], "name string, real double, transfer double")
-    return drops(rows)
-
-
 @query("q_seeds_all", f"WITH {TRADE_NODES} SELECT node FROM nodes WHERE y = 1")
 def seeds_all(s: SparkSession, d: str) -> DataFrame:
     return sampling.seeds(trade_nodes(s, d), trade_rows(s, d), "all_sar")
@@ -478,17 +489,16 @@ def loop_repair(s: SparkSession, d: str) -> DataFrame:
     return synth.without_loops(hop_edges(s, d).select(F.col("eid").alias("pos"), "src", "dst"), 2)
 
 
-@query("q_from_sample", f"""WITH i AS (SELECT i FROM range(400) r(i)), ring AS (SELECT i AS u, (i + 1) % 400 AS v FROM i UNION SELECT (i + 1) % 400, i FROM i UNION SELECT 0, 0),
-d AS (SELECT i AS id, CAST(floor({uniform_sql(order_key_sql(SEED, "u", "i"))} * 400) AS BIGINT) AS a, CAST(floor({uniform_sql(order_key_sql(SEED, "v", "i"))} * 400) AS BIGINT) AS b FROM range(20000) r(i)),
-f AS (SELECT least(a, b) AS u, greatest(a, b) AS v, min(id) AS id FROM d WHERE a <> b GROUP BY 1, 2),
-g AS (SELECT u, v FROM f WHERE NOT EXISTS (SELECT 1 FROM ring WHERE ring.u = f.u AND ring.v = f.v) ORDER BY id LIMIT 400), e AS (SELECT * FROM ring UNION SELECT u, v FROM g UNION SELECT v, u FROM g)
-SELECT row_number() OVER (ORDER BY {order_key_sql(SEED, "eid", "u || '-' || v")}, u, v) - 1 AS eid, u AS src, v AS dst,
-  CASE WHEN {uniform_sql(order_key_sql(SEED, "label", "u || '-' || v"))} < CAST(0.05 AS DOUBLE) THEN 1 ELSE 0 END AS y, CAST(3 AS INTEGER) AS width FROM e""")
+@query("q_from_sample", f"""WITH {RISKY_PAIRS}, both_ AS (SELECT u, v FROM rp WHERE u < v UNION SELECT v, u FROM rp WHERE u < v), {_augment_sql('both_')}
+SELECT row_number() OVER (ORDER BY {order_key_sql(SEED, "eid", "u || chr(45) || v")}, u, v) - 1 AS eid, u AS src, v AS dst,
+  CASE WHEN {uniform_sql(order_key_sql(SEED, "label", "u || chr(45) || v"))} < CAST(0.05 AS DOUBLE) THEN 1 ELSE 0 END AS y, CAST(3 AS INTEGER) AS width FROM e""")
 def sample_to_graph(s: SparkSession, d: str) -> DataFrame:
+    """The pairs of positive payments as if a generator had drawn them."""
     from .build import from_sample
 
-    x = s.range(400).select(F.col("id").alias("node"), F.array(F.array(F.lit(1.0), F.lit(0.0))).alias("features"), F.lit(0).alias("y"))
-    g = from_sample(s, x, s.createDataFrame([], "u long, v long"), node_width=2, edge_width=3, edge_rate=0.02, rate_floor=0.05, seed=SEED, least_edges=1600)
+    ids, pairs = _risky_pairs(s, d)
+    x = ids.select(F.col("idx").alias("node"), F.array(F.array(F.lit(1.0), F.lit(0.0))).alias("features"), F.lit(0).alias("y"))
+    g = from_sample(s, x, pairs, node_width=2, edge_width=3, edge_rate=0.02, rate_floor=0.05, seed=SEED, least_edges=8 * x.count())
     return g.edges.select("eid", "src", "dst", "y", F.size("edge_attr").alias("width"))
 
 
@@ -567,8 +577,8 @@ def edge_head(s: SparkSession, d: str) -> DataFrame:
 @query("q_batch_quota", f"""WITH {TG}, c AS (SELECT CAST(sum(y) AS BIGINT) AS p, CAST(sum(1 - y) AS BIGINT) AS n FROM te), a AS (SELECT least(p, 384) AS p0, p, n FROM c), b AS (SELECT *, least(512 - p0, n) AS n0 FROM a)
 SELECT least(p, p0 + greatest(0, 512 - p0 - n0)) AS positives, n0 AS negatives FROM b""")
 def batch_quota(s: SparkSession, d: str) -> DataFrame:
-    n, p = splits.class_sizes(trade_edges(s, d))
-    return s.createDataFrame([splits.batch_quota(512, 3, p, n - p)], "positives long, negatives long")
+    drawn = batches.minibatches(trade_edges(s, d).select("eid", "y"), 1, 512, 3, SEED)
+    return drawn.agg(F.sum("y").cast("long").alias("positives"), F.sum(1 - F.col("y")).cast("long").alias("negatives"))
 
 
 def _batches_sql(graph: str, edges: str, steps: int, batch: int, ratio: int) -> str:
@@ -716,7 +726,7 @@ def _evaluate_sql(graph: str) -> str:
     shares = ", ".join(str(k / 32) for k in range(33))
     return f"""{graph}, g AS (SELECT split, score, CAST(sum(y) AS DOUBLE) AS p, CAST(sum(1 - y) AS DOUBLE) AS n FROM ls GROUP BY 1, 2), c AS (SELECT split, sum(p) AS all_p, sum(n) AS all_n FROM g GROUP BY 1),
 b AS (SELECT split, p, n, coalesce(sum(n) OVER (PARTITION BY split ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g), auc AS (SELECT split, sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) AS auc FROM b GROUP BY 1),
-cu AS (SELECT split, p, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM g WINDOW w AS (PARTITION BY split ORDER BY score DESC)), ap AS (SELECT split, sum(cu.p / all_p * tp / (tp + fp)) AS ap FROM cu JOIN c USING (split) GROUP BY 1),
+cu AS (SELECT split, p, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM g WINDOW w AS (PARTITION BY split ORDER BY score DESC)), ap AS (SELECT split, sum(CASE WHEN all_p > 0 AND all_n > 0 THEN cu.p / all_p * tp / (tp + fp) END) AS ap FROM cu JOIN c USING (split) GROUP BY 1),
 q AS (SELECT DISTINCT split, unnest(t) AS t FROM (SELECT split, quantile_cont(score, [{shares}]) AS t FROM ls GROUP BY 1)),
 e AS (SELECT q.split, t, sum(p) AS tp, sum(n) AS fp FROM q JOIN g ON g.split = q.split AND score >= t GROUP BY 1, 2), f AS (SELECT split, max(2 * tp / (2 * tp + fp + all_p - tp)) AS f1_best FROM e JOIN c USING (split) GROUP BY 1),
 h AS (SELECT split, count(*) FILTER (score >= 0.5 AND y = 1) AS tp, count(*) FILTER (score >= 0.5 AND y = 0) AS fp, count(*) FILTER (score < 0.5 AND y = 1) AS fn FROM ls GROUP BY 1)
@@ -777,3 +787,60 @@ def graph_comparison(s: SparkSession, d: str) -> DataFrame:
     wired = synth.rewired(e, SEED).select(F.col("pos").alias("eid"), "src", "dst", (F.col("pos") % 7 == 0).cast("int").alias("y"), (F.col("pos") % 100).cast("double").alias("amt"), (F.col("pos") % 61).cast("double").alias("hour"))
     syn = (x.select("node", (F.col("node") % 3 == 0).cast("int").alias("y"), (F.col("node") % 4).cast("double").alias("r"), F.lit(1.0).alias("one")), wired)
     return compared(real, syn, node_columns=["r", "one"], edge_columns=["amt", "hour"], sources=10, cutoff=3, seed=SEED).select("key", F.round("value", 5).alias("value"))
+
+
+@query("q_drop_nullable", f"""WITH ev AS ({"WITH " + _evaluate_sql(f"{HOP_EDGES_SQL}, ls AS (SELECT fmt || ':' || eid % 2 AS split, y, 1 / (1 + exp(-greatest(-40.0, least(40.0, (round(amt) - 100) / 50)))) AS score FROM ee)")}),
+lo AS (SELECT split_part(split, ':', 1) AS fmt, split_part(split, ':', 2) AS half, unnest(['roc_auc', 'pr_auc', 'f1']) AS metric, unnest([roc_auc, pr_auc, f1]) AS value FROM ev)
+SELECT a.fmt || ':' || a.metric AS name, round(a.value - b.value, 6) AS drop FROM lo a JOIN lo b ON a.fmt = b.fmt AND a.metric = b.metric AND a.half = '0' AND b.half = '1'""")
+def drop_nullable(s: SparkSession, d: str) -> DataFrame:
+    """Metrics of even less those of odd events by type; most types have one class and so no ranking metrics."""
+    from .report import drops
+
+    key = F.concat_ws(":", "fmt", (F.col("eid") % 2).cast("string"))
+    found = metrics.bundles(hop_edges(s, d).select(key.alias("split"), "y", ((F.round("amt") - 100) / 50).alias("logit")), "split")
+    part = lambda k: F.split_part("split", F.lit(":"), F.lit(k))
+    each = found.select(part(1).alias("fmt"), part(2).alias("half"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("roc_auc", "pr_auc", "f1")])).alias("x"))
+    value = lambda half: F.max(F.when(F.col("half") == half, F.col("x.value")))
+    rows = each.groupBy("fmt", "x.metric").agg(value("0").alias("real"), value("1").alias("transfer"))
+    return drops(rows.select(F.concat_ws(":", "fmt", "metric").alias("name"), "real", "transfer")).select("name", F.round("drop", 6).alias("drop"))
+
+
+@query("q_marginals", f"""WITH {TRADE_DEGREES}, m AS (SELECT median(in_deg) AS a, median(out_deg) AS b FROM deg), z AS (SELECT y, CAST(in_deg > a AS INTEGER) AS i, CAST(out_deg > b AS INTEGER) AS o FROM deg, m)
+SELECT x."column" AS "column", round(x.rate, 6) AS rate, round(x.rate_pos, 6) AS rate_pos, round(x.rate_neg, 6) AS rate_neg FROM (SELECT unnest([
+  {{'column': 'in_deg', 'rate': avg(i), 'rate_pos': avg(i) FILTER (y = 1), 'rate_neg': avg(i) FILTER (y = 0)}}, {{'column': 'out_deg', 'rate': avg(o), 'rate_pos': avg(o) FILTER (y = 1), 'rate_neg': avg(o) FILTER (y = 0)}}]) AS x FROM z) t""")
+def marginals(s: SparkSession, d: str) -> DataFrame:
+    """What a generator is given: shares of the binarised degrees, by label."""
+    from ..graph import PropertyGraph
+    from . import build
+
+    nodes, rows = trade_nodes(s, d), trade_rows(s, d)
+    held = structure.degrees(nodes, rows).join(nodes, "node").select("node", "y", "in_deg", "out_deg")
+    g = build.generator_input(PropertyGraph(held, rows), ["in_deg", "out_deg"])
+    return build.marginals(g, ["in_deg", "out_deg"]).select("column", *[F.round(c, 6).alias(c) for c in ("rate", "rate_pos", "rate_neg")])
+
+
+@query("q_conformed", f"""WITH {TRADE_DEGREES}, ix AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM deg)
+SELECT idx AS node, CAST(in_deg AS DOUBLE) AS first, CAST(out_deg AS DOUBLE) AS second, CAST(5 AS INTEGER) AS width, 0.0::DOUBLE AS padding FROM deg JOIN ix USING (node)""")
+def conformed(s: SparkSession, d: str) -> DataFrame:
+    """A stored graph with vectors of two components, no edge vectors and no splits, read as one of five and three."""
+    from ..graph import PropertyGraph, shared_folder
+    from ..sources import csv
+
+    nodes, rows = trade_nodes(s, d), trade_rows(s, d)
+    ids = sampling.compact(nodes)
+    vectors = structure.degrees(nodes, rows).join(nodes, "node").join(ids, "node").select(F.col("idx").alias("node"), "y", F.array(F.col("in_deg").cast("float"), F.col("out_deg").cast("float")).alias("x"))
+    folder = shared_folder(s, "conformed")
+    csv.write_graph(PropertyGraph(vectors, relabelled(rows.select("src", "dst", "y"), ids)), folder)
+    g = csv.read_graph(s, folder, node_width=5, edge_width=3, seed=SEED)
+    part = lambda k: F.col("x")[k].cast("double")
+    return g.nodes.select("node", part(0).alias("first"), part(1).alias("second"), F.size("x").alias("width"), (part(2) + part(3) + part(4)).alias("padding"))
+
+
+@query("q_csv_lenient", f"WITH {TG} SELECT eid, src, dst, CASE WHEN eid % 89 = 0 THEN 0.0::DOUBLE ELSE amt END AS amt, CASE WHEN eid % 83 = 0 THEN 0 ELSE y END AS y FROM te WHERE eid < 10000 AND eid % 97 <> 0")
+def csv_lenient(s: SparkSession, d: str) -> DataFrame:
+    """The trade graph as transaction files with lines cut short, blank amounts and blank labels, of which a window is read."""
+    from ..sources.csv import read_transactions, write_transactions
+
+    e = trade_edges(s, d)
+    hurt = e.withColumn("amt", F.when(F.col("eid") % 89 != 0, F.col("amt"))).withColumn("y", F.when(F.col("eid") % 83 != 0, F.col("y")))
+    return read_transactions(s, write_transactions(hurt, cut=F.col("eid") % 97 == 0), window=10_000, lenient=True).select("eid", "src", "dst", "amt", "y")

@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TIMESTAMP, finite, normal_names, parsed_time, resized
@@ -69,13 +69,23 @@ def read_transactions(spark: SparkSession, path: str, *, prefix: int | None = No
     return rows.select("eid", "src", "dst", parsed_time(F.col("timestamp")).alias("ts"), amount.alias("amt"), F.coalesce("fmt", F.lit("nan")).alias("fmt"), number("from_bank").alias("from_bank"), number("to_bank").alias("to_bank"), label.alias("y"))
 
 
-def write_transactions(edges: DataFrame) -> str:
-    """Edges (eid, src, dst, ts, amt, fmt, y) as transaction files in the shared folder, in order of eid along the files' names; returns their folder."""
+def write_transactions(edges: DataFrame, cut: Column | None = None) -> str:
+    """Edges (eid, src, dst, ts, amt, fmt, y) as transaction files in the shared folder, in order of eid along the files' names; returns their folder.
+
+    Values hold no commas or quotes. Lines where cut holds end after the first account, as broken files have it.
+    """
     folder = shared_folder(edges.sparkSession, "transactions")
     text = {"timestamp": F.date_format("ts", TIMESTAMP), "src": F.col("src"), "dst": F.col("dst"), "amt": F.col("amt"), "fmt": F.col("fmt"), "label": F.col("y")}
     names = [part.split("`")[1] for part in TRANSACTIONS.split(",")]
     rows = edges.repartitionByRange("eid").sortWithinPartitions("eid")
-    rows.select(*[text.get(n, F.lit(1)).cast("string").alias(n) for n in names]).write.option("header", True).csv(folder)
+    if cut is None:
+        rows.select(*[text.get(n, F.lit(1)).cast("string").alias(n) for n in names]).write.option("header", True).csv(folder)
+        return folder
+    fields = [F.coalesce(text.get(n, F.lit(1)).cast("string"), F.lit("")) for n in names]
+    line = F.concat_ws(",", F.when(cut, F.array(*fields[:3])).otherwise(F.array(*fields)))
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # each file begins with its header
+    headed = rows.select(line.alias("value"), first.alias("_first")).withColumn("value", F.when(F.col("_first"), F.concat(F.lit(",".join(names) + "\n"), "value")).otherwise(F.col("value")))
+    headed.select("value").write.text(folder)
     return folder
 
 
