@@ -7,13 +7,12 @@ path (document) of the blob.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, text_or_empty
+from .shared import fresh_path, text_or_empty
 
 #: Rows of one blob are dealt over so many tasks when findings are joined back.
 SALT = 32
@@ -174,11 +173,20 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFr
     return joined_back(docs, findings(every, rules)).select("doc_id", *digest_columns(F.col("found")))
 
 
-def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: scanned into a new ledger in the shared folder, from which findings are joined back to all documents."""
+#: Session setting with the path of a ledger that outlives the run, so that the next run scans only blobs and rule versions that are new.
+LEDGER_PATH = "tallygraph.secrets.ledger"
+
+
+def ledger_path(spark: SparkSession) -> str:
+    """The path that the session names; without one a new path in the shared folder, which knows no blob yet."""
+    return spark.conf.get(LEDGER_PATH, None) or fresh_path(spark, "ledger")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """All documents: what the ledger (a path, or that of ledger_path) lacks is scanned into it, and findings are joined back to all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ledger = scan_into(docs, f"{shared_folder(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}")
-    return joined_back(docs, findings(ledger)).select("doc_id", *digest_columns(F.col("found")))
+    found = findings(scan_into(docs, ledger or ledger_path(spark)))
+    return joined_back(docs, found).select("doc_id", *digest_columns(F.col("found")))
 
 
 def oracle() -> str:

@@ -33,14 +33,20 @@ def shared_folder(spark: SparkSession) -> str:
 _temporary: list[list[str]] = []
 
 
+def fresh_path(spark: SparkSession, name: str, *, lasting: bool = False) -> str:
+    """A new path in the shared folder. Within temporary_tables what is written there goes with the other tables unless it is lasting."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _temporary and not lasting:
+        _temporary[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str, *, lasting: bool = False) -> DataFrame:
     """Cut the lineage: write the rows as Parquet into the shared folder and read them again.
 
     The table outlives lost executors. Within temporary_tables it goes with the others unless it is lasting; else the folder's owner clears it, as with checkpoints.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _temporary and not lasting:
-        _temporary[-1].append(path)
+    path = fresh_path(df.sparkSession, name, lasting=lasting)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -52,6 +52,29 @@ def test_secret_stage_masks_all_spans(spark, docs):
     assert secret_scan.findings(secret_scan.scan(pipeline.secrets_masked(spark, docs, SF))).count() == 0
 
 
+def test_a_second_run_scans_no_blob(spark, docs, tmp_path, monkeypatch):
+    """With a ledger that the session names, the query and the stage scan what is new only, and find the same."""
+    want = sorted(map(tuple, secret_scan.op7_secret_scan(spark, SF).collect()))
+    scanned, scan = [], secret_scan.scan
+    monkeypatch.setattr(secret_scan, "scan", lambda *a, **b: scanned.append(scan(*a, **b)) or scanned[-1])
+    spark.conf.set(secret_scan.LEDGER_PATH, str(tmp_path / "ledger"))
+    try:
+        assert sorted(map(tuple, secret_scan.op7_secret_scan(spark, SF).collect())) == want
+        pairs = secret_scan.read_ledger(spark, str(tmp_path / "ledger")).count()
+        assert pairs == len(secret_scan.RULES) * docs.select("text").distinct().count()
+        assert sorted(map(tuple, secret_scan.op7_secret_scan(spark, SF).collect())) == want
+        masked = rows(pipeline.secrets_masked(spark, docs, SF))
+        held = secret_scan.read_ledger(spark, str(tmp_path / "ledger"))
+        assert held.count() == pairs  # neither run appended anything
+        assert secret_scan.scan(docs, ledger=held).count() == 0
+        fresh = docs.limit(3).selectExpr("doc_id", "concat(text, ' password=hunter22') AS text")
+        secret_scan.scan_into(fresh, str(tmp_path / "ledger"))
+        assert secret_scan.read_ledger(spark, str(tmp_path / "ledger")).count() == pairs + 3 * len(secret_scan.RULES)
+    finally:
+        spark.conf.unset(secret_scan.LEDGER_PATH)
+    assert masked == rows(pipeline.secrets_masked(spark, docs, SF))
+
+
 def test_packing_stage(spark, docs):
     """Every document's tokens, in order, in gapless sequences; about as few as the tokens need."""
     from tokenizers import Tokenizer
