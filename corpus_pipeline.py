@@ -68,10 +68,11 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret of the scan's findings replaced by asterisks of its length.
 
-    Null texts stay null and empty ones empty; copies are masked alike whatever their ids; overlapping spans are masked once;
-    extra columns are dropped; an empty table stays empty.
+    Blobs and rule versions that the ledger holds (secret_scan.ledger_path) are not scanned again. Null texts stay null and
+    empty ones empty; copies are masked alike whatever their ids; overlapping spans are masked once; extra columns are
+    dropped; an empty table stays empty.
     """
-    found = secret_scan.findings(secret_scan.scan(docs))
+    found = secret_scan.findings(secret_scan.scan_into(docs, secret_scan.ledger_path(spark)))
     return secret_scan.masked(docs.select(*COLUMNS), found).select(*COLUMNS)
 
 
