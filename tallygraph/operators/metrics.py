@@ -163,7 +163,7 @@ def bundles(logits: DataFrame, key: str, threshold: float = 0.5, steps: int = 32
     grouped_ = logits.select(key, "y", probability(F.col("logit")).alias("score")).groupBy(key, "score").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
     c = cumulated(grouped_, "p", "n", within=(key,))
     whole = c.groupBy(key).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    held = c.join(F.broadcast(whole), key)  # a row for each key
+    held = checkpointed(c.join(F.broadcast(whole), key))  # a row for each key
     rank = lambda k: k / F.lit(float(steps)) * (F.col("all_p") + F.col("all_n") - 1)
     low = F.col("below_p") + F.col("below_n")
     here = lambda r: (r >= low) & (r < low + F.col("p") + F.col("n"))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygraph.functions import scalars
+from tallygraph.functions.scalars import probability
 from tallygraph.graph import PropertyGraph, numbered, simple
 from tallygraph.operators import features, metrics, sage, sampling, similarity, splits, structure, synth
 from tallygraph.plans import distributed, learn, report, roster
@@ -67,6 +68,20 @@ def test_ranking_metrics(spark, y, s, roc, ap):
     assert ap is None and math.isnan(learn.precision(np.array(y), np.array(s))) or math.isclose(learn.precision(np.array(y), np.array(s)), ap, abs_tol=1e-6)
 
 
+def test_metrics_of_all_splits_at_once(spark):
+    """Each split as by itself: few rows, ties, one class."""
+    rng = np.random.default_rng(3)
+    rows = [(s, int(rng.random() < 0.4) if s != "d" else 0, float(round(rng.normal(), d))) for s, n, d in (("a", 12, 9), ("b", 50, 1), ("c", 1, 3), ("d", 7, 2)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "split string, y int, logit double")
+    found = {r["split"]: r.asDict() for r in metrics.bundles(df, "split").collect()}
+    assert set(found) == {"a", "b", "c", "d"}
+    for split, got in found.items():
+        own = df.filter(F.col("split") == split).select("y", probability(F.col("logit")).alias("score"))
+        assert (got["roc_auc"], got["pr_auc"], got["f1"], got["f1_best"]) == tuple(one(f(own))[0] for f in (metrics.roc_auc, metrics.average_precision, metrics.f1, metrics.best_f1))
+        assert got["n_pos"] + got["n_neg"] == own.count() and got["n_pos"] == own.filter("y = 1").count()
+    assert one(metrics.bundle(df.limit(0)))["n_pos"] == 0
+
+
 def test_ks_and_histograms(spark):
     v = spark.createDataFrame([("a", float(x), 0) for x in (1, 2, 3, 4)] + [("a", float(x), 1) for x in (3, 4, 5, 6)], "dim string, value double, sample int")
     assert one(similarity.ks(v))["ks"] == 0.5
@@ -135,7 +150,7 @@ def test_features(spark):
     assert [r["bank"] for r in features.median_filled(df, "bank").orderBy("node").collect()] == [10.0, 20.0, 30.0, 20.0]
     flat = features.scaled(spark.createDataFrame([(1, 2.0), (2, 2.0)], "node long, x double"), {"x": "x"})
     assert [r["x_scaled"] for r in flat.collect()] == [0.0, 0.0]
-    assert all(r["r"] == 0 for r in similarity.correlations(flat, ["x"]).collect())
+    assert one(similarity.correlation_distance(flat, flat.withColumn("x_scaled", F.col("node") * 1.0), ["x", "x_scaled"]))[0] == 1.0  # constant columns correlate with nothing, themselves included
     assert [r["k"] for r in numbered(spark.range(5).select(F.col("id")), F.floor(F.col("id") / 2), "id", name="k").orderBy("id").collect()] == list(range(5))
 
 
