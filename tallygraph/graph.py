@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,9 +50,16 @@ def hash_digits(rows: int) -> int:
     return max(2, math.ceil(math.log(max(rows, 1) / NUMBERED, 16))) if rows > NUMBERED else 2
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Rows as a Parquet table in the shared folder, whose readers take the columns they need; unlike those of a checkpoint they come back in any partitions."""
+    at = shared_folder(df.sparkSession, "rows")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
     """df with _bucket: ranges of about equal size along the order, which never decrease along it; a table in the shared folder, as ranges are drawn from a sample."""
-    return checkpointed(df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()))
+    return stored(df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()))
 
 
 #: Of a row's place: the bits below the number of its range, as monotonically_increasing_id has them.
@@ -60,20 +68,21 @@ WITHIN = 33
 BUCKETS = 100_000
 
 
-def numbered(df: DataFrame, bucket: Column | None, *order: Column | str, name: str, buckets: int = 0) -> DataFrame:
-    """Rows numbered from 0 in the order given.
+def numbered(df: DataFrame, bucket: Column | None, *order: Column | str, name: str, buckets: int = 0, keep: Sequence[str] | None = None) -> DataFrame:
+    """Rows numbered from 0 in the order given, of which only the columns to keep (all, if None) are stored and returned.
 
     Without a bucket the rows are sorted within ranges of about equal size, whatever their values, and stored with their place
     in the range; a range's first number is the rows of those before it, and only a row for each range meets in one task.
     A bucket, which never decreases along the order, saves the store, for orders by a hash: its rows are numbered in one task
     each. Where there may be more than BUCKETS of them (buckets, about), their first numbers are added up over ranges too.
     """
+    kept = df.columns if keep is None else list(keep)
     if bucket is None:
-        held = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+        held = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).select(*kept, F.monotonically_increasing_id().alias("_at")))
         held = held.withColumn("_bucket", F.shiftright("_at", WITHIN)).withColumn("_nth", F.col("_at").bitwiseAND((1 << WITHIN) - 1)).drop("_at")
     else:
         nth = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
-        held = df.withColumn("_bucket", bucket).withColumn("_nth", nth.cast("long") - 1)
+        held = df.withColumn("_bucket", bucket).select(*kept, "_bucket", (nth.cast("long") - 1).alias("_nth"))
     sizes = held.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     starts = running(sizes, "_bucket", "_n", "_start", buckets > BUCKETS)
     starts = F.broadcast(starts) if bucket is None else starts  # a row for each range
@@ -86,7 +95,7 @@ def running(rows: DataFrame, key: str, amount: str, name: str, many: bool) -> Da
     upto = lambda c, window: F.coalesce(F.sum(c).over(window), F.lit(0))
     if not many:
         return rows.select(key, upto(amount, before()).alias(name))
-    held = checkpointed(rows.select(key, amount).repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    held = stored(rows.select(key, amount).repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
     totals = held.groupBy("_range").agg(F.sum(amount).alias("_all"))
     ahead = totals.select("_range", upto("_all", W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_ahead"))
     return held.withColumn("_own", upto(amount, before("_range"))).join(F.broadcast(ahead), "_range").select(key, (F.col("_ahead") + F.col("_own")).alias(name))  # a row for each range

@@ -13,6 +13,8 @@ from ..graph import numbered
 
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
 
+EDGE = ("src", "dst", "ts", "amt", "fmt", "y")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,7 +39,7 @@ def trade_rows(spark: SparkSession, sf_dir: str, *, strict: bool = False) -> Dat
 
 def trade_edges(spark: SparkSession, sf_dir: str, *, strict: bool = False) -> DataFrame:
     """eid, src, dst, ts, amt, fmt, y: numbered over ranges of about equal size, however the keys are spread."""
-    return numbered(trade_rows(spark, sf_dir, strict=strict), None, *ORDER, name="eid").select("eid", "src", "dst", "ts", "amt", "fmt", "y")
+    return numbered(trade_rows(spark, sf_dir, strict=strict), None, *ORDER, name="eid", keep=EDGE).select("eid", *EDGE)
 
 
 def hop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
