@@ -14,7 +14,8 @@ from dataclasses import asdict, dataclass, field
 from typing import TYPE_CHECKING
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph, checkpointed
 from ..operators.vectors import scattered
@@ -423,6 +424,20 @@ def epsilon(config: PrivacyConfig, rate: float, steps: int) -> float | None:
     return best
 
 
+def epsilons(pools: DataFrame, config: PrivacyConfig, steps: int) -> DataFrame:
+    """pools (rows, ...) with rate, the share of its rows that a batch takes, and epsilon of so many steps on each; NULL without noise, steps or rows."""
+    rated = pools.withColumn("rate", F.when(F.col("rows") > 0, F.least(F.lit(1.0), F.lit(float(config.batch)) / F.col("rows"))))
+    if config.noise <= 0 or not steps:
+        return rated.withColumn("epsilon", F.lit(None).cast("double"))
+    two = f"{2 * config.noise**2!r}D"
+    choose = "if(k = 0, 0D, aggregate(sequence(1, k), 0D, (s, i) -> s + ln((a - k + i) / i)))"
+    terms = f"transform(sequence(0, a), k -> {choose} + k * ln(rate) + (a - k) * log1p(-rate) + k * (k - 1) / {two})"
+    top = "greatest(x.top, t)"
+    summed = f"aggregate({terms}, named_struct('top', -1e300D, 'sum', 0D), (x, t) -> named_struct('top', {top}, 'sum', x.sum * exp(x.top - {top}) + exp(t - {top})), x -> x.top + ln(x.sum))"
+    one = f"if(rate >= 1, a / {two}, {summed} / (a - 1))"
+    return rated.withColumn("epsilon", F.expr(f"array_min(transform(sequence(2, 64), a -> {steps} * {one} + {math.log(1 / config.delta)!r}D / (a - 1)))"))
+
+
 SKIPPED = "Only edges were asked for: the encoder was fitted together with the edge head, and no classifier of accounts exists to be judged."
 COMPOSITION = "Each training phase restarts the accounting; the epsilons reported are not composed into one guarantee across phases."
 

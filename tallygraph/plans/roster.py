@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from ..graph import endpoints, neighbours, numbered, relabelled, shuffled, simpl
 from ..operators import batches, features, metrics, sage, sampling, similarity, splits, structure, synth
 from ..sources.tables import HOP_EDGES_SQL, TRADE_ACCOUNTS_SQL, hop_edges, table, trade_accounts, trade_edges, trade_edges_sql, trade_rows
 
+if TYPE_CHECKING:
+    from ..graph import PropertyGraph
+    from . import learn
+
 SEED = 7
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -649,15 +654,22 @@ HOP_MODEL = f"""{HOP_X}, f AS (SELECT node, d / 256 AS a, r / 4 AS b, CAST(r AS
 fm AS (SELECT dst AS node, avg(a) AS ma, avg(b) AS mb FROM ee JOIN f ON f.node = ee.src GROUP BY 1), l0 AS (SELECT f.*, coalesce(ma, 0) AS ma, coalesce(mb, 0) AS mb, coalesce(many, 0) AS many FROM f LEFT JOIN fm USING (node) LEFT JOIN many USING (node))"""
 
 
-@query("q_sage_gradient", f"""WITH {HOP_MODEL}, l1 AS (SELECT *, 0.5::DOUBLE * ma - 0.25::DOUBLE * mb + 0.25::DOUBLE * a + 0.125::DOUBLE * b + 0.125::DOUBLE AS z FROM l0), h1 AS (SELECT *, greatest(0.0::DOUBLE, z) AS h FROM l1),
+SAGE = f"""{HOP_MODEL}, l1 AS (SELECT *, 0.5::DOUBLE * ma - 0.25::DOUBLE * mb + 0.25::DOUBLE * a + 0.125::DOUBLE * b + 0.125::DOUBLE AS z FROM l0), h1 AS (SELECT *, greatest(0.0::DOUBLE, z) AS h FROM l1),
 m1 AS (SELECT dst AS node, avg(h) AS mh FROM ee JOIN h1 ON h1.node = ee.src GROUP BY 1), l2 AS (SELECT h1.*, coalesce(mh, 0) AS mh, 0.75::DOUBLE * coalesce(mh, 0) - 0.5::DOUBLE * h + 0.25::DOUBLE AS o FROM h1 LEFT JOIN m1 USING (node)),
 p AS (SELECT *, 1 / (1 + exp(-(0.75::DOUBLE * o - 0.125::DOUBLE))) AS p FROM l2), g AS (SELECT *, (p * (1 + y) - 2.0::DOUBLE * y) / (SELECT count(*) FROM f) AS d FROM p), s2 AS (SELECT *, d * 0.75::DOUBLE AS dz FROM g),
 bk AS (SELECT src AS node, sum(dz * 0.75::DOUBLE / many) AS got FROM ee JOIN s2 ON s2.node = ee.dst GROUP BY 1), s1 AS (SELECT s2.*, CASE WHEN z > 0 THEN dz * -0.5::DOUBLE + coalesce(got, 0) ELSE 0 END AS dy FROM s2 LEFT JOIN bk USING (node)),
 o AS (SELECT unnest([{{'name': 'node', 'place': 0, 'value': sum(o * d)}}, {{'name': 'node_bias', 'place': 0, 'value': sum(d)}}, {{'name': 'mean1', 'place': 0, 'value': sum(mh * dz)}}, {{'name': 'self1', 'place': 0, 'value': sum(h * dz)}}, {{'name': 'bias1', 'place': 0, 'value': sum(dz)}},
-  {{'name': 'mean0', 'place': 0, 'value': sum(ma * dy)}}, {{'name': 'mean0', 'place': 1, 'value': sum(mb * dy)}}, {{'name': 'self0', 'place': 0, 'value': sum(a * dy)}}, {{'name': 'self0', 'place': 1, 'value': sum(b * dy)}}, {{'name': 'bias0', 'place': 0, 'value': sum(dy)}}]) AS x FROM s1)
-SELECT x.name, CAST(x.place AS INTEGER) AS place, round(x.value, 9) AS value FROM o""")
+  {{'name': 'mean0', 'place': 0, 'value': sum(ma * dy)}}, {{'name': 'mean0', 'place': 1, 'value': sum(mb * dy)}}, {{'name': 'self0', 'place': 0, 'value': sum(a * dy)}}, {{'name': 'self0', 'place': 1, 'value': sum(b * dy)}}, {{'name': 'bias0', 'place': 0, 'value': sum(dy)}}]) AS x FROM s1)"""
+
+
+@query("q_sage_gradient", f"WITH {SAGE} SELECT x.name, CAST(x.place AS INTEGER) AS place, round(x.value, 9) AS value FROM o")
 def sage_gradient(s: SparkSession, d: str) -> DataFrame:
     """One epoch's gradient of a node classifier over all nodes, distributed."""
+    return _components(s, _sage_step(s, d)[1])
+
+
+def _sage_step(s: SparkSession, d: str) -> tuple[learn.Model, dict]:
+    """The small model and its gradient over all nodes of the hop graph."""
     import numpy as np
 
     from ..graph import PropertyGraph
@@ -668,10 +680,44 @@ def sage_gradient(s: SparkSession, d: str) -> DataFrame:
     model.w |= {k: np.array(v) for k, v in SMALL.items()}
     g = distributed.LaidOut.of(PropertyGraph(nodes, edges), ["a", "b"], [])
     rows, _ = distributed.training_rows(g, "node")
-    found = distributed.gradient(g, model, "node", rows, 2.0)
+    return model, distributed.gradient(g, model, "node", rows, 2.0)
+
+
+def _components(s: SparkSession, found: dict) -> DataFrame:
+    """Matrices as rows name, place and value."""
     return s.createDataFrame([(n, k, round(float(x), 9)) for n, m in found.items() for k, x in enumerate(m.ravel())], "name string, place int, value double")
 
 
+WEIGHTS = ", ".join(f"('{name}', {k}, {x!r}::DOUBLE)" for name, held in SMALL.items() for k, x in enumerate(y for row in held for y in (row if isinstance(row, list) else [row])))
+
+
+@query("q_training_step", f"""WITH {SAGE}, cl AS (SELECT least(1.0::DOUBLE, 0.0625::DOUBLE / (sqrt(sum(x.value * x.value)) + 1e-6::DOUBLE)) AS scale FROM o), w(name, place, w) AS (VALUES {WEIGHTS}),
+gd AS (SELECT name, place, w, x.value AS value, x.value + 1e-4::DOUBLE * w AS d FROM o JOIN w ON x.name = name AND x.place = place)
+SELECT name, CAST(place AS INTEGER) AS place, round(value * scale, 9) + 0.0 AS clipped, round(w - 1e-3::DOUBLE * d / (abs(d) + 1e-8::DOUBLE), 9) AS weight FROM gd, cl""")
+def training_step(s: SparkSession, d: str) -> DataFrame:
+    """What a private step applies before its noise, the gradient as a whole scaled to a norm of at most 1/16; and the weights after a plain step."""
+    import numpy as np
+
+    from . import learn
+
+    model, gradient = _sage_step(s, d)
+    clipped = learn.noised(gradient, learn.PrivacyConfig(noise=0.0, clip=0.0625), np.random.default_rng(SEED))
+    model.adam(gradient)
+    return _components(s, clipped).withColumnRenamed("value", "clipped").join(_components(s, {name: model.w[name] for name in gradient}).withColumnRenamed("value", "weight"), ["name", "place"])
+
+
+@query("q_epsilon", """WITH p AS (SELECT event_type AS pool, count(*) AS rows FROM events GROUP BY 1), q AS (SELECT pool, rows, least(1.0::DOUBLE, 64.0::DOUBLE / rows) AS rate FROM p),
+t AS (SELECT pool, a, lgamma(a + 1) - lgamma(k + 1) - lgamma(a - k + 1) + k * ln(rate) + (a - k) * ln(1 - rate) + k * (k - 1) / 2.0::DOUBLE AS t FROM q, range(2, 65) x(a), range(0, 65) y(k) WHERE k <= a AND rate < 1),
+m AS (SELECT pool, a, max(t) AS top FROM t GROUP BY 1, 2), l AS (SELECT pool, a, (top + ln(sum(exp(t - top)))) / (a - 1) AS one FROM t JOIN m USING (pool, a) GROUP BY pool, a, top UNION ALL SELECT pool, a, a / 2.0::DOUBLE FROM q, range(2, 65) x(a) WHERE rate >= 1)
+SELECT pool, rows, round(rate, 9) AS rate, round(min(120 * one + ln(100000.0::DOUBLE) / (a - 1)), 6) AS epsilon FROM l JOIN q USING (pool) GROUP BY pool, rows, rate""")
+def epsilon(s: SparkSession, d: str) -> DataFrame:
+    """What 120 private steps on batches of 64 would spend on the events of each type."""
+    from . import learn
+
+    pools = table(s, d, "events").groupBy(F.col("event_type").alias("pool")).agg(F.count(F.lit(1)).alias("rows"))
+    return learn.epsilons(pools, learn.PrivacyConfig(batch=64), 120).select("pool", "rows", F.round("rate", 9).alias("rate"), F.round("epsilon", 6).alias("epsilon"))
+
+
 WIDTH = 128
 
 
@@ -844,3 +890,78 @@ def csv_lenient(s: SparkSession, d: str) -> DataFrame:
     e = trade_edges(s, d)
     hurt = e.withColumn("amt", F.when(F.col("eid") % 89 != 0, F.col("amt"))).withColumn("y", F.when(F.col("eid") % 83 != 0, F.col("y")))
     return read_transactions(s, write_transactions(hurt, cut=F.col("eid") % 97 == 0), window=10_000, lenient=True).select("eid", "src", "dst", "amt", "y")
+
+
+def _files(s: SparkSession, d: str) -> str:
+    """A folder with the trade graph's files: some accounts listed twice, some banks blank, every fifth supplier not listed; names end in a number."""
+    from ..graph import shared_folder
+    from ..sources import csv
+
+    a, number = trade_accounts(s, d), F.col("number")
+    kept = a.filter((F.col("side") == 0) | (number % 5 != 0)).withColumn("bank", F.when(number % 11 != 0, F.col("bank")))
+    again = a.filter((F.col("side") == 0) & (number % 13 == 0)).withColumn("side", F.lit(2)).withColumn("entity_type", F.lit("AGAIN"))
+    listed = kept.unionByName(again).withColumn("name", F.concat_ws(" #", "entity_type", number.cast("string")))
+    folder, path = shared_folder(s, "dataset"), s._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(s._jsc.hadoopConfiguration())
+    files.mkdirs(path(folder))
+    for at, name in ((csv.write_accounts(listed, "side", "number"), "HI-Small_accounts.csv"), (csv.write_transactions(trade_edges(s, d)), "HI-Small_Trans.csv")):
+        files.rename(path(at), path(f"{folder}/{name}"))
+    return folder
+
+
+def _built(s: SparkSession, d: str, **options: object) -> PropertyGraph:
+    from . import build
+
+    return build.load_graph(s, _files(s, d), seed=SEED, **options)
+
+
+def _split_sql(name: str, rows: str, key: str, seed: int = SEED) -> str:
+    """name(key, y, split) of rows(key, y), sizes matched and rare positives spread evenly; a single class is split by size alone."""
+    return f"""{name}_c AS (SELECT count(*) AS n, CASE WHEN sum(y) = count(*) THEN 0 ELSE CAST(sum(y) AS BIGINT) END AS p FROM {rows}),
+{name}_s AS (SELECT n, p, CAST(floor(0.6 * n) AS BIGINT) AS n1, CAST(floor((n - floor(0.6 * n)) / 2) AS BIGINT) AS n2, CASE WHEN p >= 3 THEN 1 + (p - 3) // 3 ELSE least(p, 1) END AS p1,
+  CASE WHEN p >= 3 THEN 1 + (p - 3) // 3 + CASE WHEN (p - 3) % 3 = 2 THEN 1 ELSE 0 END ELSE greatest(0, p - 1) END AS p2 FROM {name}_c),
+{name}_r AS (SELECT {key}, y, p > 0 AND y = 1 AS rare, row_number() OVER (PARTITION BY p > 0 AND y = 1 ORDER BY {order_key_sql(seed, "split", key)}, {key}) - 1 AS rank, n1, n2, p1, p2 FROM {rows}, {name}_s),
+{name} AS (SELECT {key}, y, CASE WHEN rank < CASE WHEN rare THEN p1 ELSE n1 - p1 END THEN 'train' WHEN rank < CASE WHEN rare THEN p1 + p2 ELSE n1 - p1 + n2 - p2 END THEN 'val' ELSE 'test' END AS split FROM {name}_r)"""
+
+
+BUILT = f"""{ACC}, {TG}, {RISKY}, la AS (SELECT account_id, CASE WHEN number % 11 <> 0 THEN bank END AS bank, entity_type, row_number() OVER (ORDER BY side, number) - 1 AS rid FROM ta WHERE side = 0 OR number % 5 <> 0),
+seen AS (SELECT account_id, rid AS x FROM la UNION ALL SELECT src, 1000000000000 + eid FROM te UNION ALL SELECT dst, 2000000000000 + eid FROM te),
+ix AS (SELECT account_id, row_number() OVER (ORDER BY x) - 1 AS node FROM (SELECT account_id, min(x) AS x FROM seen GROUP BY 1) t),
+bn AS (SELECT node, ix.account_id, coalesce(bank, (SELECT median(bank) FROM ix JOIN la USING (account_id)), 0.0) AS bank, coalesce(entity_type, 'Unknown') AS kind, CASE WHEN ix.account_id IN (SELECT node FROM risky) THEN 1 ELSE 0 END AS y FROM ix LEFT JOIN la USING (account_id))"""
+
+
+@query("q_built_nodes", f"""WITH {BUILT}, {_split_sql("ns", "bn", "node")}, f AS (SELECT avg(bank) AS m, stddev_pop(bank) AS sd FROM bn)
+SELECT node, account_id, bn.y AS y, split, round((bank - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) + 0.0 AS bank_scaled, CAST(dense_rank() OVER (ORDER BY kind) - 1 AS INTEGER) AS kind FROM bn JOIN ns USING (node), f""")
+def built_nodes(s: SparkSession, d: str) -> DataFrame:
+    """Nodes of the whole graph as loaded from files."""
+    g = _built(s, d, stratify_nodes=False)
+    kinds = [c for c in g.meta["node_columns"] if c.startswith("type_")]
+    return g.nodes.select("node", "account_id", "y", "split", F.round("bank_scaled", 6).alias("bank_scaled"), one_hot_class(F.array(*kinds)).alias("kind"))
+
+
+@query("q_built_edges", f"""WITH {BUILT}, {STRATIFIED.removeprefix(TG + ", ")}, v AS (SELECT eid, src, dst, fmt, ln(1 + greatest(0.0, amt)) AS a, CAST(epoch(ts) - (SELECT min(epoch(ts)) FROM te) AS DOUBLE) AS t FROM te),
+f AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(t) AS mt, stddev_pop(t) AS st FROM v)
+SELECT v.eid AS eid, i.node AS src, j.node AS dst, y, split, round((a - ma) / sa, 6) + 0.0 AS amt_scaled, round((t - mt) / st, 6) + 0.0 AS dt_scaled, CAST(dense_rank() OVER (ORDER BY fmt) - 1 AS INTEGER) AS fmt
+FROM v JOIN sp ON sp.eid = v.eid JOIN ix i ON i.account_id = v.src JOIN ix j ON j.account_id = v.dst, f""")
+def built_edges(s: SparkSession, d: str) -> DataFrame:
+    """Edges of the whole graph as loaded from files."""
+    g = _built(s, d)
+    formats = [c for c in g.meta["edge_columns"] if c.startswith("fmt_")]
+    return g.edges.select("eid", "src", "dst", "y", "split", *[F.round(c, 6).alias(c) for c in ("amt_scaled", "dt_scaled")], one_hot_class(F.array(*formats)).alias("fmt"))
+
+
+@query("q_sampled_splits", f"""WITH {HOP_NODES}, k AS (SELECT node FROM (SELECT node, y, row_number() OVER (ORDER BY {order_key_sql(SEED, "induced", "node")}, node) AS r FROM nodes) t, (SELECT max(y) AS any_ FROM nodes) m
+  WHERE r <= 60), k2 AS (SELECT node FROM (SELECT node, y, row_number() OVER (ORDER BY {order_key_sql(SEED, "induced", "node")}, node) AS r FROM k JOIN nodes USING (node)) t
+  WHERE (SELECT max(y) FROM k JOIN nodes USING (node)) = 1 OR (SELECT max(y) FROM nodes) = 0 OR r < 60
+  UNION ALL SELECT * FROM (SELECT node FROM nodes WHERE y = 1 AND (SELECT max(y) FROM k JOIN nodes USING (node)) = 0 ORDER BY {order_key_sql(SEED, "positive", "node")}, node LIMIT 1) p),
+ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM k2), sn AS (SELECT idx AS id, y FROM ids JOIN nodes USING (node)), se AS (SELECT eid AS id, y FROM ee JOIN ids a ON ee.src = a.node JOIN ids b ON ee.dst = b.node),
+{_split_sql("xn", "sn", "id")}, {_split_sql("xe", "se", "id", SEED + 1)} SELECT 'node' AS kind, id, y, split FROM xn UNION ALL SELECT 'edge', id, y, split FROM xe""")
+def sampled_splits(s: SparkSession, d: str) -> DataFrame:
+    """A sampled graph's nodes and edges with splits of their own, each kind by its own seed."""
+    from ..graph import PropertyGraph
+    from . import build
+
+    e = hop_edges(s, d)
+    g = build.sampled(PropertyGraph(features.labelled(endpoints(e), e), e), "random_induced", 60, SEED)
+    rows = lambda kind, df, key: df.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), "y", "split")
+    return rows("node", g.nodes, "node").unionAll(rows("edge", g.edges, "eid"))

@@ -89,9 +89,20 @@ def write_transactions(edges: DataFrame, cut: Column | None = None) -> str:
     return folder
 
 
+def write_accounts(accounts: DataFrame, *order: str) -> str:
+    """Accounts (account_id, bank, name) as account files in the shared folder, in the order given along the files' names; returns their folder."""
+    folder = shared_folder(accounts.sparkSession, "accounts")
+    rows = accounts.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.select(F.col("account_id").alias("Account Number"), F.col("bank").alias("Bank ID"), F.col("name").alias("Entity Name")).write.option("header", True).csv(folder)
+    return folder
+
+
 def read_accounts(spark: SparkSession, path: str) -> DataFrame:
-    """account_id, bank and name, with a row id; names of columns are matched stripped and lower-cased."""
-    rows = normal_names(spark.read.option("header", True).csv(path)).withColumn("row_id", F.monotonically_increasing_id())
+    """account_id, bank and name, with a row id in order of files by name and of lines in them; names of columns are matched stripped and lower-cased."""
+    read = spark.read.option("header", True).csv(path)
+    part = F.struct("_metadata.file_path", "_metadata.file_block_start")
+    rows = read.select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_line"))
+    rows = numbered(normal_names(rows), F.col("_part"), "_line", name="row_id")
     return rows.select("row_id", F.col("account number").alias("account_id"), finite(F.expr("try_cast(`bank id` AS DOUBLE)")).alias("bank"), F.col("entity name").alias("name"))
 
 

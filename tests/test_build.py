@@ -133,3 +133,30 @@ def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     command.main(["experiment", folder, "--generator", "from_files", "--synthetic", f"{out}/synthetic", "--min_synthetic_nodes", "10", "--edges_only", "--use_dp", "--dp_steps_per_epoch", "1", "--checkpoint_dir", f"{out}/weights", "--out_dir", out, *short])
     found = json.loads(next(tmp_path.glob("transfer_*_from_files_edgesonly_dp.json")).read_text())
     assert found["dp_accounting"]["edge_syn"]["total_optimizer_steps"] == 1 and (tmp_path / "weights" / "edge_real" / "epoch_0001.npz").exists() and found["edge_checkpoint_dir"] == found["checkpoint_dir"] == f"{out}/weights"
+
+
+def test_accounts_of_several_files_keep_their_order(spark, tmp_path):
+    for part in range(3):
+        rows = "".join(f"{part},b{part * 2 + k},Kind #{k}\n" for k in range(2))
+        (tmp_path / f"part-{part}.csv").write_text(" Bank ID,Account Number,Entity Name\n" + rows + "9,first,Other #1\n")
+    found = csv.read_accounts(spark, str(tmp_path)).orderBy("row_id").collect()
+    assert [r["row_id"] for r in found] == list(range(9))
+    assert [r["account_id"] for r in found] == ["b0", "b1", "first", "b2", "b3", "first", "b4", "b5", "first"]
+
+
+def test_written_accounts_come_back(spark):
+    rows = spark.createDataFrame([("c", 3.0, "X #1", 2), ("a", None, "Y #2", 0), ("b", 1.0, None, 1)], "account_id string, bank double, name string, at int")
+    found = csv.read_accounts(spark, csv.write_accounts(rows, "at")).orderBy("row_id").collect()
+    assert [(r["account_id"], r["bank"], r["name"]) for r in found] == [("a", None, "Y #2"), ("b", 1.0, None), ("c", 3.0, "X #1")]
+
+
+def test_epsilon_of_many_pools_is_that_of_each(spark):
+    sizes = [1, 64, 65, 1000, 10**9]
+    for noise in (0.7, 2.0):
+        config = learn.PrivacyConfig(batch=64, noise=noise)
+        found = {r["rows"]: r for r in learn.epsilons(spark.createDataFrame([(n,) for n in [0, *sizes]], "rows long"), config, 50).collect()}
+        for n in sizes:
+            wanted = learn.epsilon(config, min(1.0, 64 / n), 50)
+            assert abs(found[n]["epsilon"] - wanted) < 1e-9 * max(1.0, wanted)
+        assert found[0]["epsilon"] is None and found[0]["rate"] is None
+    assert learn.epsilons(spark.createDataFrame([(5,)], "rows long"), learn.PrivacyConfig(noise=0.0), 50).first()["epsilon"] is None
