@@ -137,27 +137,30 @@ def fit(docs: DataFrame, learnt: Column, *, sampled: int = SAMPLED, id_col: str
         rows = [(s, k, keys[mine].tobytes(), counts[mine].tobytes()) for k, (keys, counts) in held.items() for s in range(shards) if (mine := (keys % U64(shards)).astype(np.int64) == s).any()]
         yield record(schema, *([list(c) for c in zip(*rows, strict=True)] or [[]] * 4))
 
-    out = pa.schema([("grams", pa.binary()), ("rates", pa.binary())])
+    out = pa.schema([("grams", pa.binary()), ("languages", pa.binary()), ("counts", pa.binary())])
     many = len(languages)
 
     def add_up(table: pa.Table) -> pa.Table:
-        held = [(np.zeros(0, U64), np.zeros(0, np.int64))] * many
+        """Only counts that are not zero, of n-grams that some language has often enough."""
+        held = {}
         for k, keys, counts in zip(*(table.column(c).to_pylist() for c in ("k", "grams", "counts")), strict=True):
-            held[k] = added(*held[k], np.frombuffer(keys, U64), np.frombuffer(counts, np.int64))
-        every = np.unique(np.concatenate([keys for keys, _ in held]))
-        rates = np.zeros((len(every), many), np.int64)
-        for k, (keys, counts) in enumerate(held):
-            rates[np.searchsorted(every, keys), k] = counts
-        often = rates.max(1) >= LEAST
-        return pa.table([[every[often].tobytes()], [rates[often].tobytes()]], schema=out)
-
-    rows = sample.mapInArrow(count, "shard int, k int, grams binary, counts binary").groupBy("shard").applyInArrow(add_up, "grams binary, rates binary").collect()
-    keys = np.concatenate([np.frombuffer(r["grams"], U64) for r in rows] or [np.zeros(0, U64)])
-    counts = np.concatenate([np.frombuffer(r["rates"], np.int64) for r in rows] or [np.zeros(0, np.int64)]).reshape(-1, many)
-    rates = counts / np.maximum(counts.sum(0), 1)
+            held[k] = added(*held.get(k, (np.zeros(0, U64), np.zeros(0, np.int64))), np.frombuffer(keys, U64), np.frombuffer(counts, np.int64))
+        keys, counts = (np.concatenate([x[c] for x in held.values()]) for c in range(2))
+        of = np.repeat(np.array(list(held), np.int32), [len(x[0]) for x in held.values()])
+        often = np.isin(keys, np.unique(keys[counts >= LEAST]))
+        return pa.table([[keys[often].tobytes()], [of[often].tobytes()], [counts[often].tobytes()]], schema=out)
+
+    rows = sample.mapInArrow(count, "shard int, k int, grams binary, counts binary").groupBy("shard").applyInArrow(add_up, "grams binary, languages binary, counts binary").collect()
+    keys, of, counts = (np.concatenate([np.frombuffer(r[c], t) for r in rows] or [np.zeros(0, t)]) for c, t in (("grams", U64), ("languages", np.int32), ("counts", np.int64)))
+    rates = counts / np.maximum(np.bincount(of, weights=counts, minlength=many), 1)[of]
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0])) if len(keys) else np.zeros(0, np.int64)
+    highest = np.empty(len(keys))
+    highest[order] = np.repeat(np.maximum.reduceat(rates[order], first) if len(keys) else rates, np.diff(np.append(first, len(keys))))
+    chosen = (counts >= LEAST) & (rates >= SHARE * highest)
     model = Filter(languages)
     for k in range(many):
-        model.add(keys[(counts[:, k] >= LEAST) & (rates[:, k] >= SHARE * rates.max(1, initial=0))], k)
+        model.add(keys[chosen & (of == k)], k)
     return model.frozen()
 
 
