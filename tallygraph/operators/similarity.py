@@ -48,9 +48,10 @@ def ks_p_value(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
 
 
 def correlation(a: str, b: str) -> Column:
-    """Pearson's coefficient as an aggregate; 0 where a column is constant."""
+    """Pearson's coefficient as an aggregate; 0 where a column is constant, which its range tells: merged over tasks, its deviation may miss 0 by rounding."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
+    flat = lambda c: F.max(c) - F.min(c) == 0
+    return F.when(flat(x) | flat(y), 0.0).otherwise(F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0)))
 
 
 def correlation_distance(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
@@ -60,9 +61,10 @@ def correlation_distance(real: DataFrame, synthetic: DataFrame, columns: list[st
 
 
 def tagged_correlation_distance(rows: DataFrame, sample: Column, columns: list[str]) -> DataFrame:
-    """One row, corr_fro, of the rows of sample 0 and 1, from one pass over both."""
+    """One row, corr_fro, of the rows of sample 0 and 1, from one pass over both; in a sample without rows nothing correlates."""
     pairs = [(a, b) for a in columns for b in columns]
     each = rows.groupBy(sample.alias("sample")).agg(F.array(*[correlation(a, b) for a, b in pairs]).alias("r"))
-    both = each.agg(*[F.max(F.when(F.col("sample") == k, F.col("r"))).alias(f"r{k}") for k in (0, 1)])
+    none = F.array(*[F.lit(0.0)] * len(pairs))
+    both = each.agg(*[F.coalesce(F.max(F.when(F.col("sample") == k, F.col("r"))), none).alias(f"r{k}") for k in (0, 1)])
     gap = F.aggregate(F.zip_with("r0", "r1", lambda x, y: F.pow(x - y, 2)), F.lit(0.0), lambda total, x: total + x)
     return both.select(F.sqrt(gap).alias("corr_fro"))

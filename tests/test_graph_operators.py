@@ -154,6 +154,19 @@ def test_features(spark):
     assert [r["k"] for r in numbered(spark.range(5).select(F.col("id")), F.floor(F.col("id") / 2), "id", name="k").orderBy("id").collect()] == list(range(5))
 
 
+def test_correlation_of_constants_over_tasks(spark):
+    """Three tasks' means of 49 equal values merge inexactly, so the deviation of all isn't 0."""
+    cut = spark.range(0, 147, 1, 3).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("one"))
+    assert one(cut.agg(F.stddev_pop("one")))[0] != 0
+    assert one(similarity.correlation_distance(cut, cut.coalesce(1), ["x", "one"]))[0] == 0.0
+
+
+def test_correlation_of_samples_without_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0)], "x double, z double")
+    assert one(similarity.correlation_distance(df, df.limit(0), ["x", "z"]))[0] == one(similarity.correlation_distance(df.limit(0), df, ["x", "z"]))[0] == 2.0
+    assert one(similarity.correlation_distance(df.limit(0), df.limit(1), ["x", "z"]))[0] == 0.0
+
+
 def test_report(tmp_path):
     x = {"a": float("nan"), "b": (np.float64(1.5), np.int64(2)), "c": np.array([1.0, np.inf])}
     assert report.sanitised(x) == {"a": None, "b": [1.5, 2], "c": [1.0, None]}
