@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,8 +76,8 @@ def from_files(spark: SparkSession, folder: str, real: PropertyGraph, seed: int
     return PropertyGraph(nodes, edges, g.meta | {"generator": "from_files", "folder": folder})
 
 
-def sampled(graph: PropertyGraph, sampling_mode: str, max_nodes: int, seed: int, *, hops: int = 2, top_k: int = 20, waves: int = 15, strategy: str = "top_sar_by_degree") -> PropertyGraph:
-    """A subgraph with compact node numbers and fresh splits; an unknown mode is random_induced. Positives alone may exceed max_nodes."""
+def drawn(graph: PropertyGraph, sampling_mode: str, max_nodes: int, seed: int, *, hops: int = 2, top_k: int = 20, waves: int = 15, strategy: str = "top_sar_by_degree") -> PropertyGraph:
+    """A subgraph with compact node numbers and no splits, perhaps without edges; an unknown mode is random_induced. Positives alone may exceed max_nodes."""
     if sampling_mode == "fraud_enriched":
         kept = sampling.enriched(graph.nodes, graph.edges, max_nodes, seed, hops).select("node")
     elif sampling_mode == "snowball":
@@ -84,10 +86,16 @@ def sampled(graph: PropertyGraph, sampling_mode: str, max_nodes: int, seed: int,
         kept = sampling.random_induced(graph.nodes, graph.edges, max_nodes, seed).select("node")
     ids = checkpointed(sampling.compact(checkpointed(kept)))
     edges = checkpointed(relabelled(induced(graph.edges, ids), ids).drop("split"))
-    if not edges.limit(1).count():
-        raise ValueError("the subgraph has no edges")
     nodes = graph.nodes.drop("split").join(ids, "node").drop("node").withColumnRenamed("idx", "node")
-    return PropertyGraph(splits.split(nodes, seed, key="node"), splits.split(edges, seed + 1, key="eid"), graph.meta | {"sampling": sampling_mode})
+    return PropertyGraph(nodes, edges, graph.meta | {"sampling": sampling_mode})
+
+
+def sampled(graph: PropertyGraph, sampling_mode: str, max_nodes: int, seed: int, **options: Any) -> PropertyGraph:
+    """A subgraph as drawn with fresh splits; an error if it has no edges."""
+    g = drawn(graph, sampling_mode, max_nodes, seed, **options)
+    if not g.edges.limit(1).count():
+        raise ValueError("the subgraph has no edges")
+    return PropertyGraph(splits.split(g.nodes, seed, key="node"), splits.split(g.edges, seed + 1, key="eid"), g.meta)
 
 
 def degree_preserving(graph: PropertyGraph, seed: int, *, allow_self_loops: bool = True) -> PropertyGraph:
