@@ -50,11 +50,23 @@ def hash_digits(rows: int) -> int:
     return max(2, math.ceil(math.log(max(rows, 1) / NUMBERED, 16))) if rows > NUMBERED else 2
 
 
+#: Bytes of a stored table from which the shuffles behind it are worth freeing.
+FREED = 16 << 20
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Rows as a Parquet table in the shared folder, whose readers take the columns they need; unlike those of a checkpoint they come back in any partitions."""
-    at = shared_folder(df.sparkSession, "rows")
+    """Rows as a Parquet table in the shared folder, whose readers take the columns they need; unlike those of a checkpoint they come back in any partitions.
+
+    Executors delete a shuffle's files once the driver has collected its last reference, which may take hours; behind a large
+    table the driver collects at once, so that the disk holds one table's shuffles at a time.
+    """
+    spark = df.sparkSession
+    at = shared_folder(spark, "rows")
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength() >= FREED:
+        spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -75,6 +87,7 @@ def numbered(df: DataFrame, bucket: Column | None, *order: Column | str, name: s
     in the range; a range's first number is the rows of those before it, and only a row for each range meets in one task.
     A bucket, which never decreases along the order, saves the store, for orders by a hash: its rows are numbered in one task
     each. Where there may be more than BUCKETS of them (buckets, about), their first numbers are added up over ranges too.
+    Rows are dealt by bucket before expressions of the order are computed, so a hash to sort by is not shuffled.
     """
     kept = df.columns if keep is None else list(keep)
     if bucket is None:
@@ -82,8 +95,9 @@ def numbered(df: DataFrame, bucket: Column | None, *order: Column | str, name: s
         held = held.withColumn("_bucket", F.shiftright("_at", WITHIN)).withColumn("_nth", F.col("_at").bitwiseAND((1 << WITHIN) - 1)).drop("_at")
     else:
         nth = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
-        held = df.withColumn("_bucket", bucket).select(*kept, "_bucket", (nth.cast("long") - 1).alias("_nth"))
-    sizes = held.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        placed = df.withColumn("_bucket", bucket)
+        held = placed.repartition("_bucket").select(*kept, "_bucket", (nth.cast("long") - 1).alias("_nth"))
+    sizes = (held if bucket is None else placed).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     starts = running(sizes, "_bucket", "_n", "_start", buckets > BUCKETS)
     starts = F.broadcast(starts) if bucket is None else starts  # a row for each range
     return held.join(starts, "_bucket").withColumn(name, F.col("_start") + F.col("_nth")).drop("_bucket", "_nth", "_start")
@@ -110,9 +124,13 @@ def first(df: DataFrame, rows: int, *order: Column | str) -> DataFrame:
 
 def shuffled(df: DataFrame, key: Column, *ties: str, name: str, rows: int | None = None) -> DataFrame:
     """Rows numbered from 0 in the order of a hexadecimal hash, whose first digits are the buckets: as many as the rows need, which are counted unless given."""
-    held = df.withColumn("_key", key)
     digits = hash_digits(df.count() if rows is None else rows)
-    return numbered(held, F.substring("_key", 1, digits), "_key", *ties, name=name, buckets=16**digits).drop("_key")
+    return numbered(df, leading(key, digits), key, *ties, name=name, buckets=16**digits)
+
+
+def leading(key: Column, digits: int) -> Column:
+    """The first digits of a hexadecimal hash as a number."""
+    return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
 
 
 def induced(edges: DataFrame, kept: DataFrame, node: str = "node") -> DataFrame:
@@ -159,15 +177,20 @@ class Adjacency:
     hubs: DataFrame | None
 
     @classmethod
-    def of(cls, links: DataFrame, *, distinct: bool = True, hub: int = HUB) -> Adjacency:
-        """From links(at, node, ...): written once, as every wave of a search joins it there; each row once if distinct."""
+    def over(cls, links: DataFrame, hub: int = HUB) -> Adjacency:
+        """Of stored links(at, node, ...), which are dealt anew by each search that meets many of them."""
         many = checkpointed(links.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("blocks")).filter("blocks > 1"))
         n = many.count()
         hubs = (F.broadcast(many) if n <= BROADCAST else many) if n else None
         block = F.pmod(F.xxhash64(*[c for c in links.columns if c != "at"]), F.col("blocks")).cast("int")
-        placed = links.withColumn("block", F.lit(0)) if hubs is None else links.join(hubs, "at", "left").withColumn("block", F.coalesce(block, F.lit(0))).drop("blocks")
-        dealt = placed.repartition("at", "block")
-        return cls(checkpointed(dealt.dropDuplicates() if distinct else dealt), hubs)
+        return cls(links.withColumn("block", F.lit(0)) if hubs is None else links.join(hubs, "at", "left").withColumn("block", F.coalesce(block, F.lit(0))).drop("blocks"), hubs)
+
+    @classmethod
+    def of(cls, links: DataFrame, *, distinct: bool = True, hub: int = HUB) -> Adjacency:
+        """From links(at, node, ...): written once, as every wave of a search joins it there; each row once if distinct."""
+        found = cls.over(links, hub)
+        dealt = found.blocks.repartition("at", "block")
+        return cls(checkpointed(dealt.dropDuplicates() if distinct else dealt), found.hubs)
 
     def copied(self, rows: DataFrame) -> DataFrame:
         """rows(at, ...) with block: a hub's rows once for each of its blocks."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
-from ..graph import Adjacency, checkpointed, endpoints, first, neighbours, simple
+from ..graph import BROADCAST, Adjacency, endpoints, first, neighbours, numbered, simple, stored
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -83,19 +85,41 @@ def path_sources(nodes: DataFrame, sources: int, seed: int) -> DataFrame:
     return first(nodes.select("node", order_key(seed, "paths", "node").alias("_k")), sources, "_k", "node").select("node")
 
 
+#: Searches that share a row, a bit each.
+WORD = 64
+
+
 def distances(start: DataFrame, edges: DataFrame, cutoff: int, max_edges: int | None = None) -> DataFrame:
-    """source, at, dist: nodes within the cutoff of each node of start, itself at 0, along edges either way; the searches are one."""
-    hop = Adjacency.of(neighbours(simple(edges, max_edges)).select(F.col("node").alias("at"), F.col("other").alias("node")), distinct=False)
-    reached = checkpointed(start.select(F.col("node").alias("source"), F.col("node").alias("at"), F.lit(0).alias("dist")))
-    frontier = reached
+    """source, at, dist: nodes within the cutoff of each node of start, itself at 0, along edges either way; the searches are one.
+
+    A node has a row for each WORD sources: seen, a bit for each that reached it, and new, those that did in the last wave. What
+    is stored are the pairs, once, in ranges, and these rows for each wave. A wave of up to BROADCAST rows is sent to the pairs;
+    a larger one meets them by key, a hub's in blocks.
+    """
+    pairs = stored(simple(edges, max_edges).repartitionByRange("u", "v").distinct())
+    links = neighbours(pairs).select(F.col("node").alias("at"), F.col("other").alias("node"))
+    ids = numbered(start.select("node").distinct(), None, "node", name="n")
+    many, word = ids.count(), F.floor(F.col("n") / WORD).cast("int").alias("word")
+    bit = F.expr(f"shiftleft(1L, cast(n % {WORD} AS int))")
+    state = stored(ids.select(F.col("node").alias("at"), word, bit.alias("seen"), bit.alias("new")))
+    waves, dealt = [state.withColumn("dist", F.lit(0))], None
     for k in range(1, cutoff + 1):
-        met = hop.met(frontier.select("source", "at")).select("source", F.col("node").alias("at")).distinct()
-        new = met.join(reached.select("source", "at"), ["source", "at"], "left_anti")
-        frontier = checkpointed(new.withColumn("dist", F.lit(k)))
-        if not frontier.limit(1).count():
+        last = state.filter("new <> 0").select("at", "word", "new")
+        n = last.count()
+        if not n:
             break
-        reached = reached.unionAll(frontier)
-    return reached
+        if n > BROADCAST:
+            dealt = dealt or Adjacency.over(links)
+        met = dealt.met(last) if n > BROADCAST else links.join(F.broadcast(last), "at")
+        got = met.groupBy("node", "word").agg(F.bit_or("new").alias("got"))
+        both = state.select("at", "word", "seen", F.lit(0).cast("long").alias("got")).unionAll(got.select("node", "word", F.lit(0).cast("long"), "got"))
+        merged = both.groupBy("at", "word").agg(F.bit_or("seen").alias("had"), F.bit_or("got").alias("got"))
+        state = stored(merged.select("at", "word", F.col("had").bitwiseOR(F.col("got")).alias("seen"), F.col("got").bitwiseAND(F.bitwise_not("had")).alias("new")))
+        waves.append(state.filter("new <> 0").withColumn("dist", F.lit(k)))
+    every = F.explode(F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("new", i) == 1))
+    reached = reduce(DataFrame.unionAll, waves).select("at", "dist", "word", every.alias("bit")).select("at", "dist", (F.col("word").cast("long") * WORD + F.col("bit")).alias("n"))
+    named = ids.select("n", F.col("node").alias("source"))
+    return reached.join(F.broadcast(named) if many <= BROADCAST else named, "n").select("source", "at", "dist")
 
 
 def path_lengths(nodes: DataFrame, edges: DataFrame, *, sources: int = 2000, seed: int = 7, cutoff: int = 10, max_edges: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from ..graph import numbered, shuffled
 
 def rewired(edges: DataFrame, seed: int) -> DataFrame:
     """pos, src, dst: sources in order of node and edge matched with all destinations in hash order, so both degree sequences stay. A hub's edges are numbered by many tasks."""
-    out = numbered(edges.select("src", "eid"), None, "src", "eid", name="pos").select("pos", "src")
+    out = numbered(edges.select("src", "eid"), None, "src", "eid", name="pos", keep=("src",)).select("pos", "src")
     into = shuffled(edges.select("dst", "eid"), order_key(seed, "stubs", "eid"), "eid", name="pos").select("pos", "dst")
     return out.join(into, "pos")
 
