@@ -6,7 +6,9 @@ links the users of successive events.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import numbered
@@ -27,19 +29,32 @@ def trade_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(s)
 
 
-def trade_rows(spark: SparkSession, sf_dir: str, *, strict: bool = False) -> DataFrame:
-    """src, dst, ts, amt, fmt, y of the trade graph and what orders them; strict labels are rarer."""
+def _trade_lines(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
+    """Line items with their label y and their orders' columns, of which SHOWN makes the trade graph's."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    lines = table(spark, sf_dir, "lineitem").select(*ORDER, "l_returnflag").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     discount, quantity = (0.095, 50) if strict else (0.09, 45)
     y = ((F.col("l_returnflag") == "R") & (F.col("l_discount") >= discount) & (F.col("l_quantity") >= quantity)).cast("int")
-    src, dst = F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst")
-    return lines.select(src, dst, F.col("l_shipdate").alias("ts"), F.col("l_extendedprice").alias("amt"), F.col("o_orderpriority").alias("fmt"), y.alias("y"), *ORDER)
+    return table(spark, sf_dir, "lineitem").select(*ORDER, y.alias("y")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+#: Of each of EDGE's columns: the column it is made of, and the text before its number.
+SHOWN = {"src": ("o_custkey", "C"), "dst": ("l_suppkey", "S"), "ts": ("l_shipdate", ""), "amt": ("l_extendedprice", ""), "fmt": ("o_orderpriority", ""), "y": ("y", "")}
+
+
+def _shown(column: str) -> Column:
+    held, prefix = SHOWN[column]
+    return (F.concat(F.lit(prefix), held) if prefix else F.col(held)).alias(column)
+
+
+def trade_rows(spark: SparkSession, sf_dir: str, *, strict: bool = False) -> DataFrame:
+    """src, dst, ts, amt, fmt, y of the trade graph and what orders them; strict labels are rarer."""
+    return _trade_lines(spark, sf_dir, strict).select(*[_shown(c) for c in EDGE], *ORDER)
 
 
-def trade_edges(spark: SparkSession, sf_dir: str, *, strict: bool = False) -> DataFrame:
-    """eid, src, dst, ts, amt, fmt, y: numbered over ranges of about equal size, however the keys are spread."""
-    return numbered(trade_rows(spark, sf_dir, strict=strict), None, *ORDER, name="eid", keep=EDGE).select("eid", *EDGE)
+def trade_edges(spark: SparkSession, sf_dir: str, *, strict: bool = False, columns: Sequence[str] = EDGE) -> DataFrame:
+    """eid and the columns: numbered over ranges of about equal size, however the keys are spread. Columns are sorted and stored as the tables have them, and only those asked for."""
+    held = numbered(_trade_lines(spark, sf_dir, strict), None, *ORDER, name="eid", keep=[SHOWN[c][0] for c in columns])
+    return held.select("eid", *[_shown(c) for c in columns])
 
 
 def hop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
