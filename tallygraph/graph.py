@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,19 +55,40 @@ def hash_digits(rows: int) -> int:
 FREED = 16 << 20
 
 
-def stored(df: DataFrame) -> DataFrame:
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within are deleted at the end; lasting ones pass on to the context around, if any. What is read after it must not come from the others."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for at in _passing.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, *, lasting: bool = False) -> DataFrame:
     """Rows as a Parquet table in the shared folder, whose readers take the columns they need; unlike those of a checkpoint they come back in any partitions.
 
     Executors delete a shuffle's files once the driver has collected its last reference, which may take hours; behind a large
     table the driver collects at once, so that the disk holds one table's shuffles at a time.
     """
-    spark = df.sparkSession
-    at = shared_folder(spark, "rows")
+    at = shared_folder(df.sparkSession, "rows")
+    for tables in _passing[:-1][-1:] if lasting else _passing[-1:]:
+        tables.append(at)
     df.write.parquet(at)
+    freed(df.sparkSession, at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def freed(spark: SparkSession, at: str) -> None:
+    """Frees the shuffles behind what was written to a folder, if that is large."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength() >= FREED:
         spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(at)
 
 
 def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -103,6 +125,14 @@ def numbered(df: DataFrame, bucket: Column | None, *order: Column | str, name: s
     return held.join(starts, "_bucket").withColumn(name, F.col("_start") + F.col("_nth")).drop("_bucket", "_nth", "_start")
 
 
+def numbered_lines(rows: DataFrame, part: str, line: str, *, name: str) -> DataFrame:
+    """Stored rows numbered from 0 in the order of their parts and lines. A part's lines have successive numbers, so only a row for each part meets in one task, and nothing is sorted."""
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"), F.min(line).alias("_least"))
+    before = F.sum("_n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select(part, (F.coalesce(before, F.lit(0)) - F.col("_least")).alias("_shift"))
+    return rows.join(F.broadcast(starts), part).withColumn(name, F.col(line) + F.col("_shift")).drop(part, line, "_shift")  # a row for each part
+
+
 def running(rows: DataFrame, key: str, amount: str, name: str, many: bool) -> DataFrame:
     """key and name, the sum of amount over smaller keys; many: in ranges of the key, whose totals are added up first."""
     before = lambda *within: W.partitionBy(*within).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
@@ -139,8 +169,9 @@ def induced(edges: DataFrame, kept: DataFrame, node: str = "node") -> DataFrame:
     return edges.join(ids, edges["src"] == ids["_id"], "left_semi").join(ids, F.col("dst") == F.col("_id"), "left_semi")
 
 
-def relabelled(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges with their ends replaced through ids(node, idx)."""
+def relabelled(edges: DataFrame, ids: DataFrame, few: bool = False) -> DataFrame:
+    """Edges with their ends replaced through ids(node, idx), which are sent to the edges if few."""
+    ids = F.broadcast(ids) if few else ids
     a, b = ids.select(F.col("node").alias("src"), F.col("idx").alias("_s")), ids.select(F.col("node").alias("dst"), F.col("idx").alias("_d"))
     return edges.join(a, "src").join(b, "dst").withColumn("src", F.col("_s")).withColumn("dst", F.col("_d")).drop("_s", "_d")
 

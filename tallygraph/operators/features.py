@@ -30,7 +30,7 @@ def node_universe(accounts: DataFrame, edges: DataFrame) -> DataFrame:
         .unionAll(edges.select(F.col("dst"), at(F.lit(3), F.col("eid"))))
     )
     least = seen.groupBy("account_id").agg(F.min("x").alias("x"))
-    return numbered(least, None, "x", "account_id", name="node_idx").select("account_id", "node_idx")
+    return numbered(least, None, "x", "account_id", name="node_idx", keep=("account_id",)).select("account_id", "node_idx")
 
 
 def risky_nodes(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key, uniform
 from ..functions.scalars import bernoulli, entity_type
-from ..graph import PropertyGraph, checkpointed, induced, relabelled, shuffled, symmetrised
+from ..graph import BROADCAST, PropertyGraph, checkpointed, induced, passing, relabelled, shuffled, stored, symmetrised
 from ..operators import features, sampling, splits, structure, synth
 from ..sources import csv
 from .report import metadata
@@ -34,24 +34,23 @@ def load_graph(
     if window and (not max_transactions or max_transactions < 1):
         raise ValueError(f"slice_mode {slice_mode!r} needs a positive max_transactions")
     paths = csv.resolve_paths(spark, folder)
-    rows = csv.read_transactions(spark, paths.transactions, prefix=None if window else max_transactions, window=balance_scan_rows if window else None, lenient=lenient)
-    edges = checkpointed(rows)
-    if window:
-        edges = splits.balanced(edges, max_transactions, target_edge_pos_fraction, seed)
-    listed = features.first_rows(csv.read_accounts(spark, paths.accounts), "account_id", "row_id").withColumn("type", entity_type(F.col("name")))
-    ordered = listed.select("account_id", F.lit(0).alias("side"), F.col("row_id").alias("number"))
-    index = checkpointed(features.node_universe(ordered, edges))
-    ids = index.select(F.col("account_id").alias("node"), F.col("node_idx").alias("idx"))
-    edges = relabelled(edges, ids)
-    nodes = index.join(listed.select("account_id", "bank", F.col("type").alias("entity_type")), "account_id", "left").withColumnRenamed("node_idx", "node")
-    nodes = features.labelled(nodes, edges)
-    nodes, node_columns = features.node_features(nodes, structure.degrees(nodes, edges).select("node", "in_deg", "out_deg") if add_degree_features else None)
+    with passing(spark):
+        with passing(spark):
+            edges = csv.read_transactions(spark, paths.transactions, prefix=None if window else max_transactions, window=balance_scan_rows if window else None, lenient=lenient)
+            if window:
+                edges = stored(splits.balanced(edges, max_transactions, target_edge_pos_fraction, seed))
+            listed = features.first_rows(csv.read_accounts(spark, paths.accounts), "account_id", "row_id").withColumn("type", entity_type(F.col("name")))
+            index = stored(features.node_universe(listed.select("account_id", F.lit(0).alias("side"), F.col("row_id").alias("number")), edges))
+            ids = index.select(F.col("account_id").alias("node"), F.col("node_idx").alias("idx"))
+            edges = stored(relabelled(edges, ids, index.count() <= BROADCAST), lasting=True)
+            nodes = stored(index.join(listed.select("account_id", "bank", F.col("type").alias("entity_type")), "account_id", "left").withColumnRenamed("node_idx", "node"), lasting=True)
+        nodes = features.labelled(nodes, edges)
+        nodes, node_columns = features.node_features(nodes, structure.degrees(nodes, edges).select("node", "in_deg", "out_deg") if add_degree_features else None)
+        nodes = stored(splits.split(nodes, seed, key="node", stratify=stratify_nodes), lasting=True)
+        edges = stored(splits.split(edges, seed, key="eid", stratify=stratify_edges), lasting=True)  # without their features, which are expressions
     for bank in ("from_bank", "to_bank"):
         edges = features.median_filled(edges, bank)
     edges, edge_columns = features.edge_features(edges)
-    nodes = splits.split(nodes, seed, key="node", stratify=stratify_nodes)
-    edges = splits.split(edges, seed, key="eid", stratify=stratify_edges)
-    nodes, edges = checkpointed(nodes), checkpointed(edges)
     return PropertyGraph(nodes, edges, metadata(nodes, edges, len(node_columns), len(edge_columns)) | {"node_columns": node_columns, "edge_columns": edge_columns})
 
 

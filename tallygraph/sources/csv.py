@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TIMESTAMP, finite, normal_names, parsed_time, resized
-from ..graph import PropertyGraph, numbered, shared_folder
+from ..graph import PropertyGraph, freed, numbered, numbered_lines, shared_folder, stored
 from ..operators import splits
 
 #: Header of the transaction file by position; "Account" stands there twice, so the schema is given, not read.
@@ -19,6 +19,8 @@ TRANSACTIONS = (
     "`receiving_currency` STRING, `amt` STRING, `payment_currency` STRING, `fmt` STRING, `label` STRING"
 )
 FLOOR = 10_000
+#: Lines of a packed file, which one task reads.
+LINES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,8 @@ def read_transactions(spark: SparkSession, path: str, *, prefix: int | None = No
         if sizes:
             last = sizes[reached][0]
             rows = rows.filter(F.col("_part") <= F.struct(F.lit(last["file_path"]).alias("file_path"), F.lit(last["file_block_start"]).cast("long").alias("file_block_start")))
-    rows = numbered(rows, F.col("_part"), "_line", name="eid")
+    used = ("timestamp", "src", "dst", "amt", "fmt", "from_bank", "to_bank", "label", *["_broken"] * lenient)
+    rows = numbered_lines(stored(rows.select(*used, "_part", "_line")), "_part", "_line", name="eid")
     rows = rows.filter(F.col("eid") < limit) if limit else rows
     number = lambda c: finite(F.expr(f"try_cast(`{c}` AS DOUBLE)"))
     label, amount = F.col("label").cast("int"), number("amt")
@@ -72,14 +75,15 @@ def read_transactions(spark: SparkSession, path: str, *, prefix: int | None = No
 def write_transactions(edges: DataFrame, cut: Column | None = None) -> str:
     """Edges (eid, src, dst, ts, amt, fmt, y) as transaction files in the shared folder, in order of eid along the files' names; returns their folder.
 
-    Values hold no commas or quotes. Lines where cut holds end after the first account, as broken files have it.
+    Files are packed, of at most LINES lines as only whole ones can be unpacked; with a cut they are plain. Values hold no commas or quotes. Lines where cut holds end after the first account, as broken files have it.
     """
     folder = shared_folder(edges.sparkSession, "transactions")
     text = {"timestamp": F.date_format("ts", TIMESTAMP), "src": F.col("src"), "dst": F.col("dst"), "amt": F.col("amt"), "fmt": F.col("fmt"), "label": F.col("y")}
     names = [part.split("`")[1] for part in TRANSACTIONS.split(",")]
     rows = edges.repartitionByRange("eid").sortWithinPartitions("eid")
     if cut is None:
-        rows.select(*[text.get(n, F.lit(1)).cast("string").alias(n) for n in names]).write.option("header", True).csv(folder)
+        rows.select(*[text.get(n, F.lit(1)).cast("string").alias(n) for n in names]).write.option("header", True).option("compression", "gzip").option("maxRecordsPerFile", LINES).csv(folder)
+        freed(edges.sparkSession, folder)
         return folder
     fields = [F.coalesce(text.get(n, F.lit(1)).cast("string"), F.lit("")) for n in names]
     line = F.concat_ws(",", F.when(cut, F.array(*fields[:3])).otherwise(F.array(*fields)))
@@ -102,7 +106,8 @@ def read_accounts(spark: SparkSession, path: str) -> DataFrame:
     read = spark.read.option("header", True).csv(path)
     part = F.struct("_metadata.file_path", "_metadata.file_block_start")
     rows = read.select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_line"))
-    rows = numbered(normal_names(rows), F.col("_part"), "_line", name="row_id")
+    used = normal_names(rows).select("account number", "bank id", "entity name", "_part", "_line")
+    rows = numbered_lines(stored(used), "_part", "_line", name="row_id")
     return rows.select("row_id", F.col("account number").alias("account_id"), finite(F.expr("try_cast(`bank id` AS DOUBLE)")).alias("bank"), F.col("entity name").alias("name"))
 
 
@@ -112,8 +117,8 @@ def read_graph(spark: SparkSession, folder: str, *, node_width: int, edge_width:
     Vectors may be stored as such (x, edge_attr) or as the columns that its meta names.
     """
     nodes, edges = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
-    stored = spark.read.text(f"{folder}/meta").collect()
-    meta = json.loads(stored[0][0]) if stored else {}
+    held = spark.read.text(f"{folder}/meta").collect()
+    meta = json.loads(held[0][0]) if held else {}
     nodes, edges = as_vector(nodes, "x", meta.get("node_columns")), as_vector(edges, "edge_attr", meta.get("edge_columns"))
     if not {"node", "x", "y"} <= set(nodes.columns) or not {"src", "dst", "y"} <= set(edges.columns):
         raise TypeError(f"{folder} holds no property graph")
