@@ -60,3 +60,36 @@ def test_distances_of_many_sources(spark, monkeypatch, broadcast):
     found = structure.distances(spark.createDataFrame([(k,) for k in start], "node long").select(node("node")), edges, 3)
     rows = sorted(map(tuple, found.select("source.id", "at.id", "dist").collect()))
     assert rows == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["q_built_nodes", "q_built_edges"])
+def test_built_graph_leaves_packed_files_and_its_own_tables(spark, name):
+    assert left(spark, lambda: roster.QUERIES[name](spark, FOLDER).collect()) < 80 * LINES
+
+
+def test_numbered_lines(spark):
+    rows = spark.createDataFrame([("b", 70, "x"), ("a", 5, "z"), ("b", 71, "y"), ("a", 6, "w"), ("c", 0, "v")], "part string, line long, v string")
+    assert [r["v"] for r in graph.numbered_lines(rows, "part", "line", name="n").orderBy("n").collect()] == ["z", "w", "x", "y", "v"]
+
+
+def test_passing_tables_are_deleted(spark):
+    with graph.passing(spark):
+        with graph.passing(spark):
+            gone, kept = graph.stored(spark.range(3)), graph.stored(spark.range(5), lasting=True)
+            assert gone.count() == 3
+        again = graph.stored(kept, lasting=True)
+        assert kept.count() == 5
+    exists = lambda df: any(__import__("os").path.exists(f.removeprefix("file://")) for f in df.inputFiles())
+    assert not exists(gone) and not exists(kept) and exists(again) and again.count() == 5
+
+
+def test_packed_files_keep_order(spark, monkeypatch):
+    """Several files of a task, and of several tasks, give the lines in order."""
+    from tallygraph.sources import csv
+
+    monkeypatch.setattr(csv, "LINES", 70)
+    made = spark.range(1000).selectExpr("id AS eid", "concat('A', id) AS src", "'B' AS dst", "timestamp '2024-01-01' AS ts", "1.5D AS amt", "'Wire' AS fmt", "0 AS y")
+    folder = csv.write_transactions(made.repartition(5))
+    assert len(spark.read.text(folder).inputFiles()) >= 15
+    for prefix, want in ((None, 1000), (333, 333)):
+        assert sorted((r["eid"], r["src"]) for r in csv.read_transactions(spark, folder, prefix=prefix).collect()) == [(k, f"A{k}") for k in range(want)]
